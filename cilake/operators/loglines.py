@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cilake.functions import text as tx
+from cilake.operators.binding import bind
 from cilake.operators.running import BLOCK, BLOCK_ROWS, Run, running
 
 # The known command names.
@@ -23,6 +24,7 @@ EFFECTS = {
     "error": "annotation", "notice": "annotation", "group": "group", "endgroup": "endgroup", "echo": "echo",
 }
 _V2 = r"(?s)^::(.*?)::(.*)$"
+_V1 = r"(?s)^##\[([^\]]*)\](.*)$"
 
 
 def _name(header: Column) -> Column:
@@ -39,36 +41,27 @@ def parse_commands(lines: DataFrame, line: str = "line") -> DataFrame:
 
     `prop_text` and `form` feed `command_props`, which returns the properties as rows or a map.
     """
-    t = F.col("_t")
+    t, header = F.col("_t"), F.col("_header")
+    trimmed = bind(lines, _t=tx.trim_space(F.col(line)))
     tail = F.substring(t, F.instr(t, "##["), F.length(t))
-    staged = (
-        lines.withColumn("_t", tx.trim_space(F.col(line)))
-        .withColumn(
-            "form",
-            F.when(t.startswith("::"), F.when(t.rlike(_V2), "v2")).when(
-                F.instr(t, "##[") > 0, F.when(tail.rlike(r"(?s)^##\[[^\]]*\]"), "v1")
-            ),
-        )
-        .withColumn(
-            "_header",
-            F.when(F.col("form") == "v2", F.regexp_extract(t, _V2, 1)).when(
-                F.col("form") == "v1", F.regexp_extract(tail, r"(?s)^##\[([^\]]*)\]", 1)
-            ),
-        )
-        .withColumn("_name", _name(F.col("_header")))
-        .withColumn("form", F.when(F.col("_name").isin(COMMANDS), F.col("form")))
+    split = bind(
+        trimmed,
+        _form=F.when(t.startswith("::"), F.when(t.rlike(_V2), "v2")).when(
+            F.instr(t, "##[") > 0, F.when(tail.rlike(_V1), "v1")),
+        _header=F.when(t.startswith("::"), F.regexp_extract(t, _V2, 1)).otherwise(F.regexp_extract(tail, _V1, 1)),
+        _data=F.when(t.startswith("::"), tx.unescape_data(F.regexp_extract(t, _V2, 2))).otherwise(
+            tx.unescape_legacy(F.regexp_extract(tail, _V1, 2))),
     )
+    named = bind(split, form=F.when(_name(header).isin(COMMANDS), F.col("_form")))
     known = F.col("form").isNotNull()
-    return staged.select(
-        *lines.columns,
-        "form",
-        F.when(known, F.col("_name")).alias("command"),
-        F.when(known, _prop_text(F.col("_header"))).alias("prop_text"),
-        F.when(F.col("form") == "v2", tx.unescape_data(F.regexp_extract(t, _V2, 2)))
-        .when(F.col("form") == "v1", tx.unescape_legacy(F.regexp_extract(tail, r"(?s)^##\[[^\]]*\](.*)$", 1)))
-        .alias("data"),
-        F.when(known, F.col(line)).alias("raw"),
+    done = bind(
+        named,
+        command=F.when(known, _name(header)),
+        prop_text=F.when(known, _prop_text(header)),
+        data=F.when(known, F.col("_data")),
+        raw=F.when(known, F.col(line)),
     )
+    return done.select(*lines.columns, "form", "command", "prop_text", "data", "raw")
 
 
 def prop_entries(prop_text: Column, form: Column) -> Column:
@@ -113,13 +106,13 @@ def known_commands(names: Column) -> Column:
 
 def classify_lines(parsed: DataFrame) -> DataFrame:
     """Add `effect`: what the line does; lines that are no command are 'text'."""
-    effect = F.coalesce(*[F.when(F.col("command") == k, v) for k, v in EFFECTS.items()], F.lit("text"))
-    return parsed.withColumn("effect", effect)
+    table = F.create_map(*[F.lit(x) for pair in EFFECTS.items() for x in pair])
+    return bind(parsed, effect=F.coalesce(F.try_element_at(table, F.col("command")), F.lit("text")))
 
 
 def with_name(parsed: DataFrame) -> DataFrame:
     """Add the `name` property as a column ('' when absent)."""
-    return parsed.withColumn("name", F.coalesce(prop_value("name", F.col("prop_text"), F.col("form")), F.lit("")))
+    return bind(parsed, name=F.coalesce(prop_value("name", F.col("prop_text"), F.col("form")), F.lit("")))
 
 
 def error_of(allowed: Column | None = None) -> Column:
@@ -142,7 +135,7 @@ def command_errors(lines: DataFrame, allowed: Column | None = None) -> DataFrame
     parsed = classify_lines(parse_commands(lines)).filter(
         F.col("effect").isin("env", "output", "state", "path", "echo")
     )
-    return with_name(parsed).withColumn("error", error_of(allowed)).filter(F.col("error").isNotNull())
+    return bind(with_name(parsed), error=error_of(allowed)).filter(F.col("error").isNotNull())
 
 
 def debug_lines(lines: DataFrame, enabled: bool = True) -> DataFrame:
@@ -178,8 +171,9 @@ def echo_flag() -> Column:
 
 def echo_flags(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add `flag`: the last echo command before this line in its step (1, 0, or NULL for none)."""
-    return running(parse_commands(lines), ["job_id", "step_idx"], "seq", [Run("flag", "last", echo_flag())],
-                   inclusive=False, block_rows=block_rows)
+    parsed = bind(parse_commands(lines), _flag=echo_flag())
+    return running(parsed, ["job_id", "step_idx"], "seq", [Run("flag", "last", F.col("_flag"))],
+                   inclusive=False, block_rows=block_rows).drop("_flag")
 
 
 def echo_state(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

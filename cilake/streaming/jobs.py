@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cilake.operators import loglines as ll
+from cilake.operators.binding import bind
 from cilake.operators.running import BLOCK_ROWS
 from cilake.sources.framing import fragments, number_fragments
 from cilake.streaming.batches import run_batches
@@ -87,10 +88,10 @@ def stream_masking(lines: DataFrame, root: str, *, debug: bool = False, block_ro
             "echo", F.coalesce("flag", "_old", F.lit(0)) == 1).drop("flag", "_old")
         view = ll.mask_lines(ll.console_rows(seen, debug), masks, "text", keys=["job_id", "seq", "sub"], spine=batch,
                              list_masks=list_masks, block_rows=block_rows)
-        latest = parsed.groupBy("job_id", "step_idx").agg(
-            F.max_by(ll.echo_flag(), F.when(ll.echo_flag().isNotNull(), F.col("seq"))).alias("_new"))
+        latest = bind(parsed, _flag=ll.echo_flag()).filter(F.col("_flag").isNotNull()).groupBy("job_id", "step_idx").agg(
+            F.max_by("_flag", "seq").alias("_new"))
         flags = latest.join(old, ["job_id", "step_idx"], "full_outer").select(
-            "job_id", "step_idx", F.coalesce("_new", "_old").alias("flag")).filter(F.col("flag").isNotNull())
+            "job_id", "step_idx", F.coalesce("_new", "_old").alias("flag"))
         return {"console": view}, {"masks": masks, "echo": flags}
 
     run_batches(lines, root, step, lambda s: {
@@ -115,7 +116,7 @@ def first_errors(judged: DataFrame) -> DataFrame:
 def judge(lines: DataFrame) -> DataFrame:
     """Lines with `effect` and `error`."""
     classified = ll.with_name(ll.classify_lines(ll.parse_commands(lines)))
-    return classified.withColumn("error", ll.error_of()).select(*lines.columns, "effect", "error")
+    return bind(classified, error=ll.error_of()).select(*lines.columns, "effect", "error")
 
 
 def stream_fail_stop(lines: DataFrame, root: str) -> None:
