@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cilake.operators.running import BLOCK_ROWS, numbered
+from cilake.session import written
 
 SPAN = 65_536
 _SEP = "\u0001"
@@ -147,12 +148,16 @@ def matrix_extra(jobs: DataFrame, combos: DataFrame, includes: DataFrame, dims:
 
 def expand_matrix(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, includes: DataFrame,
                   empty_dims: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(combinations in long form, jobs in error). A job with an unknown exclude key has no combinations."""
-    errors = check_exclude_keys(dims, excludes)
+    """(combinations in long form, jobs in error). A job with an unknown exclude key has no combinations.
+
+    The product and the kept combinations feed several joins each, so both are written once.
+    """
+    errors = written(check_exclude_keys(dims, excludes), "matrix-errors")
     bad = errors.select("job_id").distinct()
     fine = lambda df: df.join(bad, "job_id", "left_anti")
-    jobs, dims, excludes, includes = fine(jobs), fine(dims), fine(excludes), fine(includes)
-    kept = matrix_exclude(matrix_product(dims, empty_dims), excludes, dims)
+    jobs, dims, includes = fine(jobs), fine(dims), fine(includes)
+    product = written(matrix_product(dims, empty_dims), "matrix-product")
+    kept = written(matrix_exclude(product, excludes, dims), "matrix-kept")
     return matrix_include(kept, includes, dims).unionByName(matrix_extra(jobs, kept, includes, dims)), errors
 
 

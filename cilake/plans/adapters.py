@@ -9,6 +9,39 @@ from __future__ import annotations
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 _STEP = "CAST(floor(event_id / 2000) AS BIGINT)"
 
+# Matrices, one job per customer (every eleventh has none): (position, dimension, value, condition).
+_DIM = [
+    (0, "os", "'linux'", "true"), (1, "os", "'mac'", "true"), (2, "os", "'win'", "c_custkey % 2 = 0"),
+    (0, "py", "'3.12'", "true"), (1, "py", "'3.13'", "c_custkey % 3 <> 0"),
+    (0, "seg", "c_mktsegment", "c_custkey % 7 <> 0"), (1, "seg", "'ANY'", "c_custkey % 7 > 3"),
+]
+_EXCL = [
+    (0, "os", "'mac'", "c_custkey % 3 = 0"), (0, "py", "'3.12'", "c_custkey % 3 = 0"),
+    (1, "os", "'win'", "c_custkey % 4 = 0"), (2, "bad", "'x'", "c_custkey % 40 = 0"),
+]
+_INCL = [
+    (0, "os", "'linux'", "c_custkey % 2 = 0"), (0, "flag", "concat('f', c_custkey)", "c_custkey % 2 = 0"),
+    (1, "os", "'linux'", "c_custkey % 4 = 0"), (1, "py", "'3.13'", "c_custkey % 4 = 0"),
+    (1, "flag", "'late'", "c_custkey % 4 = 0"), (2, "os", "'bsd'", "c_custkey % 5 = 0"),
+    (2, "flag", "'own'", "c_custkey % 5 = 0"), (3, "extra", "'all'", "c_custkey % 6 = 0"),
+]
+
+
+def _union(order: str, rows) -> str:
+    """Matrix rows as a UNION ALL (DuckDB)."""
+    return "\nUNION ALL ".join(
+        f"SELECT c_custkey AS job_id, CAST({pos} AS BIGINT) AS {order}, '{dim}' AS dim, {value} AS value "
+        f"FROM customer WHERE c_custkey % 11 <> 0 AND {cond}" for pos, dim, value, cond in rows)
+
+
+def _one_scan(order: str, rows) -> str:
+    """The same rows unfolded from one scan (Spark)."""
+    cells = ",\n".join(
+        f"IF({cond}, named_struct('pos', {pos}L, 'dim', '{dim}', 'value', {value}), NULL)" for pos, dim, value, cond in rows)
+    return (f"SELECT c_custkey AS job_id, r.pos AS {order}, r.dim, r.value FROM (SELECT * FROM customer WHERE c_custkey % 11 <> 0)\n"
+            f"LATERAL VIEW explode(filter(array({cells}), x -> x IS NOT NULL)) t AS r")
+
+
 SHAPES: dict[str, str] = {
     # log lines with every command family
     "LOG": f"""
@@ -61,29 +94,10 @@ SELECT l_orderkey AS job_id, l_partkey * 10 + l_linenumber AS pos, l_suppkey, l_
 FROM lineitem""",
     # matrices, one job per customer: dimensions, an empty dimension, excludes, includes
     "MJOB": "SELECT c_custkey AS job_id FROM customer",
-    "DIM": """
-SELECT c_custkey AS job_id, 'os' AS dim, CAST(0 AS BIGINT) AS pos, 'linux' AS value FROM customer WHERE c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, 'os', CAST(1 AS BIGINT), 'mac' FROM customer WHERE c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, 'os', CAST(2 AS BIGINT), 'win' FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 2 = 0
-UNION ALL SELECT c_custkey, 'py', CAST(0 AS BIGINT), '3.12' FROM customer WHERE c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, 'py', CAST(1 AS BIGINT), '3.13' FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 3 <> 0
-UNION ALL SELECT c_custkey, 'seg', CAST(0 AS BIGINT), c_mktsegment FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 <> 0
-UNION ALL SELECT c_custkey, 'seg', CAST(1 AS BIGINT), 'ANY' FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 7 > 3""",
+    "DIM": _union("pos", _DIM),
     "NODIM": "SELECT c_custkey AS job_id FROM customer WHERE c_custkey % 50 = 0",
-    "EXCL": """
-SELECT c_custkey AS job_id, CAST(0 AS BIGINT) AS rule_pos, 'os' AS dim, 'mac' AS value FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(0 AS BIGINT), 'py', '3.12' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(1 AS BIGINT), 'os', 'win' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(2 AS BIGINT), 'bad', 'x' FROM customer WHERE c_custkey % 40 = 0 AND c_custkey % 11 <> 0""",
-    "INCL": """
-SELECT c_custkey AS job_id, CAST(0 AS BIGINT) AS rule_pos, 'os' AS dim, 'linux' AS value FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(0 AS BIGINT), 'flag', concat('f', c_custkey) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(1 AS BIGINT), 'os', 'linux' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(1 AS BIGINT), 'py', '3.13' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(1 AS BIGINT), 'flag', 'late' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(2 AS BIGINT), 'os', 'bsd' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(2 AS BIGINT), 'flag', 'own' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 11 <> 0
-UNION ALL SELECT c_custkey, CAST(3 AS BIGINT), 'extra', 'all' FROM customer WHERE c_custkey % 6 = 0 AND c_custkey % 11 <> 0""",
+    "EXCL": _union("rule_pos", _EXCL),
+    "INCL": _union("rule_pos", _INCL),
     # files with paths
     "FILE": """
 SELECT lang, source, concat(lang, '/', source, '/', doc_id, CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.md' END) AS path, text AS content FROM documents""",
@@ -165,6 +179,9 @@ FROM documents LATERAL VIEW explode(sequence(0L, CAST((length(text) - 1) DIV 64
     "KVF": f"""
 SELECT job_id, step_idx, kind, listagg(concat(key, '=', value), '\\n') WITHIN GROUP (ORDER BY ord) AS content
 FROM ({SHAPES["KV"]}) GROUP BY job_id, step_idx, kind""",
+    "DIM": _one_scan("pos", _DIM),
+    "EXCL": _one_scan("rule_pos", _EXCL),
+    "INCL": _one_scan("rule_pos", _INCL),
 }
 
 DUCK: dict[str, str] = {

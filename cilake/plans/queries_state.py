@@ -12,7 +12,7 @@ from cilake.operators import matrix as mx
 from cilake.operators import records as rc
 from cilake.operators.running import ordered_text
 from cilake.plans.registry import Source, query
-from cilake.session import shared_dir
+from cilake.session import shared_dir, written
 from cilake.sources import framing, kvfiles
 
 _BAD_FILES = "(SELECT DISTINCT job_id, step_idx, kind FROM ({KV}) WHERE kind = 'env' AND key = 'NODE_OPTIONS')"
@@ -214,7 +214,8 @@ def _matrix(s: Source):
 
 def _kept(s: Source):
     _jobs, dims, excl, _incl, none = _matrix(s)
-    return mx.matrix_exclude(mx.matrix_product(dims, none), excl, dims)
+    product = written(mx.matrix_product(dims, none), "product")
+    return written(mx.matrix_exclude(product, excl, dims), "kept")
 
 
 @query("j1_matrix_product", f"WITH {_WIDE} SELECT job_id, combo, dim, value FROM product")
@@ -261,13 +262,13 @@ def _(s: Source):
 @query("w8_matrix_index", f"WITH {_MERGE} SELECT job_id, combo, row_number() OVER (PARTITION BY job_id ORDER BY combo) - 1 AS job_index FROM (SELECT DISTINCT job_id, combo FROM full_)")
 def _(s: Source):
     jobs, dims, excl, incl, none = _matrix(s)
-    return mx.matrix_index(mx.expand_matrix(jobs, dims, excl, incl, none)[0])
+    return mx.matrix_index(written(mx.expand_matrix(jobs, dims, excl, incl, none)[0], "matrix"))
 
 
 @query("a10_strategy_totals", f"WITH {_MERGE} SELECT job_id, combo, row_number() OVER (PARTITION BY job_id ORDER BY combo) - 1 AS job_index, count(*) OVER (PARTITION BY job_id) AS job_total FROM (SELECT DISTINCT job_id, combo FROM full_)")
 def _(s: Source):
     jobs, dims, excl, incl, none = _matrix(s)
-    return mx.strategy_totals(mx.expand_matrix(jobs, dims, excl, incl, none)[0])
+    return mx.strategy_totals(written(mx.expand_matrix(jobs, dims, excl, incl, none)[0], "matrix"))
 
 
 _STRATEGY = """CASE p_size % 6 WHEN 0 THEN '' WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN 'many' WHEN 3 THEN 'true' WHEN 4 THEN 'F' ELSE '0' END"""

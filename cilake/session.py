@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", memory: str = "12g", name: str = "cilake") -> SparkSession:
@@ -40,3 +40,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="cilake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cilake/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back.
+
+    Used where a result feeds several later joins, so it is computed once, survives the loss of
+    executors, and carries a real size for the choice of join strategies.
+    """
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
