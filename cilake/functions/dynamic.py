@@ -61,6 +61,15 @@ class Dyn:
             F.when(kind.isin("array", "object"), F.to_json(v).isin("[]", "{}")),
         )
 
+    def struct(self) -> Column:
+        """As one struct column, to be bound once and read back with `bound`."""
+        return F.struct(self.kind.alias("kind"), self.text.alias("text"), self.num.alias("num"),
+                        self.flag.alias("flag"), self.empty.alias("empty"))
+
+    @staticmethod
+    def bound(c: Column) -> "Dyn":
+        return Dyn(c["kind"], c["text"], c["num"], c["flag"], c["empty"])
+
     @staticmethod
     def string(c: Column) -> "Dyn":
         return Dyn(_kind_or_undefined(c, "string"), c, _null(_DBL), _null(_BOOL), _null(_BOOL))
@@ -277,9 +286,17 @@ def to_json_(v: Column) -> Column:
     return F.coalesce(F.to_json(v), F.lit("null"))
 
 
+_END = "\u241ecilake-end"
+
+
 def from_json_(text: Column) -> Column:
-    """Text to VARIANT; NULL when it is not JSON."""
-    return F.try_parse_json(text)
+    """Text to VARIANT; NULL when it is not one JSON value.
+
+    Spark's parser stops after the first value; wrapping the text in an array with an end mark
+    makes trailing text fail too.
+    """
+    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    return F.when(F.try_variant_get(v, "$[1]", "string") == _END, F.try_variant_get(v, "$[0]", "variant"))
 
 
 def lower_keys(text: Column) -> Column:
@@ -293,7 +310,7 @@ def lower_keys(text: Column) -> Column:
 
 def load_dynamic(text: Column) -> Column:
     """JSON text to a VARIANT with lower-cased keys (what `path` expects)."""
-    return F.try_parse_json(lower_keys(text))
+    return from_json_(lower_keys(text))
 
 
 def _jsonpath(path: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cilake.functions import dynamic as dy
+from cilake.operators.binding import bind
 
 MAX_DEPTH = 12
 
@@ -21,13 +22,14 @@ def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_
     none = F.lit(None)
     root = F.struct(
         F.lit(0).alias("depth"), F.lit("").alias("path"), none.cast("string").alias("parent_path"),
-        none.cast("string").alias("key"), none.cast("int").alias("pos"), F.try_parse_json(doc).alias("v"),
+        none.cast("string").alias("key"), none.cast("int").alias("pos"), dy.from_json_(F.col(doc)).alias("v"),
     )
     rows = docs.select(*keep, root.alias("n")).filter(F.col("n.v").isNotNull())
     for level in range(max_depth):
         rows = rows.select(*keep, F.explode(F.when(F.col("n.depth") == level, F.concat(
             F.array("n"), _children(F.col("n"), lower))).otherwise(F.array("n"))).alias("n"))
-    kind = dy.kind_of(F.col("n.v"))
+    rows = bind(rows, _kind=dy.kind_of(F.col("n.v")))
+    kind = F.col("_kind")
     checked = F.when(
         (F.col("n.depth") == max_depth) & kind.isin("array", "object") & ~F.to_json("n.v").isin("[]", "{}"),
         F.raise_error(F.lit(f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"),
@@ -87,8 +89,9 @@ def match_rules(docs: DataFrame, rules: DataFrame, id_col: str = "id", doc: str
         F.lit(True).alias("_absent"))
     nodes = explode_paths(docs.select(id_col, doc), doc).select(id_col, "path", "kind", "value")
     met = nodes.join(conds.unionByName(anchors), "path")
-    holds = (F.col("op") == "root") | verdict(F.col("op"), dy.Dyn.leaf(F.col("kind"), F.col("value")), lit)
-    judged = met.select(id_col, "rule_id", "_absent", holds.alias("_ok"))
+    met = bind(met, _left=dy.Dyn.leaf(F.col("kind"), F.col("value")).struct())
+    holds = (F.col("op") == "root") | verdict(F.col("op"), dy.Dyn.bound(F.col("_left")), lit)
+    judged = bind(met, _ok=holds).select(id_col, "rule_id", "_absent", "_ok")
     counted = judged.groupBy(id_col, "rule_id").agg(
         F.count_if(F.col("_ok") & ~F.col("_absent")).alias("_hits"),
         F.count_if(~F.col("_ok") & F.col("_absent")).alias("_broken"),

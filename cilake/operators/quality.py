@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cilake.functions import dynamic as dy
 from cilake.operators import expressions as ex
+from cilake.operators.binding import bind
 
 BUILT_IN = ["sequence", "mapping", "number", "boolean", "string", "null"]
 SKIP = "-"
@@ -119,14 +120,15 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: in
         options = F.when(is_choice, alternatives(n)).otherwise(F.array(n))
         return F.flatten(F.transform(options, lambda o: F.concat(F.array(o), children(o))))
 
-    root = node(F.lit(0), F.lit(""), none, none, F.try_parse_json(doc), F.lit(rules.root),
+    root = node(F.lit(0), F.lit(""), none, none, dy.from_json_(F.col(doc)), F.lit(rules.root),
                 _contexts(rules, F.lit(rules.root)), F.array().cast("array<string>"), F.lit(False))
     rows = docs.select(*keep, root.cast(f"struct<{names.replace(' ', ':').replace(',:', ',')}>").alias("n")).filter(
         F.col("n.v").isNotNull())
     for level in range(max_depth + 1):
         rows = rows.select(*keep, F.explode(
             F.when(F.col("n.depth") == level, unfold(F.col("n"))).otherwise(F.array("n"))).alias("n"))
-    kind = dy.kind_of(F.col("n.v"))
+    rows = bind(rows, _kind=dy.kind_of(F.col("n.v")))
+    kind = F.col("_kind")
     too_deep = F.when(F.col("n.depth") > max_depth, F.raise_error(F.lit(
         f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"))
     return rows.select(
@@ -208,7 +210,7 @@ def check_documents(docs: DataFrame, rules: RuleSet, doc: str = "doc", *, max_de
     """Violations `(…, path, rule, message)`. A one-of node is fine when one alternative is; else the
     errors of all its alternatives are listed."""
     keep = [c for c in docs.columns if c != doc]
-    nodes = check_nodes(docs, rules, doc, max_depth).withColumn("_errors", node_errors(rules))
+    nodes = bind(check_nodes(docs, rules, doc, max_depth), _errors=node_errors(rules))
     if missing_required and rules.required:
         need = _lookup(_required(rules), F.col("def"))
         have = F.coalesce(F.map_keys(F.try_parse_json("value").try_cast("map<string,variant>")),

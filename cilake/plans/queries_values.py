@@ -20,8 +20,14 @@ def _payload(s: Source, *paths: str):
     return bind(rows, **{p.rpartition(".")[2]: dy.path(F.col("v"), p) for p in paths}) if paths else rows
 
 
+def _dyn(s: Source, *paths: str):
+    """As `_payload`, with each value taken apart once (read with `_d`)."""
+    names = [p.rpartition(".")[2] for p in paths]
+    return bind(_payload(s, *paths), **{f"d_{n}": dy.Dyn.variant(F.col(n)).struct() for n in names})
+
+
 def _d(name: str) -> dy.Dyn:
-    return dy.Dyn.variant(F.col(name))
+    return dy.Dyn.bound(F.col(f"d_{name}"))
 
 
 _FIELDS = ["event.action", "event.draft", "event.number", "event.note", "event.none", "event.list", "event.gone"]
@@ -33,20 +39,20 @@ SELECT o_orderkey AS id, o_orderstatus IN ('O', 'F') AS action, o_custkey % 2 =
   o_custkey % 3 = 0 AS none, o_custkey % 3 = 0 AS list, false AS gone {_O}""")
 def _(s: Source):
     names = [p.split(".")[1] for p in _FIELDS]
-    return _payload(s, *_FIELDS).select("id", *[dy.truthy(_d(n)).alias(n) for n in names])
+    return _dyn(s, *_FIELDS).select("id", *[dy.truthy(_d(n)).alias(n) for n in names])
 
 
 @query("p2_not", f"SELECT o_orderkey AS id, o_custkey % 2 <> 0 AS not_draft, o_custkey % 5 = 0 AS not_note, true AS not_gone {_O}")
 def _(s: Source):
     names = ["draft", "note", "gone"]
-    return _payload(s, *[f"event.{n}" for n in names]).select("id", *[dy.not_(_d(n)).alias(f"not_{n}") for n in names])
+    return _dyn(s, *[f"event.{n}" for n in names]).select("id", *[dy.not_(_d(n)).alias(f"not_{n}") for n in names])
 
 
 @query("p3_loose_eq_ne", f"""
 SELECT o_orderkey AS id, o_custkey % 5 <> 0 AS note_is_7, o_custkey % 5 = 0 AS note_is_0, o_custkey % 5 <> 0 AS note_ne_abc, o_custkey % 2 = 0 AS draft_is_1,
   o_orderkey = 500 AS number_is_500, o_orderstatus = 'O' AS action_opened, false AS action_case, true AS none_is_none, false AS event_is_event, false AS event_ne_event, false AS list_is_text {_O}""")
 def _(s: Source):
-    p = _payload(s, *_FIELDS, "event")
+    p = _dyn(s, *_FIELDS, "event")
     return p.select(
         "id", dy.loose_eq(_d("note"), 7).alias("note_is_7"), dy.loose_eq(_d("note"), 0).alias("note_is_0"),
         dy.loose_ne(_d("note"), "abc").alias("note_ne_abc"), dy.loose_eq(_d("draft"), 1).alias("draft_is_1"),
@@ -60,7 +66,7 @@ def _(s: Source):
 SELECT o_orderkey AS id, o_orderkey < 1000 AS lt, o_orderkey >= 500 AS ge, true AS note_le_7, false AS draft_lt_true, o_custkey % 2 <> 0 AS draft_gt_true,
   o_orderstatus IN ('O', 'F') AS action_gt_c, false AS action_lt_one {_O}""")
 def _(s: Source):
-    return _payload(s, *_FIELDS).select(
+    return _dyn(s, *_FIELDS).select(
         "id", dy.loose_lt(_d("number"), "1000").alias("lt"), dy.loose_ge(_d("number"), 500).alias("ge"),
         dy.loose_le(_d("note"), 7).alias("note_le_7"), dy.loose_lt(_d("draft"), True).alias("draft_lt_true"),
         dy.loose_gt(_d("draft"), True).alias("draft_gt_true"), dy.loose_gt(_d("action"), "c").alias("action_gt_c"),
@@ -157,13 +163,13 @@ def _(s: Source):
 
 
 @query("f5_format", """
-SELECT o_orderkey, concat('{', o_orderpriority, '} is {0} of ', o_orderkey, '/', o_orderpriority) AS out, CAST(NULL AS VARCHAR) AS bad_index, CAST(NULL AS VARCHAR) AS unclosed,
+SELECT o_orderkey, concat('{ ', o_orderpriority, ' } is {0} of ', o_orderkey, '/', o_orderpriority) AS out, CAST(NULL AS VARCHAR) AS bad_index, CAST(NULL AS VARCHAR) AS unclosed,
   CASE o_custkey % 3 WHEN 0 THEN concat('a', o_orderkey) WHEN 1 THEN NULL ELSE 'plain' END AS by_row FROM orders""")
 def _(s: Source):
     o = s.table("orders")
     args = [F.col("o_orderpriority"), F.col("o_orderkey").cast("string")]
     t = F.when(F.expr("o_custkey % 3 = 0"), "a{1}").when(F.expr("o_custkey % 3 = 1"), "a{x}").otherwise("plain")
-    return o.select("o_orderkey", dy.format_("{{{0}}} is {{0}} of {1}/{0}", *args).alias("out"),
+    return o.select("o_orderkey", dy.format_("{{ {0} }} is {{0}} of {1}/{0}", *args).alias("out"),
                     dy.format_("{2}", *args).alias("bad_index"), dy.format_("x {0", *args).alias("unclosed"),
                     dy.format_(t, *args).alias("by_row"))
 

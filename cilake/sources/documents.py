@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cilake.functions.dynamic import from_json_
 from cilake.operators.documents import get
 
 
@@ -46,7 +47,7 @@ def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def load_documents(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with a VARIANT `doc`, errors). Only texts that are not JSON take the Python YAML hop."""
     keep = [c for c in texts.columns if c != text]
-    parsed = texts.select(*keep, F.col(text).alias("_text"), F.try_parse_json(text).alias("doc"))
+    parsed = texts.select(*keep, F.col(text).alias("_text"), from_json_(F.col(text)).alias("doc"))
     ready = parsed.filter(F.col("doc").isNotNull()).select(*keep, "doc")
     rest = parsed.filter(F.col("doc").isNull()).select(*keep, "_text")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.select(*keep).schema)
@@ -74,7 +75,7 @@ CONTEXT_NAMES = ["github", "env", "inputs", "secrets", "vars", "runner"]
 
 def load_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contexts, errors) of rows `(…, name, json)`: empty text is skipped, bad JSON names its part."""
-    used = rows.filter(F.coalesce("json", F.lit("")) != "").withColumn("doc", F.try_parse_json("json"))
+    used = rows.filter(F.coalesce("json", F.lit("")) != "").withColumn("doc", from_json_(F.col("json")))
     bad = F.when(~F.col("name").isin(CONTEXT_NAMES), F.concat(F.lit("unknown context "), "name")).when(
         F.col("doc").isNull(), F.concat(F.lit("invalid JSON in "), "name"))
     used = used.withColumn("error", bad).drop("json")
