@@ -7,11 +7,14 @@ the kind is a constant, so Catalyst folds the branches away and a plain comparis
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cilake.operators.binding import bind
+
 # Text that counts as a number (no blanks, no type suffix), and infinities.
 NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_RE = r"^[+-]?(inf|infinity)$"
@@ -26,34 +29,52 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+# Kinds by the head of a VARIANT's type name; every other type is a number.
+_KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+
+
 def kind_of(v: Column) -> Column:
     """Kind of a VARIANT: undefined (SQL NULL), null, boolean, number, string, array, object."""
-    shape = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), "undefined")
-        .when(shape == "VOID", "null")
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
+    table = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    head = F.substring_index(F.schema_of_variant(v), "<", 1)
+    return F.when(v.isNull(), "undefined").otherwise(F.coalesce(F.try_element_at(table, head), F.lit("number")))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, inside an expression."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 @dataclass(frozen=True)
 class Dyn:
-    """One dynamic value as native columns; `empty` tells an empty array or object."""
+    """One dynamic value as native columns.
+
+    `coerced` is the value as a number (NULL when it has none), `empty` tells an empty array or
+    object, and `known` is the kind where Python already knows it (literals).
+    """
 
     kind: Column
     text: Column
     num: Column
     flag: Column
     empty: Column
+    coerced: Column
+    known: str | None = None
+
+    @staticmethod
+    def _of_parts(kind: Column, text: Column, num: Column, flag: Column, empty: Column) -> "Dyn":
+        coerced = (
+            F.when(kind == "number", num)
+            .when(kind == "string", coerce_number(text))
+            .when(kind == "boolean", F.when(flag, 1.0).otherwise(0.0))
+            .when(kind.isin("null", "undefined"), F.lit(0.0))
+        )
+        return Dyn(kind, text, num, flag, empty, coerced)
 
     @staticmethod
-    def variant(v: Column) -> "Dyn":
-        kind = kind_of(v)
-        return Dyn(
+    def variant(v: Column, kind: Column | None = None) -> "Dyn":
+        kind = kind_of(v) if kind is None else kind
+        return Dyn._of_parts(
             kind,
             F.when(kind == "string", F.try_variant_get(v, "$", _STR)),
             F.when(kind == "number", F.try_variant_get(v, "$", _DBL)),
@@ -61,50 +82,61 @@ class Dyn:
             F.when(kind.isin("array", "object"), F.to_json(v).isin("[]", "{}")),
         )
 
+    @staticmethod
+    def leaf(kind: Column, text: Column) -> "Dyn":
+        """From an exploded document row: its kind and its scalar as text (see `explode_paths`)."""
+        return Dyn._of_parts(
+            kind,
+            F.when(kind == "string", text),
+            F.when(kind == "number", text.try_cast(_DBL)),
+            F.when(kind == "boolean", text == "true"),
+            F.when(kind.isin("array", "object"), text.isin("[]", "{}")),
+        )
+
     def struct(self) -> Column:
         """As one struct column, to be bound once and read back with `bound`."""
         return F.struct(self.kind.alias("kind"), self.text.alias("text"), self.num.alias("num"),
-                        self.flag.alias("flag"), self.empty.alias("empty"))
+                        self.flag.alias("flag"), self.empty.alias("empty"), self.coerced.alias("coerced"))
 
     @staticmethod
     def bound(c: Column) -> "Dyn":
-        return Dyn(c["kind"], c["text"], c["num"], c["flag"], c["empty"])
+        return Dyn(c["kind"], c["text"], c["num"], c["flag"], c["empty"], c["coerced"])
 
     @staticmethod
     def string(c: Column) -> "Dyn":
-        return Dyn(_kind_or_undefined(c, "string"), c, _null(_DBL), _null(_BOOL), _null(_BOOL))
+        return Dyn(_kind_or_undefined(c, "string"), c, _null(_DBL), _null(_BOOL), _null(_BOOL),
+                   F.when(c.isNull(), F.lit(0.0)).otherwise(coerce_number(c)))
 
     @staticmethod
     def number(c: Column) -> "Dyn":
-        return Dyn(_kind_or_undefined(c, "number"), _null(_STR), c.cast(_DBL), _null(_BOOL), _null(_BOOL))
+        return Dyn(_kind_or_undefined(c, "number"), _null(_STR), c.cast(_DBL), _null(_BOOL), _null(_BOOL),
+                   F.coalesce(c.cast(_DBL), F.lit(0.0)))
 
     @staticmethod
     def boolean(c: Column) -> "Dyn":
-        return Dyn(_kind_or_undefined(c, "boolean"), _null(_STR), _null(_DBL), c, _null(_BOOL))
-
-    @staticmethod
-    def leaf(kind: Column, text: Column) -> "Dyn":
-        """From an exploded document row: its kind and its scalar as text (see `explode_paths`)."""
-        return Dyn(
-            kind,
-            F.when(kind == "string", text),
-            F.when(kind == "number", text.try_cast(_DBL)),
-            F.when(kind == "boolean", text == "true"),
-            F.when(kind.isin("array", "object"), text.isin("[]", "{}")),
-        )
+        return Dyn(_kind_or_undefined(c, "boolean"), _null(_STR), _null(_DBL), c, _null(_BOOL),
+                   F.when(c, 1.0).otherwise(0.0))
 
     @staticmethod
     def of(x) -> "Dyn":
         """A Python literal, or a Dyn as it is."""
         if isinstance(x, Dyn):
             return x
+        text, num, flag, empty = _null(_STR), _null(_DBL), _null(_BOOL), _null(_BOOL)
         if x is None:
-            return Dyn(F.lit("null"), _null(_STR), _null(_DBL), _null(_BOOL), _null(_BOOL))
+            return Dyn(F.lit("null"), text, num, flag, empty, F.lit(0.0), "null")
         if isinstance(x, bool):
-            return Dyn.boolean(F.lit(x))
+            return Dyn(F.lit("boolean"), text, num, F.lit(x), empty, F.lit(float(x)), "boolean")
         if isinstance(x, (int, float)):
-            return Dyn.number(F.lit(float(x)))
-        return Dyn.string(F.lit(str(x)))
+            return Dyn(F.lit("number"), text, F.lit(float(x)), flag, empty, F.lit(float(x)), "number")
+        return Dyn(F.lit("string"), F.lit(str(x)), num, flag, empty, coerce_number(F.lit(str(x))), "string")
+
+
+def bind_values(df: DataFrame, **values: Column) -> DataFrame:
+    """Bind VARIANT columns as dynamic values (read back with `Dyn.bound`), each taken apart once."""
+    kinds = bind(df, **{f"_k_{n}": kind_of(v) for n, v in values.items()})
+    out = bind(kinds, **{n: Dyn.variant(v, F.col(f"_k_{n}")).struct() for n, v in values.items()})
+    return out.drop(*[f"_k_{n}" for n in values])
 
 
 def _kind_or_undefined(c: Column, kind: str) -> Column:
@@ -123,6 +155,10 @@ def truthy(x) -> Column:
     )
 
 
+def variant_truthy(v: Column) -> Column:
+    return let(kind_of(v), lambda k: truthy(Dyn.variant(v, k)))
+
+
 def not_(x) -> Column:
     return ~truthy(x)
 
@@ -139,13 +175,7 @@ def coerce_number(text: Column) -> Column:
 
 def number_of(x) -> Column:
     """Coercion of any kind to a number; NULL for arrays, objects and unparsable text."""
-    d = Dyn.of(x)
-    return (
-        F.when(d.kind == "number", d.num)
-        .when(d.kind == "string", coerce_number(d.text))
-        .when(d.kind == "boolean", F.when(d.flag, 1.0).otherwise(0.0))
-        .when(d.kind.isin("null", "undefined"), F.lit(0.0))
-    )
+    return Dyn.of(x).coerced
 
 
 def _sign(a: Column, b: Column) -> Column:
@@ -159,15 +189,20 @@ def compare(x, y) -> Column:
     arrays and objects are equal only when both are empty; mixed kinds compare as numbers.
     """
     a, b = Dyn.of(x), Dyn.of(y)
-    na, nb = number_of(a), number_of(b)
-    same_kind = (
-        F.when(a.kind == "string", _sign(a.text, b.text))
-        .when(a.kind.isin("null", "undefined"), F.lit(0))
-        .when(a.kind == "boolean", F.when(a.flag == b.flag, 0).otherwise(1))
-        .when(a.kind == "number", _sign(a.num, b.num))
-        .otherwise(F.when(a.empty & b.empty, 0))
-    )
-    return F.when(a.kind == b.kind, same_kind).when(na.isNotNull() & nb.isNotNull(), _sign(na, nb))
+    mixed = F.when(a.coerced.isNotNull() & b.coerced.isNotNull(), _sign(a.coerced, b.coerced))
+    alike = {
+        "string": lambda: _sign(a.text, b.text),
+        "boolean": lambda: F.when(a.flag == b.flag, 0).otherwise(1),
+        "array": lambda: F.when(a.empty & b.empty, 0),
+        "object": lambda: F.when(a.empty & b.empty, 0),
+    }
+    known = a.known or b.known
+    if known:  # numbers, null and undefined compare by their coerced value whatever the other kind
+        return F.when(a.kind == b.kind, alike[known]()).otherwise(mixed) if known in alike else mixed
+    same = F.when(a.kind != b.kind, mixed)
+    for kind, outcome in alike.items():
+        same = same.when(a.kind == kind, outcome())
+    return same.otherwise(mixed)
 
 
 def loose_eq(x, y) -> Column:
@@ -197,12 +232,12 @@ def loose_ge(x, y) -> Column:
 
 def and_(v: Column, w: Column) -> Column:
     """`v && w` on VARIANT columns: the first operand when falsy, else the second."""
-    return F.when(~truthy(Dyn.variant(v)), v).otherwise(w)
+    return F.when(variant_truthy(v), w).otherwise(v)
 
 
 def or_(v: Column, w: Column) -> Column:
     """`v || w` on VARIANT columns: the first operand when truthy, else the second."""
-    return F.when(truthy(Dyn.variant(v)), v).otherwise(w)
+    return F.when(variant_truthy(v), v).otherwise(w)
 
 
 def float_text(f: Column) -> Column:
@@ -234,6 +269,13 @@ def str_(x) -> Column:
     )
 
 
+def variant_text(v: Column) -> Column:
+    """`str_` of a VARIANT inside an expression (array elements), its kind read once."""
+    return let(kind_of(v), lambda k: F.when(k.isin("null", "undefined"), "").when(
+        k.isin("string", "boolean"), F.try_variant_get(v, "$", _STR)).when(
+        k == "number", let(F.try_variant_get(v, "$", _DBL), float_text)))
+
+
 def contains_(s, x) -> Column:
     """Case-insensitive substring; NULL when an operand has no text."""
     return F.contains(F.lower(str_(s)), F.lower(str_(x)))
@@ -242,7 +284,7 @@ def contains_(s, x) -> Column:
 def array_contains_(items: Column, x) -> Column:
     """Element test on an ARRAY<VARIANT>: equal as text, ignoring case."""
     want = F.lower(str_(x))
-    hit = F.exists(items, lambda e: F.coalesce(F.lower(str_(Dyn.variant(e))) == want, F.lit(False)))
+    hit = F.exists(items, lambda e: F.coalesce(F.lower(variant_text(e)) == want, F.lit(False)))
     return F.coalesce(hit, F.lit(False))
 
 
@@ -256,9 +298,9 @@ def ends_with(s, x) -> Column:
 
 def join_(v: Column, sep: str = ",") -> Column:
     """Array elements as one text; a scalar is cast; NULL when an element has no text."""
-    parts = F.transform(v.try_cast("array<variant>"), lambda e: str_(Dyn.variant(e)))
+    parts = F.transform(v.try_cast("array<variant>"), variant_text)
     joined = F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, sep))
-    return F.when(kind_of(v) == "array", joined).otherwise(str_(Dyn.variant(v)))
+    return F.when(kind_of(v) == "array", joined).otherwise(variant_text(v))
 
 
 def format_(template: str | Column, *args: Column) -> Column:
@@ -359,12 +401,11 @@ def parse_bool(c: Column) -> Column:
 
 def string_slice(v: Column) -> Column:
     """A scalar as a one-element list, a list as it is, anything else empty."""
-    kind = kind_of(v)
-    return (
+    return let(kind_of(v), lambda kind: (
         F.when(kind == "array", v.try_cast("array<string>"))
         .when(kind.isin("string", "number", "boolean"), F.array(F.try_variant_get(v, "$", "string")))
         .otherwise(F.array().cast("array<string>"))
-    )
+    ))
 
 
 def fail_fast(c: Column) -> Column:

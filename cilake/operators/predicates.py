@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cilake.functions import dynamic as dy
 from cilake.operators.binding import bind
 
-MAX_DEPTH = 12
+MAX_DEPTH = 8
 
 
 def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -25,9 +25,9 @@ def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_
         none.cast("string").alias("key"), none.cast("int").alias("pos"), dy.from_json_(F.col(doc)).alias("v"),
     )
     rows = docs.select(*keep, root.alias("n")).filter(F.col("n.v").isNotNull())
+    grown, single = F.concat(F.array("n"), _children(F.col("n"), lower)), F.array("n")
     for level in range(max_depth):
-        rows = rows.select(*keep, F.explode(F.when(F.col("n.depth") == level, F.concat(
-            F.array("n"), _children(F.col("n"), lower))).otherwise(F.array("n"))).alias("n"))
+        rows = rows.select(*keep, F.explode(F.when(F.col("n.depth") == level, grown).otherwise(single)).alias("n"))
     rows = bind(rows, _kind=dy.kind_of(F.col("n.v")))
     kind = F.col("_kind")
     checked = F.when(
@@ -81,7 +81,9 @@ def match_rules(docs: DataFrame, rules: DataFrame, id_col: str = "id", doc: str
     """
     lit = dy.Dyn.string(F.col("literal"))
     conds = rules.select("rule_id", F.lower("path").alias("path"), "op", "literal").distinct()
-    conds = conds.withColumn("_absent", verdict(F.col("op"), dy.Dyn.string(F.lit(None).cast("string")), lit))
+    gone = dy.Dyn(F.lit("undefined"), *[F.lit(None).cast(t) for t in ("string", "double", "boolean", "boolean")],
+                  F.lit(0.0), "undefined")
+    conds = conds.withColumn("_absent", verdict(F.col("op"), gone, lit))
     need = conds.groupBy("rule_id").agg(F.count_if(~F.col("_absent")).alias("_need"))
     # a rule that undefined values alone satisfy needs a node every document has: its root
     anchors = need.filter("_need = 0").select(

@@ -124,9 +124,9 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: in
                 _contexts(rules, F.lit(rules.root)), F.array().cast("array<string>"), F.lit(False))
     rows = docs.select(*keep, root.cast(f"struct<{names.replace(' ', ':').replace(',:', ',')}>").alias("n")).filter(
         F.col("n.v").isNotNull())
+    grown, single = unfold(F.col("n")), F.array("n")
     for level in range(max_depth + 1):
-        rows = rows.select(*keep, F.explode(
-            F.when(F.col("n.depth") == level, unfold(F.col("n"))).otherwise(F.array("n"))).alias("n"))
+        rows = rows.select(*keep, F.explode(F.when(F.col("n.depth") == level, grown).otherwise(single)).alias("n"))
     rows = bind(rows, _kind=dy.kind_of(F.col("n.v")))
     kind = F.col("_kind")
     too_deep = F.when(F.col("n.depth") > max_depth, F.raise_error(F.lit(

@@ -23,7 +23,7 @@ def _payload(s: Source, *paths: str):
 def _dyn(s: Source, *paths: str):
     """As `_payload`, with each value taken apart once (read with `_d`)."""
     names = [p.rpartition(".")[2] for p in paths]
-    return bind(_payload(s, *paths), **{f"d_{n}": dy.Dyn.variant(F.col(n)).struct() for n in names})
+    return dy.bind_values(_payload(s, *paths), **{f"d_{n}": F.col(n) for n in names})
 
 
 def _d(name: str) -> dy.Dyn:
