@@ -337,8 +337,9 @@ def from_json_(text: Column) -> Column:
     Spark's parser stops after the first value; wrapping the text in an array with an end mark
     makes trailing text fail too.
     """
-    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    return F.when(F.try_variant_get(v, "$[1]", "string") == _END, F.try_variant_get(v, "$[0]", "variant"))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    return let(wrapped, lambda v: F.when(
+        F.try_variant_get(v, "$[1]", "string") == _END, F.try_variant_get(v, "$[0]", "variant")))
 
 
 def lower_keys(text: Column) -> Column:
@@ -347,7 +348,8 @@ def lower_keys(text: Column) -> Column:
     In JSON a quoted text followed by a colon is always a key, so one tokenising pass is enough.
     """
     tokens = F.regexp_extract_all(text, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"\s*:?|[^"]+'), F.lit(0))
-    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r'(?s)^".*:$'), F.lower(t)).otherwise(t)), "")
+    return F.array_join(F.transform(tokens, lambda t: F.when(
+        t.startswith('"') & t.endswith(":"), F.lower(t)).otherwise(t)), "")
 
 
 def load_dynamic(text: Column) -> Column:

@@ -15,7 +15,7 @@ def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_
     """JSON text to one row per node: `(…, depth, path, parent_path, key, pos, kind, value)`.
 
     The root has path ''. `value` is the scalar as text (JSON for arrays and objects). One narrow
-    pass: each level unfolds the nodes the level before produced. A document nested deeper than
+    pass, a native fold inside each document's row. A document nested deeper than
     `max_depth` fails the job instead of losing nodes.
     """
     keep = [c for c in docs.columns if c != doc]
@@ -24,20 +24,29 @@ def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_
         F.lit(0).alias("depth"), F.lit("").alias("path"), none.cast("string").alias("parent_path"),
         none.cast("string").alias("key"), none.cast("int").alias("pos"), dy.from_json_(F.col(doc)).alias("v"),
     )
-    rows = docs.select(*keep, root.alias("n")).filter(F.col("n.v").isNotNull())
-    grown, single = F.concat(F.array("n"), _children(F.col("n"), lower)), F.array("n")
-    for level in range(max_depth):
-        rows = rows.select(*keep, F.explode(F.when(F.col("n.depth") == level, grown).otherwise(single)).alias("n"))
-    rows = bind(rows, _kind=dy.kind_of(F.col("n.v")))
-    kind = F.col("_kind")
-    checked = F.when(
-        (F.col("n.depth") == max_depth) & kind.isin("array", "object") & ~F.to_json("n.v").isin("[]", "{}"),
-        F.raise_error(F.lit(f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"),
-    ).otherwise(kind)
-    return rows.select(
-        *keep, "n.depth", "n.path", "n.parent_path", "n.key", "n.pos", checked.alias("kind"),
-        F.coalesce(F.try_variant_get("n.v", "$", "string"), F.to_json("n.v")).alias("value"),
-    )
+    def leaf(n: Column) -> Column:
+        kind = dy.kind_of(n["v"])
+        text = F.coalesce(F.try_variant_get(n["v"], "$", "string"), F.to_json(n["v"]))
+        deep = F.when((n["depth"] == max_depth) & (F.size(_children(n, lower)) > 0), F.raise_error(F.lit(
+            f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"))
+        return F.struct(*[n[c].alias(c) for c in ("depth", "path", "parent_path", "key", "pos")],
+                        F.coalesce(deep, kind).alias("kind"), text.alias("value"))
+
+    rows = docs.select(*keep, F.array(root).alias("_start")).filter(F.col("_start")[0]["v"].isNotNull())
+    nodes = unfold_levels(F.col("_start"), max_depth, lambda n: F.concat(F.array(n), _children(n, lower)), leaf)
+    return rows.select(*keep, F.inline(nodes))
+
+
+def unfold_levels(start: Column, levels: int, grow, finish) -> Column:
+    """Unfold a tree inside one row: level by level, each node of that level is replaced by `grow(node)`.
+
+    Nodes are structs with a `depth`; the fold keeps them in memory of the row they come from, so
+    nothing is copied between operators until `finish(node)` gives the rows to emit.
+    """
+    def step(acc: Column, level: Column) -> Column:
+        return F.flatten(F.transform(acc, lambda n: F.when(n["depth"] == level, grow(n)).otherwise(F.array(n))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda acc: F.transform(acc, finish))
 
 
 def _children(n: Column, lower: bool) -> Column:

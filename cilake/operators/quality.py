@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cilake.functions import dynamic as dy
 from cilake.operators import expressions as ex
 from cilake.operators.binding import bind
+from cilake.operators.predicates import unfold_levels
 
 BUILT_IN = ["sequence", "mapping", "number", "boolean", "string", "null"]
 SKIP = "-"
@@ -122,20 +123,17 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: in
 
     root = node(F.lit(0), F.lit(""), none, none, dy.from_json_(F.col(doc)), F.lit(rules.root),
                 _contexts(rules, F.lit(rules.root)), F.array().cast("array<string>"), F.lit(False))
-    rows = docs.select(*keep, root.cast(f"struct<{names.replace(' ', ':').replace(',:', ',')}>").alias("n")).filter(
-        F.col("n.v").isNotNull())
-    grown, single = unfold(F.col("n")), F.array("n")
-    for level in range(max_depth + 1):
-        rows = rows.select(*keep, F.explode(F.when(F.col("n.depth") == level, grown).otherwise(single)).alias("n"))
-    rows = bind(rows, _kind=dy.kind_of(F.col("n.v")))
-    kind = F.col("_kind")
-    too_deep = F.when(F.col("n.depth") > max_depth, F.raise_error(F.lit(
-        f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"))
-    return rows.select(
-        *keep, "n.depth", "n.path", "n.key", F.coalesce(too_deep, kind).alias("kind"),
-        F.coalesce(F.try_variant_get("n.v", "$", "string"), F.to_json("n.v")).alias("value"),
-        F.col("n.parent").alias("parent"), F.col("n.def").alias("def"), F.col("n.ctx").alias("ctx"),
-        F.col("n.choices").alias("choices"), F.col("n.alternative").alias("alternative"))
+    def leaf(n):
+        too_deep = F.when(n["depth"] > max_depth, F.raise_error(F.lit(
+            f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"))
+        text = F.coalesce(F.try_variant_get(n["v"], "$", "string"), F.to_json(n["v"]))
+        return F.struct(*[n[c].alias(c) for c in ("depth", "path", "key")],
+                        F.coalesce(too_deep, dy.kind_of(n["v"])).alias("kind"), text.alias("value"),
+                        *[n[c].alias(c) for c in ("parent", "def", "ctx", "choices", "alternative")])
+
+    typed = root.cast(f"struct<{names.replace(' ', ':').replace(',:', ',')}>")
+    rows = docs.select(*keep, F.array(typed).alias("_start")).filter(F.col("_start")[0]["v"].isNotNull())
+    return rows.select(*keep, F.inline(unfold_levels(F.col("_start"), max_depth + 1, unfold, leaf)))
 
 
 def expression_errors(text: Column, ctx: Column) -> Column:
