@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cilake.plans import adapters
+from cilake.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# shapes whose rows are documents or lines to be parsed
+PARSED = {"LOG", "PAYLOAD", "DOC", "ACTION", "EXPR", "CHUNK"}
+
 
 class Source:
     """The driver tables of one folder, and the shapes derived from them."""
@@ -23,15 +27,16 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, parsing: bool = False) -> DataFrame:
         words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
         for name in TABLES:
             if name in words:
-                self.table(name).createOrReplaceTempView(name)
+                df = self.table(name)
+                (spread(df) if parsing else df).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def ad(self, name: str) -> DataFrame:
-        return self.sql(adapters.SPARK.get(name) or adapters.SHAPES[name])
+        return self.sql(adapters.SPARK.get(name) or adapters.SHAPES[name], parsing=name in PARSED)
 
     def stream(self, name: str, files_per_trigger: int = 64) -> DataFrame:
         """A driver table as a file stream."""

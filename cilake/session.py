@@ -42,6 +42,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/cilake/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan of few, small files over all cores before row-wise parsing.
+
+    A scan that already has a partition per core (any large table) is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 
