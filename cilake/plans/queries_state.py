@@ -414,5 +414,5 @@ def _(s: Source):
 SELECT doc_id, CASE WHEN source = 'src1' THEN '/ws' WHEN source <> 'src2' THEN concat('/ws/', lang, '/', source) END AS folder, CASE WHEN source = 'src2' THEN 'absolute path' END AS error FROM documents""")
 def _(s: Source):
     wd = F.when(F.col("source") == "src1", "").when(F.col("source") == "src2", "/tmp").otherwise(F.concat_ws("/", "lang", "source"))
-    folder, error = tx.safe_workdir(wd, F.lit("/ws/"))
+    folder, error = tx.safe_workdir(wd, F.lit("/ws"))
     return s.table("documents").select("doc_id", folder.alias("folder"), error.alias("error"))
