@@ -11,26 +11,29 @@ from cilake.operators.binding import bind
 MAX_DEPTH = 8
 
 
-def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_depth: int = MAX_DEPTH) -> DataFrame:
+def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_depth: int = MAX_DEPTH,
+                  container_json: bool = True) -> DataFrame:
     """JSON text to one row per node: `(…, depth, path, parent_path, key, pos, kind, value)`.
 
-    The root has path ''. `value` is the scalar as text (JSON for arrays and objects). One narrow
+    The root has path ''. `value` is the scalar as text (for arrays and objects
+    their JSON, or NULL without `container_json`). One narrow
     pass, a native fold inside each document's row. A document nested deeper than
     `max_depth` fails the job instead of losing nodes.
     """
     keep = [c for c in docs.columns if c != doc]
     none = F.lit(None)
-    root = F.struct(
+    root = dy.let(dy.from_json_(F.col(doc)), lambda v: dy.let(dy.kind_of(v), lambda k: F.struct(
         F.lit(0).alias("depth"), F.lit("").alias("path"), none.cast("string").alias("parent_path"),
-        none.cast("string").alias("key"), none.cast("int").alias("pos"), dy.from_json_(F.col(doc)).alias("v"),
-    )
+        none.cast("string").alias("key"), none.cast("int").alias("pos"), v.alias("v"), k.alias("kind"),
+    )))
     def leaf(n: Column) -> Column:
-        kind = dy.kind_of(n["v"])
-        text = F.coalesce(F.try_variant_get(n["v"], "$", "string"), F.to_json(n["v"]))
+        scalar = F.when(n["kind"] == "null", "null").when(
+            ~n["kind"].isin("array", "object"), F.try_variant_get(n["v"], "$", "string"))
+        text = F.coalesce(scalar, F.to_json(n["v"])) if container_json else scalar
         deep = F.when((n["depth"] == max_depth) & (F.size(_children(n, lower)) > 0), F.raise_error(F.lit(
             f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"))
         return F.struct(*[n[c].alias(c) for c in ("depth", "path", "parent_path", "key", "pos")],
-                        F.coalesce(deep, kind).alias("kind"), text.alias("value"))
+                        F.coalesce(deep, n["kind"]).alias("kind"), text.alias("value"))
 
     rows = docs.select(*keep, F.array(root).alias("_start")).filter(F.col("_start")[0]["v"].isNotNull())
     nodes = unfold_levels(F.col("_start"), max_depth, lambda n: F.concat(F.array(n), _children(n, lower)), leaf)
@@ -51,14 +54,15 @@ def unfold_levels(start: Column, levels: int, grow, finish) -> Column:
 
 def _children(n: Column, lower: bool) -> Column:
     def child(key, pos, v, path):
-        return F.struct((n["depth"] + 1).alias("depth"), path.alias("path"), n["path"].alias("parent_path"),
-                        key.alias("key"), pos.alias("pos"), v.alias("v"))
+        return dy.let(dy.kind_of(v), lambda k: F.struct(
+            (n["depth"] + 1).alias("depth"), path.alias("path"), n["path"].alias("parent_path"), key.alias("key"),
+            pos.alias("pos"), v.alias("v"), k.alias("kind")))
 
     none = F.lit(None).cast("string")
     name = (lambda k: F.lower(k)) if lower else (lambda k: k)
-    items = F.transform(n["v"].try_cast("array<variant>"), lambda v, i: child(
+    items = F.transform(F.when(n["kind"] == "array", n["v"].try_cast("array<variant>")), lambda v, i: child(
         none, i, v, F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]"))))
-    fields = F.transform(F.map_entries(n["v"].try_cast("map<string,variant>")), lambda e: child(
+    fields = F.transform(F.map_entries(F.when(n["kind"] == "object", n["v"].try_cast("map<string,variant>"))), lambda e: child(
         name(e["key"]), F.lit(None).cast("int"), e["value"],
         F.when(n["path"] == "", name(e["key"])).otherwise(F.concat(n["path"], F.lit("."), name(e["key"])))))
     return F.coalesce(items, fields, F.filter(F.array(n), lambda x: F.lit(False)))
@@ -66,7 +70,7 @@ def _children(n: Column, lower: bool) -> Column:
 
 def lowered_leaves(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Scalars of each document by lower-cased path."""
-    return explode_paths(docs, doc).filter(~F.col("kind").isin("array", "object")).select(
+    return explode_paths(docs, doc, container_json=False).filter(~F.col("kind").isin("array", "object")).select(
         *[c for c in docs.columns if c != doc], "path", "kind", "value")
 
 
@@ -98,7 +102,7 @@ def match_rules(docs: DataFrame, rules: DataFrame, id_col: str = "id", doc: str
     anchors = need.filter("_need = 0").select(
         "rule_id", F.lit("").alias("path"), F.lit("root").alias("op"), F.lit("").alias("literal"),
         F.lit(True).alias("_absent"))
-    nodes = explode_paths(docs.select(id_col, doc), doc).select(id_col, "path", "kind", "value")
+    nodes = explode_paths(docs.select(id_col, doc), doc, container_json=False).select(id_col, "path", "kind", "value")
     met = nodes.join(conds.unionByName(anchors), "path")
     met = bind(met, _left=dy.Dyn.leaf(F.col("kind"), F.col("value")).struct())
     holds = (F.col("op") == "root") | verdict(F.col("op"), dy.Dyn.bound(F.col("_left")), lit)

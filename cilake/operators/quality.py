@@ -64,26 +64,32 @@ def _contexts(rules: RuleSet, name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), F.array().cast("array<string>"))
 
 
-def _has_expr(v: Column) -> Column:
-    return F.coalesce(F.contains(F.try_variant_get(v, "$", "string"), F.lit(ex.OPEN)), F.lit(False)) & (
-        dy.kind_of(v) == "string")
+def _has_expr(n: Column) -> Column:
+    return F.coalesce((n["kind"] == "string") & F.contains(n["text"], F.lit(ex.OPEN)), F.lit(False))
 
 
-def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: int = MAX_DEPTH) -> DataFrame:
+def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: int = MAX_DEPTH,
+                container_json: bool = False) -> DataFrame:
     """Every node with the definition it is checked against: one row per node and one-of choice.
 
     `(…, depth, path, key, kind, value, parent, def, ctx, choices)`; `ctx` are the contexts allowed
-    there, `choices` the (node, alternative) pairs on the way.
+    there, `choices` the (node, alternative) pairs on the way; `value` of a list or map is NULL
+    unless `container_json`.
     """
     keep = [c for c in docs.columns if c != doc]
     none = F.lit(None).cast("string")
     names = "depth int, path string, key string, parent string, v variant, def string, ctx array<string>, " \
-            "choices array<string>, alternative boolean"
+            "choices array<string>, alternative boolean, kind string, text string"
     fields = [f.split()[0] for f in names.split(", ")]
 
-    def node(depth, path, key, parent, v, name, ctx, choices, alternative):
-        return F.struct(*[c.alias(n) for n, c in zip(fields, (depth, path, key, parent, v, name, ctx, choices,
-                                                               alternative))])
+    def node(depth, path, key, parent, v, name, ctx, choices, alternative, kind=None, text=None):
+        """A node with its kind and scalar text, read once here."""
+        def build(k):
+            scalar = F.when(k == "null", "null").when(~k.isin("array", "object"), F.try_variant_get(v, "$", "string"))
+            cells = (depth, path, key, parent, v, name, ctx, choices, alternative, k, scalar if text is None else text)
+            return F.struct(*[c.alias(n) for n, c in zip(fields, cells)])
+
+        return dy.let(dy.kind_of(v), build) if kind is None else build(kind)
 
     def child(n, path, key, v, name):
         return node(n["depth"] + 1, path, key, n["def"], v, name, F.concat(n["ctx"], _contexts(rules, name)),
@@ -92,7 +98,7 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: in
     def children(n):
         d = n["def"]
         is_any = d == "any"
-        items = F.transform(n["v"].try_cast("array<variant>"), lambda v, i: child(
+        items = F.transform(F.when(n["kind"] == "array", n["v"].try_cast("array<variant>")), lambda v, i: child(
             n, F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), none, v,
             F.when(is_any | (d == "sequence"), "any").otherwise(_lookup(rules.items, d))))
 
@@ -101,7 +107,7 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: in
             return (F.when(F.contains(k, F.lit(ex.OPEN)), SKIP).when(is_any | (d == "mapping"), "any")
                     .otherwise(F.coalesce(own, _lookup(rules.loose, d))))
 
-        keys = F.transform(F.map_entries(n["v"].try_cast("map<string,variant>")), lambda e: child(
+        keys = F.transform(F.map_entries(F.when(n["kind"] == "object", n["v"].try_cast("map<string,variant>"))), lambda e: child(
             n, F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])),
             e["key"], e["value"], key_type(e["key"])))
         nothing = F.filter(F.array(n), lambda x: F.lit(False))
@@ -114,10 +120,10 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: in
             F.array().cast("array<string>")) if rules.one_of else F.array().cast("array<string>")
         return F.transform(names, lambda a: node(
             n["depth"], n["path"], n["key"], n["parent"], n["v"], a, F.concat(n["ctx"], _contexts(rules, a)),
-            F.concat(n["choices"], F.array(F.concat(n["path"], F.lit("\u0001"), a))), F.lit(True)))
+            F.concat(n["choices"], F.array(F.concat(n["path"], F.lit("\u0001"), a))), F.lit(True), n["kind"], n["text"]))
 
     def unfold(n):
-        is_choice = n["def"].isin(list(rules.one_of) or [""]) & ~_has_expr(n["v"])
+        is_choice = n["def"].isin(list(rules.one_of) or [""]) & ~_has_expr(n)
         options = F.when(is_choice, alternatives(n)).otherwise(F.array(n))
         return F.flatten(F.transform(options, lambda o: F.concat(F.array(o), children(o))))
 
@@ -126,9 +132,9 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: in
     def leaf(n):
         too_deep = F.when(n["depth"] > max_depth, F.raise_error(F.lit(
             f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"))
-        text = F.coalesce(F.try_variant_get(n["v"], "$", "string"), F.to_json(n["v"]))
+        value = F.coalesce(n["text"], F.to_json(n["v"])) if container_json else n["text"]
         return F.struct(*[n[c].alias(c) for c in ("depth", "path", "key")],
-                        F.coalesce(too_deep, dy.kind_of(n["v"])).alias("kind"), text.alias("value"),
+                        F.coalesce(too_deep, n["kind"]).alias("kind"), value.alias("value"),
                         *[n[c].alias(c) for c in ("parent", "def", "ctx", "choices", "alternative")])
 
     typed = root.cast(f"struct<{names.replace(' ', ':').replace(',:', ',')}>")
@@ -208,7 +214,7 @@ def check_documents(docs: DataFrame, rules: RuleSet, doc: str = "doc", *, max_de
     """Violations `(…, path, rule, message)`. A one-of node is fine when one alternative is; else the
     errors of all its alternatives are listed."""
     keep = [c for c in docs.columns if c != doc]
-    nodes = bind(check_nodes(docs, rules, doc, max_depth), _errors=node_errors(rules))
+    nodes = bind(check_nodes(docs, rules, doc, max_depth, missing_required), _errors=node_errors(rules))
     if missing_required and rules.required:
         need = _lookup(_required(rules), F.col("def"))
         have = F.coalesce(F.map_keys(F.try_parse_json("value").try_cast("map<string,variant>")),
