@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +92,14 @@ class PairTable:
         return out
 
 
-def merge_rows(table: PairTable, pieces: list[bytes]) -> list[np.ndarray]:
-    """Token ids of pieces of like length, all rows of one padded matrix at a time."""
+def gather(flat: np.ndarray, start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs flat[start[k] : start[k] + counts[k]], one after another."""
+    ends = np.cumsum(counts)
+    return flat[np.repeat(start - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def merge_rows(table: PairTable, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces one after another, count of each); pieces of like length, a row of one padded matrix each."""
     lengths = np.array([len(p) for p in pieces])
     width = int(lengths.max())
     column = np.arange(width)
@@ -100,13 +108,13 @@ def merge_rows(table: PairTable, pieces: list[bytes]) -> list[np.ndarray]:
     ranks = table.get(ids[:, :-1], ids[:, 1:]) if width > 1 else np.zeros((len(pieces), 0), np.int32)
     ranks[column[1:] >= lengths[:, None]] = _NONE
     row = np.arange(len(pieces))
-    out: list = [None] * len(pieces)
+    ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, their counts, their ids
     while len(row):
         at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(row), np.int64)
         best = ranks[np.arange(len(row)), at] if ranks.shape[1] else np.full(len(row), _NONE)
         done = best == _NONE
-        for k in np.nonzero(done)[0]:
-            out[row[k]] = ids[k, : lengths[k]].copy()
+        if done.any():
+            ended.append((row[done], lengths[done], ids[done][column < lengths[done][:, None]]))
         go = ~done
         row, at, best, lengths = row[go], at[go], best[go], lengths[go] - 1
         if not len(row):
@@ -123,7 +131,9 @@ def merge_rows(table: PairTable, pieces: list[bytes]) -> list[np.ndarray]:
             ok = (side >= 0) & (side + 1 < lengths)
             ranks[here[ok], side[ok]] = table.get(ids[here[ok], side[ok]], ids[here[ok], side[ok] + 1])
         ranks[column[1:] >= lengths[:, None]] = _NONE
-    return out
+    rows, counts, flat = (np.concatenate(x) for x in zip(*ended, strict=True))
+    order = np.argsort(rows)
+    return gather(flat, (np.cumsum(counts) - counts)[order], counts[order]), counts[order]
 
 
 def merge_long(table: PairTable, piece: bytes) -> np.ndarray:
@@ -165,43 +175,46 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # a new piece gets the next number
         self.flat = np.zeros(0, np.int32)
-        self.start = np.zeros(1, np.int64)
+        self.start = self.count = np.zeros(0, np.int64)
 
     def _encode_new(self, known: int) -> None:
         """Append the ids of the pieces numbered from `known` on."""
         pieces = [p.encode() for p in list(self.number)[known:]]
-        ids: list = [None] * len(pieces)
         sizes = np.array([len(p) for p in pieces])
         order = np.argsort(sizes, kind="stable")
         cuts = np.searchsorted(sizes[order], [1, 2, 3, 5, 7, 9, 12, 16, 24, 32, 64, 128, 256, 512, LONG_BYTES + 1])
+        flat, counts = [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             widest = int(sizes[order[b - 1]]) if b > a else 1
             for k in range(a, b, step := max(1, 400_000 // widest)):
-                some = order[k : min(b, k + step)]
-                for i, found in zip(some, merge_rows(self.table, [pieces[x] for x in some]), strict=True):
-                    ids[i] = found
+                ids, n = merge_rows(self.table, [pieces[x] for x in order[k : min(b, k + step)]])
+                flat.append(ids)
+                counts.append(n)
         for i in order[cuts[-1] :]:
-            ids[i] = merge_long(self.table, pieces[i])
-        counts = np.array([len(x) for x in ids], np.int64)
-        self.flat = np.concatenate([self.flat, *ids])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
+            flat.append(merge_long(self.table, pieces[i]))
+            counts.append(np.array([len(flat[-1])]))
+        n = np.concatenate(counts)
+        self.flat = np.concatenate([self.flat, *flat])
+        starts, all_counts = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        starts[order], all_counts[order] = len(self.flat) - n.sum() + np.cumsum(n) - n, n
+        self.start, self.count = np.concatenate([self.start, starts]), np.concatenate([self.count, all_counts])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, bounds of each text in them)."""
         if len(self.number) > CACHED_PIECES:
             self._reset()
-        known, number = len(self.number), self.number
-        met = [np.array([number.setdefault(p, len(number)) for p in self.split(t)], np.int64) for t in texts]
-        if len(number) > known:
+        known, number = len(self.number), self.number.__getitem__
+        met = [list(map(number, self.split(t))) for t in texts]
+        if len(self.number) > known:
             self._encode_new(known)
-        pieces = np.concatenate(met) if met else np.zeros(0, np.int64)
-        counts = self.start[pieces + 1] - self.start[pieces]
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.start[pieces] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum([len(m) for m in met])
-        return ids, np.concatenate([[0], np.concatenate([[0], ends])[last]]).astype(np.int64)
+        pieces = np.fromiter(chain.from_iterable(met), np.int64)
+        counts = self.count[pieces]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        last = np.cumsum([0, *map(len, met)])
+        return gather(self.flat, self.start[pieces], counts), ends[last]
 
 
 @lru_cache(maxsize=2)
@@ -236,9 +249,7 @@ def decode_ids(ids: np.ndarray, data: np.ndarray, start: np.ndarray) -> bytes:
     """The bytes of a token list; `data[start[k]:start[k + 1]]` are those of token k."""
     if len(ids) and not 0 <= ids.min() <= ids.max() < len(start) - 1:
         raise ValueError("token id outside the vocabulary")
-    counts = start[ids + 1] - start[ids]
-    ends = np.cumsum(counts)
-    return data[np.repeat(start[ids] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    return gather(data, start[ids], start[ids + 1] - start[ids]).tobytes()
 
 
 def decoded(ids: Column, tokens) -> Column:
