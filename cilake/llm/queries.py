@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cilake.llm import bpe, mixing, quality, simhash, toxicity
+from cilake.llm import bpe, knn, langid, licenses, mixing, quality, shards, simhash, toxicity, urlfilter
+from cilake.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return knn.knn_join(rows.filter("vec_id % 50 = 0"), rows, 5, factor=256.0)
+
+
+ORACLES["op1_voronoi_knn"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p) WHERE k <= 5
+"""
+
+
+@query
+def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = written(shards.measured(docs).drop("text"), "digest")
+    return shards.shard(digest, 40)
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "expressions", "places")
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +68,36 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).drop("text")
 
 
+#: The block list of the url query: addresses of pages whose markup holds one of these words.
+LISTED_WORDS = "|".join(w for words in toxicity.SEEDS.values() for w in words)
+
+
+@query
+def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), F.col("html").rlike(LISTED_WORDS))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op6_bloom_cascade"] = f"""
+WITH p AS (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+l AS (SELECT DISTINCT host || path AS k FROM h WHERE host <> '' AND regexp_matches(html, '{LISTED_WORDS}')),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN host || path IN (SELECT k FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+
+@query
+def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit_text(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return langid.identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+
+
 @query
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
