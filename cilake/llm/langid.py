@@ -158,5 +158,5 @@ def identify(pages: DataFrame, model: TextModel, page_id: str = "page_id", url:
     share = F.aggregate("_log", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top")))
     return judged.select(
         "page_id", F.element_at(languages, F.array_position("_log", F.col("_top")).cast("int")).alias("language"),
-        (F.lit(1.0) / share).alias("probability"), F.element_at(languages, F.col("guess") + 1).alias("text_language"),
+        (F.lit(1.0) / share).alias("probability"), F.when(F.col("guess") >= 0, languages[F.col("guess")]).alias("text_language"),
         "declared", "suffix", "host")
