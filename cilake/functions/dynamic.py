@@ -29,15 +29,20 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-# Kinds by the head of a VARIANT's type name; every other type is a number.
-_KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+# Kinds by a scalar VARIANT's type name; every other type is a number.
+_KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean"}
 
 
 def kind_of(v: Column) -> Column:
-    """Kind of a VARIANT: undefined (SQL NULL), null, boolean, number, string, array, object."""
+    """Kind of a VARIANT: undefined (SQL NULL), null, boolean, number, string, array, object.
+
+    Containers are told by shallow casts; only scalars are asked for their type name, so the cost does not grow with the
+    levels below.
+    """
     table = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
-    head = F.substring_index(F.schema_of_variant(v), "<", 1)
-    return F.when(v.isNull(), "undefined").otherwise(F.coalesce(F.try_element_at(table, head), F.lit("number")))
+    scalar = F.coalesce(F.try_element_at(table, F.schema_of_variant(v)), F.lit("number"))
+    return (F.when(v.isNull(), "undefined").when(v.try_cast("array<variant>").isNotNull(), "array")
+            .when(v.try_cast("map<string,variant>").isNotNull(), "object").otherwise(scalar))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -342,6 +347,19 @@ def from_json_(text: Column) -> Column:
         F.try_variant_get(v, "$[1]", "string") == _END, F.try_variant_get(v, "$[0]", "variant")))
 
 
+def nesting(text: Column) -> Column:
+    """How many containers nest in a JSON text: the deepest count of open brackets outside strings."""
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brackets = F.regexp_replace(F.regexp_replace(plain, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["open"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return let(now, lambda n: F.struct(n.alias("open"), F.greatest(acc["most"], n).alias("most")))
+
+    return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["most"])
+
+
 def lower_keys(text: Column) -> Column:
     """JSON text with every object key lower-cased; values stay as they are.
 

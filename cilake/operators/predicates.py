@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 from cilake.functions import dynamic as dy
 from cilake.operators.binding import bind
 
-MAX_DEPTH = 8
-
-
-def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_depth: int = MAX_DEPTH,
-                  container_json: bool = True) -> DataFrame:
+def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, container_json: bool = True) -> DataFrame:
     """JSON text to one row per node: `(…, depth, path, parent_path, key, pos, kind, value)`.
 
     The root has path ''. `value` is the scalar as text (for arrays and objects
-    their JSON, or NULL without `container_json`). One narrow
-    pass, a native fold inside each document's row. A document nested deeper than
-    `max_depth` fails the job instead of losing nodes.
+    their JSON, or NULL without `container_json`). One narrow pass, a native fold
+    inside each document's row over as many levels as that document has.
     """
     keep = [c for c in docs.columns if c != doc]
     none = F.lit(None)
@@ -30,26 +25,28 @@ def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, max_
         scalar = F.when(n["kind"] == "null", "null").when(
             ~n["kind"].isin("array", "object"), F.try_variant_get(n["v"], "$", "string"))
         text = F.coalesce(scalar, F.to_json(n["v"])) if container_json else scalar
-        deep = F.when((n["depth"] == max_depth) & (F.size(_children(n, lower)) > 0), F.raise_error(F.lit(
-            f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"))
-        return F.struct(*[n[c].alias(c) for c in ("depth", "path", "parent_path", "key", "pos")],
-                        F.coalesce(deep, n["kind"]).alias("kind"), text.alias("value"))
+        return F.struct(*[n[c].alias(c) for c in ("depth", "path", "parent_path", "key", "pos", "kind")], text.alias("value"))
 
-    rows = docs.select(*keep, F.array(root).alias("_start")).filter(F.col("_start")[0]["v"].isNotNull())
-    nodes = unfold_levels(F.col("_start"), max_depth, lambda n: F.concat(F.array(n), _children(n, lower)), leaf)
+    rows = docs.select(*keep, F.array(root).alias("_start"), dy.nesting(F.col(doc)).alias("_levels"))
+    rows = rows.filter(F.col("_start")[0]["v"].isNotNull())
+    nodes = unfold_levels(F.col("_start"), F.col("_levels"), lambda n: (F.array(n), _children(n, lower)), leaf)
     return rows.select(*keep, F.inline(nodes))
 
 
-def unfold_levels(start: Column, levels: int, grow, finish) -> Column:
-    """Unfold a tree inside one row: level by level, each node of that level is replaced by `grow(node)`.
+def unfold_levels(start: Column, levels: Column, grow, finish) -> Column:
+    """Unfold a tree inside one row, level by level; `finish(node)` gives the rows to emit.
 
-    Nodes are structs with a `depth`; the fold keeps them in memory of the row they come from, so
-    nothing is copied between operators until `finish(node)` gives the rows to emit.
+    `grow(node)` returns (nodes to keep, nodes of the next level). Only the nodes of the current level are looked at
+    in a step; the kept ones are carried along. `levels` is how many levels lie below the start, row by row.
     """
-    def step(acc: Column, level: Column) -> Column:
-        return F.flatten(F.transform(acc, lambda n: F.when(n["depth"] == level, grow(n)).otherwise(F.array(n))))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, lambda acc: F.transform(acc, finish))
+    def step(acc: Column, _level: Column) -> Column:
+        grown = F.transform(acc["front"], lambda n: F.struct(*[x.alias(c) for x, c in zip(grow(n), ("kept", "next"))]))
+        moved = dy.let(grown, lambda g: F.struct(
+            F.flatten(g["next"]).alias("front"), F.concat(acc["done"], F.flatten(g["kept"])).alias("done")))
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(moved)
+
+    zero = F.struct(start.alias("front"), F.filter(start, lambda x: F.lit(False)).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), levels), zero, step, lambda acc: F.transform(acc["done"], finish))
 
 
 def _children(n: Column, lower: bool) -> Column:

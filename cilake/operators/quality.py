@@ -23,7 +23,6 @@ from cilake.operators.predicates import unfold_levels
 BUILT_IN = ["sequence", "mapping", "number", "boolean", "string", "null"]
 SKIP = "-"
 ARITY_RE = r"^([a-zA-Z0-9_]+)\(([0-9]+),([0-9]+|MAX)\)$"
-MAX_DEPTH = 8
 
 
 @dataclass(frozen=True)
@@ -68,8 +67,7 @@ def _has_expr(n: Column) -> Column:
     return F.coalesce((n["kind"] == "string") & F.contains(n["text"], F.lit(ex.OPEN)), F.lit(False))
 
 
-def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: int = MAX_DEPTH,
-                container_json: bool = False) -> DataFrame:
+def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_json: bool = False) -> DataFrame:
     """Every node with the definition it is checked against: one row per node and one-of choice.
 
     `(…, depth, path, key, kind, value, parent, def, ctx, choices)`; `ctx` are the contexts allowed
@@ -125,21 +123,19 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", max_depth: in
     def unfold(n):
         is_choice = n["def"].isin(list(rules.one_of) or [""]) & ~_has_expr(n)
         options = F.when(is_choice, alternatives(n)).otherwise(F.array(n))
-        return F.flatten(F.transform(options, lambda o: F.concat(F.array(o), children(o))))
+        return options, F.flatten(F.transform(options, children))
 
     root = node(F.lit(0), F.lit(""), none, none, dy.from_json_(F.col(doc)), F.lit(rules.root),
                 _contexts(rules, F.lit(rules.root)), F.array().cast("array<string>"), F.lit(False))
     def leaf(n):
-        too_deep = F.when(n["depth"] > max_depth, F.raise_error(F.lit(
-            f"a document is nested deeper than {max_depth} levels; raise max_depth")).cast("string"))
         value = F.coalesce(n["text"], F.to_json(n["v"])) if container_json else n["text"]
-        return F.struct(*[n[c].alias(c) for c in ("depth", "path", "key")],
-                        F.coalesce(too_deep, n["kind"]).alias("kind"), value.alias("value"),
+        return F.struct(*[n[c].alias(c) for c in ("depth", "path", "key", "kind")], value.alias("value"),
                         *[n[c].alias(c) for c in ("parent", "def", "ctx", "choices", "alternative")])
 
     typed = root.cast(f"struct<{names.replace(' ', ':').replace(',:', ',')}>")
-    rows = docs.select(*keep, F.array(typed).alias("_start")).filter(F.col("_start")[0]["v"].isNotNull())
-    return rows.select(*keep, F.inline(unfold_levels(F.col("_start"), max_depth + 1, unfold, leaf)))
+    rows = docs.select(*keep, F.array(typed).alias("_start"), dy.nesting(F.col(doc)).alias("_levels"))
+    rows = rows.filter(F.col("_start")[0]["v"].isNotNull())
+    return rows.select(*keep, F.inline(unfold_levels(F.col("_start"), F.col("_levels"), unfold, leaf)))
 
 
 def expression_errors(text: Column, ctx: Column) -> Column:
@@ -209,12 +205,11 @@ def node_errors(rules: RuleSet) -> Column:
     )
 
 
-def check_documents(docs: DataFrame, rules: RuleSet, doc: str = "doc", *, max_depth: int = MAX_DEPTH,
-                    missing_required: bool = False) -> DataFrame:
+def check_documents(docs: DataFrame, rules: RuleSet, doc: str = "doc", *, missing_required: bool = False) -> DataFrame:
     """Violations `(…, path, rule, message)`. A one-of node is fine when one alternative is; else the
     errors of all its alternatives are listed."""
     keep = [c for c in docs.columns if c != doc]
-    nodes = bind(check_nodes(docs, rules, doc, max_depth, missing_required), _errors=node_errors(rules))
+    nodes = bind(check_nodes(docs, rules, doc, missing_required), _errors=node_errors(rules))
     if missing_required and rules.required:
         need = _lookup(_required(rules), F.col("def"))
         have = F.coalesce(F.map_keys(F.try_parse_json("value").try_cast("map<string,variant>")),

@@ -300,7 +300,7 @@ _VIOLATIONS = "\nUNION ALL ".join(
 
 
 def _violations(s: Source):
-    return ql.check_documents(s.ad("ACTION"), ql.ACTION_RULES, max_depth=6)
+    return ql.check_documents(s.ad("ACTION"), ql.ACTION_RULES)
 
 
 def _rule_query(name: str, rules: list[str]):
@@ -334,7 +334,7 @@ _PAYLOAD_RULES = ql.RuleSet(
 
 
 def _payload_violations(s: Source):
-    return ql.check_documents(s.ad("PAYLOAD"), _PAYLOAD_RULES, "payload", max_depth=5)
+    return ql.check_documents(s.ad("PAYLOAD"), _PAYLOAD_RULES, "payload")
 
 
 @query("v3_allowed_values", "SELECT o_orderkey AS id, 'Event.Action' AS path, 'value not allowed: ' AS message FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
@@ -363,7 +363,7 @@ def _(s: Source):
 
 
 def _nodes(s: Source):
-    return ql.check_nodes(s.ad("ACTION"), ql.ACTION_RULES, max_depth=6)
+    return ql.check_nodes(s.ad("ACTION"), ql.ACTION_RULES)
 
 
 _CTX = [("inputs.tag.default", "github,strategy,matrix,job,runner,hashFiles(1,255)", "true"),

@@ -25,8 +25,14 @@ def test_paths_and_depth(spark):
     got = {r.path: (r.kind, r.value) for r in pr.explode_paths(df).collect()}
     assert got == {"": ("object", '{"A":[{"b":null},2],"c":{}}'), "a": ("array", '[{"b":null},2]'), "a[0]": ("object", '{"b":null}'),
                    "a[0].b": ("null", "null"), "a[1]": ("number", "2"), "c": ("object", "{}")}
-    with pytest.raises(Exception, match="nested deeper"):
-        pr.explode_paths(df, max_depth=2).collect()
+
+
+def test_deep_documents(spark):
+    deep = '{"a":[' * 100 + '"]}\\"[["' + "]}" * 100
+    got = pr.explode_paths(spark.createDataFrame([(1, deep), (2, "[]"), (3, "7")], "id int, doc string"))
+    assert {r.id: (r.n, r.m) for r in got.groupBy("id").agg(F.count("*").alias("n"), F.max("depth").alias("m")).collect()} == {
+        1: (201, 200), 2: (1, 0), 3: (1, 0)}
+    assert check(spark, '{"extra":%s}' % deep) == []
 
 
 def test_rules(spark):
