@@ -23,6 +23,11 @@ def bodies(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_BODY), F.lit(1))
 
 
+def unclosed(text: Column) -> Column:
+    """Does an expression open that never closes?"""
+    return F.contains(F.regexp_replace(text, _BODY, ""), F.lit(OPEN))
+
+
 def _bare(body: Column) -> Column:
     """Without string literals, so quoted commas and names do not count."""
     return F.regexp_replace(body, _STRING, "''")
@@ -84,9 +89,9 @@ def lint_calls(refs: DataFrame, functions: DataFrame) -> DataFrame:
     fns = functions.select(F.lower("fn").alias("_fn"), "min_args", "max_args")
     joined = refs.filter(F.col("kind") == "call").withColumn("_fn", F.lower("name")).join(fns, "_fn", "left")
     problem = (
-        F.when(F.col("min_args").isNull(), "unknown function")
-        .when(F.col("n_args") < F.col("min_args"), "missing parameters")
-        .when(F.col("n_args") > F.col("max_args"), "too many parameters")
+        F.when(F.col("min_args").isNull(), "no such function")
+        .when(F.col("n_args") < F.col("min_args"), "too few arguments")
+        .when(F.col("n_args") > F.col("max_args"), "too many arguments")
     )
     return joined.withColumn("problem", problem).filter(F.col("problem").isNotNull()).drop("_fn", "min_args", "max_args")
 
@@ -100,4 +105,4 @@ def lint_variables(refs: DataFrame, allowed: list[str]) -> DataFrame:
 def lint_properties(nodes: DataFrame, allowed: DataFrame, loose: DataFrame) -> DataFrame:
     """Type of each key `(…, definition, key)`: its own, the loose one, or unknown."""
     return nodes.join(allowed, ["definition", "key"], "left").join(loose, "definition", "left").withColumn(
-        "type", F.coalesce("type", "loose_type", F.lit("unknown property"))).drop("loose_type")
+        "type", F.coalesce("type", "loose_type", F.lit("key not declared"))).drop("loose_type")

@@ -280,19 +280,19 @@ _C9, _R5 = "o_custkey % 9", "o_orderkey % 5"
 _BAD_IF = f"{_R5} = 3 AND o_custkey % 4 = 0"
 # every violation of the action documents: (condition, path, rule, message)
 _EXPECTED = [
-    (f"{_C9} = 2", "inputs.tag.default", "unknown_variable", "unknown variable access secrets"),
-    (f"{_C9} = 3", "outputs.url.value", "call_arity", "missing parameters for contains"),
-    (f"{_C9} = 4", "outputs.url.value", "unknown_function", "unknown function call nope"),
-    (f"{_C9} = 5", "outputs.url.colour", "unknown_property", "unknown property colour"),
-    (f"{_C9} = 6", "extra", "expr_not_allowed", "expressions are not allowed here"),
-    (f"{_C9} = 7", "$" + "{{ insert }}", "insert_key", "insert is not allowed here"),
-    *[(f"{_R5} = 0", "runs", "wrong_container", "expected a mapping got scalar")] * 4,
-    (f"{_R5} = 2", "runs.args[1]", "wrong_container", "expected a scalar got sequence"),
-    *[(f"{_R5} = 2", f"runs.{k}", "unknown_property", f"unknown property {k}")
+    (f"{_C9} = 2", "inputs.tag.default", "unknown_variable", "variable not open here: secrets"),
+    (f"{_C9} = 3", "outputs.url.value", "call_arity", "too few arguments: contains"),
+    (f"{_C9} = 4", "outputs.url.value", "unknown_function", "no such function: nope"),
+    (f"{_C9} = 5", "outputs.url.colour", "unknown_property", "key not declared: colour"),
+    (f"{_C9} = 6", "extra", "expr_not_allowed", "no expression may stand here"),
+    (f"{_C9} = 7", "$" + "{{ insert }}", "insert_key", "insert may not stand here"),
+    *[(f"{_R5} = 0", "runs", "wrong_container", "mapping wanted, found scalar")] * 4,
+    (f"{_R5} = 2", "runs.args[1]", "wrong_container", "scalar wanted, found sequence"),
+    *[(f"{_R5} = 2", f"runs.{k}", "unknown_property", f"key not declared: {k}")
       for k, n in (("image", 3), ("args", 3), ("post-if", 2), ("using", 1)) for _ in range(n)],
-    *[(_BAD_IF, f"runs.{k}", "unknown_property", f"unknown property {k}") for k in ("steps", "steps", "steps", "using")],
-    *[(_BAD_IF, f"runs.steps[0].{k}", "unknown_property", f"unknown property {k}") for k in ("run", "shell")],
-    *[(_BAD_IF, "runs.steps[0].continue-on-error", "scalar_type", "expected boolean got string")] * 2,
+    *[(_BAD_IF, f"runs.{k}", "unknown_property", f"key not declared: {k}") for k in ("steps", "steps", "steps", "using")],
+    *[(_BAD_IF, f"runs.steps[0].{k}", "unknown_property", f"key not declared: {k}") for k in ("run", "shell")],
+    *[(_BAD_IF, "runs.steps[0].continue-on-error", "scalar_type", "boolean wanted, found string")] * 2,
 ]
 _VIOLATIONS = "\nUNION ALL ".join(
     f"SELECT o_orderkey AS doc_id, {repr(p)} AS path, '{r}' AS rule, '{m}' AS message FROM orders WHERE {c}"
@@ -337,17 +337,17 @@ def _payload_violations(s: Source):
     return ql.check_documents(s.ad("PAYLOAD"), _PAYLOAD_RULES, "payload")
 
 
-@query("v3_allowed_values", "SELECT o_orderkey AS id, 'Event.Action' AS path, 'value not allowed: ' AS message FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
+@query("v3_allowed_values", "SELECT o_orderkey AS id, 'Event.Action' AS path, 'not among the allowed values: ' AS message FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
 def _(s: Source):
     return _payload_violations(s).filter("rule = 'allowed_values'").drop("rule")
 
 
-@query("v4_constant", "SELECT o_orderkey AS id, 'Event.note' AS path, 'expected 7 got null' AS message FROM orders WHERE o_custkey % 5 = 0")
+@query("v4_constant", "SELECT o_orderkey AS id, 'Event.note' AS path, '7 wanted, found null' AS message FROM orders WHERE o_custkey % 5 = 0")
 def _(s: Source):
     return _payload_violations(s).filter("rule = 'constant'").drop("rule")
 
 
-@query("v5_scalar_type", "SELECT o_orderkey AS id, 'Event.draft' AS path, 'expected null got boolean' AS message FROM orders")
+@query("v5_scalar_type", "SELECT o_orderkey AS id, 'Event.draft' AS path, 'null wanted, found boolean' AS message FROM orders")
 def _(s: Source):
     return _payload_violations(s).filter("rule = 'scalar_type'").drop("rule")
 
@@ -416,7 +416,7 @@ _JOB_KEYS = ["name", "needs", "runs-on", "env", "if", "steps", "timeout-minutes"
 
 
 @query("j12_lint_properties", f"""
-SELECT o_orderkey AS doc_id, 'build' AS job_id, 'colour' AS key, 'unknown property' AS type {_O} WHERE o_custkey % 7 = 0
+SELECT o_orderkey AS doc_id, 'build' AS job_id, 'colour' AS key, 'key not declared' AS type {_O} WHERE o_custkey % 7 = 0
 UNION ALL SELECT o_orderkey, 'build', 'runs-on', 'job value' {_O} UNION ALL SELECT o_orderkey, 'test', 'needs', 'job value' {_O}
 UNION ALL SELECT o_orderkey, 'build', 'A', 'string' {_O} WHERE o_custkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'build', 'B', 'string' {_O} WHERE o_custkey % 5 <> 0""")
 def _(s: Source):

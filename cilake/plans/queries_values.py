@@ -279,7 +279,7 @@ def _(s: Source):
 
 
 @query("j10_lint_calls", f"""
-SELECT id, name, CASE WHEN lower(name) = 'nope' THEN 'unknown function' WHEN lower(name) = 'startswith' THEN 'missing parameters' ELSE 'too many parameters' END AS problem
+SELECT id, name, CASE WHEN lower(name) = 'nope' THEN 'no such function' WHEN lower(name) = 'startswith' THEN 'too few arguments' ELSE 'too many arguments' END AS problem
 FROM ({_REF_SQL}) WHERE kind = 'call' AND (lower(name) IN ('nope', 'startswith') OR (name = 'toJson' AND n_args = 2))""")
 def _(s: Source):
     return ex.lint_calls(ex.extract_refs(s.ad("EXPR"), "text"), ex.arity_table(s.spark)).select("id", "name", "problem")

@@ -51,7 +51,7 @@ def test_expressions(spark):
     problems = ex.lint_calls(ex.extract_refs(spark.createDataFrame([(1, f"{D}{{{{ contains(a) || Nope() || JOIN(1,2,3) }}}}")], "id int, text string"), "text"),
                              ex.arity_table(spark))
     assert {(r.name, r.problem) for r in problems.collect()} == {
-        ("contains", "missing parameters"), ("Nope", "unknown function"), ("JOIN", "too many parameters")}
+        ("contains", "too few arguments"), ("Nope", "no such function"), ("JOIN", "too many arguments")}
 
 
 def check(spark, doc, **kw):
@@ -70,6 +70,7 @@ def test_action_checks(spark):
     assert check(spark, '{"inputs":{"a":{"default":"%s"}}}' % (D + "{{ job.id }}")) == []
     assert check(spark, '{"note":"%s"}' % (D + "{{ 'text' }}")) == []
     assert check(spark, '{"note":{"deep":["%s"]}}' % (D + "{{ github.x }}")) == [("note.deep[0]", "expr_not_allowed")]
+    assert check(spark, '{"note":"%s"}' % (D + "{{ github.x")) == [("note", "unclosed_expr")]
     assert check(spark, '{"outputs":{"o":{"%s":1}}}' % (D + "{{ insert }}")) == [("outputs.o." + D + "{{ insert }}", "insert_key")]
 
 

@@ -75,7 +75,7 @@ def test_contains_join_format(spark):
     assert one(spark, dy.starts_with(12345, "123")) is True
     assert one(spark, dy.ends_with("result: true", True)) is True
     arr = lambda t: F.try_parse_json(F.lit(t)).cast("array<variant>")
-    assert one(spark, dy.array_contains_(arr('["bug","help wanted"]'), "BUG")) is True
+    assert one(spark, dy.array_contains_(arr('["late","on time"]'), "LATE")) is True
     assert one(spark, dy.array_contains_(arr('["bugs"]'), "bug")) is False
     v = lambda t: F.try_parse_json(F.lit(t))
     assert one(spark, dy.join_(v('["text",42,true,null]'), "-")) == "text-42-true-"
@@ -83,7 +83,7 @@ def test_contains_join_format(spark):
     assert one(spark, dy.join_(v("[]"))) == ""
     assert one(spark, dy.join_(v("[[1]]"))) is None
     fmt = lambda t, *a: one(spark, dy.format_(t, *[F.lit(x) for x in a]))
-    assert fmt("{{Hello {0} {1} {2}!}}", "Mona", "the", "Octocat") == "{Hello Mona the Octocat!}"
+    assert fmt("{{ {0} at {1}, {2}. }}", "Train", "nine", "Gate 4") == "{ Train at nine, Gate 4. }"
     assert fmt("{1}{0}{1}", "{1}", "b") == "b{1}b"
     assert [fmt(t, "a") for t in ("hello {1}", "{}", "{x}", "{ 0 }", "open {0")] == [None] * 5
     assert fmt("a } b", "x") == "a } b"
@@ -138,7 +138,7 @@ def test_text_helpers(spark):
 
 
 @pytest.mark.parametrize("glob,path,hit", [
-    ("*.txt", "a.txt", True), ("*.txt", "d/a.txt", False), ("**/*.go", "main.go", True), ("**/*.go", "src/sub/nested.go", True),
+    ("*.csv", "y.csv", True), ("*.csv", "in/y.csv", False), ("**/*.sql", "top.sql", True), ("**/*.sql", "jobs/daily/load.sql", True),
     ("src/**", "src/a/b", True), ("a?c", "abc", True), ("a?c", "a/c", False), ("a+b(1).x", "a+b(1).x", True), ("[ab].c", "b.c", True),
     ("[^ab].c", "b.c", False), ("**/[a]", "[a]", True), ("a.c", "abc", False)])
 def test_globs(glob, path, hit):

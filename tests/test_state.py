@@ -14,21 +14,21 @@ from cilake.sources import framing, kvfiles
 
 KV = [
     # content, pairs or error
-    ("FOO=bar\n", [("FOO", "bar")]),
-    ("\nFOO=a=b\r\n\r\nBAR=", [("FOO", "a=b"), ("BAR", "")]),
-    ("MULTI<<EOF\nhello\nworld\nEOF\n", [("MULTI", "hello\nworld")]),
-    ("M<<EOF\r\nhello\r\nworld\r\nEOF\r\nX=1", [("M", "hello\r\nworld"), ("X", "1")]),
-    ("M<<EOF\nEOF\nA=1<<2", [("M", ""), ("A", "1<<2")]),
-    ("M<<EOF\n\n\nEOF", [("M", "\n")]),
-    ("BAD<<EOF\nvalue", "delimiter not found"),
-    ("BAD<<EOF\nvalue\n", "delimiter not found"),
-    ("NODE_OPTIONS=value", "blocked name"),
-    ("NODE_OPTIONS<<E\nv\nE\n", "blocked name"),
-    ("A=1\n=value", "name must not be empty"),
-    ("<<E\nv\nE", "name and delimiter must not be empty"),
-    ("A<<\nv\n", "name and delimiter must not be empty"),
-    ("A=1\nINVALID\nB=2", "invalid format"),
-    ("A<<E\n=x\nE\nINVALID", "invalid format"),
+    ("CITY=Oslo\n", [("CITY", "Oslo")]),
+    ("\nURL=x?y=z\r\n\r\nNIL=", [("URL", "x?y=z"), ("NIL", "")]),
+    ("POEM<<__\nroses\nviolets\n__\n", [("POEM", "roses\nviolets")]),
+    ("P<<__\r\nup\r\ndown\r\n__\r\nQ=2", [("P", "up\r\ndown"), ("Q", "2")]),
+    ("P<<__\n__\nQ=3<<4", [("P", ""), ("Q", "3<<4")]),
+    ("P<<__\n\n\n__", [("P", "\n")]),
+    ("LOST<<__\nline", "delimiter not found"),
+    ("LOST<<__\nline\n", "delimiter not found"),
+    ("NODE_OPTIONS=--trace", "blocked name"),
+    ("NODE_OPTIONS<<__\nx\n__\n", "blocked name"),
+    ("Q=1\n=nameless", "name must not be empty"),
+    ("<<__\nx\n__", "name and delimiter must not be empty"),
+    ("Q<<\nx\n", "name and delimiter must not be empty"),
+    ("Q=1\nno sign\nR=2", "invalid format"),
+    ("Q<<__\n=x\n__\nno sign", "invalid format"),
     ("", []),
 ]
 
