@@ -74,6 +74,19 @@ def glob_to_regex(glob: str) -> str:
     return "^" + "".join(piece(t) for t in re.findall(tokens, glob, re.S)) + "$"
 
 
+def glob_column(glob: Column) -> Column:
+    """`glob_to_regex(normal_glob(…))` for patterns in a column (without `.` and `..` folders)."""
+    plain = F.regexp_replace(glob, "^/", "")
+    recursive = F.contains(plain, F.lit("**"))
+    parts = F.when(recursive, F.regexp_extract_all(plain, F.lit(r"(?s)\*\*/|\*\*|\*|\?|."), F.lit(0))).otherwise(
+        F.regexp_extract_all(F.regexp_replace(plain, "/+", "/"), F.lit(r"(?s)\[\^?\]?[^\]]*\]|\\.|\*|\?|."), F.lit(0)))
+    quoted = lambda c: F.regexp_replace(c, r"([^A-Za-z0-9_/ -])", r"\\$1")
+    pieces = F.transform(parts, lambda t: F.when(t == "**/", "(?:.*/)?").when(t == "**", ".*").when(t == "*", "[^/]*")
+                         .when(t == "?", "[^/]").when(F.length(t) < 2, quoted(t)).when(t.startswith("["), t)
+                         .otherwise(quoted(F.substring(t, 2, 1))))
+    return F.concat(F.lit("^"), F.array_join(pieces, ""), F.lit("$"))
+
+
 def normal_glob(glob: str) -> str:
     glob = glob.removeprefix("/")
     return glob if "**" in glob else posixpath.normpath(glob)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cilake.functions.text import glob_to_regex, normal_glob
-
-NATIVE_FILES = 1_000_000
+from cilake.functions.text import glob_column, glob_to_regex, normal_glob
 
 
 def matches(path: Column, patterns: list[str]) -> Column:
@@ -31,67 +30,56 @@ def select_files(files: DataFrame, patterns: list[str], path: str = "path") -> D
 def select_by_rules(files: DataFrame, patterns: DataFrame, path: str = "path") -> DataFrame:
     """As `select_files`, but every path set has its own patterns: rows `(set_id, pattern)`.
 
-    Patterns are compiled to one include and one exclude expression per set, so files meet one
-    row per set and never single patterns.
+    Paths meet the patterns of their set in the join itself, which passes on hits alone; a file needs an include among
+    them and no exclude. Contents take no part in the first join.
     """
-    p = F.regexp_replace("pattern", r"^!?/?", "")
-    body = p
-    for plain, code in [("**/", "\u0001"), ("**", "\u0002"), ("*", "\u0003"), ("?", "\u0004")]:
-        body = F.replace(body, F.lit(plain), F.lit(code))
-    body = F.regexp_replace(body, r"([.+^$()\[\]{}|\\])", r"\\$1")
-    for code, regex in [("\u0001", "(?:.*/)?"), ("\u0002", ".*"), ("\u0003", "[^/]*"), ("\u0004", "[^/]")]:
-        body = F.replace(body, F.lit(code), F.lit(regex))
-    rx = F.concat(F.lit("(?:^"), body, F.lit("$)"))
-    off = F.col("pattern").startswith("!")
-    side = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, rx))), "|")
-    sets = patterns.groupBy("set_id").agg(side(~off).alias("_in"), side(off).alias("_out"))
-    return (
-        files.join(sets, "set_id")
-        .filter((F.col("_in") != "") & F.expr(f"`{path}` rlike _in"))
-        .filter((F.col("_out") == "") | ~F.expr(f"`{path}` rlike _out"))
-        .drop("_in", "_out")
-    )
-
-
-def _chain(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Streaming digest over rows sorted by (group, path): one open hash, constant memory."""
-    current, state = None, None
+    rules = patterns.select("set_id", F.col("pattern").startswith("!").alias("_off"),
+                            glob_column(F.regexp_replace("pattern", "^!", "")).alias("_rx")).distinct()
+    names = files.select("set_id", F.col(path).alias("_path")).distinct()
+    hits = names.join(rules, (names["set_id"] == rules["set_id"]) & F.rlike("_path", F.col("_rx"))).select(
+        names["set_id"].alias("_set"), "_path", "_off")
+    chosen = hits.groupBy("_set", "_path").agg(F.bool_or("_off").alias("_out")).filter(~F.col("_out"))
+    return files.join(chosen, (files["set_id"] == chosen["_set"]) & (files[path] == chosen["_path"]), "left_semi")
+
+
+def _chain(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Digests over rows sorted by (group, path): one open hash, constant memory. Columns: _key, _digest, then `by`."""
+    current, state, head = None, None, None
     for batch in batches:
-        done = []
-        for *group, digest in batch[[*by, "_digest"]].itertuples(index=False, name=None):
-            if group != current:
+        keys, digests = batch.column("_key").to_pylist(), batch.column("_digest")
+        starts = {k for k in range(len(keys)) if keys[k] != (keys[k - 1] if k else current)}
+        done, heads = [], []
+        for a, b in pairwise(sorted({0, *starts, len(keys)})):
+            if a in starts:
                 if state is not None:
-                    done.append([*current, state.hexdigest()])
-                current, state = group, hashlib.sha256()
-            state.update(bytes.fromhex(digest))
-        if done:
-            yield pd.DataFrame(done, columns=[*by, "hash"])
-    if state is not None:
-        yield pd.DataFrame([[*current, state.hexdigest()]], columns=[*by, "hash"])
+                    done.append(state.hexdigest())
+                    heads.append(head)
+                current, state, head = keys[a], hashlib.sha256(), batch.select(by).slice(a, 1)
+            state.update(b"".join(digests[a:b].to_pylist()))
+        yield from _hashed(heads, done, by)
+    yield from _hashed([head] if state else [], [state.hexdigest()] if state else [], by)
+
+
+def _hashed(heads: list[pa.RecordBatch], done: list[str], by: list[str]) -> Iterator[pa.RecordBatch]:
+    for head, digest in zip(heads, done, strict=True):
+        yield pa.RecordBatch.from_arrays([*head.columns, pa.array([digest])], names=[*by, "hash"])
 
 
-def hash_files(files: DataFrame, by: list[str], path: str = "path", content: str = "content",
-               native_files: int = NATIVE_FILES) -> DataFrame:
+def hash_files(files: DataFrame, by: list[str], path: str = "path", content: str = "content") -> DataFrame:
     """SHA-256 over the raw SHA-256 digests of each group's files, in byte order of path.
 
-    Contents are hashed where they lie, so only 32-byte digests are shuffled. Groups up to
-    `native_files` files are joined and hashed natively; larger ones stream their sorted digests
-    through one open hash in constant memory (the digest is sequential by definition).
+    Contents are hashed where they lie, so only 32-byte digests are shuffled. The digest of a group is sequential by
+    definition: its sorted digests stream through one open hash in constant memory. NULL and NaN keys are groups.
     """
-    digests = files.select(*by, F.col(path).alias("_path"), F.sha2(F.col(content).cast("binary"), 256).alias("_digest"))
-    sizes = files.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    small = digests.join(sizes.filter(F.col("_n") <= native_files), by, "left_semi")
-    native = small.groupBy(*by).agg(
-        F.expr("sha2(unhex(listagg(_digest, '') within group (order by struct(_path, _digest))), 256)").alias("hash")
-    )
-    large = digests.join(sizes.filter(F.col("_n") > native_files), by, "left_semi")
-    ordered = large.repartition(*by).sortWithinPartitions(*by, "_path", "_digest")
+    key = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)]), {"ignoreNullFields": "false"})
+    digests = files.select(key.alias("_key"), F.unhex(F.sha2(F.col(content).cast("binary"), 256)).alias("_digest"),
+                           F.col(path).alias("_path"), *by)
+    ordered = digests.repartition("_key").sortWithinPartitions("_key", "_path", "_digest").drop("_path")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in digests.select(*by).schema)
-    streamed = ordered.mapInPandas(lambda it: _chain(it, by), f"{fields}, hash string")
-    return native.unionByName(streamed)
+    return ordered.mapInArrow(lambda it: _chain(it, by), f"{fields}, hash string")
 
 
 def hash_or_empty(groups: DataFrame, hashes: DataFrame, by: list[str]) -> DataFrame:
     """'' for groups without any matching file."""
-    return groups.select(*by).distinct().join(hashes, by, "left").withColumn(
-        "hash", F.coalesce("hash", F.lit("")))
+    every = groups.select(*by, F.lit("").alias("hash"))
+    return every.unionByName(hashes).groupBy(*by).agg(F.max("hash").alias("hash"))

@@ -40,11 +40,12 @@ def _(s: Source):
                     F.col("o_custkey").cast("string"), F.lit("\n"))
     json = F.concat(F.lit('{"name":"json'), F.col("o_orderkey").cast("string"), F.lit('","on":"push"}'))
     text = F.when(F.expr("o_orderkey % 50 = 0"), "a: [1").when(F.expr("o_orderkey % 3 = 0"), json).otherwise(yaml)
-    docs, errors = sd.load_workflows(s.table("orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    docs = sd.load_workflows(s.table("orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
     events = F.array_join(dy.string_slice(dc.get(F.col("doc"), "on")), ",")
-    good = docs.select("doc_id", dc.get(F.col("doc"), "name", kind="string").alias("name"), events.alias("events"),
-                       F.try_variant_get("doc", "$.jobs.build.steps[0].run", "string").alias("run"))
-    return good.unionByName(errors.select("doc_id", F.lit("bad YAML").alias("error")), allowMissingColumns=True)
+    return docs.select("doc_id", dc.get(F.col("doc"), "name", kind="string").alias("name"),
+                       F.when(F.col("error").isNull(), events).alias("events"),
+                       F.try_variant_get("doc", "$.jobs.build.steps[0].run", "string").alias("run"),
+                       F.when(F.col("error").isNotNull(), "bad YAML").alias("error"))
 
 
 @query("s8_load_actions", f"""
@@ -52,8 +53,7 @@ SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'n
   'always()' AS pre_if, CASE WHEN o_orderkey % 5 = 2 THEN 'failure()' ELSE 'always()' END AS post_if,
   CASE o_orderkey % 5 WHEN 0 THEN 'invalid' WHEN 1 THEN 'node' WHEN 2 THEN 'docker' ELSE 'composite' END AS kind {_O}""")
 def _(s: Source):
-    docs, _errors = sd.load_actions(s.ad("ACTION"), "doc")
-    return docs.select("doc_id", "using", "pre_if", "post_if", dc.action_kind(F.coalesce("using", F.lit(""))).alias("kind"))
+    return sd.load_actions(s.ad("ACTION"), "doc").select("doc_id", "using", "pre_if", "post_if", dc.action_kind(F.coalesce("using", F.lit(""))).alias("kind"))
 
 
 @query("s9_load_contexts", """
@@ -66,8 +66,7 @@ def _(s: Source):
         F.struct(F.when(F.expr("cust % 25 = 0"), "bogus").otherwise("inputs").alias("name"),
                  F.when(F.expr("cust % 10 = 0"), '{"a":').otherwise('{"a":1}').alias("json")))
     rows = s.ad("PAYLOAD").withColumn("cust", F.regexp_extract("payload", r"CUSTOMER#(\d+)", 1).cast("bigint"))
-    ok, bad = sd.load_contexts(rows.select("id", F.inline(parts)))
-    return ok.select("id", "name").unionByName(bad.select("id", "name", "error"), allowMissingColumns=True)
+    return sd.load_contexts(rows.select("id", F.inline(parts))).select("id", "name", "error")
 
 
 # ---- document tables ------------------------------------------------------------------------

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cilake.functions.dynamic import from_json_
+from cilake.operators.binding import bind
 from cilake.operators.documents import get
 
 
@@ -30,53 +30,47 @@ def _loader():
     return yaml, loader
 
 
-def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _yaml_to_json(texts: pa.Array) -> pa.Array:
     yaml, loader = _loader()
 
     def one(text):
         try:
-            return json.dumps(yaml.load(text, Loader=loader)), None  # noqa: S506 - a safe loader
+            return None if text is None else json.dumps(yaml.load(text, Loader=loader)), None  # noqa: S506 - a safe loader
         except (yaml.YAMLError, TypeError, ValueError) as e:
             return None, str(getattr(e, "problem", e))
 
-    for b in batches:
-        out = [one(t) for t in b["_text"]]
-        yield b.drop(columns="_text").assign(_json=[o[0] for o in out], error=[o[1] for o in out])
+    out = [one(t.as_py()) for t in texts]
+    return pa.StructArray.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], ["json", "error"])
 
 
-def load_documents(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents with a VARIANT `doc`, errors). Only texts that are not JSON take the Python YAML hop."""
+def load_documents(texts: DataFrame, text: str = "text") -> DataFrame:
+    """`(…, doc, error)`: documents as VARIANT, or the problem. One scan; only texts that are not JSON take the YAML hop."""
     keep = [c for c in texts.columns if c != text]
-    parsed = texts.select(*keep, F.col(text).alias("_text"), from_json_(F.col(text)).alias("doc"))
-    ready = parsed.filter(F.col("doc").isNotNull()).select(*keep, "doc")
-    rest = parsed.filter(F.col("doc").isNull()).select(*keep, "_text")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.select(*keep).schema)
-    converted = rest.mapInPandas(_yaml_to_json, f"{fields}_json string, error string")
-    good = converted.filter(F.col("error").isNull()).select(*keep, F.try_parse_json("_json").alias("doc"))
-    return ready.unionByName(good), converted.filter(F.col("error").isNotNull()).select(*keep, "error")
+    parsed = bind(texts, _json=from_json_(F.col(text)))
+    hopped = parsed.withColumn("_yaml", F.arrow_udf(_yaml_to_json, "struct<json:string,error:string>")(F.when(F.col("_json").isNull(), F.col(text))))
+    return hopped.select(*keep, F.coalesce("_json", F.try_parse_json(F.col("_yaml.json"))).alias("doc"), F.col("_yaml.error").alias("error"))
 
 
-def load_workflows(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def load_workflows(texts: DataFrame, text: str = "text") -> DataFrame:
     return load_documents(texts, text)
 
 
-def load_actions(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Actions with `using` lower-cased and pre/post conditions defaulting to always()."""
-    docs, errors = load_documents(texts, text)
+def load_actions(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Actions with `using` lower-cased and pre/post conditions defaulting to always(); unreadable texts keep their error."""
+    docs = load_documents(texts, text)
     runs = get(F.col("doc"), "runs")
-    cond = lambda n: F.coalesce(F.nullif(get(runs, n, kind="string"), F.lit("")), F.lit("always()"))
-    return docs.withColumns({
-        "using": F.lower(get(runs, "using", kind="string")), "pre_if": cond("pre-if"), "post_if": cond("post-if")}), errors
+    good = F.col("error").isNull()
+    cond = lambda n: F.when(good, F.coalesce(F.nullif(get(runs, n, kind="string"), F.lit("")), F.lit("always()")))
+    return docs.withColumns({"using": F.lower(get(runs, "using", kind="string")), "pre_if": cond("pre-if"), "post_if": cond("post-if")})
 
 
 # The named context documents.
 CONTEXT_NAMES = ["github", "env", "inputs", "secrets", "vars", "runner"]
 
 
-def load_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(contexts, errors) of rows `(…, name, json)`: empty text is skipped, bad JSON names its part."""
-    used = rows.filter(F.coalesce("json", F.lit("")) != "").withColumn("doc", from_json_(F.col("json")))
+def load_contexts(rows: DataFrame) -> DataFrame:
+    """`(…, name, doc, error)` of rows `(…, name, json)`: empty text is skipped, bad JSON names its part."""
+    used = bind(rows.filter(F.coalesce("json", F.lit("")) != ""), doc=from_json_(F.col("json")))
     bad = F.when(~F.col("name").isin(CONTEXT_NAMES), F.concat(F.lit("unknown context "), "name")).when(
         F.col("doc").isNull(), F.concat(F.lit("invalid JSON in "), "name"))
-    used = used.withColumn("error", bad).drop("json")
-    return used.filter(F.col("error").isNull()).drop("error"), used.filter(F.col("error").isNotNull()).drop("doc")
+    return used.withColumn("error", bad).withColumn("doc", F.when(F.col("error").isNull(), F.col("doc"))).drop("json")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cilake.operators.binding import bind
 from cilake.operators.envstate import is_blocked
 
 _PAIR = "struct<key:string,value:string,ord:bigint>"
-_NO_PAIRS = f"CAST(array() AS array<{_PAIR}>)"
 
 
 def _simple(text: Column, kind: Column) -> Column:
@@ -29,84 +30,67 @@ def _simple(text: Column, kind: Column) -> Column:
     return F.struct(F.get(errors, 0).alias("error"), pairs.alias("pairs"))
 
 
-def _heredoc(text: Column, kind: Column) -> Column:
-    """Files with heredocs: a native fold over the lines; state is (open delimiter, key, body, pairs, error)."""
-    parts = F.split(text, "\n", -1)
-    last = F.size(parts) - 1
-    lines = F.transform(parts, lambda x, i: F.struct(
-        # the carriage return belongs to the line break, so an unterminated last line keeps it
-        F.when(i < last, F.regexp_replace(x, r"\r$", "")).otherwise(x).alias("t"),
-        F.when(i < last, F.when(x.endswith("\r"), "\r\n").otherwise("\n")).alias("nl"),
-        i.cast("bigint").alias("i"),
-    ))
-    none = F.lit(None).cast("string")
-    start = F.struct(
-        none.alias("delim"), none.alias("key"), none.alias("body"), none.alias("nl"), none.alias("error"),
-        F.lit(0).cast("bigint").alias("i"), F.expr(_NO_PAIRS).alias("pairs"),
-    )
-
-    def state(s, **new):
-        names = ["delim", "key", "body", "nl", "error", "i", "pairs"]
-        return F.struct(*[(new[n] if n in new else s[n]).alias(n) for n in names])
-
-    def pair(k, v, i):
-        return F.array(F.struct(k.alias("key"), v.alias("value"), i.alias("ord")))
-
-    def step(s, x):
-        t = x["t"]
-        eq, doc = F.instr(t, "="), F.instr(t, "<<")
-        is_doc = (doc > 0) & ((eq == 0) | (doc < eq))
-        name = F.when(is_doc, F.substring_index(t, "<<", 1)).otherwise(F.substring_index(t, "=", 1))
-        rest = F.when(is_doc, F.substring(t, doc + 2, F.length(t))).otherwise(F.substring(t, eq + 1, F.length(t)))
-        closing = state(
-            s,
-            delim=none,
-            error=F.when(is_blocked(kind, s["key"]), "blocked name"),
-            pairs=F.concat(s["pairs"], pair(s["key"], F.coalesce(s["body"], F.lit("")), s["i"])),
-        )
-        # a body line keeps the break before it, so the last break is never part of the value
-        body = state(s, body=F.when(s["body"].isNull(), t).otherwise(F.concat(s["body"], s["nl"], t)), nl=x["nl"])
-        inside = (
-            F.when(t == s["delim"], closing)
-            .when(x["nl"].isNull(), state(s, error=F.lit("delimiter not found")))
-            .otherwise(body)
-        )
-        problem = (
-            F.when((eq == 0) & (doc == 0), "invalid format")
-            .when(is_doc & ((name == "") | (rest == "")), "name and delimiter must not be empty")
-            .when(name == "", "name must not be empty")
-            .when(~is_doc & is_blocked(kind, name), "blocked name")
-        )
-        outside = (
-            F.when(t == "", s)
-            .when(problem.isNotNull(), state(s, error=problem))
-            .when(is_doc, state(s, delim=rest, key=name, body=none, nl=none, i=x["i"]))
-            .otherwise(state(s, pairs=F.concat(s["pairs"], pair(name, rest, x["i"]))))
-        )
-        return F.when(s["error"].isNotNull(), s).when(s["delim"].isNotNull(), inside).otherwise(outside)
-
-    def finish(s):
-        error = F.coalesce(s["error"], F.when(s["delim"].isNotNull(), "delimiter not found"))
-        return F.struct(error.alias("error"), s["pairs"].alias("pairs"))
-
-    return F.aggregate(lines, start, step, finish)
-
-
-def parse_kv_files(files: DataFrame, content: str = "content", kind: str = "kind") -> tuple[DataFrame, DataFrame]:
-    """(pairs, errors) of key/value files.
-
-    Pairs add `(key, value, ord)` in file order; one bad line rejects its whole file, which then
-    appears in `errors` with the first problem. Files are parsed independently and natively;
-    only files holding a heredoc take the sequential fold.
+def _read_heredocs(text: str) -> tuple[str | None, list[tuple[str, str, int]]]:
+    """(first problem, (key, value, line number)) of a file, line by line, in linear time."""
+    lines = text.split("\n")
+    ends = ["\n"] * (len(lines) - 1) + [""]
+    for k in range(len(lines) - 1):  # the carriage return belongs to the line break; an unterminated last line keeps it
+        if lines[k].endswith("\r"):
+            lines[k], ends[k] = lines[k][:-1], "\r\n"
+    pairs, k = [], 0
+    while k < len(lines):
+        line, first = lines[k], k
+        k += 1
+        if not line:
+            continue
+        equals, doc = line.find("="), line.find("<<")
+        if doc >= 0 and (equals < 0 or doc < equals):
+            key, delimiter = line[:doc], line[doc + 2 :]
+            if not key or not delimiter:
+                return "name and delimiter must not be empty", pairs
+            try:
+                last = lines.index(delimiter, k)
+            except ValueError:
+                return "delimiter not found", pairs
+            # the last break is never part of the value
+            value = "".join(x + e for x, e in zip(lines[k:last], [*ends[k : last - 1], ""], strict=True)) if last > k else ""
+            pairs.append((key, value, first))
+            k = last + 1
+        elif equals < 0:
+            return "invalid format", pairs
+        elif equals == 0:
+            return "name must not be empty", pairs
+        else:
+            pairs.append((line[:equals], line[equals + 1 :], first))
+    return None, pairs
+
+
+def _heredocs(texts: pa.Array) -> pa.Array:
+    found = [(None, None) if t is None else _read_heredocs(t) for t in (x.as_py() for x in texts)]
+    kind = pa.struct([("key", pa.string()), ("value", pa.string()), ("ord", pa.int64())])
+    rows = [None if p is None else [dict(zip(("key", "value", "ord"), x, strict=True)) for x in p] for _, p in found]
+    return pa.StructArray.from_arrays([pa.array([e for e, _ in found], pa.string()), pa.array(rows, pa.list_(kind))], ["error", "pairs"])
+
+
+def parse_kv_files(files: DataFrame, content: str = "content", kind: str = "kind") -> DataFrame:
+    """Key/value files: `(…, error, key, value, ord)`, from one scan.
+
+    Pairs are in file order; one bad line rejects its whole file, which then is one row with its first problem and no
+    pair. Files without heredocs are read natively; heredocs need a pass over the lines in order, so
+    their texts alone take an Arrow hop.
     """
     keep = [c for c in files.columns if c != content]
     text, k = F.col(content), F.col(kind)
-    plain = files.filter(~F.contains(text, F.lit("<<"))).select(*keep, _simple(text, k).alias("_r"))
-    folded = files.filter(F.contains(text, F.lit("<<"))).select(*keep, _heredoc(text, k).alias("_r"))
-    parsed = plain.unionByName(folded)
-    pairs = parsed.filter(F.col("_r.error").isNull()).select(*keep, F.inline("_r.pairs"))
-    errors = parsed.filter(F.col("_r.error").isNotNull()).select(*keep, F.col("_r.error").alias("error"))
-    return pairs, errors
+    holds = F.contains(text, F.lit("<<"))
+    heredocs = F.arrow_udf(_heredocs, f"struct<error:string,pairs:array<{_PAIR}>>")
+    read = bind(files.withColumn("_doc", heredocs(F.when(holds, text))), _plain=_simple(F.when(~holds, text), k))
+    # a blocked name counts where it stands: before any later problem of the file
+    blocked = F.exists("_doc.pairs", lambda p: is_blocked(k, p["key"]))
+    error = F.when(holds, F.when(blocked, "blocked name").otherwise(F.col("_doc.error"))).otherwise(F.col("_plain.error"))
+    pairs = F.when(holds, F.col("_doc.pairs")).otherwise(F.col("_plain.pairs"))
+    judged = read.select(*keep, error.alias("error"), pairs.alias("_pairs"))
+    out = judged.select(*keep, "error", F.inline_outer(F.when(F.col("error").isNull(), F.col("_pairs"))))
+    return out.filter(F.col("error").isNotNull() | F.col("key").isNotNull())
 
 
 def parse_path_files(files: DataFrame, content: str = "content") -> DataFrame:
@@ -117,13 +101,12 @@ def parse_path_files(files: DataFrame, content: str = "content") -> DataFrame:
     ).filter(F.length("entry") > 0)
 
 
-def parse_env_pairs(rows: DataFrame, pair: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, errors) of `K=V` texts, split at the first `=`."""
-    has = F.instr(pair, "=") > 0
-    ok = rows.filter(has).select(
-        "*", F.substring_index(pair, "=", 1).alias("key"),
-        F.substring(F.col(pair), F.instr(pair, "=") + 1, F.length(pair)).alias("value"))
-    return ok, rows.filter(~has)
+def parse_env_pairs(rows: DataFrame, pair: str) -> DataFrame:
+    """`(…, key, value, ok)` of `K=V` texts, split at the first `=`; without one `ok` is false and both are NULL."""
+    has = F.coalesce(F.instr(pair, "=") > 0, F.lit(False))
+    return rows.withColumns({
+        "key": F.when(has, F.substring_index(pair, "=", 1)),
+        "value": F.when(has, F.substring(F.col(pair), F.instr(pair, "=") + 1, F.length(pair))), "ok": has})
 
 
 def encode_kv(key: Column, value: Column) -> Column:

@@ -14,7 +14,8 @@ D = "$"
 
 def test_yaml(spark):
     docs = [(1, "on: push\nenabled: true\nwhen: 2024-01-01\nother: yes\n"), (2, "a: [1"), (3, '{"on": ["x"]}')]
-    good, bad = sd.load_workflows(spark.createDataFrame(docs, "id int, text string"))
+    read = sd.load_workflows(spark.createDataFrame(docs, "id int, text string"))
+    good, bad = read.filter("error is null"), read.filter("error is not null")
     got = {r.id: r.j for r in good.select("id", F.to_json("doc").alias("j")).collect()}
     assert got == {1: '{"enabled":true,"on":"push","other":"yes","when":"2024-01-01"}', 3: '{"on":["x"]}'}
     assert [r.id for r in bad.collect()] == [2]
@@ -76,7 +77,8 @@ def test_action_checks(spark):
 
 def test_context_documents(spark):
     rows = [(1, "github", "{}"), (1, "env", ""), (1, "vars", "{"), (1, "what", "{}")]
-    ok, bad = sd.load_contexts(spark.createDataFrame(rows, "id int, name string, json string"))
+    read = sd.load_contexts(spark.createDataFrame(rows, "id int, name string, json string"))
+    ok, bad = read.filter("error is null"), read.filter("error is not null")
     assert [r.name for r in ok.collect()] == ["github"]
     assert sorted(r.error for r in bad.collect()) == ["invalid JSON in vars", "unknown context what"]
 

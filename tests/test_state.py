@@ -35,11 +35,11 @@ KV = [
 
 def test_kv_files(spark):
     df = spark.createDataFrame([(i, "env", c) for i, (c, _) in enumerate(KV)], "f int, kind string, content string")
-    pairs, errors = kvfiles.parse_kv_files(df)
+    read = kvfiles.parse_kv_files(df)
     got = {}
-    for r in pairs.orderBy("f", "ord").collect():
+    for r in read.filter("error is null").orderBy("f", "ord").collect():
         got.setdefault(r.f, []).append((r.key, r.value))
-    bad = {r.f: r.error for r in errors.collect()}
+    bad = {r.f: r.error for r in read.filter("error is not null").collect()}
     for i, (content, want) in enumerate(KV):
         assert (bad.get(i) or got.get(i, [])) == want, content
 
@@ -48,7 +48,8 @@ def test_kv_round_trip(spark):
     values = [("A", "x"), ("B", "l1\nl2\n"), ("C", ""), ("D", "a=b<<c"), ("E", "\n")]
     df = spark.createDataFrame(values, "key string, value string")
     text = "".join(r.text for r in kvfiles.encode_kv_rows(df).collect())
-    pairs, errors = kvfiles.parse_kv_files(spark.createDataFrame([("env", text)], "kind string, content string"))
+    read = kvfiles.parse_kv_files(spark.createDataFrame([("env", text)], "kind string, content string"))
+    pairs, errors = read.filter("error is null"), read.filter("error is not null")
     assert errors.count() == 0
     assert sorted((r.key, r.value) for r in pairs.collect()) == sorted(values)
 
@@ -148,14 +149,31 @@ def test_hash_files(spark):
     tree = {"a.txt": "1", "src/b.go": "22", "src/sub/c.go": "", "README": "x"}
     df = spark.createDataFrame([("g", p, c) for p, c in tree.items()], "g string, path string, content string")
     digest = lambda paths: hashlib.sha256(b"".join(hashlib.sha256(tree[p].encode()).digest() for p in sorted(paths))).hexdigest()
-    for native in (0, 100):
-        assert fs.hash_files(df, ["g"], native_files=native).first().hash == digest(tree)
-        picked = fs.select_files(df, ["/**/*.go", "!src/sub/*"])
-        assert fs.hash_files(picked, ["g"], native_files=native).first().hash == digest(["src/b.go"])
+    assert fs.hash_files(df, ["g"]).first().hash == digest(tree)
+    picked = fs.select_files(df, ["/**/*.go", "!src/sub/*"])
+    assert fs.hash_files(picked, ["g"]).first().hash == digest(["src/b.go"])
+    odd = [(g, p, c) for g in (None, float("nan"), 1.0, 2.0) for p, c in tree.items()]
+    got = fs.hash_files(spark.createDataFrame(odd, "g double, path string, content string"), ["g"]).collect()
+    assert len(got) == 4 and {r.hash for r in got} == {digest(tree)}
     gone = fs.hash_files(fs.select_files(df, ["nonexistent/*.xyz"]), ["g"])
     assert fs.hash_or_empty(df, gone, ["g"]).first().hash == ""
 
 
+def test_one_meaning_of_globs(spark):
+    paths = ["fr/a.md", "f/a.md", "r/a.md", "f[r]/a.md", "x/fr/a.md", "a+b.md", "fr/b.txt", "q.md"]
+    files = spark.createDataFrame([(p, "s") for p in paths], "path string, set_id string")
+    for globs in (["f[r]/*.md"], ["**/f[r]/*.md"], ["*.md", "!q.*"], ["**/*.md", "!**/fr/*"], ["/fr/?.md"], ["a+b.md"], ["[!f]*/a.md"], ["[^f]/a.md"], [r"f\[r\]/a.md"]):
+        rules = spark.createDataFrame([("s", g) for g in globs], "set_id string, pattern string")
+        want = sorted(r.path for r in fs.select_files(files, globs).collect())
+        assert sorted(r.path for r in fs.select_by_rules(files, rules).collect()) == want, globs
+
+
+def test_long_heredoc_files(spark):
+    text = "A<<E\n" + "line\r\n" * 100_000 + "E\n" + "".join(f"K{k}=v\n" for k in range(50_000)) + "B<<E\nE\n"
+    got = kvfiles.parse_kv_files(spark.createDataFrame([("env", text)], "kind string, content string"))
+    assert got.count() == 50_002 and got.filter("key = 'A'").first().value == "line\r\n" * 99_999 + "line"
+
+
 def test_templates(spark):
     d = "$"
     t = spark.createDataFrame([(1, f"é {d}{{{{ A.b }}}}|{d}{d}{{{{ a.b }}}}|{d}{{{{nope}}}}|{d}x {d}{{{{ a.b }}}}")], "tpl_id bigint, template string")
