@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cilake.functions import text as tx
 from cilake.operators.binding import bind
-from cilake.operators.running import BLOCK, BLOCK_ROWS, Run, running
+from cilake.operators.running import BLOCK_ROWS, Run, running
+from cilake.session import written
 
 # The known command names.
 COMMANDS = [
@@ -212,72 +213,35 @@ def _hide(text: Column, masks: Column) -> Column:
     return F.aggregate(ordered, text, lambda acc, m: F.replace(acc, m["m"], F.lit("***")))
 
 
-LIST_MASKS = 256
+GRAM = 4  # letters of a mask that lead to its lines; shorter masks are looked up whole
 
 
-def mask_lines(
-    lines: DataFrame,
-    masks: DataFrame,
-    text: str = "line",
-    *,
-    keys: list[str] | None = None,
-    spine: DataFrame | None = None,
-    list_masks: int = LIST_MASKS,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+def _grams(text: Column, n: Column) -> Column:
+    """Distinct substrings of `n` letters."""
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.filter(some, lambda g: F.length(g) == n))
+
+
+def mask_lines(lines: DataFrame, masks: DataFrame, text: str = "line", *, keys: list[str] | None = None) -> DataFrame:
     """Hide in `text` every mask registered earlier in the same job, as `***`.
 
-    A line hides the masks that occur in it, the longest first. Two exact ways find them:
-    * jobs with at most `list_masks` masks: the bounded list travels to each block of lines
-      (job, seq div block_rows) and is tested in place;
-    * jobs with more: each line is cut into windows of the lengths that occur among the job's
-      masks, and windows meet masks by equality, so only real hits are produced.
-    `keys` identify a line (default job_id, seq). `spine` may name a cheaper frame that holds
-    every (job_id, seq) of `lines`; only its blocks are read.
+    A line hides the masks that occur in it, the longest first. Each mask is led to its lines by one gram of its own
+    (the one with the smallest hash), met by equality with the grams of the lines of jobs that have masks; what
+    meets is then checked. So work grows with the text and the hits, not with lines times masks.
+    `keys` identify a line (default job_id, seq).
     """
     keys = keys or ["job_id", "seq"]
-    per_job = masks.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    few = masks.join(per_job.filter(F.col("_n") <= list_masks), "job_id", "left_semi")
-    block = F.floor(F.col("seq") / F.lit(block_rows)).cast("bigint")
-    lists = few.groupBy("job_id").agg(F.collect_list(F.struct("mask_seq", "mask")).alias("_masks"))
-    blocks = (spine or lines).select("job_id", block.alias(BLOCK)).distinct()
-    block_lists = blocks.join(lists, "job_id")
-    listed = lines.withColumn(BLOCK, block).join(block_lists, ["job_id", BLOCK], "left")
-    hits = F.filter(
-        F.col("_masks"), lambda m: (m["mask_seq"] < F.col("seq")) & F.contains(F.col(text), m["mask"])
-    )
-    masked = F.coalesce(_hide(F.col(text), F.transform(hits, lambda m: m["mask"])), F.col(text))
-    short = listed.withColumn(text, masked)
-
-    many = masks.join(per_job.filter(F.col("_n") > list_masks), "job_id", "left_semi")
-    found = _window_hits(lines, many, text, keys)
-    hidden = short.join(found, keys, "left")
-    return hidden.select(
-        *[
-            (F.coalesce(_hide(F.col(text), F.col("_found")), F.col(text)).alias(text) if c == text else F.col(c))
-            for c in lines.columns
-        ]
-    )
-
-
-def _window_hits(lines: DataFrame, masks: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Distinct masks found in each line, through equality of text windows."""
-    lengths = masks.groupBy("job_id").agg(F.collect_set(F.length("mask")).alias("_lengths"))
-    starts = F.sequence(F.lit(1), F.length(text) - F.col("_len") + 1)
-    windows = (
-        lines.join(lengths, "job_id")
-        .select("job_id", *[k for k in keys if k != "job_id"], text, F.explode("_lengths").alias("_len"))
-        .filter(F.length(text) >= F.col("_len"))
-        .select("job_id", *[k for k in keys if k != "job_id"],
-                F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("_len"))))
-                          ).alias("mask"))
-    )
-    return (
-        windows.join(masks, ["job_id", "mask"])
-        .filter(F.col("mask_seq") < F.col("seq"))
-        .groupBy(*keys)
-        .agg(F.collect_set("mask").alias("_found"))
-    )
+    n = F.least(F.length("mask"), F.lit(GRAM))
+    lead = F.array_min(F.transform(_grams(F.col("mask"), n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    led = masks.select("job_id", "mask", "mask_seq", n.alias("_n"), lead.alias("_gram"))
+    lengths = led.groupBy("job_id").agg(F.collect_set("_n").alias("_lengths"))
+    every = F.flatten(F.transform("_lengths", lambda k: _grams(F.col(text), k)))
+    grams = lines.join(lengths, "job_id").select(*keys, F.explode(every).alias("_gram"))
+    met = grams.join(led, ["job_id", "_gram"]).filter(F.col("mask_seq") < F.col("seq"))
+    found = met.groupBy(*keys).agg(F.collect_set("mask").alias("_found"))
+    hidden = _hide(F.col(text), F.filter("_found", lambda m: F.contains(F.col(text), m)))
+    return lines.join(found, keys, "left").select(
+        *[F.coalesce(hidden, F.col(text)).alias(text) if c == text else F.col(c) for c in lines.columns])
 
 
 def console_rows(parsed: DataFrame, debug: bool = False) -> DataFrame:
@@ -300,10 +264,11 @@ def console_rows(parsed: DataFrame, debug: bool = False) -> DataFrame:
     )
 
 
-def console_view(lines: DataFrame, *, debug: bool = False, block_rows: int = BLOCK_ROWS,
-                 list_masks: int = LIST_MASKS) -> DataFrame:
-    """What a reader sees: `(job_id, step_idx, seq, sub, text)`, masked; order by (job, seq, sub)."""
-    masks = masks_of(parse_commands(lines))
-    printed = console_rows(echo_state(lines, block_rows), debug)
-    return mask_lines(printed, masks, "text", keys=["job_id", "seq", "sub"], spine=lines, list_masks=list_masks,
-                      block_rows=block_rows)
+def console_view(lines: DataFrame, *, debug: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """What a reader sees: `(job_id, step_idx, seq, sub, text)`, masked; order by (job, seq, sub).
+
+    Lines are read and parsed once; masks and printed rows come from the written result.
+    """
+    seen = written(echo_state(lines, block_rows), "echoed")
+    masks = written(masks_of(seen), "masks")
+    return mask_lines(console_rows(seen, debug), masks, "text", keys=["job_id", "seq", "sub"])

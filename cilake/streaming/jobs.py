@@ -72,8 +72,7 @@ def read_env(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out/env").groupBy("job_id", "key").agg(F.max_by("value", "batch").alias("value"))
 
 
-def stream_masking(lines: DataFrame, root: str, *, debug: bool = False, block_rows: int = BLOCK_ROWS,
-                   list_masks: int = ll.LIST_MASKS) -> None:
+def stream_masking(lines: DataFrame, root: str, *, debug: bool = False, block_rows: int = BLOCK_ROWS) -> None:
     """Console rows, masked, to output `console`; state: masks seen per job and echo flag per step.
 
     Later batches hold later lines of a job.
@@ -86,8 +85,7 @@ def stream_masking(lines: DataFrame, root: str, *, debug: bool = False, block_ro
         old = state["echo"].select("job_id", "step_idx", F.col("flag").alias("_old"))
         seen = ll.echo_flags(batch, block_rows).join(old, ["job_id", "step_idx"], "left").withColumn(
             "echo", F.coalesce("flag", "_old", F.lit(0)) == 1).drop("flag", "_old")
-        view = ll.mask_lines(ll.console_rows(seen, debug), masks, "text", keys=["job_id", "seq", "sub"], spine=batch,
-                             list_masks=list_masks, block_rows=block_rows)
+        view = ll.mask_lines(ll.console_rows(seen, debug), masks, "text", keys=["job_id", "seq", "sub"])
         latest = bind(parsed, _flag=ll.echo_flag()).filter(F.col("_flag").isNotNull()).groupBy("job_id", "step_idx").agg(
             F.max_by("_flag", "seq").alias("_new"))
         flags = latest.join(old, ["job_id", "step_idx"], "full_outer").select(

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cilake.operators.running import Run, last_per_key, numbered, ordered_text, running
+from cilake.operators.running import Run, block_bounds, block_of, join_same, last_per_key, numbered, ordered_text, running
 
 
 def rows(seed=7, n=400):
@@ -34,6 +34,28 @@ def test_running_matches_a_loop(spark):
             assert got == brute(data, inclusive), (inclusive, block)
 
 
+def test_blocks_of_any_order(spark):
+    rnd = random.Random(3)
+    sparse = [(None if i % 2 else 5, None, 10**12 * rnd.randrange(10**5) + i, i) for i in range(3000)]  # NULL keys, far apart
+    tied = [(7, "x", 1, i) for i in range(2000)]  # all equal but for the tie column
+    flat = [(8, "y", 1, 3) for _ in range(500)]  # fully tied
+    df = spark.createDataFrame(sparse + tied + flat, "g int, h string, o bigint, t bigint")
+    got = numbered(df, ["g", "h"], "o", "n", ties=["t"], block_rows=100).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.g, r.h), []).append((r.n, r.o, r.t))
+    assert len(got) == 5500
+    for g in groups.values():
+        g.sort()
+        assert [x[0] for x in g] == list(range(len(g))) and [x[1:] for x in g] == sorted(x[1:] for x in g)
+    rank = F.struct("o", "t")
+    bounds = block_bounds(df, ["g", "h"], rank, 100)
+    blocks = join_same(df, bounds, ["g", "h"]).select("g", block_of(rank, F.col("_bounds")).alias("b"))
+    sizes = {(r.g, r.b): r["count"] for r in blocks.groupBy("g", "b").count().collect()}
+    assert len(sizes) <= 4 + 5500 // 100 and max(n for (g, _), n in sizes.items() if g != 8) < 300
+    assert block_bounds(df, ["g", "h"], rank, 10_000) is None
+
+
 def test_numbered_and_text(spark):
     data = rows()
     df = spark.createDataFrame(data, "g int, o bigint, v bigint")

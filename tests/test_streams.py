@@ -74,7 +74,7 @@ def test_env(spark):
 
 def test_masking_over_batches(spark):
     df, r = log(spark), root()
-    st.stream_masking(as_stream(spark, df, "seq"), r, block_rows=16, list_masks=2)
+    st.stream_masking(as_stream(spark, df, "seq"), r, block_rows=16)
     pick = lambda d: sorted((x.seq, x.sub, x.text) for x in d.collect())
     assert pick(result(spark, r, "console")) == pick(ll.console_view(df))
 
