@@ -132,7 +132,12 @@ def error_of(allowed: Column | None = None) -> Column:
 
 
 def command_errors(lines: DataFrame, allowed: Column | None = None) -> DataFrame:
-    """Rows of commands that fail, with the reason. Filters the command names before the rest."""
+    """Rows of commands that fail, with the reason. Filters the command names before the rest.
+
+    `allowed` tells whether set-env may run; by default the `allowed` column of the lines, if they have one.
+    """
+    if allowed is None and "allowed" in lines.columns:
+        allowed = F.col("allowed")
     parsed = classify_lines(parse_commands(lines)).filter(
         F.col("effect").isin("env", "output", "state", "path", "echo")
     )
@@ -248,6 +253,8 @@ def console_rows(parsed: DataFrame, debug: bool = False) -> DataFrame:
     """Printed rows before masking: an echoed raw command first (sub 0), then the line's own text (sub 1..)."""
     p = classify_lines(parsed)
     echoed = F.col("echo") & F.col("effect").isin("env", "output", "state", "path", "group", "endgroup", "echo")
+    if "allowed" in parsed.columns:  # a refused set-env is not echoed
+        echoed = echoed & ((F.col("effect") != "env") | F.col("allowed"))
     raw = F.coalesce(F.col("raw"), F.col("line"))
     pieces = F.split(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\n", -1)
     own = (
@@ -267,7 +274,8 @@ def console_rows(parsed: DataFrame, debug: bool = False) -> DataFrame:
 def console_view(lines: DataFrame, *, debug: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """What a reader sees: `(job_id, step_idx, seq, sub, text)`, masked; order by (job, seq, sub).
 
-    Lines are read and parsed once; masks and printed rows come from the written result.
+    Lines are read and parsed once; masks and printed rows come from the written result. Lines with an
+    `allowed` column (see `writes.with_gate`) leave out what a closed gate refuses.
     """
     seen = written(echo_state(lines, block_rows), "echoed")
     masks = written(masks_of(seen), "masks")

@@ -201,9 +201,9 @@ def _(s: Source):
     return s.ad("STEP").select("job_id", "pos", dc.shell_command(F.col("shell"), F.col("run")).alias("command"))
 
 
-@query("m17_action_kind", f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 1 THEN 'node' WHEN 2 THEN 'docker' ELSE 'composite' END AS kind {_O} WHERE o_orderkey % 5 <> 0")
+@query("m17_action_kind", f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'invalid' WHEN 1 THEN 'node' WHEN 2 THEN 'docker' ELSE 'composite' END AS kind {_O}")
 def _(s: Source):
-    using = bind(s.ad("ACTION"), u=F.get_json_object("doc", "$.runs.using")).filter(F.col("u").isNotNull())
+    using = bind(s.ad("ACTION"), u=F.coalesce(F.get_json_object("doc", "$.runs.using"), F.lit("")))
     return using.select("doc_id", dc.action_kind(F.col("u")).alias("kind"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cilake.functions import text as tx
+from cilake.operators import envstate as es
 from cilake.operators import loglines as ll
+from cilake.operators import writes as wr
 from cilake.plans.registry import Source, query
 from cilake.session import shared_dir
 from cilake.sources import framing, sinks
@@ -98,6 +100,53 @@ def _(s: Source):
     return ll.command_errors(s.ad("LOG")).select("job_id", "seq", "error")
 
 
+# jobs whose set-env lines count: no line and no file of the log changes the gate
+_OPEN = "(SELECT job_id FROM ({INITIAL}) WHERE key = 'ACTIONS_ALLOW_UNSECURE_COMMANDS')"
+
+
+def _gated(s: Source):
+    lines = s.ad("LOG")
+    return wr.with_gate(lines, wr.gate_of_steps(lines, s.ad("INITIAL")))
+
+
+@query("l7_gated_errors", f"""SELECT job_id, seq, CASE WHEN command = 'set-env' AND job_id NOT IN {_OPEN} THEN 'set-env is disabled' ELSE error END AS error
+FROM (SELECT *, {_ERROR} AS error FROM ({{PARSED}})) WHERE error IS NOT NULL OR (command = 'set-env' AND job_id NOT IN {_OPEN})""")
+def _(s: Source):
+    return ll.command_errors(_gated(s)).select("job_id", "seq", "error")
+
+
+# well-formed write commands
+_SET = """(SELECT job_id, step_idx, seq, command, CASE WHEN command <> 'add-path' THEN regexp_extract(prop_text, 'name=([^,]*)', 1) END AS key, data AS value FROM ({PARSED})
+  WHERE command IN ('set-env', 'set-output') AND regexp_extract(prop_text, 'name=([^,]*)', 1) <> '' OR command = 'add-path' AND data <> '')"""
+
+
+@query("e_lines_to_writes", f"""
+SELECT job_id, step_idx, seq AS ord, CASE command WHEN 'set-env' THEN 'env' WHEN 'set-output' THEN 'output' ELSE 'path' END AS kind, key, value FROM {_SET}
+WHERE command <> 'set-env' OR job_id IN {_OPEN}""")
+def _(s: Source):
+    return wr.writes_of(s.ad("LOG"), s.ad("INITIAL"))
+
+
+@query("e_lines_to_final_env", f"""
+SELECT job_id, key, arg_max(value, seq) AS value FROM {_SET} WHERE command = 'set-env' AND job_id IN {_OPEN} GROUP BY job_id, key""")
+def _(s: Source):
+    return es.final_env(wr.writes_of(s.ad("LOG"), s.ad("INITIAL")))
+
+
+@query("e_lines_and_files_to_env", f"""
+WITH c AS (SELECT job_id, step_idx, seq AS ord, key, value FROM {_SET} WHERE command = 'set-env'),
+w AS (SELECT job_id, step_idx, ord, value FROM ({{KV}}) WHERE kind = 'env' AND key = 'ACTIONS_ALLOW_UNSECURE_COMMANDS'),
+g AS (SELECT c.job_id, c.step_idx, arg_max(w.value, struct_pack(a := w.step_idx, b := w.ord)) AS seen FROM (SELECT DISTINCT job_id, step_idx FROM c) c
+  LEFT JOIN w ON w.job_id = c.job_id AND w.step_idx < c.step_idx GROUP BY ALL),
+a AS (SELECT c.* FROM c JOIN g USING (job_id, step_idx) WHERE job_id IN {_OPEN} OR seen IN ('1', 't', 'T', 'TRUE', 'true', 'True')
+  UNION ALL SELECT job_id, step_idx, ord + 1000000000, key, value FROM ({{KV}}) WHERE kind = 'env')
+SELECT job_id, key, arg_max(value, struct_pack(a := step_idx, b := ord)) AS value FROM a GROUP BY job_id, key""")
+def _(s: Source):
+    # a step's files are read after its lines
+    files = s.ad("KV").withColumn("ord", F.col("ord") + 1_000_000_000)
+    return es.final_env(wr.writes_of(s.ad("LOG"), s.ad("INITIAL"), files))
+
+
 @query("l8_debug_lines", """
 SELECT job_id, seq, CAST(0 AS BIGINT) AS sub, concat('##[debug] ', raw) AS text FROM ({PARSED}) WHERE command = 'debug'""")
 def _(s: Source):
@@ -125,6 +174,18 @@ def _(s: Source):
     return view.select("job_id", "seq", F.col("sub").cast("bigint").alias("sub"), "text")
 
 
+@query("l9_gated_view", f"""
+WITH e AS ({_ECHO}), lines AS (
+  SELECT job_id, seq, CAST(0 AS BIGINT) AS sub, raw AS text FROM e WHERE echo AND command IN ('set-env', 'set-output', 'save-state', 'add-path', 'group', 'endgroup', 'echo')
+  AND (command <> 'set-env' OR job_id IN {_OPEN})
+  UNION ALL SELECT job_id, seq, 1, CASE WHEN command IS NULL THEN line WHEN command = 'group' THEN concat('##[group]', data) ELSE concat('##[endgroup]', data) END
+  FROM e WHERE command IS NULL OR command IN ('group', 'endgroup')), masks AS {_HIDE}
+{_MASKED}""")
+def _(s: Source):
+    view = ll.console_view(_gated(s))
+    return view.select("job_id", "seq", F.col("sub").cast("bigint").alias("sub"), "text")
+
+
 @query("l10_annotations", """
 SELECT job_id, seq, command AS level, data AS message, CASE WHEN form = 'v2' THEN regexp_extract(prop_text, 'file=([^,]*)', 1) END AS file,
   CASE WHEN form = 'v2' THEN regexp_extract(prop_text, 'line=([^,]*)', 1) END AS file_line,

@@ -240,9 +240,13 @@ _RENDERED = """concat('Hi ', c_name, ' of ', n_name, ', seg ', c_mktsegment, CAS
 
 
 @query("p12_render_templates", f"""
-SELECT c_custkey AS ctx_id, CAST(c_nationkey AS BIGINT) AS tpl_id, {_RENDERED} AS text FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+SELECT c_custkey AS ctx_id, CAST(c_nationkey AS BIGINT) AS tpl_id, CASE WHEN n_nationkey % 5 <> 0 THEN concat({_RENDERED}, ' it''s ', c_name, ' 7') END AS text,
+  CASE WHEN n_nationkey % 5 = 0 THEN 'no value: format(''x'', a.b)' END AS error FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def _(s: Source):
-    return tp.render_templates(s.ad("TPL"), s.ad("CTX"))
+    # quoted texts and bracketed names are values too; a call is not
+    more = F.concat(F.lit(" $" + "{{ 'it''s' }} $" + "{{ Customer['NAME'] }} $" + "{{7}}"),
+                    F.when(F.expr("tpl_id % 5 = 0"), " $" + "{{ format('x', a.b) }}").otherwise(""))
+    return tp.render_templates(s.ad("TPL").withColumn("template", F.concat("template", more)), s.ad("CTX"))
 
 
 @query("j9_lookup_context", """
@@ -255,11 +259,13 @@ def _(s: Source):
 
 
 @query("p13_evaluate_env", """
-SELECT c_custkey AS wf_id, 'NAME' AS key, c_name AS value FROM customer
-UNION ALL SELECT c_custkey, 'GREETING', concat('hi ', c_name, '!') FROM customer
-UNION ALL SELECT c_custkey, 'SEG', CASE WHEN c_custkey % 2 = 0 THEN concat('<', c_mktsegment, '>') ELSE c_mktsegment END FROM customer""")
+SELECT c_custkey AS wf_id, 'NAME' AS key, c_name AS value, CAST(NULL AS VARCHAR) AS error FROM customer
+UNION ALL SELECT c_custkey, 'GREETING', CASE WHEN c_custkey % 7 <> 0 THEN concat('hi ', c_name, '!') END, CASE WHEN c_custkey % 7 = 0 THEN 'no value: a == b' END FROM customer
+UNION ALL SELECT c_custkey, 'SEG', CASE WHEN c_custkey % 2 = 0 THEN concat('<', c_mktsegment, '>') ELSE c_mktsegment END, NULL FROM customer""")
 def _(s: Source):
-    return tp.evaluate_env(s.ad("WFENV"), s.ad("GLOBALENV"))
+    broken = (F.col("key") == "GREETING") & F.expr("wf_id % 7 = 0")
+    declared = s.ad("WFENV").withColumn("value", F.when(broken, "$" + "{{ a == b }}").otherwise(F.col("value")))
+    return tp.evaluate_env(declared, s.ad("GLOBALENV"))
 
 
 # ---- expressions ----------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,24 +32,29 @@ def local_session(cores: str = "8", memory: str = "12g", name: str = "cilake") -
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
-    Only where the session names none (a local run) does this fall back to a temporary folder.
+    Only where the session names none and runs in one process (tests) does this fall back to a temporary folder. All
+    folders of an application lie together under its id, to be removed when it has ended.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not in_one_process(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="cilake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/cilake/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/cilake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def in_one_process(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master) is not None
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split a scan of few, small files over all cores before row-wise parsing.
+    """In a one-process session, deal a test table of one row group over all cores before row-wise parsing.
 
-    A scan that already has a partition per core (any large table) is left alone.
+    On a cluster scans are left to `spark.sql.files.*`.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism) if in_one_process(spark) else df
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -174,6 +174,15 @@ def test_long_heredoc_files(spark):
     assert got.count() == 50_002 and got.filter("key = 'A'").first().value == "line\r\n" * 99_999 + "line"
 
 
+def test_template_values(spark):
+    d = "$"
+    cases = [("'lit'", "lit", None), ("'it''s'", "it's", None), ("A['b']", "V", None), ("a.b", "V", None), ("true", "true", None), ("-1.5", "-1.5", None),
+             ("null", "", None), ("a[0].c", "W", None), ("a == b", None, "no value: a == b"), ("f('x')", None, "no value: f('x')"), ("", None, "no value: ")]
+    t = spark.createDataFrame([(k, f"{d}{{{{ {body} }}}}") for k, (body, _, _) in enumerate(cases)], "tpl_id bigint, template string")
+    c = spark.createDataFrame([(1, k, p, v) for k in range(len(cases)) for p, v in (("a.b", "V"), ("a[0].c", "W"))], "ctx_id bigint, tpl_id bigint, path string, value string")
+    assert {r.tpl_id: (r.text, r.error) for r in tp.render_templates(t, c).collect()} == {k: (x, e) for k, (_, x, e) in enumerate(cases)}
+
+
 def test_templates(spark):
     d = "$"
     t = spark.createDataFrame([(1, f"é {d}{{{{ A.b }}}}|{d}{d}{{{{ a.b }}}}|{d}{{{{nope}}}}|{d}x {d}{{{{ a.b }}}}")], "tpl_id bigint, template string")
