@@ -96,47 +96,51 @@ def matrix_exclude(combos: DataFrame, excludes: DataFrame, dims: DataFrame) -> D
     """Drop every combination on which some exclude agrees; rules with an unknown key are ignored here."""
     bad = check_exclude_keys(dims, excludes).select("job_id", "rule_pos").distinct()
     rules = _signed(excludes.join(bad, ["job_id", "rule_pos"], "left_anti"), dims)
-    dropped = _projected(_wide(combos), rules).join(
-        rules.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi"
-    ).select("job_id", "combo").distinct()
+    dropped = rule_hits(combos, rules).select("job_id", "combo").distinct()
     return combos.join(dropped, ["job_id", "combo"], "left_anti")
 
 
-def matrix_include(combos: DataFrame, includes: DataFrame, dims: DataFrame) -> DataFrame:
+def rule_hits(combos: DataFrame, rules: DataFrame) -> DataFrame:
+    """(job_id, combo, keyset, sig) of combinations on which a rule (see `_signed`) agrees."""
+    return _projected(_wide(combos), rules).join(
+        rules.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi")
+
+
+def matrix_include(combos: DataFrame, includes: DataFrame, dims: DataFrame, rules: DataFrame | None = None,
+                   hits: DataFrame | None = None) -> DataFrame:
     """Combinations with the added keys of every include that agrees on the original dimensions.
 
-    Later includes win per added key; includes are reduced per (key set, signature, key) first.
+    Later includes win per added key; includes are reduced per (key set, signature, key) first. `rules` and
+    `hits` may be handed in where they are needed again.
     """
-    rules = _signed(includes, dims)
+    rules = _signed(includes, dims) if rules is None else rules
+    hits = rule_hits(combos, rules) if hits is None else hits
     added = (
         includes.join(dims.select("job_id", "dim").distinct(), ["job_id", "dim"], "left_anti")
         .join(rules, ["job_id", "rule_pos"])
         .groupBy("job_id", "keyset", "sig", "dim")
         .agg(F.max_by("value", "rule_pos").alias("value"), F.max("rule_pos").alias("rule_pos"))
     )
-    merged = (
-        _projected(_wide(combos), rules)
-        .join(added, ["job_id", "keyset", "sig"])
-        .groupBy("job_id", "combo", "dim")
-        .agg(F.max_by("value", "rule_pos").alias("value"))
-    )
+    merged = hits.join(added, ["job_id", "keyset", "sig"]).groupBy("job_id", "combo", "dim").agg(
+        F.max_by("value", "rule_pos").alias("value"))
     return combos.select("job_id", "combo", "dim", "value").unionByName(merged)
 
 
-def unmatched_includes(combos: DataFrame, includes: DataFrame, dims: DataFrame) -> DataFrame:
+def unmatched_includes(rules: DataFrame, hits: DataFrame) -> DataFrame:
     """Include rules that agree with no combination of their job."""
-    rules = _signed(includes, dims)
-    present = _projected(_wide(combos), rules).select("job_id", "keyset", "sig").distinct()
-    return rules.join(present, ["job_id", "keyset", "sig"], "left_anti").select("job_id", "rule_pos")
+    return rules.join(hits.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_anti").select("job_id", "rule_pos")
 
 
-def matrix_extra(jobs: DataFrame, combos: DataFrame, includes: DataFrame, dims: DataFrame) -> DataFrame:
+def matrix_extra(jobs: DataFrame, combos: DataFrame, includes: DataFrame, dims: DataFrame, rules: DataFrame | None = None,
+                 hits: DataFrame | None = None) -> DataFrame:
     """Rows to append: unmatched includes as combinations of their own (numbered after the product),
     and one empty combination (dim NULL) for a job left with nothing."""
     totals = jobs.select("job_id").distinct().join(
         _radix(dims).select("job_id", "total"), "job_id", "left"
     ).select("job_id", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"))
-    extra = includes.join(unmatched_includes(combos, includes, dims), ["job_id", "rule_pos"], "left_semi").join(
+    rules = _signed(includes, dims) if rules is None else rules
+    hits = rule_hits(combos, rules) if hits is None else hits
+    extra = includes.join(unmatched_includes(rules, hits), ["job_id", "rule_pos"], "left_semi").join(
         totals, "job_id"
     ).select("job_id", (F.col("total") + F.col("rule_pos")).alias("combo"), "dim", "value")
     filled = combos.select("job_id").unionByName(extra.select("job_id")).distinct()
@@ -150,7 +154,7 @@ def expand_matrix(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, include
                   empty_dims: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(combinations in long form, jobs in error). A job with an unknown exclude key has no combinations.
 
-    The product and the kept combinations feed several joins each, so both are written once.
+    What feeds several joins (product, kept combinations, include rules and what they agree with) is written once.
     """
     errors = written(check_exclude_keys(dims, excludes), "matrix-errors")
     bad = errors.select("job_id").distinct()
@@ -158,7 +162,9 @@ def expand_matrix(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, include
     jobs, dims, includes = fine(jobs), fine(dims), fine(includes)
     product = written(matrix_product(dims, empty_dims), "matrix-product")
     kept = written(matrix_exclude(product, excludes, dims), "matrix-kept")
-    return matrix_include(kept, includes, dims).unionByName(matrix_extra(jobs, kept, includes, dims)), errors
+    rules = written(_signed(includes, dims), "matrix-rules")
+    hits = written(rule_hits(kept, rules), "matrix-hits")
+    return matrix_include(kept, includes, dims, rules, hits).unionByName(matrix_extra(jobs, kept, includes, dims, rules, hits)), errors
 
 
 def matrix_index(combos: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

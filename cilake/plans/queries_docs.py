@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from cilake.functions import dynamic as dy
 from cilake.operators import documents as dc
 from cilake.operators import envstate as es
+from cilake.operators import matrix as mx
 from cilake.operators import quality as ql
 from cilake.operators import steps as sp
+from cilake.operators import strategy as sg
 from cilake.operators import expressions as ex
 from cilake.operators.binding import bind
 from cilake.plans.registry import Source, query
@@ -28,6 +30,36 @@ _O = "FROM orders"
 _MAP = "o_orderkey % 3 = 2"
 
 
+# ---- strategies -----------------------------------------------------------------------------
+
+_STRATEGY_DOC = """concat('{"jobs":{"b":{"strategy":{', CASE WHEN o_custkey % 3 = 0 THEN '"fail-fast":false,' ELSE '' END, '"max-parallel":', o_custkey % 5,
+  ',"matrix":{"os":["l","w"],"v":[1,"1",', o_orderkey % 3, '],"exclude":[{"os":"l","v":1}],"include":[{"os":"w","v":"1","x":true},{"v":9}]}}}}}')"""
+
+
+def _strategy(s: Source):
+    docs = bind(s.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_STRATEGY_DOC).alias("text")),
+                doc=dy.from_json_(F.col("text"))).drop("text")
+    return sg.strategy_of(dc.jobs(docs), F.concat_ws("/", "doc_id", "job_id"))
+
+
+@query("e_documents_to_matrix", """
+WITH c AS (SELECT concat(o_orderkey, '/b') AS job_id, os, v, CASE v WHEN 0 THEN '1' WHEN 1 THEN '"1"' ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS vv
+  FROM orders, (VALUES (0), (1)) a(os), (VALUES (0), (1), (2)) b(v)),
+k AS (SELECT job_id, CAST(os * 3 + v AS BIGINT) AS combo, CASE os WHEN 0 THEN '"l"' ELSE '"w"' END AS o, vv FROM c WHERE NOT (os = 0 AND vv = '1'))
+SELECT job_id, combo, 'os' AS dim, o AS value FROM k UNION ALL SELECT job_id, combo, 'v', vv FROM k
+UNION ALL SELECT concat(o_orderkey, '/b'), 4, 'x', 'true' FROM orders UNION ALL SELECT concat(o_orderkey, '/b'), 7, 'v', '9' FROM orders""")
+def _(s: Source):
+    g = _strategy(s)
+    dims, excludes, includes = (written(df, "strategy") for df in (g.dims, g.excludes, g.includes))
+    return mx.expand_matrix(g.jobs.select("job_id"), dims, excludes, includes, g.empty_dims)[0]
+
+
+@query("e_documents_to_strategy", """
+SELECT concat(o_orderkey, '/b') AS job_id, o_custkey % 3 <> 0 AS fail_fast, CAST(o_custkey % 5 AS INTEGER) AS max_parallel FROM orders""")
+def _(s: Source):
+    return _strategy(s).jobs
+
+
 # ---- loading --------------------------------------------------------------------------------
 
 @query("s7_load_workflows", """
