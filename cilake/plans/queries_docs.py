@@ -123,10 +123,11 @@ def _(s: Source):
 
 
 @query("m4_call_interface", f"""
-SELECT o_orderkey AS doc_id, 'input' AS port, 'tag' AS name, true AS required, 'string' AS type, CAST(NULL AS VARCHAR) AS value {_O} WHERE {_MAP}
-UNION ALL SELECT o_orderkey, 'output', 'url', false, NULL, 'u' {_O} WHERE {_MAP}""")
+SELECT o_orderkey AS doc_id, 'input' AS port, 'tag' AS name, true AS required, 'string' AS type, CAST(NULL AS VARCHAR) AS value,
+  CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS default_value {_O} WHERE {_MAP}
+UNION ALL SELECT o_orderkey, 'output', 'url', false, NULL, 'u', NULL, NULL {_O} WHERE {_MAP}""")
 def _(s: Source):
-    return dc.call_interface(_docs(s)).drop("description", "default_value")
+    return dc.call_interface(_docs(s))
 
 
 _USES = """CASE o_custkey % 4 WHEN 0 THEN './.github/workflows/t.yml' WHEN 1 THEN 'o/r/.github/workflows/t.yaml@v1' WHEN 2 THEN 'o/r' ELSE '' END"""
@@ -145,10 +146,10 @@ def _(s: Source):
 
 
 @query("m6_steps", f"""
-SELECT o_orderkey AS doc_id, 'build' AS job_id, CAST(0 AS BIGINT) AS pos, 's1' AS id, '' AS name, 'make' AS run, '' AS uses {_O}
-UNION ALL SELECT o_orderkey, 'build', 1, '', '', '', 'o/r@v4' {_O}""")
+SELECT o_orderkey AS doc_id, 'build' AS job_id, CAST(0 AS BIGINT) AS pos, 's1' AS id, '' AS name, 'make' AS run, '' AS uses, '' AS shell {_O}
+UNION ALL SELECT o_orderkey, 'build', 1, '', '', '', 'o/r@v4', '' {_O}""")
 def _(s: Source):
-    return dc.steps(_jobs(s)).drop("step", "shell")
+    return dc.steps(_jobs(s)).drop("step")
 
 
 @query("m7_needs_edges", f"""
@@ -240,11 +241,13 @@ def _(s: Source):
 
 
 @query("m18_action_ports", f"""
-SELECT o_orderkey AS doc_id, 'input' AS port, 'tag' AS name, 't' AS description, o_custkey % 2 = 0 AS required {_O}
-UNION ALL SELECT o_orderkey, 'output', 'url', 'u', false {_O}""")
+SELECT o_orderkey AS doc_id, 'input' AS port, 'tag' AS name, 't' AS description, o_custkey % 2 = 0 AS required,
+  CASE o_custkey % 9 WHEN 1 THEN concat('$', '{{{{ github.ref }}}}') WHEN 2 THEN concat('$', '{{{{ secrets.x }}}}') ELSE 'v1' END AS default_value, CAST(NULL AS VARCHAR) AS value {_O}
+UNION ALL SELECT o_orderkey, 'output', 'url', 'u', false, NULL, CASE o_custkey % 9 WHEN 3 THEN concat('$', '{{{{ contains(steps.a) }}}}') WHEN 4 THEN concat('$', '{{{{ nope(1) }}}}')
+  ELSE concat('$', '{{{{ steps.s.outputs.url }}}}') END {_O}""")
 def _(s: Source):
     docs = bind(s.ad("ACTION"), _v=dy.from_json_(F.col("doc"))).select("doc_id", F.col("_v").alias("doc"))
-    return dc.action_ports(docs).select("doc_id", "port", "name", "description", "required")
+    return dc.action_ports(docs)
 
 
 # ---- steps and jobs -------------------------------------------------------------------------
@@ -448,7 +451,8 @@ _JOB_KEYS = ["name", "needs", "runs-on", "env", "if", "steps", "timeout-minutes"
 
 @query("j12_lint_properties", f"""
 SELECT o_orderkey AS doc_id, 'build' AS job_id, 'colour' AS key, 'key not declared' AS type {_O} WHERE o_custkey % 7 = 0
-UNION ALL SELECT o_orderkey, 'build', 'runs-on', 'job value' {_O} UNION ALL SELECT o_orderkey, 'test', 'needs', 'job value' {_O}
+UNION ALL SELECT o_orderkey, 'build', unnest(['name', 'runs-on', 'env', 'steps']), 'job value' {_O} UNION ALL SELECT o_orderkey, 'test', unnest(['needs', 'if', 'uses']), 'job value' {_O}
+UNION ALL SELECT o_orderkey, 'build', 'container', 'job value' {_O} WHERE o_custkey % 4 IN (0, 1) UNION ALL SELECT o_orderkey, 'build', 'secrets', 'job value' {_O} WHERE o_custkey % 3 IN (0, 1)
 UNION ALL SELECT o_orderkey, 'build', 'A', 'string' {_O} WHERE o_custkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'build', 'B', 'string' {_O} WHERE o_custkey % 5 <> 0""")
 def _(s: Source):
     jobs = _jobs(s)
@@ -460,6 +464,5 @@ def _(s: Source):
     nodes = jobs.select("doc_id", "job_id", F.inline(F.concat(keys, F.coalesce(env, none))))
     allowed = s.spark.createDataFrame([("job", k, "job value") for k in _JOB_KEYS], "definition string, key string, type string")
     loose = s.spark.createDataFrame([("env", "string")], "definition string, loose_type string")
-    shown = F.col("key").isin("colour", "runs-on", "needs", "A", "B")
-    return ex.lint_properties(nodes, allowed, loose).filter(shown).select("doc_id", "job_id", "key", "type")
+    return ex.lint_properties(nodes, allowed, loose).select("doc_id", "job_id", "key", "type")
 

@@ -10,7 +10,7 @@ from cilake.operators import envstate as es
 from cilake.operators import files as fs
 from cilake.operators import matrix as mx
 from cilake.operators import records as rc
-from cilake.operators.running import ordered_text
+from cilake.operators.running import numbered, ordered_text
 from cilake.plans.registry import Source, query
 from cilake.session import shared_dir, written
 from cilake.sources import framing, kvfiles
@@ -365,11 +365,10 @@ def _(s: Source):
     return s.table("documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@query("o1_sort_by_path", "SELECT lang, string_agg(path, ',' ORDER BY path) AS paths FROM ({FILE}) GROUP BY lang")
+@query("o1_sort_by_path", "SELECT lang, path, row_number() OVER (PARTITION BY lang ORDER BY path) - 1 AS position FROM ({FILE})")
 def _(s: Source):
-    # a globally sorted write keeps byte order; the check reads each language's paths back in order
-    ordered = s.ad("FILE").select("lang", "path").orderBy("path")
-    return ordered.groupBy("lang").agg(F.expr("listagg(path, ',') within group (order by path)").alias("paths"))
+    # byte order of the paths, as the position of each in its language
+    return numbered(s.ad("FILE").select("lang", "path"), ["lang"], "path", "position", block_rows=100)
 
 
 # ---- log records ----------------------------------------------------------------------------
