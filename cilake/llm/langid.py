@@ -71,7 +71,8 @@ def fit_text(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: st
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).withColumn("_n", F.row_number().over(order))
-    ids = ids.filter(F.col("_n") <= rows).select("doc_id", "lang").distinct()
+    # written, so that its small size is known and the texts stay where they are
+    ids = written(ids.filter(F.col("_n") <= rows).select("doc_id", "lang").distinct(), "sample")
     picked = known.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id").select("lang", "text")
 
     def count(batches):
