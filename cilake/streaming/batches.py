@@ -1,50 +1,71 @@
 """Stateful streams as micro-batches over state tables.
 
-Each micro-batch reads the state its predecessor wrote, runs the batch operators (so a hot job or
-stream is split over tasks exactly as in a batch job, with no Python state), and writes its output
-and the next state into folders named by batch id. A batch that is replayed after a failure
-overwrites the same folders with the same rows, which makes the result exactly-once.
+Each micro-batch reads the state, runs the batch operators (so a hot job or stream is split over tasks exactly as in
+a batch job, with no Python state), and writes its output and the rows of state it changed into folders named by batch
+id. State is the merge of changes; every `compact` batches the merge is written whole, and later batches
+read that and the changes since, so what a batch writes follows its input, and what it reads stays bounded by the
+live state. A batch that is replayed after a failure overwrites the same folders with the same rows, which makes the
+result exactly-once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+COMPACT = 16
 State = dict[str, DataFrame]
 Step = Callable[[DataFrame, State], tuple[State, State]]
 
 
-def run_batches(stream: DataFrame, root: str, step: Step, start: Callable[[SparkSession], State]) -> None:
-    """Drive the stream over all available input. `step(batch, state)` gives (outputs, next state) by name."""
+@dataclass(frozen=True)
+class Kept:
+    """One state table: its schema, and how changes (its rows with a `batch`) merge into current rows."""
+
+    schema: str
+    merge: Callable[[DataFrame], DataFrame]
+
+
+def state_before(spark: SparkSession, root: str, name: str, kept: Kept, batch_id: int, compact: int = COMPACT) -> DataFrame:
+    """The state that a batch finds; which folders hold it follows from the batch id alone."""
+    whole = batch_id // compact * compact - 1
+    paths = [f"{root}/state/{name}/batch={b}" for b in range(whole + 1, batch_id)]
+    paths += [f"{root}/whole/{name}/batch={whole}"] if whole >= 0 else []
+    schema = f"{kept.schema}, batch bigint"
+    return kept.merge(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))
+
+
+def run_batches(stream: DataFrame, root: str, step: Step, states: dict[str, Kept], trigger: dict | None = None,
+                compact: int = COMPACT) -> None:
+    """Drive the stream. `step(batch, state)` gives (outputs, changes of state) by name.
+
+    `trigger` are the arguments of `DataStreamWriter.trigger`; by default all available input is read and the call returns.
+    """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = start(spark)
-        if batch_id > 0:
-            state = {n: spark.read.schema(df.schema).parquet(f"{root}/state/{n}/batch={batch_id - 1}")
-                     for n, df in state.items()}
-        outputs, following = step(batch, state)
+        state = {n: state_before(spark, root, n, k, batch_id, compact) for n, k in states.items()}
+        outputs, changes = step(batch, state)
         for name, df in outputs.items():
             df.write.mode("overwrite").parquet(f"{root}/out/{name}/batch={batch_id}")
-        for name, df in following.items():
-            df.write.mode("overwrite").parquet(f"{root}/state/{name}/batch={batch_id}")
+        for name, df in changes.items():
+            rows = df.withColumn("batch", F.lit(batch_id).cast("bigint"))
+            rows.write.mode("overwrite").parquet(f"{root}/state/{name}/batch={batch_id}")
+        if (batch_id + 1) % compact == 0:
+            for name, kept in states.items():
+                changes = spark.read.parquet(f"{root}/state/{name}/batch={batch_id}").select(*state[name].columns)
+                merged = kept.merge(state[name].withColumn("batch", F.lit(batch_id - 1).cast("bigint")).unionByName(
+                    changes.withColumn("batch", F.lit(batch_id).cast("bigint"))))
+                merged.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+                    f"{root}/whole/{name}/batch={batch_id}")
 
-    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint").trigger(
-        availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
 
 
 def result(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Everything the batches put out under a name, with its `batch`."""
     return spark.read.parquet(f"{root}/out/{name}")
-
-
-def final_state(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The state of the last batch (the partition column picks it without reading the others)."""
-    from pyspark.sql import functions as F
-
-    states = spark.read.parquet(f"{root}/state/{name}")
-    last = states.agg(F.max("batch").alias("batch"))
-    return states.join(last, "batch", "left_semi").drop("batch")

@@ -9,22 +9,23 @@ from cilake.operators import loglines as ll
 from cilake.operators.binding import bind
 from cilake.operators.running import BLOCK_ROWS
 from cilake.sources.framing import fragments, number_fragments
-from cilake.streaming.batches import run_batches
+from cilake.streaming.batches import Kept, run_batches
 
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def stream_commands(lines: DataFrame, root: str) -> None:
+def stream_commands(lines: DataFrame, root: str, trigger: dict | None = None) -> None:
     """Stateless: lines to classified commands, appended to `root/out`."""
     parsed = ll.classify_lines(ll.parse_commands(lines))
     query = parsed.writeStream.format("parquet").option("path", f"{root}/out").option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        "checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
 
 
-def stream_framing(chunks: DataFrame, root: str, block_rows: int = BLOCK_ROWS) -> None:
+#: The partial last line of a stream; an ended stream leaves none.
+REST = Kept("stream bigint, rest string, next_line bigint, ended boolean", lambda rows: rows.groupBy("stream").agg(
+    F.max_by(F.struct("rest", "next_line", "ended"), "batch").alias("_s")).select("stream", "_s.*").filter("NOT ended"))
+
+
+def stream_framing(chunks: DataFrame, root: str, block_rows: int = BLOCK_ROWS, trigger: dict | None = None) -> None:
     """Chunks `(stream, seq, chunk, eof)` to output `lines (stream, line_no, line)`.
 
     The partial last line of each stream is the state. A row with `eof` ends its stream: a
@@ -32,7 +33,8 @@ def stream_framing(chunks: DataFrame, root: str, block_rows: int = BLOCK_ROWS) -
     """
 
     def step(batch, state):
-        carry = state["rest"]
+        here = batch.select("stream").distinct()
+        carry = state["rest"].join(here, "stream", "left_semi")
         ended = batch.filter("eof").select("stream").distinct()
         # carried text goes before all chunks of the batch
         before = carry.select("stream", F.lit(-1).cast("bigint").alias("seq"), F.col("rest").alias("chunk"))
@@ -43,17 +45,18 @@ def stream_framing(chunks: DataFrame, root: str, block_rows: int = BLOCK_ROWS) -
         inner = shifted.filter("inner").select("stream", "line_no", F.col("frag").alias("line"))
         edges = shifted.filter("NOT inner").groupBy("stream", "line_no").agg(
             F.expr("listagg(frag, '') within group (order by seq)").alias("line"), F.max("closed").alias("_closed"))
-        open_ = edges.filter("NOT _closed")
-        flushed = open_.filter(F.length("line") > 0).join(ended, "stream", "left_semi")
-        rest = open_.join(ended, "stream", "left_anti").select(
-            "stream", F.col("line").alias("rest"), F.col("line_no").alias("next_line"))
-        lines = inner.unionByName(edges.filter("_closed").unionByName(flushed).select("stream", "line_no", "line"))
+        open_ = edges.filter("NOT _closed").join(ended.withColumn("ended", F.lit(True)), "stream", "left")
+        flushed = open_.filter(F.col("ended") & (F.length("line") > 0))
+        rest = open_.select("stream", F.col("line").alias("rest"), F.col("line_no").alias("next_line"),
+                            F.coalesce("ended", F.lit(False)).alias("ended"))
+        lines = inner.unionByName(edges.filter("_closed").select("stream", "line_no", "line").unionByName(
+            flushed.select("stream", "line_no", "line")))
         return {"lines": lines}, {"rest": rest}
 
-    run_batches(chunks, root, step, lambda s: {"rest": _empty(s, "stream bigint, rest string, next_line bigint")})
+    run_batches(chunks, root, step, {"rest": REST}, trigger)
 
 
-def stream_env(writes: DataFrame, root: str) -> None:
+def stream_env(writes: DataFrame, root: str, trigger: dict | None = None) -> None:
     """Last-write-wins env per (job, key), kept in Spark's own aggregation state.
 
     Each batch writes the keys it changed; `read_env` takes the latest change of a key.
@@ -63,7 +66,7 @@ def stream_env(writes: DataFrame, root: str) -> None:
     query = (
         agg.writeStream.outputMode("update")
         .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out/env/batch={i}"))
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
 
@@ -72,7 +75,14 @@ def read_env(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out/env").groupBy("job_id", "key").agg(F.max_by("value", "batch").alias("value"))
 
 
-def stream_masking(lines: DataFrame, root: str, *, debug: bool = False, block_rows: int = BLOCK_ROWS) -> None:
+MASKS = Kept("job_id bigint, mask string, mask_seq bigint",
+             lambda rows: rows.groupBy("job_id", "mask").agg(F.min("mask_seq").alias("mask_seq")))
+ECHO = Kept("job_id bigint, step_idx bigint, flag int",
+            lambda rows: rows.groupBy("job_id", "step_idx").agg(F.max_by("flag", "batch").alias("flag")))
+
+
+def stream_masking(lines: DataFrame, root: str, *, debug: bool = False, block_rows: int = BLOCK_ROWS,
+                   trigger: dict | None = None) -> None:
     """Console rows, masked, to output `console`; state: masks seen per job and echo flag per step.
 
     Later batches hold later lines of a job.
@@ -80,21 +90,18 @@ def stream_masking(lines: DataFrame, root: str, *, debug: bool = False, block_ro
 
     def step(batch, state):
         parsed = ll.parse_commands(batch)
-        masks = state["masks"].unionByName(ll.masks_of(parsed)).groupBy("job_id", "mask").agg(
+        new = ll.masks_of(parsed)
+        masks = state["masks"].join(batch.select("job_id").distinct(), "job_id", "left_semi").unionByName(new).groupBy("job_id", "mask").agg(
             F.min("mask_seq").alias("mask_seq"))
         old = state["echo"].select("job_id", "step_idx", F.col("flag").alias("_old"))
         seen = ll.echo_flags(batch, block_rows).join(old, ["job_id", "step_idx"], "left").withColumn(
             "echo", F.coalesce("flag", "_old", F.lit(0)) == 1).drop("flag", "_old")
         view = ll.mask_lines(ll.console_rows(seen, debug), masks, "text", keys=["job_id", "seq", "sub"])
         latest = bind(parsed, _flag=ll.echo_flag()).filter(F.col("_flag").isNotNull()).groupBy("job_id", "step_idx").agg(
-            F.max_by("_flag", "seq").alias("_new"))
-        flags = latest.join(old, ["job_id", "step_idx"], "full_outer").select(
-            "job_id", "step_idx", F.coalesce("_new", "_old").alias("flag"))
-        return {"console": view}, {"masks": masks, "echo": flags}
+            F.max_by("_flag", "seq").alias("flag"))
+        return {"console": view}, {"masks": new, "echo": latest}
 
-    run_batches(lines, root, step, lambda s: {
-        "masks": _empty(s, "job_id bigint, mask string, mask_seq bigint"),
-        "echo": _empty(s, "job_id bigint, step_idx bigint, flag int")})
+    run_batches(lines, root, step, {"masks": MASKS, "echo": ECHO}, trigger)
 
 
 def split_at_error(judged: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,16 +124,21 @@ def judge(lines: DataFrame) -> DataFrame:
     return bind(classified, error=ll.error_of()).select(*lines.columns, "effect", "error")
 
 
-def stream_fail_stop(lines: DataFrame, root: str) -> None:
+FAILED = Kept("job_id bigint, step_idx bigint, error_seq bigint, first_error string",
+              lambda rows: rows.groupBy("job_id", "step_idx").agg(
+                  F.min_by("first_error", "error_seq").alias("first_error"), F.min("error_seq").alias("error_seq")))
+
+
+def stream_fail_stop(lines: DataFrame, root: str, trigger: dict | None = None) -> None:
     """After its first error a step accepts nothing more: outputs `accepted` and `refused`; the first
     error of each step is kept as state."""
 
     def step(batch, state):
         judged = judge(batch)
-        failed = state["failed"].unionByName(first_errors(judged)).groupBy("job_id", "step_idx").agg(
+        new = first_errors(judged)
+        failed = state["failed"].unionByName(new).groupBy("job_id", "step_idx").agg(
             F.min_by("first_error", "error_seq").alias("first_error"), F.min("error_seq").alias("error_seq"))
         accepted, refused = split_at_error(judged, failed)
-        return {"accepted": accepted, "refused": refused}, {"failed": failed}
+        return {"accepted": accepted, "refused": refused}, {"failed": new}
 
-    run_batches(lines, root, step, lambda s: {
-        "failed": _empty(s, "job_id bigint, step_idx bigint, error_seq bigint, first_error string")})
+    run_batches(lines, root, step, {"failed": FAILED}, trigger)

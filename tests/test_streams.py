@@ -9,7 +9,7 @@ from cilake.operators import loglines as ll
 from cilake.operators.envstate import final_env
 from cilake.sources.framing import frame_lines
 from cilake.streaming import jobs as st
-from cilake.streaming.batches import final_state, result
+from cilake.streaming.batches import COMPACT, result, state_before
 
 
 def as_stream(spark, df, order, parts=4):
@@ -57,12 +57,31 @@ def test_framing_over_batches(spark):
     st.stream_framing(as_stream(spark, df, "seq"), r, block_rows=8)
     got = sorted(tuple(x) for x in result(spark, r, "lines").select("stream", "line_no", "line").collect())
     full = frame_lines(df.select("stream", "seq", "chunk"))
-    rest = {x.stream: (x.next_line, x.rest) for x in final_state(spark, r, "rest").collect()}
+    rest = {x.stream: (x.next_line, x.rest) for x in state_before(spark, r, "rest", st.REST, 4).collect()}
     assert 1 not in rest  # the ended stream left no state
     want = [tuple(x) for x in full.collect() if x.stream == 1 or (x.line_no, x.line) != rest[x.stream]]
     assert got == sorted(want)
 
 
+def test_state_is_compacted(spark):
+    parts = COMPACT + 2
+    rows = [(s, i, f"a{i}\nb", False) for i in range(parts) for s in range(2)] + [(9, 0, "x\ny", False), (9, 1, "", True)]
+    df = spark.createDataFrame(rows, "stream bigint, seq bigint, chunk string, eof boolean")
+    r = root()
+    st.stream_framing(as_stream(spark, df, "seq", parts), r)
+    import os
+
+    batches = len(os.listdir(f"{r}/out/lines"))
+    assert batches > COMPACT and os.path.isdir(f"{r}/whole/rest/batch={COMPACT - 1}")
+    got = sorted(tuple(x) for x in result(spark, r, "lines").select("stream", "line_no", "line").collect())
+    rest = {x.stream: (x.stream, x.next_line, x.rest) for x in state_before(spark, r, "rest", st.REST, batches).collect()}
+    assert set(rest) == {0, 1}  # the ended stream left nothing
+    full = sorted(tuple(x) for x in frame_lines(df.select("stream", "seq", "chunk")).collect())
+    assert got == [x for x in full if x not in rest.values()]
+    changed = spark.read.parquet(f"{r}/state/rest/batch={batches - 1}").count()
+    assert changed <= 2  # a batch writes what it changed
+
+
 def test_env(spark):
     rnd = random.Random(4)
     rows = [(rnd.randrange(3), i // 9, i, rnd.choice(["env", "env", "output"]), f"K{rnd.randrange(4)}", f"v{i}") for i in range(90)]
@@ -87,4 +106,4 @@ def test_fail_stop_over_batches(spark):
     pick = lambda d: sorted(x.seq for x in d.collect())
     assert pick(result(spark, r, "accepted")) == pick(accepted)
     assert pick(result(spark, r, "refused")) == pick(refused)
-    assert final_state(spark, r, "failed").select(F.count(F.lit(1))).first()[0] == st.first_errors(judged).count()
+    assert state_before(spark, r, "failed", st.FAILED, 4).select(F.count(F.lit(1))).first()[0] == st.first_errors(judged).count()
