@@ -260,8 +260,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     roots = written(components(links(nodes, words, radius, parts, similarity, tile_rows)), "roots")
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = roots.join(least, "root").select("node", "component_id")
-    named = nodes.join(linked, "node", "left").select(
-        "node", F.coalesce("component_id", "least_id").alias("component_id"))
+    # written, so that the last join reads two plain tables and Spark can split a fingerprint that many rows share
+    named = written(nodes.join(linked, "node", "left").select(
+        "node", F.coalesce("component_id", "least_id").alias("component_id")), "components")
     return marked.withColumn("node", node).join(named, "node").select("doc_id", "fp", "n_shingles", "component_id")
 
 
