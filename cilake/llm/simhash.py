@@ -269,10 +269,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay only where their group has no other id; of fully repeated rows one stays.
+    Rows that share a doc_id count as one document, of which one row stays. Rows with a null doc_id stay (as one) only
+    where a group has no other id. Only the ids to drop, or to make single, meet the documents: a table much
+    smaller than they are, which Spark broadcasts if its measured size allows, so texts mostly stay where they lie.
     """
-    groups = near_groups(docs, doc_id, text, **how)
-    heads = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    (key,) = fresh(docs, "_head")
-    kept = docs.join(heads.withColumnRenamed("doc_id", key), F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    head = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marks = near_groups(docs, doc_id, text, **how).groupBy("doc_id").agg(head.alias("_head"), (F.count("*") > 1).alias("_again"))
+    key, stays, again = fresh(docs, "_key", "_head", "_again")
+    marks = written(marks.filter(~F.col("_head") | F.col("_again")).toDF(key, stays, again), "marks")
+    kept = docs.join(marks, F.col(doc_id).eqNullSafe(F.col(key)), "left").filter(F.coalesce(F.col(stays), F.lit(True)))
+    once = kept.filter(~F.coalesce(F.col(again), F.lit(False))).select(*docs.columns)
+    if marks.filter(F.col(stays) & F.col(again)).isEmpty():
+        return once
+    return once.unionByName(kept.filter(again).select(*docs.columns).dropDuplicates([doc_id]))
