@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cilake.llm.common import fresh, slabs
+from cilake.llm.common import fresh, slabs, small_batches
 
 LONG_BYTES = 1024
-CACHED_PIECES = 300_000
+CACHED_PIECES = 150_000
 _NONE = np.int32(2**31 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,8 +169,8 @@ def merge_long(table: PairTable, piece: bytes) -> np.ndarray:
 class Encoder:
     """Encodes texts; keeps the ids of pieces met so far, up to a bound (then it starts anew)."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
-        self.table = PairTable(tokens)
+    def __init__(self, tokens: list[bytes], pattern: str, table: PairTable | None = None):
+        self.table = table or PairTable(tokens)
         self.split = regex.compile(pattern).findall
         self._reset()
 
@@ -217,9 +217,10 @@ class Encoder:
         return gather(self.flat, self.start[pieces], counts), ends[last]
 
 
-@lru_cache(maxsize=2)
-def _encoder(tokens: tuple[bytes, ...], pattern: str) -> Encoder:
-    return Encoder(list(tokens), pattern)
+@lru_cache(maxsize=1)
+def _table(tokens: tuple[bytes, ...]) -> PairTable:
+    """Kept by the worker; the pieces met so far are kept by the task alone."""
+    return PairTable(list(tokens))
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -230,9 +231,13 @@ def vocabulary(spark: SparkSession, path: str):
 def encoded(text: Column, tokens, pattern: str) -> Column:
     """Column function text -> array<int>; `tokens` as given by `vocabulary`."""
 
+    held: list[Encoder] = []
+
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        run = _encoder(tokens.value, pattern)
+        if not held:
+            held.append(Encoder([], pattern, _table(tokens.value)))
+        run = held[0]
         sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
         parts, bounds, base = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
         for a, b in slabs(sizes):
@@ -268,7 +273,7 @@ def decoded(ids: Column, tokens) -> Column:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the token ids of `text`."""
-    return docs.withColumn(ids, encoded(F.col(text), vocabulary(docs.sparkSession, path), pattern))
+    return small_batches(docs).withColumn(ids, encoded(F.col(text), vocabulary(docs.sparkSession, path), pattern))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", data: str = "data") -> DataFrame:
@@ -280,7 +285,7 @@ def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     """`docs` with ids, n_tokens, ids_sha256 and decoded_sha256, for comparing runs without the tokens themselves."""
     tokens = vocabulary(docs.sparkSession, path)
     (data,) = fresh(docs, "_data")
-    coded = docs.withColumn(ids, encoded(F.col(text), tokens, pattern)).withColumn(data, decoded(F.col(ids), tokens))
+    coded = small_batches(docs).withColumn(ids, encoded(F.col(text), tokens, pattern)).withColumn(data, decoded(F.col(ids), tokens))
     return coded.withColumn("n_tokens", F.size(ids).cast("bigint")).withColumn(
         "ids_sha256", F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)).withColumn(
         "decoded_sha256", F.sha2(F.col(data), 256)).drop(data)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLAB_BYTES = 4_000_000
+TEXT_ROWS = 500
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -23,6 +24,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with Arrow batches of `TEXT_ROWS` rows in its session unless the user has chosen another size.
+
+    Whole documents are large rows: at Spark's default of 10,000 rows a batch, and the rows that wait for it, take some
+    hundred MB of each task.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def struct_udf(fields: list[tuple[str, str, pa.DataType]], row: Callable[[bytes | None], tuple]) -> Callable[..., Column]:
     """An Arrow function text -> struct that calls `row` with the UTF-8 bytes of each value (None for null).
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cilake.llm.common import fresh, struct_udf
+from cilake.llm.common import fresh, small_batches, struct_udf
 
 #: The base phrases and their labels.
 BASE = {
@@ -201,4 +201,4 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     (found,) = fresh(docs, "_found")
     names = [n for n, _, _ in FIELDS]
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
-    return docs.withColumn(found, struct_udf(FIELDS, row)(F.col(text))).select(*rest, *[F.col(found)[n].alias(n) for n in names])
+    return small_batches(docs).withColumn(found, struct_udf(FIELDS, row)(F.col(text))).select(*rest, *[F.col(found)[n].alias(n) for n in names])

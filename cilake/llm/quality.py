@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cilake.llm.common import fresh, struct_udf
+from cilake.llm.common import fresh, small_batches, struct_udf
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -112,7 +112,7 @@ def assess(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """`docs` with the columns of `FIELDS`; `limits` as in `judgement`."""
     (found,) = fresh(docs, "_judged")
     names = [n for n, _, _ in FIELDS]
-    judged = docs.withColumn(found, judgement(**limits)(F.col(text)))
+    judged = small_batches(docs).withColumn(found, judgement(**limits)(F.col(text)))
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
     return judged.select(*rest, *[F.col(found)[n].alias(n) for n in names])
 
@@ -120,5 +120,5 @@ def assess(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
 def keep_good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows of `docs` that pass, with their own columns only."""
     (found,) = fresh(docs, "_judged")
-    judged = docs.withColumn(found, judgement(**limits)(F.col(text)))
+    judged = small_batches(docs).withColumn(found, judgement(**limits)(F.col(text)))
     return judged.filter(F.col(found)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cilake.llm.common import fresh, struct_udf
+from cilake.llm.common import fresh, small_batches, struct_udf
 from cilake.session import written
 
 SEED = 42
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, words: int
     (found,) = fresh(docs, "_found")
     new = [n for n, _, _ in fields]
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    return docs.withColumn(found, struct_udf(fields, row)(F.col(text))).select(*rest, *[F.col(found)[n].alias(n) for n in new])
+    return small_batches(docs).withColumn(found, struct_udf(fields, row)(F.col(text))).select(*rest, *[F.col(found)[n].alias(n) for n in new])
 
 
 def part_counts(parts: int) -> list[Column]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cilake.llm.common import fresh, struct_udf
+from cilake.llm.common import fresh, small_batches, struct_udf
 
 SAMPLE_ROWS = 6000
 N_FEATURES = 384
@@ -40,7 +40,7 @@ RIDGE = 0.5
 THRESHOLD = 0.5
 HASH_BITS = 24
 PREFIXES = (3, 4, 5, 6, 7)
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 CATEGORIES = ("insult", "contempt", "toxic")
 WORD = re.compile(r"\w+")
 
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str
         return pa.array([sorted({f for w in text_words((t.as_py() or "").encode()) for f in word_features(w)}) for t in texts],
                         pa.list_(pa.int32()))
 
-    got = sample.select(F.pmod(F.xxhash64(F.col(doc_id), F.lit("fold")), F.lit(folds)).alias("fold"),
+    got = small_batches(sample).select(F.pmod(F.xxhash64(F.col(doc_id), F.lit("fold")), F.lit(folds)).alias("fold"),
                         hashed("text").alias("features"),
                         *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(f"y_{c}") for c in categories]).toArrow()
     if not got.num_rows:
@@ -224,7 +224,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", threshold: float =
     (found,) = fresh(docs, "_scored")
     names = [f"p_{c}" for c in chain.categories]
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*names, "is_toxic"}]
-    scored = docs.withColumn(found, probabilities(chain)(F.col(text)))
+    scored = small_batches(docs).withColumn(found, probabilities(chain)(F.col(text)))
     return scored.select(*rest, *[F.col(found)[n].alias(n) for n in names], (F.col(found)[names[-1]] >= threshold).alias("is_toxic"))
 
 
@@ -232,5 +232,5 @@ def keep_clean(docs: DataFrame, chain: Chain, text: str = "text", threshold: flo
     """The rows of `docs` that the chain does not call toxic, with their own columns only."""
     (found,) = fresh(docs, "_scored")
     last: Column = F.col(found)[f"p_{chain.categories[-1]}"]
-    scored = docs.withColumn(found, probabilities(chain)(F.col(text)))
+    scored = small_batches(docs).withColumn(found, probabilities(chain)(F.col(text)))
     return scored.filter(last < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
