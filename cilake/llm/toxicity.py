@@ -5,7 +5,12 @@ the logits of the categories before it. In training those logits come from out-o
 sees earlier predictions as uncertain as they will be on new texts.
 
 Features are the distinct words of a text and their prefixes of 3 to 7 characters, hashed. Each category keeps
-the `N_FEATURES` features of the strongest association (log-likelihood ratio) in the sample.
+the `N_FEATURES` features of the strongest association (log-likelihood ratio) in the sample, as far as it reaches
+`LEAST_ASSOCIATION`; below that, association with a few texts is chance.
+
+Scoring goes over windows of `WINDOW_WORDS` words that overlap by half and cover the whole text; a category's
+probability is its largest over the windows. So evidence does not add up with a text's length, and a toxic passage
+counts as much in a long text as alone.
 
 Training reads a bounded sample: the `SAMPLE_ROWS` labelled documents with the smallest hash of their id. Only their
 hashed features reach the driver. Scoring is one narrow pass over all whole texts; the model (some thousand
@@ -22,6 +27,7 @@ probability is 0. Repeated rows score alike. Existing columns named like a resul
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 
@@ -35,6 +41,9 @@ from cilake.llm.common import fresh, small_batches, struct_udf
 
 SAMPLE_ROWS = 6000
 N_FEATURES = 384
+#: About one in a million by chance (a chi-square of 24); some hundred thousand features are tried.
+LEAST_ASSOCIATION = 12.0
+WINDOW_WORDS = 96
 FOLDS = 3
 RIDGE = 0.5
 THRESHOLD = 0.5
@@ -61,6 +70,12 @@ def text_words(data: bytes | None) -> set[str]:
     return set(WORD.findall((data or b"").decode().lower()))
 
 
+def half_windows(data: bytes | None, size: int = WINDOW_WORDS) -> list[list[str]]:
+    """The words in runs of half a window; two neighbours make a window."""
+    words = WORD.findall((data or b"").decode().lower())
+    return [words[k : k + size // 2] for k in range(0, len(words), size // 2)]
+
+
 def with_categories(docs: DataFrame, text: str = "text", toxic: str = "toxic") -> DataFrame:
     """`docs` with the derived label columns insult and contempt."""
     label = F.coalesce(F.col(toxic), F.lit(0)).cast("int")
@@ -140,7 +155,7 @@ class Chain:
         hit = np.bincount(which, np.repeat(y, lens), len(ids))
         score = np.where(count >= 3, association(hit, count.astype(float), pos, n), -np.inf)
         best = np.argsort(-score, kind="stable")[:n_features]
-        best = best[score[best] > 0]
+        best = best[score[best] >= LEAST_ASSOCIATION]
         column = np.full(len(ids), -1)
         column[best] = np.arange(len(best))
         x = np.zeros((n, len(best)))
@@ -170,17 +185,25 @@ class Scorer:
         self.weights = {f: [m[0].get(f, 0.0) for m in chain.models] for m in chain.models for f in m[0]}
         self.words: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, data: bytes | None) -> list[float]:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        words, known = text_words(data), self.words
-        for w in words.difference(known):
+    def _features(self, words: list[str]) -> frozenset[int]:
+        known, distinct = self.words, set(words)
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        for w in distinct.difference(known):
             known[w] = tuple(f for f in word_features(w) if f in self.weights)
+        return frozenset(f for w in distinct for f in known[w])
+
+    def _window(self, features: frozenset[int]) -> list[float]:
         sums = [0.0] * len(self.chain.models)
-        for f in {f for w in words for f in known[w]}:
+        for f in features:
             sums = [a + b for a, b in zip(sums, self.weights[f], strict=True)]
         return self.chain.combine(sums)
 
+    def __call__(self, data: bytes | None) -> list[float]:
+        halves = [self._features(words) for words in half_windows(data)] or [frozenset()]
+        windows = {a | b for a, b in itertools.pairwise(halves)} or set(halves)
+        return [max(p) for p in zip(*map(self._window, windows), strict=True)]
+
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text",
         categories=CATEGORIES, folds: int = FOLDS) -> Chain:

@@ -167,6 +167,23 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(odd, chain).count() == len(ODD) and toxicity.keep_clean(odd, chain).columns == odd.columns
 
 
+def test_toxicity_of_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(4)) == 0
+    chain = toxicity.fit(docs, labels.filter(~held))
+    got = toxicity.score(docs.join(labels.filter(held), "doc_id"), chain).orderBy("doc_id").collect()
+    scorer, passage = toxicity.Scorer(chain), " trash idiot moron worthless stupid pathetic clown "
+    for lang in ("de", "en", "es", "fr"):
+        clean = [r.text or "" for r in got if r.lang == lang and not r.toxic and not r.is_toxic]
+        for n in (10_000, 100_000):
+            words = " ".join(clean * (1 + n // 10_000)).split(" ")[:n]
+            assert len(words) == n
+            assert scorer(" ".join(words).encode())[-1] < toxicity.THRESHOLD, (lang, n)
+            half = [" ".join(words[: n // 2]), " ".join(words[n // 2 :])]
+            assert scorer(passage.join(half).encode())[-1] >= toxicity.THRESHOLD, (lang, n)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA)
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
