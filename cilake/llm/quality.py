@@ -1,8 +1,8 @@
 """Quality rules: compression bands.
 
 A document's zstandard ratio (compressed size / size) over the whole text and over fixed chunks
-tells repetitive text (ratio below the band) and incompressible text (ratio above it). Short texts
-compress less well, so each length class has limits of its own. A document is rejected by
+tells repetitive text (ratio below the band) and incompressible text (ratio above it). The longer a text, the
+better it compresses, so each length class has limits of its own. A document is rejected by
   * the base rules: fewer than `MIN_WORDS` words, or more than half of its words in repeated 3-word windows;
   * its whole ratio outside the band of its length class;
   * at least `CHUNK_SHARE` of its chunks outside the chunk band.
@@ -31,7 +31,8 @@ CHUNK_BAND = (0.425, 0.62)
 CHUNK_SHARE = 0.25
 SYMBOLS = b"#*$%&|<>"
 
-#: (at least so many bytes, lowest ratio kept, highest ratio kept)
+#: (at least so many bytes, lowest ratio kept, highest ratio kept). Above 64 KB the lowest ratio follows joined clean
+#: documents down, with a margin; the chunks tell repetition there.
 BANDS = (
     (0, 0.50, 1.20),
     (256, 0.52, 0.85),
@@ -42,6 +43,10 @@ BANDS = (
     (8192, 0.40, 0.58),
     (16384, 0.385, 0.56),
     (65536, 0.36, 0.54),
+    (131072, 0.345, 0.54),
+    (262144, 0.33, 0.54),
+    (524288, 0.31, 0.54),
+    (1048576, 0.29, 0.54),
 )
 
 FIELDS = [

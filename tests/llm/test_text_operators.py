@@ -152,6 +152,24 @@ def test_bpe_decode_nulls_and_bad_ids(spark):
         bpe.decode_ids(np.array([99999999]), np.zeros(0, np.uint8), np.zeros(3, np.int64))
 
 
+def test_quality_of_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    good = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1")
+    squeeze, rng = zstandard.ZstdCompressor(level=quality.LEVEL).compress, random.Random(12)
+    for lang in ("de", "fr"):
+        texts = sorted({r.text for r in docs.filter(docs.lang == lang).join(good, "doc_id", "left_semi").collect()})
+        rng.shuffle(texts)
+        joined = "\n".join(texts).encode()
+        words = joined.split()
+        pairs = [b" ".join(words[k : k + 2]) for k in range(len(words) - 1)]
+        longer = b" ".join(rng.choices(pairs, k=2_400_000))
+        for data, size in ((joined, 1 << 19), (joined, 1 << 20), (longer, 1 << 22), (longer, 1 << 24)):
+            assert len(data) >= size
+            judged = quality.judge(data[:size].decode(errors="ignore").encode(), squeeze)
+            assert judged[-1], (lang, size, judged)
+        assert not quality.judge(joined[:50_000].decode(errors="ignore").encode() * 20, squeeze)[-1]
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
