@@ -266,19 +266,36 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     return marked.withColumn("node", node).join(named, "node").select("doc_id", "fp", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each group of near copies: the one with the smallest doc_id.
-
-    Rows that share a doc_id count as one document, of which one row stays. Rows with a null doc_id stay (as one) only
-    where a group has no other id. Only the ids to drop, or to make single, meet the documents: a table much
-    smaller than they are, which Spark broadcasts if its measured size allows, so texts mostly stay where they lie.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, words: int = 1,
+             radius: int = 3, distinct: bool = False, parts: int = PARTS, similarity: float | None = None,
+             tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row of each group of near copies, whatever its ids are: the smallest by doc_id (nulls last), then digest of the text.
+
+    Units are pairs of id and text, so an id on different texts, or none, is not one document. Of rows equal in both, the
+    one whose other columns are smallest as JSON stays. Only the units to drop, or to make single, meet the documents: a
+    table much smaller than they are, which Spark broadcasts if its measured size allows, so texts mostly stay where they lie.
     """
-    head = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    marks = near_groups(docs, doc_id, text, **how).groupBy("doc_id").agg(head.alias("_head"), (F.count("*") > 1).alias("_again"))
-    key, stays, again = fresh(docs, "_key", "_head", "_again")
-    marks = written(marks.filter(~F.col("_head") | F.col("_again")).toDF(key, stays, again), "marks")
-    kept = docs.join(marks, F.col(doc_id).eqNullSafe(F.col(key)), "left").filter(F.coalesce(F.col(stays), F.lit(True)))
-    once = kept.filter(~F.coalesce(F.col(again), F.lit(False))).select(*docs.columns)
+    digest = F.md5(F.col(text))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), F.col(text).alias("_text"))
+    marked = fingerprints(slim, "_text", width, words, distinct).drop("_text").withColumn("node", node_of(similarity))
+    units = written(marked.groupBy("doc_id", "digest", "node").agg(
+        F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")), "units")
+    unit = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    nodes = written(units.groupBy("node").agg(
+        F.min(unit).alias("least"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles")), "nodes")
+    roots = written(components(links(nodes, words, radius, parts, similarity, tile_rows)), "roots")
+    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
+    named = written(rooted.join(heads, "root").select("node", "head"), "heads")
+    key, value, stays, again = fresh(docs, "_key", "_digest", "_head", "_again")
+    marks = units.join(named, "node").select("doc_id", "digest", (unit == F.col("head")).alias("stays"), (F.col("n") > 1).alias("again"))
+    marks = written(marks.filter(~F.col("stays") | F.col("again")).toDF(key, value, stays, again), "marks")
+    same = F.col(doc_id).eqNullSafe(F.col(key)) & digest.eqNullSafe(F.col(value))
+    kept = docs.join(marks, same, "left").filter(F.coalesce(F.col(stays), F.lit(True)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.filter(~F.coalesce(F.col(again), F.lit(False))).select(*columns)
     if marks.filter(F.col(stays) & F.col(again)).isEmpty():
         return once
-    return once.unionByName(kept.filter(again).select(*docs.columns).dropDuplicates([doc_id]))
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]))
+    first = kept.filter(again).groupBy(key, value).agg(F.min_by(F.struct(*columns), rest).alias(stays))
+    return once.unionByName(first.select(f"{stays}.*"))

@@ -225,6 +225,17 @@ def test_simhash_hot_groups_and_ids(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_every_group(spark):
+    x, y, z = ("alpha beta gamma delta epsilon", "one two three four five", "red green blue white black")
+    lone = [f"{k} lonely text {k * k} of its own {k * 7}" for k in range(30)]
+    rows = [(5, x, "a"), (5, y, "b"), (3, y, "c"), (None, z, "d"), (8, z, "e"), (None, z, "f"), (7, x + " zeta", "h"), (7, x + " zeta", "g")]
+    rows += [(None, t, "n") for t in lone] + [(None, lone[0], "m")]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()]
+    want = [(5, x, "a"), (3, y, "c"), (8, z, "e"), (7, x + " zeta", "g"), (None, lone[0], "m")] + [(None, t, "n") for t in lone[1:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert simhash.keep_one(spark.createDataFrame([(None, None), (None, ""), (1, None)], "doc_id bigint, text string")).count() == 1
+
+
 def test_wide_fingerprints_tell_similarity(spark):
     rng = random.Random(9)
     rows, near = [], []
