@@ -54,6 +54,18 @@ def struct_udf(fields: list[tuple[str, str, pa.DataType]], row: Callable[[bytes
     return over
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """`rows`, of which there are `total`, left-joined with `groups`: one row a `key`, `size` of them rows each.
+
+    Keys of a thousandth of all rows or more are at most 1,000, so these groups are broadcast whatever the data is, and the
+    rows of a hot key stay where they are. The others meet in a plain join. Both inputs should be tables; keys are not null.
+    """
+    hot = F.col(size) * 1000 >= total
+    few = F.broadcast(groups.filter(hot))
+    cold = rows.join(few.select(key), key, "left_anti").join(groups.filter(~hot), key, "left")
+    return rows.join(few, key).unionByName(cold)
+
+
 def slabs(sizes: Iterable[int], limit: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges [a, b) of items whose sizes sum to about `limit`; one larger item is a range of its own."""
     start, total, k = 0, 0, -1

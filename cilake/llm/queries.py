@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cilake.llm import bpe, knn, langid, licenses, mixing, quality, shards, simhash, toxicity, urlfilter
+from cilake.llm import (
+    bpe, exact, importance, infill, knn, langid, licenses, mixing, quality, shards, simhash, toxicity, urlfilter)
 from cilake.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,77 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History is the half of the documents with the smaller ids, which came first; the rest arrives."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
+    return exact.dedup(docs.filter(~old), docs.filter(old))
+
+
+ORACLES["op11_exact_dedup"] = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+h AS (SELECT doc_id, sha256(t) AS text_sha256 FROM d)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256 FROM h
+"""
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 in SQL: the byte table by eight shifts each, then one step a byte.
+ORACLES["op12_importance_resampling"] = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+u AS (SELECT k, unnest(words) AS w FROM d),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM u UNION ALL SELECT w FROM b)),
+c AS (SELECT w, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, strlen(w)),
+  lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT))),
+  lambda c, x: xor(c // 256, steps[(xor(c, x) % 256) + 1]))) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN c USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN c USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+  / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+x AS (SELECT k, CAST(sum(gain) AS BIGINT) AS weight FROM u JOIN c USING (w) JOIN g USING (bucket) GROUP BY k),
+y AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)
+   + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN x USING (k)),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+  (count(*) FILTER (WHERE n_features >= 20) OVER ()) * 10 // 100 AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n THEN place END AS rank FROM z
+"""
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restore(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x,
+  regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS units FROM documents),
+h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (len(units) + 1) AS a,
+  CAST('0x' || substr(x, 9, 8) AS BIGINT) % (len(units) + 1) AS b, CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3,
+  CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+p AS (SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+   THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(units[1:least(a, b)], ''), '') AS prefix, coalesce(array_to_string(units[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+  coalesce(array_to_string(units[greatest(a, b) + 1:], ''), '') AS suffix FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
