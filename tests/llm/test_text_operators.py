@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -103,6 +104,22 @@ def test_license_expressions():
     assert tagged[5] == "invalid-expression,isc" and tagged[8] == 0
 
 
+def test_license_tags_on_one_line(spark):
+    search = licenses.automaton()
+    many = licenses.scan(b"SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC or MIT\nSPDX-License-Identifier: GPL-2.0", search)
+    assert many[6] == ["mit", "isc or mit", "gpl-2.0"] and many[5] == "gpl-2.0,isc,mit"
+    data = b"SPDX-License-Identifier: MIT " * (4_000_000 // 29)
+    start = time.perf_counter()
+    got = licenses.scan(data, search)
+    assert time.perf_counter() - start < 30 and got[5] == "mit" and sum(map(len, got[6])) < len(data)
+    chain = licenses.evaluate(" or ".join(f"l{k}" for k in range(100_000)))
+    assert len(chain[0]) == 100_000
+    docs = spark.createDataFrame([(1, "MIT License", 5, "x")], SCHEMA + ", Score int, n_words string")
+    out = licenses.scan_licenses(docs)
+    assert out.columns == ["doc_id", "text", *(n for n, _, _ in licenses.FIELDS)] and out.first().labels == "mit"
+    assert licenses.scan_licenses(docs.filter("false")).collect() == []
+
+
 @pytest.fixture(scope="module")
 def reference():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
