@@ -11,18 +11,20 @@ All these tables are grouped aggregates over all pages, of pages by the language
 page's own vote is taken out before it is judged. A hot host costs one row per task before the shuffle; its
 pages look the counts up in a join that Spark splits where it is skewed.
 
-The text model is fitted on a bounded sample: per language the `SAMPLE_DOCS` documents with the smallest hash of their id.
+The text model is fitted on a bounded sample: per language the `SAMPLE_DOCS` different texts with the smallest hashes. Ids play no
+part, so a text trains its own language only, whatever ids repeat.
 
 Defined cases: a null or empty page, or one without visible text, has no text evidence and is judged by the rest; a null
 url has host, domain and suffix ''; an undeclared language is the value ''. Ties go to the language first in
 alphabetical order. Rows with a null language or text do not train; without any language the result is null. Repeated
-pages are judged alike. Existing columns named like a result column are replaced by it.
+pages are judged alike. Long pages take linear time, also where tags, comments or scripts never close. Existing columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,20 +40,51 @@ TEXT_WEIGHT = 0.1
 PRIOR_PAGES = 5.0
 SMOOTH = 0.5
 
-_HIDDEN = re.compile(r"(?is)<(script|style|nav|noscript)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})"
+_OPENS = re.compile(r"(?i)<(?:(script|style|nav|noscript)\b|!--)")
+_CLOSES = {k: re.compile(rf"(?i)</{k}\s*>") for k in ("script", "style", "nav", "noscript")} | {"": re.compile("-->")}
+#: No `<` inside, so that a row of unclosed tags is read once.
+_DECLARED = r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,8})"
+_CHUNK = 1 << 16
+
+
+def shown(page: str) -> Iterator[str]:
+    """What lies between scripts, styles, navigation and comments. An opener whose closer never comes hides nothing.
+
+    Every kind of closer is searched from left to right over the page once, so time is linear.
+    """
+    at, seek, absent = 0, 0, set()
+    while m := _OPENS.search(page, seek):
+        kind = (m[1] or "").lower()
+        end = None if kind in absent else _CLOSES[kind].search(page, m.end())
+        if end:
+            yield page[at : m.start()]
+            at = seek = end.end()
+        else:
+            absent.add(kind)
+            seek = m.end()
+    yield page[at:]
+
+
+def untagged(text: str) -> Iterator[str]:
+    """What lies outside tags; a `<` without any `>` behind it is no tag."""
+    at = 0
+    while (start := text.find("<", at)) >= 0 and (end := text.find(">", start)) >= 0:
+        yield text[at:start]
+        at = end + 1
+    yield text[at:]
 
 
 def visible_text(page: str) -> str:
-    return " ".join(entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))).split())
+    return " ".join(entities.unescape(" ".join(untagged(" ".join(shown(page))))).split())
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Hash buckets of the character trigrams of the lower-case text, framed by spaces."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    mixed = (c[:-2] * np.uint64(1 << 42) + c[1:-1] * np.uint64(1 << 21) + c[2:]) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Hash buckets of the character trigrams of the lower-case text, framed by spaces, in chunks."""
+    framed = f" {text.lower()} "
+    for k in range(0, len(framed) - 2, _CHUNK):
+        c = np.frombuffer(framed[k : k + _CHUNK + 2].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        mixed = (c[:-2] * np.uint64(1 << 42) + c[1:-1] * np.uint64(1 << 21) + c[2:]) * np.uint64(0x9E3779B97F4A7C15)
+        yield (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 class TextModel:
@@ -63,23 +96,36 @@ class TextModel:
         self.table = np.log(smooth / smooth.sum(axis=1, keepdims=True)) if len(languages) else counts
 
     def score(self, text: str) -> list[float]:
-        return self.table[:, trigrams(text)].sum(axis=1).tolist() if text else [0.0] * len(self.languages)
+        if not text:
+            return [0.0] * len(self.languages)
+        return sum(self.table[:, part].sum(axis=1) for part in trigrams(text)).tolist()
+
 
+def sample(docs: DataFrame, lang: str, text: str, rows: int) -> DataFrame:
+    """(lang, text): of each language the `rows` different texts with the smallest hashes, or all if there are fewer.
 
-def fit_text(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_DOCS) -> TextModel:
-    """Fit on at most `rows` documents a language; only bucket counts reach the driver."""
+    Texts whose hash lies below a bound, set from the approximate number of different ones so that some more than `rows`
+    pass, are all that is shuffled; the exact cut is made among these few.
+    """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id")).withColumn("_n", F.row_number().over(order))
-    # written, so that its small size is known and the texts stay where they are
-    ids = written(ids.filter(F.col("_n") <= rows).select("doc_id", "lang").distinct(), "sample")
-    picked = known.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id").select("lang", "text")
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(lang, text).alias("_h"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    bound = F.col("_h") / F.lit(2.0**64) + 0.5 < F.lit(1.5 * rows + 20) / F.col("_n")
+    some = known.join(written(sizes, "languages"), "lang").filter(bound)
+    some = written(some.groupBy("lang", "_h").agg(F.first("text").alias("text")), "sample")
+    order = Window.partitionBy("lang").orderBy("_h")
+    return some.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows).select("lang", "text")
+
+
+def fit_text(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = SAMPLE_DOCS) -> TextModel:
+    """Fit on at most `rows` different texts a language; only bucket counts reach the driver."""
+    picked = sample(docs, lang, text, rows)
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for lang_, text_ in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen = np.bincount(trigrams(text_.as_py()), minlength=1 << BUCKET_BITS)
+                seen = sum(np.bincount(part, minlength=1 << BUCKET_BITS) for part in trigrams(text_.as_py()))
                 total[lang_] = total[lang_] + seen if lang_ in total else seen
         for lang_, seen in total.items():
             at = np.nonzero(seen)[0]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from cilake.llm import (
     bpe, exact, importance, infill, knn, langid, licenses, mixing, quality, shards, simhash, toxicity, urlfilter)
-from cilake.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,8 +45,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 @query
 def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    digest = written(shards.measured(docs).drop("text"), "digest")
-    return shards.shard(digest, 40)
+    return shards.shard(shards.measured(docs).drop("text"), 40)
 
 
 @query
@@ -95,7 +93,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 
 @query
 def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = langid.fit_text(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    model = langid.fit_text(table(spark, sf_dir, "documents").select("text", "lang"))
     return langid.identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
 
 
@@ -196,7 +194,10 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op13_fill_in_middle"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x,
-  regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS units FROM documents),
+  regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS units FROM documents),
 h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (len(units) + 1) AS a,
   CAST('0x' || substr(x, 9, 8) AS BIGINT) % (len(units) + 1) AS b, CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3,
   CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),

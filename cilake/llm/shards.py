@@ -10,9 +10,11 @@ holds a whole shard; a row's slot is its position in its range plus the exact nu
 Only histograms, of a size set by the number of probes, reach the driver. Copies of a text are neighbours in
 key order and share a shard unless they are many; a hot group is spread over as many ranges as its bytes need.
 
+The keys are written once with the rows, before anything is counted, so counting and placing see the same ones whatever
+executors come and go; leave long texts out of `rows` and join them later.
+
 Defined cases: a null text has no bytes and CRC 0. Fully repeated rows are told apart by their place in the input, so
-they can be split as well; the input must therefore give the same rows in the same partitions when read again (a
-table does). An empty table gives an empty result. Existing columns named like a result column are replaced by it.
+they can be split as well. An empty table gives an empty result. Existing columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -102,8 +104,8 @@ def shard(rows: DataFrame, n_shards: int, doc_id: str = "doc_id", tolerance: flo
           fine_rows: int = FINE_ROWS) -> DataFrame:
     """`rows` (with size and text_crc32, see `measured`) with law, shard, slot and grown_shard (null under this law)."""
     key, part = fresh(rows, "_key", "_range")
-    keyed = rows.withColumn(key, sort_key(doc_id))
-    slim = written(keyed.select(key, "size"), "keys")
+    keyed = written(rows.withColumn(key, sort_key(doc_id)), "keys")
+    slim = keyed.select(key, "size")
     total, n = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     fine = max(1, -(-n // (n_shards * fine_rows)))
     cuts, before = np.zeros(0, np.int64), np.zeros(0, np.int64)
