@@ -9,8 +9,9 @@ Linking compares distinct fingerprints exactly, in tiles:
   2. A tile meets only tiles of classes that can hold a partner: differing bits are at least the sum of the
      differences of the parts' population counts, and sets of similarity s differ in size by at most 1 / s.
      So pairs of classes beyond the radius are never formed; nothing within the radius is lost.
-  3. A pair of tiles is compared by numpy exclusive-or and bit counts. It passes on a forest that
-     connects what it linked, at most one row per fingerprint, so a large group of copies gives no product.
+  3. A pair of tiles is compared by numpy exclusive-or and bit counts. Each tile is first compared with itself, and
+     what it links inside is contracted to heads: one link a fingerprint. Two different tiles then pass on links between
+     heads only, so a group that fills T tiles gives at most T links for each of them, not one for each of its rows.
 Components come from hooking and shortcutting over these rows (`components`), in tables only: no link,
 component or fingerprint reaches the driver. Equal fingerprints are one node, however many documents hold it.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cilake.llm.common import fresh, small_batches, struct_udf
+from cilake.llm.common import fresh, join_groups, small_batches, struct_udf
 from cilake.session import written
 
 SEED = 42
@@ -166,11 +168,13 @@ def forest(left: list[int], right: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def tile_links(packed_a: bytes, packed_b: bytes, same: bool, words: int, radius: int, similarity: float | None,
-               strip: int = 256) -> list[tuple[bytes, bytes]]:
-    """Node pairs that connect what one pair of tiles links, compared in strips of rows of like population count."""
-    width = words + bool(similarity)
-    a, b = (np.frombuffer(x, ">u8").astype(np.uint64).reshape(-1, width) for x in (packed_a, packed_b))
+def unpacked(packed: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(packed, ">u8").astype(np.uint64).reshape(-1, width)
+
+
+def linked(a: np.ndarray, b: np.ndarray, same: bool, words: int, radius: int, similarity: float | None,
+           strip: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that one pair of tiles links, compared in strips of rows of like population count."""
     strips = [(np.arange(len(a)), np.arange(len(b)))]
     if len(a) > strip or len(b) > strip:
         count_a, count_b = (np.bitwise_count(x[:, :words]).sum(axis=1, dtype=np.int64) for x in (a, b))
@@ -178,8 +182,6 @@ def tile_links(packed_a: bytes, packed_b: bytes, same: bool, words: int, radius:
         low = np.searchsorted(count_b[columns], count_a[rows[::strip]] - radius)
         high = np.searchsorted(count_b[columns], count_a[rows[np.minimum(np.arange(strip - 1, len(a) + strip - 1, strip), len(a) - 1)]] + radius, "right")
         strips = [(rows[k * strip : (k + 1) * strip], columns[x:y]) for k, (x, y) in enumerate(zip(low, high, strict=True)) if x < y]
-    shift = 0 if same else len(a)
-    kept: list[tuple[int, int]] = []
     for rows, columns in strips:
         i, j = differing(a[rows, :words], b[columns, :words], radius)
         i, j = rows[i], columns[j]
@@ -190,32 +192,72 @@ def tile_links(packed_a: bytes, packed_b: bytes, same: bool, words: int, radius:
         if same:
             i, j = i[i < j], j[i < j]
         if len(i):
-            kept += forest(i.tolist(), (j + shift).tolist())
+            yield i, j
+
+
+def tile_heads(packed: bytes, words: int, radius: int, similarity: float | None) -> np.ndarray:
+    """For each node of a tile the first node that links inside the tile connect it with."""
+    nodes = unpacked(packed, words + bool(similarity))
+    head = np.arange(len(nodes))
+    for i, j in linked(nodes, nodes, True, words, radius, similarity):
+        pairs = np.unique(np.stack([head[i], head[j]]), axis=1)
+        for x, y in forest(*pairs.tolist()):
+            p, q = head[x], head[y]
+            head[head == max(p, q)] = min(p, q)
+    return head
+
+
+def tile_links(packed_a: bytes, heads_a: np.ndarray, packed_b: bytes, heads_b: np.ndarray, words: int, radius: int,
+               similarity: float | None) -> list[tuple[bytes, bytes]]:
+    """Pairs of head nodes that connect what a pair of different tiles links: at most one for two heads."""
+    width = words + bool(similarity)
+    a, b, kept = unpacked(packed_a, width), unpacked(packed_b, width), []
+    for i, j in linked(a, b, False, words, radius, similarity):
+        pairs = np.unique(np.stack([heads_a[i], heads_b[j]]), axis=1)
+        kept += forest(pairs[0].tolist(), (pairs[1] + len(a)).tolist())
     size = 8 * width
-    return [(packed_a[size * x : size * (x + 1)], packed_b[size * (y - shift) : size * (y - shift + 1)])
-            for x, y in (forest(*zip(*kept, strict=True)) if len(strips) > 1 and kept else kept)]
+    return [(packed_a[size * x : size * (x + 1)], packed_b[size * (y - len(a)) : size * (y - len(a) + 1)])
+            for x, y in (forest(*zip(*kept, strict=True)) if kept else [])]
 
 
 def links(nodes: DataFrame, words: int, radius: int, parts: int = PARTS, similarity: float | None = None,
           tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b): pairs of nodes, from distinct (fp, n_shingles, node), that connect all links within the radius."""
-    cut = written(tiles(nodes, parts, similarity, tile_rows), "tiles")
+    size = 8 * (words + bool(similarity))
+
+    def contract(batches):
+        for batch in batches:
+            heads = [tile_heads(x.as_py(), words, radius, similarity).astype("<i4").tobytes() for x in batch["packed"]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["class", "tile", "packed", "heads"])
+
+    def inside(batches):
+        for batch in batches:
+            found = [(x[size * k : size * (k + 1)], x[size * h : size * (h + 1)])
+                     for x, heads in zip(batch["packed"].to_pylist(), batch["heads"].to_pylist(), strict=True)
+                     for k, h in enumerate(np.frombuffer(heads, "<i4").tolist()) if h != k]
+            yield edge_batch(found)
+
+    cut = tiles(nodes, parts, similarity, tile_rows).select("class", "tile", "packed")
+    cut = written(cut.mapInArrow(contract, "class array<int>, tile bigint, packed binary, heads binary"), "tiles")
     offsets = near_classes(parts, radius, bool(similarity))
     near = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
     own = F.col("_o") == F.array(*[F.lit(0) for _ in offsets[0]])
-    mine = cut.select(F.explode(near).alias("_o"), "class", F.col("tile").alias("tile_a"), F.col("packed").alias("packed_a"))
-    mine = mine.select(F.zip_with("class", "_o", lambda x, y: x + y).alias("class"), own.alias("own"), "tile_a", "packed_a")
-    met = mine.join(cut, "class").filter(~F.col("own") | (F.col("tile_a") <= F.col("tile")))
-    met = met.select("packed_a", "packed", (F.col("own") & (F.col("tile_a") == F.col("tile"))).alias("same"))
+    mine = cut.select(F.explode(near).alias("_o"), "class", F.col("tile").alias("tile_a"), F.col("packed").alias("packed_a"), F.col("heads").alias("heads_a"))
+    mine = mine.select(F.zip_with("class", "_o", lambda x, y: x + y).alias("class"), own.alias("own"), "tile_a", "packed_a", "heads_a")
+    met = mine.join(cut, "class").filter(~F.col("own") | (F.col("tile_a") < F.col("tile")))
 
-    def compare(batches):
+    def across(batches):
         for batch in batches:
-            a, b, same = batch.columns
-            found = [x for k in range(batch.num_rows) for x in tile_links(
-                a[k].as_py(), b[k].as_py(), same[k].as_py(), words, radius, similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield edge_batch([x for a, heads_a, b, heads_b in rows for x in tile_links(
+                a, np.frombuffer(heads_a, "<i4"), b, np.frombuffer(heads_b, "<i4"), words, radius, similarity)])
+
+    between = met.select("packed_a", "heads_a", "packed", "heads").mapInArrow(across, "a binary, b binary")
+    return between.unionByName(cut.select("packed", "heads").mapInArrow(inside, "a binary, b binary"))
+
 
-    return met.mapInArrow(compare, "a binary, b binary")
+def edge_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,12 +299,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     nodes = marked.groupBy(node.alias("node")).agg(
         F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"))
     nodes = written(nodes, "nodes")
-    roots = written(components(links(nodes, words, radius, parts, similarity, tile_rows)), "roots")
-    least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = roots.join(least, "root").select("node", "component_id")
+    roots = components(links(nodes, words, radius, parts, similarity, tile_rows))
+    rooted = written(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "roots")
+    least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "least")
     # written, so that the last join reads two plain tables and Spark can split a fingerprint that many rows share
-    named = written(nodes.join(linked, "node", "left").select(
-        "node", F.coalesce("component_id", "least_id").alias("component_id")), "components")
+    named = written(join_groups(rooted, least, "root", "n", rooted.count()).select("node", "component_id"), "components")
     return marked.withColumn("node", node).join(named, "node").select("doc_id", "fp", "n_shingles", "component_id")
 
 
@@ -283,10 +324,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     unit = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     nodes = written(units.groupBy("node").agg(
         F.min(unit).alias("least"), F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles")), "nodes")
-    roots = written(components(links(nodes, words, radius, parts, similarity, tile_rows)), "roots")
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
-    named = written(rooted.join(heads, "root").select("node", "head"), "heads")
+    roots = components(links(nodes, words, radius, parts, similarity, tile_rows))
+    rooted = written(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
+    heads = written(rooted.groupBy("root").agg(F.min("least").alias("head"), F.count("*").alias("n")), "least")
+    named = written(join_groups(rooted, heads, "root", "n", rooted.count()).select("node", "head"), "heads")
     key, value, stays, again = fresh(docs, "_key", "_digest", "_head", "_again")
     marks = units.join(named, "node").select("doc_id", "digest", (unit == F.col("head")).alias("stays"), (F.col("n") > 1).alias("again"))
     marks = written(marks.filter(~F.col("stays") | F.col("again")).toDF(key, value, stays, again), "marks")

@@ -30,8 +30,7 @@ def test_planted_cases(spark):
     rng, planted = random.Random(11), []
     for k, (i, text, lang, source, n) in enumerate(rows):
         words = text.split(" ")
-        near = [*words]
-        near[rng.randrange(len(near))] = "changed"
+        near = [w.upper() if rng.random() < 0.3 and w.isascii() else w + " " for w in words]  # other letters and spaces, the same shingles
         rude = [w if rng.random() > 0.04 else rng.choice(["idiot", "moron", "trash", "worthless", "stupid"]) for w in words]
         planted += [(10_000 + k, text, lang, source, n), (20_000 + k, " ".join(near), lang, source, n), (30_000 + k, " ".join(rude), lang, source, n),
                     (40_000 + k, " ".join(words[:20] * 30), lang, source, n)]

@@ -1,6 +1,7 @@
 """kNN join, shards, url cascade, language fusion, mixing and SimHash against brute force."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -174,6 +175,59 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs).columns == docs.columns
 
 
+def test_language_sample_and_long_pages(spark):
+    """Rows of one id in two languages train their own language; a hot text counts once; pages are read in linear time."""
+    rows = [(1, f"der hund und die katze {k}", "de") for k in range(30)] + [(1, f"the dog and the cat {k}", "en") for k in range(30)]
+    rows += [(2, "the hot text", "en")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = langid.sample(docs, "lang", "text", 20).collect()
+    assert Counter(r.lang for r in got) == {"de": 20, "en": 20} and len({r.text for r in got}) == 40
+    assert Counter(r.lang for r in langid.sample(docs, "lang", "text", 1000).collect()) == {"de": 30, "en": 31}
+    model = langid.fit_text(docs)
+    best = lambda t: model.languages[int(np.argmax(model.score(t)))]
+    assert best("die katze und der hund") == "de" and best("the cat and the dog") == "en"
+    for unit in ("<", "<!--", "<script>", "<nav ", "</script ", "<html "):
+        page = unit * (10_000_000 // len(unit))
+        start = time.perf_counter()
+        langid.visible_text(page)
+        assert time.perf_counter() - start < 20, unit
+    assert langid.visible_text("a<script>x</script>b<!-- c --><b>d</b>&amp; <style>e < f") == "a b d & e < f"
+    long = "abc " * 40_000
+    whole = np.concatenate(list(langid.trigrams(long)))
+    assert len(whole) == len(long) and (whole[:-5] == whole[4:-1]).all()
+    assert model.score(long) == pytest.approx(model.table[:, whole].sum(axis=1).tolist())
+
+
+def brute_posterior(seen, model, weight=0.1, drawn=5.0, smooth=0.5):
+    """Languages and probabilities of evidence rows, by loops."""
+    n, out = len(model.languages), []
+    for r in seen:
+        others = [x for x in seen if x is not r and x.guess is not None]
+        count = lambda k, **same: sum(x.guess == k and all(x[c] == v for c, v in same.items()) for x in others)
+        logs = []
+        for k in range(n):
+            prior = (count(k) + smooth) / (len(others) + smooth * n)
+            for same in ({"domain": r.domain}, {"host": r.host}):
+                prior = (count(k, **same) + drawn * prior) / (sum(count(j, **same) for j in range(n)) + drawn)
+            fits = [(count(k, **{c: r[c]}) + smooth) / (count(k) + smooth * len({x[c] for x in seen})) for c in ("declared", "suffix")]
+            logs.append(np.log(prior) + sum(np.log(fits)) + weight * r.text_score[k])
+        share = np.exp(np.array(logs) - max(logs))
+        out.append((r.page_id, model.languages[int(np.argmax(logs))], 1 / share.sum()))
+    return sorted(out)
+
+
+def test_language_posterior(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_text(docs, rows=40)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(120).select("page_id", "url", "html")
+    odd = spark.createDataFrame([(9001, None, None), (9002, "https://a.b.de/x", "<html lang=fr>"), (9003, "no address", "<p>der hund</p>")], pages.schema)
+    pages = pages.unionByName(odd)
+    got = sorted((r.page_id, r.language, r.probability) for r in langid.identify(pages, model).collect())
+    want = brute_posterior(langid.evidence(pages, model, "page_id", "url", "html").collect(), model)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
 def brute_simhash(rows, width=3, radius=3):
     prints = {}
     for i, t in rows:
@@ -253,6 +307,18 @@ def test_wide_fingerprints_tell_similarity(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs, **how).collect()) == sorted(i for i, _ in rows)
 
 
+def test_links_contract_inside_tiles():
+    """A group over many tiles passes on links between heads only."""
+    rng = np.random.default_rng(4)
+    flips = np.uint64(1) << rng.integers(0, 64, (1200, 1)).astype(np.uint64)
+    nodes = np.unique(np.uint64(0x0F0F0F0F12345678) ^ flips, axis=0)
+    nodes = np.concatenate([nodes, np.uint64(0x0F0F0F0F12345678) ^ (flips[:200] | np.roll(flips[:200], 1, axis=0))])
+    packed = nodes.astype(">u8").tobytes()
+    heads = simhash.tile_heads(packed, 1, 3, None)
+    assert (heads == 0).all()
+    assert simhash.tile_links(packed, heads, packed, heads, 1, 3, None) == [(packed[:8], packed[:8])]
+
+
 def test_components(spark):
     rng = random.Random(10)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2000 + k) for k in range(50)]
