@@ -12,10 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from cilake.llm import bpe, mixing, quality, simhash, toxicity
 from cilake.session import written
 
-#: Near copies: sets of 5-word shingles of similarity 0.8 or more. 1024 bits tell this from less: at 0.8 about 151 bits
-#: differ, with a standard deviation of 11; at 0.7 about 196.
-NEAR = {"width": 5, "words": 16, "radius": 170, "distinct": True, "parts": 0, "similarity": 0.8}
-
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
@@ -30,8 +26,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs, **NEAR)
+    """One document of each group that fingerprints of 3-word shingles link at 3 or fewer of 64 bits."""
+    return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
