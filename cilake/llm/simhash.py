@@ -313,8 +313,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """One row of each group of near copies, whatever its ids are: the smallest by doc_id (nulls last), then digest of the text.
 
     Units are pairs of id and text, so an id on different texts, or none, is not one document. Of rows equal in both, the
-    one whose other columns are smallest as JSON stays. Only the units to drop, or to make single, meet the documents: a
-    table much smaller than they are, which Spark broadcasts if its measured size allows, so texts mostly stay where they lie.
+    one whose other columns are smallest as JSON stays. Only the units to drop, or to make single, meet the documents, in one
+    shuffle of the texts that builds a table of these few units in each task, at every size: the marks grow with the corpus, so
+    whether they could be broadcast is not left to how small the input happens to be.
     """
     digest = F.md5(F.col(text))
     slim = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), F.col(text).alias("_text"))
@@ -332,7 +333,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     marks = units.join(named, "node").select("doc_id", "digest", (unit == F.col("head")).alias("stays"), (F.col("n") > 1).alias("again"))
     marks = written(marks.filter(~F.col("stays") | F.col("again")).toDF(key, value, stays, again), "marks")
     same = F.col(doc_id).eqNullSafe(F.col(key)) & digest.eqNullSafe(F.col(value))
-    kept = docs.join(marks, same, "left").filter(F.coalesce(F.col(stays), F.lit(True)))
+    kept = docs.join(marks.hint("shuffle_hash"), same, "left").filter(F.coalesce(F.col(stays), F.lit(True)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = kept.filter(~F.coalesce(F.col(again), F.lit(False))).select(*columns)
     if marks.filter(F.col(stays) & F.col(again)).isEmpty():
