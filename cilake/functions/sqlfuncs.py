@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from cilake.functions import dynamic as dy
+
 _TRUE = "'1','t','T','TRUE','true','True'"
 _FALSE = "'0','f','F','FALSE','false','False'"
 _NUMBER = r"^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+_INFINITY = dy.INFINITY_RE.replace("\\", "\\\\")
+
 # name -> (parameters, result type, body)
 FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "ci_contains": ("s STRING, x STRING", "BOOLEAN", "contains(lower(s), lower(x))"),
@@ -15,7 +19,8 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "ci_ends_with": ("s STRING, x STRING", "BOOLEAN", "endswith(lower(s), lower(x))"),
     "ci_join": ("xs ARRAY<STRING>, sep STRING", "STRING", "array_join(xs, sep, '')"),
     "ci_parse_bool": ("s STRING", "BOOLEAN", f"CASE WHEN s IN ({_TRUE}) THEN true WHEN s IN ({_FALSE}) THEN false END"),
-    "ci_number": ("s STRING", "DOUBLE", f"CASE WHEN s = '' THEN 0D WHEN s RLIKE '{_NUMBER}' THEN try_cast(s AS DOUBLE) END"),
+    "ci_number": ("s STRING", "DOUBLE", f"CASE WHEN s = '' THEN 0D WHEN s RLIKE '{_NUMBER}' THEN try_cast(s AS DOUBLE) WHEN lower(s) RLIKE '{_INFINITY}' "
+                  "THEN CASE WHEN startswith(s, '-') THEN double('-Infinity') ELSE double('Infinity') END END"),
     "ci_truthy": ("s STRING", "BOOLEAN", "coalesce(s, '') <> ''"),
     "ci_unescape_data": ("s STRING", "STRING",
                          r"replace(replace(replace(s, '%0D', '\r'), '%0A', '\n'), '%25', '%')"),

@@ -9,6 +9,7 @@ one-of nodes needs rows of the same document together: one shuffle by document.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from itertools import chain as _flat
 
@@ -39,10 +40,45 @@ class RuleSet:
     scalars: dict[str, str] = field(default_factory=dict)  # definition -> string, number, boolean, null
     contexts: dict[str, list[str]] = field(default_factory=dict)
     required: list[tuple[str, str]] = field(default_factory=list)
+    keyed: set[str] = field(default_factory=set)  # mappings that have neither known keys nor a loose type
+
+    @classmethod
+    def from_document(cls, text: str, root: str) -> RuleSet:
+        """Read a JSON document of definitions: mapping, sequence, one-of, allowed-values or scalar, and their contexts.
+
+        A definition that is referred to must be there or built in.
+        """
+        out = cls(root)
+        given = json.loads(text)["definitions"]
+        for name, body in given.items():
+            mapping = body.get("mapping")
+            if mapping is not None:
+                if not mapping.get("properties") and not mapping.get("loose-value-type"):
+                    out.keyed.add(name)
+                for key, kind in mapping.get("properties", {}).items():
+                    out.props[name, key] = kind if isinstance(kind, str) else kind["type"]
+                    if not isinstance(kind, str) and kind.get("required"):
+                        out.required.append((name, key))
+                if mapping.get("loose-value-type"):
+                    out.loose[name] = mapping["loose-value-type"]
+            if "sequence" in body:
+                out.items[name] = body["sequence"]["item-type"]
+            for part, table in (("one-of", out.one_of), ("allowed-values", out.allowed), ("context", out.contexts)):
+                if body.get(part):
+                    table[name] = list(body[part])
+            for scalar in ("string", "number", "boolean", "null"):
+                if scalar in body:
+                    out.scalars[name] = scalar
+            if (body.get("string") or {}).get("constant"):
+                out.constant[name] = body["string"]["constant"]
+        named = {*out.props.values(), *out.loose.values(), *out.items.values(), *(a for alts in out.one_of.values() for a in alts), root}
+        if lost := sorted(named - set(given) - {"any", *BUILT_IN}):
+            raise ValueError(f"definitions not given: {', '.join(lost)}")
+        return out
 
     @property
     def mappings(self) -> list[str]:
-        return sorted({d for d, _ in self.props} | set(self.loose) | {"mapping"})
+        return sorted({d for d, _ in self.props} | set(self.loose) | self.keyed | {"mapping"})
 
     @property
     def sequences(self) -> list[str]:

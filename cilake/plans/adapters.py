@@ -143,7 +143,7 @@ SELECT o_orderkey AS doc_id, concat('{"name":"wf', o_orderkey, '","on":',
   CASE o_orderkey % 3 WHEN 0 THEN '"push"' WHEN 1 THEN '["push","pull_request"]' ELSE '{"push":{"branches":["main"]},"workflow_dispatch":{"inputs":{"env":{"required":true,"type":"choice","default":"dev","options":["dev","prod"]},"dry":{"description":"d"}}},"workflow_call":{"inputs":{"tag":{"type":"string","required":true}},"outputs":{"url":{"value":"u"}}}}' END,
   ',"jobs":{"build":{"name":"', CASE WHEN o_custkey % 2 = 0 THEN 'Build it' ELSE '' END, '","runs-on":', CASE o_custkey % 3 WHEN 0 THEN '"ubuntu"' WHEN 1 THEN '["self-hosted","x64"]' ELSE '{"group":"big","labels":["gpu"]}' END,
   CASE WHEN o_custkey % 7 = 0 THEN ',"colour":"red"' ELSE '' END,
-  CASE o_custkey % 4 WHEN 0 THEN ',"container":"node:20"' WHEN 1 THEN ',"container":{"image":"py:3","options":"-it"}' ELSE '' END,
+  CASE o_custkey % 4 WHEN 0 THEN ',"container":"node:20"' WHEN 1 THEN concat(',"container":{"image":"py:3","options":"-it","env":{"A":"1","N":', o_custkey, '},"ports":["80:80",443],"volumes":["/a:/b"],"credentials":{"username":"u', o_custkey, '","password":"p"}}') ELSE '' END,
   CASE o_custkey % 3 WHEN 0 THEN ',"secrets":"inherit"' WHEN 1 THEN ',"secrets":{"TOKEN":"t","KEY":"k"}' ELSE '' END,
   ',"env":', CASE WHEN o_custkey % 5 = 0 THEN '"none"' ELSE concat('{"A":"1","B":', o_custkey, '}') END,
   ',"steps":[{"id":"s1","run":"make","env":{"INPUT_DRY":"old"}},{"uses":"o/r@v4","env":{"INPUT_NODE-VERSION":"18","C":"c"},"with":{"node-version":"20","dry run":"yes"}}]},"test":{"needs":',

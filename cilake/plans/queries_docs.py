@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cilake.functions import dynamic as dy
@@ -175,9 +177,14 @@ def _(s: Source):
 
 
 @query("m9_containers", f"""
-SELECT o_orderkey AS doc_id, 'build' AS job_id, CASE o_custkey % 4 WHEN 0 THEN 'node:20' ELSE 'py:3' END AS image, CASE o_custkey % 4 WHEN 1 THEN '-it' END AS options {_O} WHERE o_custkey % 4 < 2""")
+SELECT o_orderkey AS doc_id, 'build' AS job_id, 'node:20' AS image, CAST(NULL AS VARCHAR) AS options, CAST(NULL AS VARCHAR) AS env, CAST(NULL AS VARCHAR) AS ports,
+  CAST(NULL AS VARCHAR) AS volumes, CAST(NULL AS VARCHAR) AS credentials {_O} WHERE o_custkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'build', 'py:3', '-it', concat('{{"A":"1","N":"', o_custkey, '"}}'), '80:80,443', '/a:/b',
+  concat('{{"password":"p","username":"u', o_custkey, '"}}') {_O} WHERE o_custkey % 4 = 1""")
 def _(s: Source):
-    return dc.containers(_jobs(s))
+    found = dc.containers(_jobs(s))
+    maps = {c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))) for c in ("env", "credentials")}
+    return found.withColumns({**maps, **{c: F.array_join(c, ",") for c in ("ports", "volumes")}})
 
 
 @query("m10_job_secrets", f"""
@@ -400,21 +407,30 @@ def _nodes(s: Source):
     return ql.check_nodes(s.ad("ACTION"), ql.ACTION_RULES)
 
 
+_STEP_OPEN, _IF_OPEN = ",".join(ql.ACTION_RULES.contexts["step-env"]), ",".join(ql.ACTION_RULES.contexts["step-if"])
+# every node that contexts are open for, once for each alternative it is read by: (path, contexts, condition)
 _CTX = [("inputs.tag.default", "github,strategy,matrix,job,runner,hashFiles(1,255)", "true"),
         ("outputs.url.value", "github,strategy,matrix,steps,inputs,job,runner,env", "true"),
-        ("runs.args[0]", "inputs", f"{_R5} = 2"), ("runs.args[1]", "inputs", f"{_R5} = 2")]
+        ("runs.args[0]", "inputs", f"{_R5} = 2"), ("runs.args[1]", "inputs", f"{_R5} = 2"),
+        *[(f"runs.steps[0].{k}", _STEP_OPEN, f"{_R5} IN (3, 4)") for k in ("run", "shell")],
+        *[("runs.steps[0].if", _IF_OPEN, f"{_R5} = 3"), ("runs.steps[0].continue-on-error", _STEP_OPEN, f"{_R5} = 3")] * 2,
+        *[(f"runs.steps[1].{k}", _STEP_OPEN, f"{_R5} = 3") for k in ("with", "with.k")]]
 
 
 @query("v11_context_inheritance", " UNION ALL ".join(
     f"SELECT o_orderkey AS doc_id, '{p}' AS path, '{c}' AS contexts FROM orders WHERE {w}" for p, c, w in _CTX))
 def _(s: Source):
-    held = F.col("def").isin("input-default-context", "output-value", "container-runs-context")
-    return _nodes(s).filter(held).select("doc_id", "path", F.array_join("ctx", ",").alias("contexts"))
+    return _nodes(s).filter(F.size("ctx") > 0).select("doc_id", "path", F.array_join("ctx", ",").alias("contexts"))
+
+
+_DECLARED = re.compile(r"([a-zA-Z]+)\((\d+),(\d+)\)")
 
 
-@query("v12_declared_arity", "SELECT o_orderkey AS doc_id, 'inputs.tag.default' AS path, 'hashFiles' AS fn, CAST(1 AS BIGINT) AS min_args, CAST(255 AS BIGINT) AS max_args FROM orders")
+@query("v12_declared_arity", " UNION ALL ".join(
+    f"SELECT o_orderkey AS doc_id, '{p}' AS path, '{fn}' AS fn, CAST({lo} AS BIGINT) AS min_args, CAST({hi} AS BIGINT) AS max_args FROM orders WHERE {w}"
+    for p, c, w in _CTX for fn, lo, hi in _DECLARED.findall(c)))
 def _(s: Source):
-    return ql.declared_arity(_nodes(s).filter(F.col("def") == "input-default-context").select("doc_id", "path", "ctx"))
+    return ql.declared_arity(_nodes(s).select("doc_id", "path", "ctx"))
 
 
 @query("v15_expr_skips_checks", f"""

@@ -34,17 +34,6 @@ def _(s: Source):
     return framing.read_log_lines(s.spark, path).select("line")
 
 
-@query("s11_write_console", """
-WITH m AS ({PARSED}) SELECT concat(job_id, ' ', CASE WHEN command IS NULL THEN line ELSE concat('##[group]', data) END) AS line
-FROM m WHERE command IS NULL OR command = 'group'""")
-def _(s: Source):
-    path = shared_dir(s.spark, "console")
-    p = ll.parse_commands(s.ad("LOG")).filter(F.col("command").isNull() | (F.col("command") == "group"))
-    own = F.when(F.col("command").isNull(), F.col("line")).otherwise(F.concat(F.lit("##[group]"), "data"))
-    sinks.write_console(p.select("job_id", "seq", F.concat_ws(" ", F.col("job_id").cast("string"), own).alias("text")), path)
-    return framing.read_log_lines(s.spark, path).select("line")
-
-
 @query("l1_parse_commands", "SELECT job_id, seq, form, command, prop_text, data, raw FROM ({PARSED})")
 def _(s: Source):
     return ll.parse_commands(s.ad("LOG")).select("job_id", "seq", "form", "command", "prop_text", "data", "raw")
@@ -163,17 +152,30 @@ _MASKED = """SELECT l.job_id, l.seq, l.sub, CASE WHEN count(m.mask) = 0 THEN any
   FROM lines l LEFT JOIN masks m ON l.job_id = m.job_id AND m.mask_seq < l.seq AND contains(l.text, m.mask) GROUP BY l.job_id, l.seq, l.sub"""
 
 
-@query("l9_console_view", f"""
+# the whole console, masked
+_CONSOLE = f"""
 WITH e AS ({_ECHO}), lines AS (
   SELECT job_id, seq, CAST(0 AS BIGINT) AS sub, raw AS text FROM e WHERE echo AND command IN ('set-env', 'set-output', 'save-state', 'add-path', 'group', 'endgroup', 'echo')
   UNION ALL SELECT job_id, seq, 1, CASE WHEN command IS NULL THEN line WHEN command = 'group' THEN concat('##[group]', data) ELSE concat('##[endgroup]', data) END
   FROM e WHERE command IS NULL OR command IN ('group', 'endgroup')), masks AS {_HIDE}
-{_MASKED}""")
+{_MASKED}"""
+
+
+@query("l9_console_view", _CONSOLE)
 def _(s: Source):
     view = ll.console_view(s.ad("LOG"))
     return view.select("job_id", "seq", F.col("sub").cast("bigint").alias("sub"), "text")
 
 
+@query("s11_write_console", f"SELECT concat(job_id, ' ', text) AS line FROM ({_CONSOLE})")
+def _(s: Source):
+    # the console goes out as text, each row behind its job, and is read back line by line
+    path = shared_dir(s.spark, "console")
+    view = ll.console_view(s.ad("LOG"))
+    sinks.write_console(view.withColumn("text", F.concat_ws(" ", F.col("job_id").cast("string"), "text")), path)
+    return framing.read_log_lines(s.spark, path).select("line")
+
+
 @query("l9_gated_view", f"""
 WITH e AS ({_ECHO}), lines AS (
   SELECT job_id, seq, CAST(0 AS BIGINT) AS sub, raw AS text FROM e WHERE echo AND command IN ('set-env', 'set-output', 'save-state', 'add-path', 'group', 'endgroup', 'echo')

@@ -75,6 +75,30 @@ def test_action_checks(spark):
     assert check(spark, '{"outputs":{"o":{"%s":1}}}' % (D + "{{ insert }}")) == [("outputs.o." + D + "{{ insert }}", "insert_key")]
 
 
+def test_rules_from_a_document(spark):
+    text = """{"definitions": {
+        "top": {"mapping": {"properties": {"mode": {"type": "mode", "required": true}, "list": "list", "n": "count", "either": "either"},
+                            "loose-key-type": "string", "loose-value-type": "any"}},
+        "mode": {"allowed-values": ["on", "off"]}, "list": {"sequence": {"item-type": "name"}}, "name": {"context": ["env", "f(1,MAX)"], "string": {}},
+        "count": {"number": {}}, "either": {"one-of": ["fixed", "bare"]}, "fixed": {"string": {"constant": "x"}}, "bare": {"mapping": {}}}}"""
+    rules = ql.RuleSet.from_document(text, "top")
+    assert rules.required == [("top", "mode")] and rules.constant == {"fixed": "x"} and "bare" in rules.mappings
+
+    def broken(doc, **kw):
+        df = spark.createDataFrame([(1, doc)], "id int, doc string")
+        return sorted((r.path, r.rule) for r in ql.check_documents(df, rules, **kw).collect())
+
+    fine = '{"mode":"on","list":["a","%s"],"n":3,"either":"x","more":[1]}' % (D + "{{ f(env.A, 2) }}")
+    assert broken(fine, missing_required=True) == []
+    assert broken('{"mode":"up","list":[["a"],"%s"],"n":"3","either":{"a":1}}' % (D + "{{ secrets.A }}")) == [
+        ("either", "wrong_container"), ("either.a", "unknown_property"), ("list[0]", "wrong_container"), ("list[1]", "unknown_variable"),
+        ("mode", "allowed_values"), ("n", "scalar_type")]
+    assert broken('{"mode":"off","either":"y"}') == [("either", "constant"), ("either", "wrong_container")]
+    assert broken("{}", missing_required=True) == [("", "missing_required")]
+    with pytest.raises(ValueError, match="nowhere"):
+        ql.RuleSet.from_document('{"definitions": {"top": {"sequence": {"item-type": "nowhere"}}}}', "top")
+
+
 def test_context_documents(spark):
     rows = [(1, "github", "{}"), (1, "env", ""), (1, "vars", "{"), (1, "what", "{}")]
     read = sd.load_contexts(spark.createDataFrame(rows, "id int, name string, json string"))

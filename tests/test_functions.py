@@ -155,3 +155,13 @@ def test_classifications(spark):
         "default", "local-reusable-workflow", "remote-reusable-workflow", "unknown", "unknown"]
     assert one(spark, dc.shell_command(F.lit("bash"), F.lit(""))) == "bash -e {0}"
     assert one(spark, dc.action_kind(F.lit("NODE20"))) == "node"
+
+
+def test_sql_number_agrees_with_the_column_form(spark):
+    from cilake.functions import sqlfuncs
+    sqlfuncs.register_functions(spark)
+    texts = ["", "0", "-1.5e3", ".5", "Infinity", "-inf", "+INF", "inf1", "nan", "0x1p4", " 1", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", F.expr("ci_number(t)").alias("a"), dy.coerce_number(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows), rows
+    assert {r.t: r.a for r in rows}["-inf"] == float("-inf")
