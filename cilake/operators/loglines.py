@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cilake.functions import text as tx
 from cilake.operators.binding import bind
+from cilake.operators.grams import distinct_grams, lead_gram
 from cilake.operators.running import BLOCK_ROWS, Run, running
 from cilake.session import written
 
@@ -221,10 +222,27 @@ def _hide(text: Column, masks: Column) -> Column:
 GRAM = 4  # letters of a mask that lead to its lines; shorter masks are looked up whole
 
 
-def _grams(text: Column, n: Column) -> Column:
-    """Distinct substrings of `n` letters."""
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
-    return F.array_distinct(F.filter(some, lambda g: F.length(g) == n))
+MAX_WORDS = 1024  # of a job's bit set of mask grams; a fuller set lets more grams pass, none is lost
+
+
+def _bit_sets(led: DataFrame) -> DataFrame:
+    """(job_id, _lengths, _since, _bits): gram lengths, first mask, and a bit set of the leading grams, about 16 bits a mask."""
+    sizes = led.groupBy("job_id").agg(
+        F.collect_set("_n").alias("_lengths"), F.min("mask_seq").alias("_since"),
+        F.least(F.lit(MAX_WORDS), F.greatest(F.lit(16), F.ceil(F.count("*") / 4))).cast("int").alias("_words"))
+    placed = led.join(sizes, "job_id").select("job_id", "_lengths", "_since", "_words", *_bit_of(F.col("_gram")))
+    words = placed.groupBy("job_id", "_lengths", "_since", "_words", "_word").agg(F.bit_or("_bit").alias("_bit"))
+    return words.groupBy("job_id", "_lengths", "_since", "_words").agg(
+        F.map_from_entries(F.collect_list(F.struct("_word", "_bit"))).alias("_map")).select(
+        "job_id", "_lengths", "_since", "_words", F.transform(F.sequence(F.lit(0), F.col("_words") - 1), lambda w: F.coalesce(
+            F.try_element_at("_map", w), F.lit(0).cast("bigint"))).alias("_bits"))
+
+
+def _bit_of(gram: Column) -> tuple[Column, Column]:
+    """Word number and bit of a gram in a set of `_words` words."""
+    h = F.xxhash64(gram)
+    return F.pmod(F.shiftright(h, 6), F.col("_words")).cast("int").alias("_word"), F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")).alias("_bit")
 
 
 def mask_lines(lines: DataFrame, masks: DataFrame, text: str = "line", *, keys: list[str] | None = None) -> DataFrame:
@@ -233,15 +251,20 @@ def mask_lines(lines: DataFrame, masks: DataFrame, text: str = "line", *, keys:
     A line hides the masks that occur in it, the longest first. Each mask is led to its lines by one gram of its own
     (the one with the smallest hash), met by equality with the grams of the lines of jobs that have masks; what
     meets is then checked. So work grows with the text and the hits, not with lines times masks.
-    `keys` identify a line (default job_id, seq).
+    Before a line unfolds into grams these are probed in the bit set of its job, so only grams that may lead to a mask, of lines
+    after the job's first mask, are shuffled. `keys` identify a line (default job_id, seq).
     """
     keys = keys or ["job_id", "seq"]
     n = F.least(F.length("mask"), F.lit(GRAM))
-    lead = F.array_min(F.transform(_grams(F.col("mask"), n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-    led = masks.select("job_id", "mask", "mask_seq", n.alias("_n"), lead.alias("_gram"))
-    lengths = led.groupBy("job_id").agg(F.collect_set("_n").alias("_lengths"))
-    every = F.flatten(F.transform("_lengths", lambda k: _grams(F.col(text), k)))
-    grams = lines.join(lengths, "job_id").select(*keys, F.explode(every).alias("_gram"))
+    led = masks.select("job_id", "mask", "mask_seq", n.alias("_n"), lead_gram(F.col("mask"), n).alias("_gram"))
+    near = lines.join(_bit_sets(led), "job_id").filter(F.col("seq") > F.col("_since"))
+    every = F.array_distinct(F.flatten(F.transform("_lengths", lambda k: distinct_grams(F.col(text), k))))
+
+    def may_lead(gram: Column) -> Column:
+        word, bit = _bit_of(gram)
+        return F.get("_bits", word).bitwiseAND(bit) != 0
+
+    grams = near.select(*keys, F.explode(F.filter(every, may_lead)).alias("_gram"))
     met = grams.join(led, ["job_id", "_gram"]).filter(F.col("mask_seq") < F.col("seq"))
     found = met.groupBy(*keys).agg(F.collect_set("mask").alias("_found"))
     hidden = _hide(F.col(text), F.filter("_found", lambda m: F.contains(F.col(text), m)))

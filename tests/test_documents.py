@@ -1,5 +1,9 @@
 """Loading, path rows, rules as data, document checks, expressions."""
 
+import json
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +48,38 @@ def test_rules(spark):
     assert got == [(1, 1), (1, 3), (1, 5), (2, 2), (2, 3), (2, 5)]
 
 
+def holds(op, value, literal):
+    """One condition in plain Python; `value` is ... where the path is missing."""
+    number = lambda t: 0.0 if t == "" else float(t) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)", t) else None
+    text = "" if value in (..., None) else str(value).lower() if isinstance(value, bool) else str(value)
+    if op in ("contains", "startswith", "endswith"):
+        a, b = text.lower(), literal.lower()
+        return {"contains": b in a, "startswith": a.startswith(b), "endswith": a.endswith(b)}[op]
+    if isinstance(value, str):
+        a, b = value.encode(), literal.encode()
+    else:
+        a, b = 0.0 if value in (..., None) else float(value), number(literal)
+        if b is None:
+            return False
+    return {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+
+def test_rules_against_all_pairs(spark):
+    rnd = random.Random(11)
+    some = lambda: rnd.choice([None, True, False, 0, -1, 2.5, rnd.randrange(600), "", "Ab", "xAbcd", "abcdE9", "7", "é"])
+    docs = {i: {k: some() for k in "abc" if rnd.random() < 0.8} for i in range(60)}
+    literal = lambda: rnd.choice(["", "0", "1", "ab", "Ab", "abcd", "bcde", "cde9", "é", "z", "2.50", str(rnd.randrange(600))])
+    ops = ["==", "!=", "<", "<=", ">", ">=", "contains", "startswith", "endswith"]
+    rules = [(r, rnd.choice("abc"), rnd.choice(ops), literal()) for r in range(900) for _ in range(rnd.choice([1, 1, 2, 3]))]
+    want = {(i, r) for i, d in docs.items() for r in range(900)
+            if all(holds(op, d.get(p, ...), x) for q, p, op, x in rules if q == r)}
+    ddf = spark.createDataFrame([(i, json.dumps(d)) for i, d in docs.items()], "id bigint, payload string")
+    rdf = spark.createDataFrame(rules, "rule_id int, path string, op string, literal string")
+    got = [(r.id, r.rule_id) for r in pr.match_rules(ddf, rdf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert pr.match_rules(ddf.limit(0), rdf).count() == 0 and pr.match_rules(ddf, rdf.limit(0)).count() == 0
+
+
 def test_expressions(spark):
     text = f"a {D}{{{{ format('{{0}} }}}} (', join(x.y, ','), (b || c)) }}}} {D}{{{{ 'lit' }}}}"
     df = spark.createDataFrame([(1, text)], "id int, text string")
