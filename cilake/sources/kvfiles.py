@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cilake.operators.binding import bind
 from cilake.operators.envstate import is_blocked
-
-_PAIR = "struct<key:string,value:string,ord:bigint>"
+from cilake.operators.running import BLOCK_ROWS, Run, running
+from cilake.session import written
 
 
 def _simple(text: Column, kind: Column) -> Column:
@@ -30,67 +29,124 @@ def _simple(text: Column, kind: Column) -> Column:
     return F.struct(F.get(errors, 0).alias("error"), pairs.alias("pairs"))
 
 
-def _read_heredocs(text: str) -> tuple[str | None, list[tuple[str, str, int]]]:
-    """(first problem, (key, value, line number)) of a file, line by line, in linear time."""
-    lines = text.split("\n")
-    ends = ["\n"] * (len(lines) - 1) + [""]
-    for k in range(len(lines) - 1):  # the carriage return belongs to the line break; an unterminated last line keeps it
-        if lines[k].endswith("\r"):
-            lines[k], ends[k] = lines[k][:-1], "\r\n"
-    pairs, k = [], 0
-    while k < len(lines):
-        line, first = lines[k], k
-        k += 1
-        if not line:
-            continue
-        equals, doc = line.find("="), line.find("<<")
-        if doc >= 0 and (equals < 0 or doc < equals):
-            key, delimiter = line[:doc], line[doc + 2 :]
-            if not key or not delimiter:
-                return "name and delimiter must not be empty", pairs
-            try:
-                last = lines.index(delimiter, k)
-            except ValueError:
-                return "delimiter not found", pairs
-            # the last break is never part of the value
-            value = "".join(x + e for x, e in zip(lines[k:last], [*ends[k : last - 1], ""], strict=True)) if last > k else ""
-            pairs.append((key, value, first))
-            k = last + 1
-        elif equals < 0:
-            return "invalid format", pairs
-        elif equals == 0:
-            return "name must not be empty", pairs
-        else:
-            pairs.append((line[:equals], line[equals + 1 :], first))
-    return None, pairs
-
-
-def _heredocs(texts: pa.Array) -> pa.Array:
-    found = [(None, None) if t is None else _read_heredocs(t) for t in (x.as_py() for x in texts)]
-    kind = pa.struct([("key", pa.string()), ("value", pa.string()), ("ord", pa.int64())])
-    rows = [None if p is None else [dict(zip(("key", "value", "ord"), x, strict=True)) for x in p] for _, p in found]
-    return pa.StructArray.from_arrays([pa.array([e for e, _ in found], pa.string()), pa.array(rows, pa.list_(kind))], ["error", "pairs"])
-
-
-def parse_kv_files(files: DataFrame, content: str = "content", kind: str = "kind") -> DataFrame:
-    """Key/value files: `(…, error, key, value, ord)`, from one scan.
+def _lines(texts: DataFrame) -> DataFrame:
+    """(_file, _kind, n, t, brk) and what each line would be if it is not within a heredoc's body: `doc` (an opener), key, delim, eq.
+
+    The carriage return belongs to the line break; an unterminated last line keeps it.
+    """
+    parts = F.split("_text", "\n", -1)
+    rows = texts.select("_file", "_kind", (F.size(parts) - 1).cast("bigint").alias("_last"), F.posexplode(parts).alias("n", "x"))
+    cr = F.col("x").endswith("\r") & (F.col("n") < F.col("_last"))
+    cut = rows.select(
+        "_file", "_kind", F.col("n").cast("bigint").alias("n"),
+        F.when(cr, F.left("x", F.length("x") - 1)).otherwise(F.col("x")).alias("t"),
+        F.when(F.col("n") == F.col("_last"), "").when(cr, "\r\n").otherwise("\n").alias("brk"))
+    placed = bind(cut, eq=F.instr("t", "="), at=F.instr("t", "<<"))
+    doc = (F.col("at") > 0) & ((F.col("eq") == 0) | (F.col("at") < F.col("eq")))
+    return bind(placed, doc=doc).select(
+        "_file", "_kind", "n", "t", "brk", "eq", "doc",
+        F.when(F.col("doc"), F.left("t", F.col("at") - 1)).otherwise(F.substring_index("t", "=", 1)).alias("key"),
+        F.when(F.col("doc"), F.substring(F.col("t"), F.col("at") + 2, F.length("t"))).alias("delim"))
+
+
+def _closed(lines: DataFrame, block_rows: int) -> DataFrame:
+    """(_file, n, end) of the openers that have a closing line: the next line that is their delimiter."""
+    asks = lines.filter("doc AND key <> '' AND delim <> ''").select("_file", F.col("delim").alias("d"), "n")
+    wanted = asks.select("_file", "d").distinct()
+    closers = lines.select("_file", F.col("t").alias("d"), "n").join(wanted, ["_file", "d"], "left_semi")
+    none = F.lit(None).cast("bigint")
+    marks = asks.withColumn("c", none).unionByName(closers.withColumn("c", F.col("n")))
+    seen = running(marks.withColumn("_back", -F.col("n")), ["_file", "d"], "_back", [Run("end", "last", F.col("c"))],
+                   inclusive=False, block_rows=block_rows)
+    return seen.filter("c IS NULL AND end IS NOT NULL").select("_file", "n", "end")
+
+
+def _outside(spans: DataFrame, block_rows: int) -> DataFrame:
+    """The heredocs `(_file, n, end)` that a reader from line 0 opens, i.e. that do not begin within another one it opened.
+
+    A span that no earlier span reaches is opened for sure. Where spans overlap, the reader goes from a span to the first one
+    beginning after its end; who is reached from the sure ones is told by pointer doubling, so in as many rounds as the
+    logarithm of the longest run of overlapping spans. Without overlaps there is no round.
+    """
+    spans = written(running(spans, ["_file"], "n", [Run("_cover", "max", F.col("end"))], inclusive=False,
+                            block_rows=block_rows), "heredocs")
+    sure = F.coalesce(F.col("_cover") < F.col("n"), F.lit(True))
+    open_ = spans.filter(~sure)
+    reached = spans.filter(sure).select("_file", "n")
+    if not open_.isEmpty():
+        none = F.lit(None).cast("bigint")
+        starts = spans.select("_file", (-2 * F.col("n")).alias("_back"), F.col("n").alias("to"), none.alias("n"))
+        asks = spans.select("_file", (-2 * F.col("end") - 1).alias("_back"), none.alias("to"), "n")
+        found = running(starts.unionByName(asks), ["_file"], "_back", [Run("next", "last", F.col("to"))], inclusive=False,
+                        block_rows=block_rows).filter("n IS NOT NULL AND next IS NOT NULL").select("_file", "n", F.col("next").alias("to"))
+        hops = written(found.join(open_.select("_file", F.col("n").alias("to")), ["_file", "to"], "left_semi"), "hops")
+        while not hops.isEmpty():
+            further = reached.join(hops, ["_file", "n"]).select("_file", F.col("to").alias("n"))
+            reached = written(reached.unionByName(further).distinct(), "reached")
+            hops = written(hops.join(hops.select("_file", F.col("n").alias("to"), F.col("to").alias("_then")), ["_file", "to"]).select(
+                "_file", "n", F.col("_then").alias("to")), "hops")
+    return spans.join(reached, ["_file", "n"], "left_semi").select("_file", "n", "end")
+
+
+def _heredocs(texts: DataFrame, block_rows: int) -> DataFrame:
+    """Files `(_file, _kind, _text)` as rows `(_file, error, key, value, ord)`, one with the first problem for a bad file."""
+    lines = written(_lines(texts), "lines")
+    spans = _outside(_closed(lines, block_rows), block_rows)
+    marked = lines.join(spans, ["_file", "n"], "left").withColumn(
+        "_span", F.when(F.col("end").isNotNull(), F.struct(F.col("n").alias("a"), F.col("end").alias("b"))))
+    seen = running(marked, ["_file"], "n", [Run("_in", "last", F.col("_span"))], inclusive=False, block_rows=block_rows)
+    inside = F.coalesce(F.col("_in.b") >= F.col("n"), F.lit(False))
+    problem = (
+        F.when(F.col("doc") & ((F.col("key") == "") | (F.col("delim") == "")), "name and delimiter must not be empty")
+        .when(F.col("doc") & F.col("end").isNull(), "delimiter not found")
+        .when(~F.col("doc") & (F.col("eq") == 0), "invalid format")
+        .when(~F.col("doc") & (F.col("eq") == 1), "name must not be empty")
+        .when(is_blocked(F.col("_kind"), F.col("key")), "blocked name"))
+    told = seen.withColumns({"_inside": inside}).filter("_inside OR t <> ''").withColumn(
+        "error", F.when(~F.col("_inside"), problem))
+    told = written(told.select("_file", "n", "t", "brk", "eq", "doc", "key", "_inside", "_in", "error"), "told")
+    bad = told.filter("error IS NOT NULL").groupBy("_file").agg(F.min_by("error", "n").alias("error"))
+    good = told.join(bad.select("_file"), "_file", "left_anti")
+    plain = good.filter("NOT _inside AND NOT doc").select(
+        "_file", "key", F.substring(F.col("t"), F.col("eq") + 1, F.length("t")).alias("value"), F.col("n").alias("ord"))
+    # an opener and the lines of its body; the last break is never part of the value
+    piece = F.when(F.col("_inside"), F.when(F.col("n") < F.col("_in.b") - 1, F.concat("t", "brk")).otherwise(F.col("t")))
+    bodies = good.filter("(_inside AND n < _in.b) OR (NOT _inside AND doc)").select(
+        "_file", F.when(F.col("_inside"), F.col("_in.a")).otherwise(F.col("n")).alias("ord"), "n",
+        F.when(~F.col("_inside"), F.col("key")).alias("key"), piece.alias("piece"))
+    docs = bodies.groupBy("_file", "ord").agg(
+        F.max("key").alias("key"), F.expr("coalesce(listagg(piece, '') within group (order by n), '')").alias("value"))
+    none = lambda t: F.lit(None).cast(t)
+    return plain.unionByName(docs.select("_file", "key", "value", "ord")).withColumn("error", none("string")).unionByName(
+        bad.select("_file", none("string").alias("key"), none("string").alias("value"), none("bigint").alias("ord"), "error"))
+
+
+def parse_kv_files(files: DataFrame, content: str = "content", kind: str = "kind", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Key/value files: `(…, error, key, value, ord)`.
 
     Pairs are in file order; one bad line rejects its whole file, which then is one row with its first problem and no
-    pair. Files without heredocs are read natively; heredocs need a pass over the lines in order, so
-    their texts alone take an Arrow hop.
+    pair. A file without content gives no row. Files without heredocs are read in one pass, each in its row. Where there are
+    heredocs, each distinct content is cut into lines once, so a long file is many tasks' work: openers find their closing line by
+    a running value over (file, text), and which of them lie outside a body is told by their spans. Files meet
+    their pairs again by a digest of kind and content.
     """
     keep = [c for c in files.columns if c != content]
     text, k = F.col(content), F.col(kind)
     holds = F.contains(text, F.lit("<<"))
-    heredocs = F.arrow_udf(_heredocs, f"struct<error:string,pairs:array<{_PAIR}>>")
-    read = bind(files.withColumn("_doc", heredocs(F.when(holds, text))), _plain=_simple(F.when(~holds, text), k))
-    # a blocked name counts where it stands: before any later problem of the file
-    blocked = F.exists("_doc.pairs", lambda p: is_blocked(k, p["key"]))
-    error = F.when(holds, F.when(blocked, "blocked name").otherwise(F.col("_doc.error"))).otherwise(F.col("_plain.error"))
-    pairs = F.when(holds, F.col("_doc.pairs")).otherwise(F.col("_plain.pairs"))
-    judged = read.select(*keep, error.alias("error"), pairs.alias("_pairs"))
-    out = judged.select(*keep, "error", F.inline_outer(F.when(F.col("error").isNull(), F.col("_pairs"))))
-    return out.filter(F.col("error").isNotNull() | F.col("key").isNotNull())
+    read = bind(files.filter(~holds), _plain=_simple(text, k))
+    judged = read.select(*keep, F.col("_plain.error").alias("error"), F.col("_plain.pairs").alias("_pairs"))
+    plain = judged.select(*keep, "error", F.inline_outer(F.when(F.col("error").isNull(), F.col("_pairs"))))
+    plain = plain.filter(F.col("error").isNotNull() | F.col("key").isNotNull())
+
+    digest = F.sha2(F.concat(F.coalesce(k, F.lit("")), F.lit("\n"), text), 256)
+    held = files.filter(holds)
+    texts = written(held.groupBy(digest.alias("_file"), k.alias("_kind")).agg(F.first(text).alias("_text")), "heredoc-files")
+    if texts.isEmpty():
+        return plain
+    pairs = _heredocs(texts, block_rows)
+    met = held.select(*keep, digest.alias("_file")).join(pairs.withColumnsRenamed(
+        {c: f"_{c}" for c in ("error", "key", "value", "ord")}), "_file")
+    return plain.unionByName(met.select(*keep, *[F.col(f"_{c}").alias(c) for c in ("error", "key", "value", "ord")]))
 
 
 def parse_path_files(files: DataFrame, content: str = "content") -> DataFrame:

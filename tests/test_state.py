@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from cilake.functions.text import glob_to_regex, normal_glob
 from cilake.operators import envstate as es
 from cilake.operators import files as fs
 from cilake.operators import matrix as mx
@@ -44,6 +46,53 @@ def test_kv_files(spark):
         assert (bad.get(i) or got.get(i, [])) == want, content
 
 
+def read_in_order(lines):
+    """A reader line by line: pairs, or the first problem."""
+    pairs, k = [], 0
+    while k < len(lines):
+        line, k = lines[k], k + 1
+        if not line:
+            continue
+        eq, at = line.find("="), line.find("<<")
+        if at >= 0 and (eq < 0 or at < eq):
+            if at == 0 or not line[at + 2:]:
+                return "name and delimiter must not be empty"
+            if line[at + 2:] not in lines[k:]:
+                return "delimiter not found"
+            end = lines.index(line[at + 2:], k)
+            pairs.append((line[:at], "\n".join(lines[k:end])))
+            k = end + 1
+        elif eq <= 0:
+            return "invalid format" if eq < 0 else "name must not be empty"
+        else:
+            pairs.append((line[:eq], line[eq + 1:]))
+    return pairs
+
+
+def test_overlapping_heredocs(spark):
+    rnd = random.Random(12)
+    pool = ["A<<E", "B<<F", "C<<G", "E", "F", "G", "", "k=v", "k=E<<F"]
+    files = [[rnd.choice(pool) for _ in range(rnd.randrange(1, 40))] for _ in range(100)]
+    for _ in range(200):  # closed in the end, with other openers and closers within
+        files.append([])
+        for _ in range(rnd.randrange(1, 6)):
+            d = rnd.choice("EFG")
+            files[-1] += [f"K<<{d}", *[x for x in rnd.choices(pool, k=rnd.randrange(9)) if x != d], d, "k=v"]
+    # a file that opens one heredoc after another, each within the span of the one before
+    files.append(["A<<E", *[x for i in range(200) for x in (f"A<<d{i + 1}" if i % 2 else f"B<<d{i}", "E" if i % 7 == 0 else f"d{i}")], "E"])
+    df = spark.createDataFrame([(i, "env", "\n".join(x)) for i, x in enumerate(files)], "f int, kind string, content string")
+    got = {}
+    for r in kvfiles.parse_kv_files(df, block_rows=64).orderBy("f", "ord").collect():
+        if r.error:
+            assert r.f not in got
+            got[r.f] = r.error
+        else:
+            got.setdefault(r.f, []).append((r.key, r.value))
+    want = {i: read_in_order(x) for i, x in enumerate(files)}
+    assert got == {i: w for i, w in want.items() if w}
+    assert sum(isinstance(w, list) and len(w) > 1 for w in want.values()) > 20
+
+
 def test_kv_round_trip(spark):
     values = [("A", "x"), ("B", "l1\nl2\n"), ("C", ""), ("D", "a=b<<c"), ("E", "\n")]
     df = spark.createDataFrame(values, "key string, value string")
@@ -168,6 +217,26 @@ def test_one_meaning_of_globs(spark):
         assert sorted(r.path for r in fs.select_by_rules(files, rules).collect()) == want, globs
 
 
+def test_rules_of_paths_against_all_pairs(spark):
+    rnd = random.Random(8)
+    part = lambda: rnd.choice(["src", "lib", "a.b", "x", "t_test"])
+    paths = sorted({"/".join([part() for _ in range(rnd.randrange(0, 4))] + [part() + rnd.choice([".go", ".md", ""])]) for _ in range(200)})
+    glob = lambda: "/".join(rnd.choice(["src", "lib", "**", "*", "a.?", "[sl]*", "x"]) for _ in range(rnd.randrange(0, 3)))
+    globs = sorted({rnd.choice(["", "", "!", "/"]) + "/".join(filter(None, [glob(), rnd.choice(["*.go", "*.md", "*_test.go", "x", "[a-x]*", "?"])]))
+                    for _ in range(120)})
+    files = spark.createDataFrame([(s, p) for p in paths for s in "st"], "set_id string, path string")
+    rules = spark.createDataFrame([(s, g) for i, g in enumerate(globs) for s in "st" if s == "s" or i % 3], "set_id string, pattern string")
+    got = {(r.set_id, r.path) for r in fs.select_by_rules(files, rules).collect()}
+    regexes = {g: re.compile(glob_to_regex(normal_glob(g.removeprefix("!")))) for g in globs}
+
+    def chosen(p, some):
+        hits = [g.startswith("!") for g in some if regexes[g].search(p)]
+        return bool(hits) and not any(hits)
+
+    want = {("s", p) for p in paths if chosen(p, globs)} | {("t", p) for p in paths if chosen(p, [g for i, g in enumerate(globs) if i % 3])}
+    assert want and got == want
+
+
 def test_long_heredoc_files(spark):
     text = "A<<E\n" + "line\r\n" * 100_000 + "E\n" + "".join(f"K{k}=v\n" for k in range(50_000)) + "B<<E\nE\n"
     got = kvfiles.parse_kv_files(spark.createDataFrame([("env", text)], "kind string, content string"))
