@@ -27,18 +27,36 @@ def select_files(files: DataFrame, patterns: list[str], path: str = "path") -> D
     return files.filter(matches(F.col(path), patterns))
 
 
+SUFFIX = 8  # letters of a pattern's literal end by which its paths are found
+
+
+def _folders(path: Column) -> Column:
+    """'' and every folder above a path, with its closing '/'."""
+    depth = F.size(F.split(path, "/")) - 1
+    above = F.transform(F.sequence(F.lit(0), depth), lambda i: F.when(i > 0, F.concat(
+        F.call_function("substring_index", path, F.lit("/"), i), F.lit("/"))).otherwise(""))
+    return F.array_distinct(above)
+
+
 def select_by_rules(files: DataFrame, patterns: DataFrame, path: str = "path") -> DataFrame:
     """As `select_files`, but every path set has its own patterns: rows `(set_id, pattern)`.
 
-    Paths meet the patterns of their set in the join itself, which passes on hits alone; a file needs an include among
-    them and no exclude. Contents take no part in the first join.
+    A pattern is found by the folder and the end that it spells out (`src/lib/` and `_test.go` of `src/lib/**/*_test.go`), by
+    equality with the folders above a path and the ends of it; only what meets is matched. So a path does not see all patterns
+    of its set. A file needs an include among its patterns and no exclude. Contents take no part in the first join.
     """
-    rules = patterns.select("set_id", F.col("pattern").startswith("!").alias("_off"),
-                            glob_column(F.regexp_replace("pattern", "^!", "")).alias("_rx")).distinct()
-    names = files.select("set_id", F.col(path).alias("_path")).distinct()
-    hits = names.join(rules, (names["set_id"] == rules["set_id"]) & F.rlike("_path", F.col("_rx"))).select(
-        names["set_id"].alias("_set"), "_path", "_off")
-    chosen = hits.groupBy("_set", "_path").agg(F.bool_or("_off").alias("_out")).filter(~F.col("_out"))
+    plain = F.regexp_replace("pattern", "^!?/?", "")
+    single = F.when(F.contains(plain, F.lit("**")), plain).otherwise(F.regexp_replace(plain, "/+", "/"))
+    rules = patterns.select(
+        "set_id", F.col("pattern").startswith("!").alias("_off"), glob_column(F.regexp_replace("pattern", "^!", "")).alias("_rx"),
+        F.regexp_extract(single, r"^([^*?\[\\]*/)", 1).alias("_folder"),
+        F.right(F.regexp_extract(single, r"([^*?\[\]\\/]*)$", 1), F.lit(SUFFIX)).alias("_end")).distinct()
+    ends = rules.groupBy("set_id").agg(F.collect_set(F.length("_end")).alias("_lengths"))
+    names = files.select("set_id", F.col(path).alias("_path")).distinct().join(ends, "set_id")
+    keyed = names.select("set_id", "_path", F.explode(_folders(F.col("_path"))).alias("_folder"), "_lengths").select(
+        "set_id", "_path", "_folder", F.explode(F.transform("_lengths", lambda n: F.right(F.col("_path"), n))).alias("_end"))
+    met = keyed.join(rules, ["set_id", "_folder", "_end"]).filter(F.rlike("_path", F.col("_rx")))
+    chosen = met.groupBy(F.col("set_id").alias("_set"), "_path").agg(F.bool_or("_off").alias("_out")).filter(~F.col("_out"))
     return files.join(chosen, (files["set_id"] == chosen["_set"]) & (files[path] == chosen["_path"]), "left_semi")
 
 

@@ -82,7 +82,7 @@ def test_overlapping_heredocs(spark):
     files.append(["A<<E", *[x for i in range(200) for x in (f"A<<d{i + 1}" if i % 2 else f"B<<d{i}", "E" if i % 7 == 0 else f"d{i}")], "E"])
     df = spark.createDataFrame([(i, "env", "\n".join(x)) for i, x in enumerate(files)], "f int, kind string, content string")
     got = {}
-    for r in kvfiles.parse_kv_files(df, block_rows=64).orderBy("f", "ord").collect():
+    for r in kvfiles.parse_kv_files(df).orderBy("f", "ord").collect():
         if r.error:
             assert r.f not in got
             got[r.f] = r.error
