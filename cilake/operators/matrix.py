@@ -4,21 +4,20 @@ Dimensions are rows `(job_id, dim, pos, value)`; rules (excludes, includes) are
 `(job_id, rule_pos, dim, value)`. Values compare as text, so canonical JSON keeps 1 and "1" apart.
 A combination is numbered `combo` in mixed radix over the dimensions sorted by name.
 
-Rules never meet combinations pairwise: each rule has a *key set* (the dimensions it names) and
-a *signature* (its values there). A combination is projected to the few key sets of its job and
-meets rules by equality.
+Rules never meet combinations pairwise, and are matched in index space: a rule has a *key set* (stride and size of each
+dimension it names) and a *signature*, the number that its values make in these digits. A combination's own number gives its
+signature on a key set by arithmetic, so it meets rules by equality, without its values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cilake.operators.running import BLOCK_ROWS, numbered
 from cilake.session import written
 
 SPAN = 65_536
-_SEP = "\u0001"
 
 
 def _radix(dims: DataFrame) -> DataFrame:
@@ -45,45 +44,53 @@ def matrix_product(dims: DataFrame, empty_dims: DataFrame | None = None) -> Data
     radix = _radix(dims)
     if empty_dims is not None:
         radix = radix.join(empty_dims.select("job_id").distinct(), "job_id", "left_anti")
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    spans = radix.select(
-        "job_id", "d", "total", F.explode(F.sequence(zero, F.expr(f"(total - 1) div {SPAN}"))).alias("span")
-    ).repartition("job_id", "span")
-    combos = spans.select(
-        "job_id", "d",
-        F.explode(F.sequence(F.col("span") * SPAN,
-                             F.least(F.col("span") * SPAN + (SPAN - 1), F.col("total") - one))).alias("combo"),
-    )
-    digits = combos.select("job_id", "combo", F.inline("d")).select(
-        "job_id", "combo", "dim", F.expr("(combo div stride) % n").alias("pos")
-    )
-    return digits.join(dims.select("job_id", "dim", F.col("pos").cast("bigint").alias("pos"), "value"),
-                       ["job_id", "dim", "pos"]).select("job_id", "combo", "dim", "value")
+    spans = _unfold(radix, F.expr(f"(total - 1) div {SPAN} + 1"), "span").repartition("job_id", "span")
+    inside = F.least(F.lit(SPAN).cast("bigint"), F.col("total") - F.col("span") * SPAN)
+    combos = _unfold(spans, inside, "_at").select("job_id", (F.col("span") * SPAN + F.col("_at")).alias("combo"))
+    return values_of(combos, dims)
 
 
-def _wide(long: DataFrame) -> DataFrame:
-    """One row per combination with its values as a map (bounded by the number of dimensions)."""
-    return long.groupBy("job_id", "combo").agg(
-        F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("vals"))
+def _unfold(rows: DataFrame, n: Column, name: str) -> DataFrame:
+    """Each row n times, numbered from 0 in `name`, by sequences of at most SPAN entries (or n / SPAN)."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    many = rows.withColumn("_n", n.cast("bigint")).filter(F.col("_n") > 0).withColumn(
+        "_span", F.explode(F.sequence(zero, F.expr(f"(_n - 1) div {SPAN}"))))
+    first = F.col("_span") * SPAN
+    return many.withColumn(name, F.explode(F.sequence(first, F.least(first + (SPAN - 1), F.col("_n") - one)))).drop("_n", "_span")
 
 
-def _signed(rules: DataFrame, dims: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Per rule: key set and signature over the original dimensions it names (maybe none)."""
-    names = dims.select("job_id", "dim").distinct().withColumn("_known", F.lit(True))
-    marked = rules.join(names, ["job_id", "dim"], "left")
-    pairs = F.array_sort(F.collect_list(F.when(F.col("_known"), F.struct("dim", "value"))))
-    return marked.groupBy("job_id", "rule_pos").agg(pairs.alias("_p")).select(
-        "job_id", "rule_pos",
-        F.transform("_p", lambda x: x["dim"]).alias("keyset"),
-        F.array_join(F.transform("_p", lambda x: x["value"]), _SEP).alias("sig"),
-    )
+def values_of(numbers: DataFrame, dims: DataFrame) -> DataFrame:
+    """Numbered combinations `(job_id, combo)` in long form."""
+    digits = numbers.join(_radix(dims).select("job_id", "d"), "job_id").select("job_id", "combo", F.inline("d")).select(
+        "job_id", "combo", "dim", F.expr("(combo div stride) % n").alias("pos"))
+    return digits.join(dims.select("job_id", "dim", F.col("pos").cast("bigint").alias("pos"), "value"),
+                       ["job_id", "dim", "pos"]).select("job_id", "combo", "dim", "value")
 
 
-def _projected(wide: DataFrame, signed: DataFrame) -> DataFrame:
-    """Each combination with its signature on every key set of its job."""
-    keysets = signed.select("job_id", "keyset").distinct()
-    sig = F.array_join(F.transform("keyset", lambda k: F.element_at(F.col("vals"), k)), _SEP)
-    return wide.join(keysets, "job_id").select("job_id", "combo", "keyset", sig.alias("sig"))
+def _signed(rules: DataFrame, dims: DataFrame) -> DataFrame:
+    """Per rule: key set and signature over the original dimensions it names (maybe none).
+
+    A value that a dimension holds several times gives a row for each place, a value that it lacks a NULL signature. `known`:
+    the rule names nothing but dimensions.
+    """
+    named = rules.groupBy("job_id", "rule_pos", "dim").agg(
+        F.min("value").alias("value"), F.count_distinct("value").alias("_values")).join(
+        _radix(dims).select("job_id", F.inline("d")), ["job_id", "dim"], "left")
+    places = dims.groupBy(F.col("job_id").alias("_job"), F.col("dim").alias("_dim"), F.col("value").alias("_value")).agg(
+        F.collect_list(F.col("pos").cast("bigint")).alias("_at"))
+    placed = named.join(places, (F.col("job_id") == F.col("_job")) & (F.col("dim") == F.col("_dim"))
+                        & F.col("value").eqNullSafe(F.col("_value")) & (F.col("_values") <= 1), "left")
+    at = F.coalesce("_at", F.array().cast("array<bigint>"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("stride", "n", at.alias("at")))))
+    sums = "aggregate(_p, array(0L), (acc, p) -> flatten(transform(acc, a -> transform(p.at, x -> a + x * p.stride))))"
+    return placed.groupBy("job_id", "rule_pos").agg(parts.alias("_p"), F.every(F.col("n").isNotNull()).alias("known")).select(
+        "job_id", "rule_pos", "known", F.transform("_p", lambda x: F.struct(x["stride"], x["n"])).alias("keyset"),
+        F.explode_outer(F.expr(sums)).alias("sig"))
+
+
+def _signature(keyset: str) -> Column:
+    """Signature of the combination `combo` on a key set; NULL without one."""
+    return F.expr(f"aggregate({keyset}, 0L, (acc, k) -> acc + (combo div k.stride) % k.n * k.stride)")
 
 
 def check_exclude_keys(dims: DataFrame, excludes: DataFrame) -> DataFrame:
@@ -94,16 +101,63 @@ def check_exclude_keys(dims: DataFrame, excludes: DataFrame) -> DataFrame:
 
 def matrix_exclude(combos: DataFrame, excludes: DataFrame, dims: DataFrame) -> DataFrame:
     """Drop every combination on which some exclude agrees; rules with an unknown key are ignored here."""
-    bad = check_exclude_keys(dims, excludes).select("job_id", "rule_pos").distinct()
-    rules = _signed(excludes.join(bad, ["job_id", "rule_pos"], "left_anti"), dims)
-    dropped = rule_hits(combos, rules).select("job_id", "combo").distinct()
+    dropped = rule_hits(combos, _signed(excludes, dims).filter("known")).select("job_id", "combo").distinct()
     return combos.join(dropped, ["job_id", "combo"], "left_anti")
 
 
+def kept_numbers(dims: DataFrame, excludes: DataFrame, empty_dims: DataFrame | None = None) -> DataFrame:
+    """`(job_id, combo)` of the product's combinations that no exclude agrees with, without the product.
+
+    Dimensions unfold one after another, those that most rules name first. A rule is applied as soon as its last dimension has
+    unfolded, to the numbers so far, so what it excludes never unfolds further: the cost follows what is left. Dimensions
+    that no rule names unfold last, in spans dealt over the tasks. Rules with an unknown key are ignored.
+    """
+    radix = _radix(dims)
+    if empty_dims is not None:
+        radix = radix.join(empty_dims.select("job_id").distinct(), "job_id", "left_anti")
+    uses = excludes.groupBy("job_id", "dim").agg((-F.count(F.lit(1))).alias("_uses"))
+    ranked = radix.select("job_id", F.inline("d")).join(uses, ["job_id", "dim"], "left")
+    by_use = ranked.groupBy("job_id").agg(F.array_sort(F.collect_list(
+        F.struct(F.coalesce("_uses", F.lit(0)).alias("uses"), "dim", "stride", "n"))).alias("_o"))
+    order = by_use.select("job_id", F.filter("_o", lambda x: x["uses"] < 0).alias("named"),
+                          F.filter("_o", lambda x: x["uses"] == 0).alias("rest"))
+    # level by stride and size: dimensions that agree in both have one value, whose digit is 0 at any level
+    steps = F.transform("named", lambda x: F.struct(x["stride"], x["n"]))
+    last = F.array_max(F.transform("keyset", lambda k: F.array_position(F.col("_steps"), k))).cast("int") - 1
+    signed = _signed(excludes, dims).filter("known AND sig IS NOT NULL").join(order.select("job_id", steps.alias("_steps")), "job_id")
+    # a rule goes by the place of its key set among those of its level; places are few, as dimensions are
+    place = F.dense_rank().over(Window.partitionBy("job_id", "last").orderBy("keyset"))
+    placed = written(signed.select("job_id", last.alias("last"), "keyset", "sig").distinct().withColumn("place", place), "matrix-rules")
+    places = dict(placed.groupBy("last").agg(F.max("place")).collect())
+    sets = placed.groupBy("job_id").agg(F.map_from_entries(F.collect_set(
+        F.struct(F.concat_ws(":", "last", "place").alias("at"), "keyset"))).alias("sets"))
+    found = order.join(sets, "job_id", "left").withColumn("combo", F.lit(0).cast("bigint"))
+    for level in range(1 + max(places, default=-1)):
+        # a job without that dimension goes on as it is
+        found = _unfold(found, F.expr(f"coalesce(try_element_at(named, {level + 1}).n, 1)"), "_digit").withColumn(
+            "combo", F.col("combo") + F.col("_digit") * F.expr(f"coalesce(try_element_at(named, {level + 1}).stride, 0)"))
+        for place in range(1, 1 + places.get(level, 0)):
+            here = placed.filter((F.col("last") == level) & (F.col("place") == place)).select("job_id", F.col("sig").alias("_sig"))
+            met = found.withColumn("_sig", _signature(f"try_element_at(sets, '{level}:{place}')"))
+            found = met.join(here, ["job_id", "_sig"], "left_anti").drop("_sig")
+    # named dimensions whose rules can never agree have not unfolded; they go with the rest
+    done = 1 + max(places, default=-1)
+    rest = F.concat(F.expr(f"slice(named, {done + 1}, size(named))"), F.col("rest"))
+    open_ = found.select("job_id", "combo", rest.alias("rest")).withColumn("_many", F.expr("aggregate(rest, 1L, (acc, k) -> acc * k.n)"))
+    spans = _unfold(open_, F.expr(f"(_many - 1) div {SPAN} + 1"), "_part").repartition("job_id", "combo", "_part")
+    inside = F.least(F.lit(SPAN).cast("bigint"), F.col("_many") - F.col("_part") * SPAN)
+    # mixed radix over what is left: the digits come off one by one
+    digits = ("aggregate(rest, struct(_part * {0} + _at AS left, 0L AS sum), (acc, k) -> struct(acc.left div k.n AS left, "
+              "acc.sum + acc.left % k.n * k.stride AS sum)).sum").format(SPAN)
+    return _unfold(spans, inside, "_at").select("job_id", (F.col("combo") + F.expr(digits)).alias("combo"))
+
+
 def rule_hits(combos: DataFrame, rules: DataFrame) -> DataFrame:
-    """(job_id, combo, keyset, sig) of combinations on which a rule (see `_signed`) agrees."""
-    return _projected(_wide(combos), rules).join(
-        rules.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi")
+    """(job_id, combo, keyset, sig) of combinations (numbered or in long form) on which a rule (see `_signed`) agrees."""
+    numbers = combos.select("job_id", "combo")
+    numbers = numbers.distinct() if "dim" in combos.columns else numbers
+    met = numbers.join(rules.select("job_id", "keyset").distinct(), "job_id").withColumn("sig", _signature("keyset"))
+    return met.join(rules.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi")
 
 
 def matrix_include(combos: DataFrame, includes: DataFrame, dims: DataFrame, rules: DataFrame | None = None,
@@ -128,7 +182,8 @@ def matrix_include(combos: DataFrame, includes: DataFrame, dims: DataFrame, rule
 
 def unmatched_includes(rules: DataFrame, hits: DataFrame) -> DataFrame:
     """Include rules that agree with no combination of their job."""
-    return rules.join(hits.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_anti").select("job_id", "rule_pos")
+    matched = rules.join(hits.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi")
+    return rules.select("job_id", "rule_pos").distinct().join(matched.select("job_id", "rule_pos"), ["job_id", "rule_pos"], "left_anti")
 
 
 def matrix_extra(jobs: DataFrame, combos: DataFrame, includes: DataFrame, dims: DataFrame, rules: DataFrame | None = None,
@@ -154,17 +209,19 @@ def expand_matrix(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, include
                   empty_dims: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(combinations in long form, jobs in error). A job with an unknown exclude key has no combinations.
 
-    What feeds several joins (product, kept combinations, include rules and what they agree with) is written once.
+    Dimensions and rules are written once, as they feed many joins, and so are the numbers of the kept combinations; values are
+    looked up for these alone.
     """
-    errors = written(check_exclude_keys(dims, excludes), "matrix-errors")
+    dims, excludes, includes = written(dims, "matrix-dims"), written(excludes, "matrix-excludes"), written(includes, "matrix-includes")
+    errors = check_exclude_keys(dims, excludes)
     bad = errors.select("job_id").distinct()
     fine = lambda df: df.join(bad, "job_id", "left_anti")
     jobs, dims, includes = fine(jobs), fine(dims), fine(includes)
-    product = written(matrix_product(dims, empty_dims), "matrix-product")
-    kept = written(matrix_exclude(product, excludes, dims), "matrix-kept")
+    kept = written(kept_numbers(dims, fine(excludes), empty_dims), "matrix-kept")
     rules = written(_signed(includes, dims), "matrix-rules")
     hits = written(rule_hits(kept, rules), "matrix-hits")
-    return matrix_include(kept, includes, dims, rules, hits).unionByName(matrix_extra(jobs, kept, includes, dims, rules, hits)), errors
+    return matrix_include(values_of(kept, dims), includes, dims, rules, hits).unionByName(
+        matrix_extra(jobs, kept, includes, dims, rules, hits)), errors
 
 
 def matrix_index(combos: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -186,6 +186,39 @@ def test_matrix_against_brute_force(spark):
             assert canon(got[job].values()) == canon(w), job
 
 
+def test_kept_numbers_against_all_combinations(spark):
+    rnd = random.Random(12)
+    dims, excl, want = [], [], set()
+    for job in range(30):
+        sizes = [rnd.randrange(1, 5) for _ in range(rnd.randrange(1, 5))]
+        named = [(f"d{i}", [f"v{rnd.randrange(4)}" for _ in range(n)]) for i, n in enumerate(sizes)]  # values repeat
+        rules = [{d: rnd.choice(vs + ["no"]) for d, vs in rnd.sample(named, rnd.randrange(1, len(named) + 1))} for _ in range(rnd.randrange(0, 6))]
+        dims += [(job, d, i, v) for d, vs in named for i, v in enumerate(vs)]
+        excl += [(job, r, d, v) for r, rule in enumerate(rules) for d, v in rule.items()]
+        for combo, values in enumerate(itertools.product(*[vs for _, vs in named])):
+            here = dict(zip([d for d, _ in named], values, strict=True))
+            if not any(all(here[d] == v for d, v in rule.items()) for rule in rules):
+                want.add((job, combo))
+    dims = spark.createDataFrame(dims, "job_id bigint, dim string, pos bigint, value string")
+    excl = spark.createDataFrame(excl, "job_id bigint, rule_pos bigint, dim string, value string")
+    got = [tuple(r) for r in mx.kept_numbers(dims, excl).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    by_values = mx.matrix_exclude(mx.matrix_product(dims), excl, dims).select("job_id", "combo").distinct().collect()
+    assert {tuple(r) for r in by_values} == want
+    assert {tuple(r) for r in mx.kept_numbers(dims, excl, dims.filter("job_id < 10")).collect()} == {w for w in want if w[0] >= 10}
+
+
+def test_excluded_combinations_never_unfold(spark):
+    """10^12 combinations of which 10^4 are left: only these cost."""
+    dims = [(1, d, i, f"{d}{i}") for d, n in (("a", 1000), ("b", 100), ("c", 1000), ("e", 10000)) for i in range(n)]
+    excl = [(1, i, "a", f"a{i}") for i in range(1, 1000)] + [(1, 2000 + i, "c", f"c{i}") for i in range(1000) if i != 7]
+    excl += [(1, 4000 + 2 * i, "b", f"b{i}") for i in range(99)]
+    df = spark.createDataFrame(dims, "job_id bigint, dim string, pos bigint, value string")
+    rules = spark.createDataFrame(excl, "job_id bigint, rule_pos bigint, dim string, value string")
+    got = sorted(r.combo for r in mx.kept_numbers(df, rules).collect())
+    assert got == [99 * 10**7 + 7 * 10**4 + e for e in range(10**4)]
+
+
 def test_matrix_empty_dimension(spark):
     jobs = spark.createDataFrame([(1,)], "job_id bigint")
     dims = spark.createDataFrame([(1, "a", 0, "x")], "job_id bigint, dim string, pos bigint, value string")
