@@ -32,12 +32,21 @@ def gate_of_steps(lines: DataFrame, initial: DataFrame, files: DataFrame | None
     return _gate(lines, command_writes(lines), initial, files, block_rows)
 
 
-def _gate(lines: DataFrame, commands: DataFrame, initial: DataFrame, files: DataFrame | None, block_rows: int) -> DataFrame:
-    closing = commands.filter((F.col("kind") == "env") & (F.col("key") == GATE_KEY) & ~F.coalesce(parse_bool(F.col("value")), F.lit(False)))
+def closing_writes(commands: DataFrame) -> DataFrame:
+    """Those of the `command_writes` that close the gate: all that a line can do to it."""
+    return commands.filter((F.col("kind") == "env") & (F.col("key") == GATE_KEY) & ~F.coalesce(parse_bool(F.col("value")), F.lit(False)))
+
+
+def gate_after(lines: DataFrame, closing: DataFrame, initial: DataFrame, files: DataFrame | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Gate of the steps of `lines` under the known closing lines and the writes of files."""
     known = closing if files is None else closing.unionByName(files.select(*closing.columns))
     return unsecure_gate(lines, known, initial, block_rows)
 
 
+def _gate(lines: DataFrame, commands: DataFrame, initial: DataFrame, files: DataFrame | None, block_rows: int) -> DataFrame:
+    return gate_after(lines, closing_writes(commands), initial, files, block_rows)
+
+
 def writes_of(lines: DataFrame, initial: DataFrame, files: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All accepted writes of lines and command files, ready for final_env, step_outputs, path_list and the like."""
     commands = command_writes(lines)

@@ -176,13 +176,16 @@ def _(s: Source):
     return framing.read_log_lines(s.spark, path).select("line")
 
 
-@query("l9_gated_view", f"""
+_GATED_CONSOLE = f"""
 WITH e AS ({_ECHO}), lines AS (
   SELECT job_id, seq, CAST(0 AS BIGINT) AS sub, raw AS text FROM e WHERE echo AND command IN ('set-env', 'set-output', 'save-state', 'add-path', 'group', 'endgroup', 'echo')
   AND (command <> 'set-env' OR job_id IN {_OPEN})
   UNION ALL SELECT job_id, seq, 1, CASE WHEN command IS NULL THEN line WHEN command = 'group' THEN concat('##[group]', data) ELSE concat('##[endgroup]', data) END
   FROM e WHERE command IS NULL OR command IN ('group', 'endgroup')), masks AS {_HIDE}
-{_MASKED}""")
+{_MASKED}"""
+
+
+@query("l9_gated_view", _GATED_CONSOLE)
 def _(s: Source):
     view = ll.console_view(_gated(s))
     return view.select("job_id", "seq", F.col("sub").cast("bigint").alias("sub"), "text")
@@ -361,3 +364,22 @@ def _(s: Source):
     st.stream_fail_stop(_log_stream(s), root)
     both = [result(s.spark, root, n).select("job_id", "seq", "effect", F.lit(n).alias("outcome")) for n in ("accepted", "refused")]
     return both[0].unionByName(both[1])
+
+
+@query("t4_gated_masking", _GATED_CONSOLE)
+def _(s: Source):
+    root = shared_dir(s.spark, "t4")
+    st.stream_masking(_log_stream(s), root, initial=s.ad("INITIAL"))
+    return result(s.spark, root, "console").select("job_id", "seq", F.col("sub").cast("bigint").alias("sub"), "text")
+
+
+@query("t5_gated_fail_stop", f"""
+WITH j AS (SELECT *, {_EFFECT} AS effect, CASE WHEN command = 'set-env' AND job_id NOT IN {_OPEN} THEN 'set-env is disabled' ELSE {_ERROR} END AS error FROM ({{PARSED}})),
+f AS (SELECT job_id, step_idx, min(seq) AS error_seq FROM j WHERE error IS NOT NULL GROUP BY ALL)
+SELECT job_id, seq, effect, CASE WHEN error_seq IS NULL OR seq < error_seq THEN 'accepted' ELSE 'refused' END AS outcome
+FROM j LEFT JOIN f USING (job_id, step_idx) WHERE error_seq IS NULL OR seq <> error_seq""")
+def _(s: Source):
+    root = shared_dir(s.spark, "t5")
+    st.stream_fail_stop(_log_stream(s), root, initial=s.ad("INITIAL"))
+    both = [result(s.spark, root, n).select("job_id", "seq", "effect", F.lit(n).alias("outcome")) for n in ("accepted", "refused")]
+    return both[0].unionByName(both[1])

@@ -10,6 +10,7 @@ result exactly-once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -38,6 +39,20 @@ def state_before(spark: SparkSession, root: str, name: str, kept: Kept, batch_id
     return kept.merge(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))
 
 
+def newest_whole(spark: SparkSession, path: str) -> int:
+    """Batch of the newest whole table; folders are listed, not read."""
+    return max(int(re.findall(r"batch=([0-9]+)/", f)[-1]) for f in spark.read.parquet(path).inputFiles())
+
+
+def current_rows(spark: SparkSession, wholes: str, changes: str, kept: Kept, whole: int | None, last: int | None = None) -> DataFrame:
+    """Current rows from the whole table of a batch (if any) and the changes after it, up to `last`."""
+    schema = f"{kept.schema}, batch bigint"
+    since = spark.read.schema(schema).parquet(changes).filter(F.col("batch") > (-1 if whole is None else whole))
+    since = since if last is None else since.filter(F.col("batch") <= last)
+    return kept.merge(since if whole is None else spark.read.schema(schema).option("basePath", wholes).parquet(
+        f"{wholes}/batch={whole}").unionByName(since))
+
+
 def run_batches(stream: DataFrame, root: str, step: Step, states: dict[str, Kept], trigger: dict | None = None,
                 compact: int = COMPACT) -> None:
     """Drive the stream. `step(batch, state)` gives (outputs, changes of state) by name.

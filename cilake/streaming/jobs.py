@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from cilake.operators import loglines as ll
 from cilake.operators.binding import bind
 from cilake.operators.running import BLOCK_ROWS
+from cilake.operators import writes as wr
+from cilake.session import written
 from cilake.sources.framing import fragments, number_fragments
-from cilake.streaming.batches import Kept, run_batches
+from cilake.streaming.batches import COMPACT, Kept, current_rows, newest_whole, run_batches
 
 
 def stream_commands(lines: DataFrame, root: str, trigger: dict | None = None) -> None:
@@ -56,23 +58,52 @@ def stream_framing(chunks: DataFrame, root: str, block_rows: int = BLOCK_ROWS, t
     run_batches(chunks, root, step, {"rest": REST}, trigger)
 
 
-def stream_env(writes: DataFrame, root: str, trigger: dict | None = None) -> None:
+ENV = Kept("job_id bigint, key string, value string",
+           lambda rows: rows.groupBy("job_id", "key").agg(F.max_by("value", "batch").alias("value")))
+
+
+def stream_env(writes: DataFrame, root: str, trigger: dict | None = None, compact: int = COMPACT) -> None:
     """Last-write-wins env per (job, key), kept in Spark's own aggregation state.
 
-    Each batch writes the keys it changed; `read_env` takes the latest change of a key.
+    Each batch writes the keys it changed; the first and each `compact`-th after it also write the env whole, from the whole one
+    before and the changes since. `read_env` reads the newest whole env and the changes after it.
     """
     agg = writes.filter(F.col("kind") == "env").groupBy("job_id", "key").agg(
         F.max(F.struct("step_idx", "ord", "value")).alias("last")).select("job_id", "key", "last.value")
-    query = (
-        agg.writeStream.outputMode("update")
-        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out/env/batch={i}"))
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
-    )
+
+    def one(changed: DataFrame, batch_id: int) -> None:
+        spark = changed.sparkSession
+        changed.write.mode("overwrite").parquet(f"{root}/out/env/batch={batch_id}")
+        if batch_id % compact == 0:
+            whole = batch_id - compact if batch_id else None
+            env = current_rows(spark, f"{root}/whole/env", f"{root}/out/env", ENV, whole, batch_id)
+            env.write.mode("overwrite").parquet(f"{root}/whole/env/batch={batch_id}")
+
+    query = agg.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint").trigger(
+        **(trigger or {"availableNow": True})).start()
     query.awaitTermination()
 
 
 def read_env(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/out/env").groupBy("job_id", "key").agg(F.max_by("value", "batch").alias("value"))
+    """The env after the last batch; what it reads follows the live keys and at most `compact` batches of changes."""
+    return current_rows(spark, f"{root}/whole/env", f"{root}/out/env", ENV, newest_whole(spark, f"{root}/whole/env"))
+
+
+GATE = Kept("job_id bigint, step_idx bigint, ord bigint, value string", lambda rows: rows.groupBy("job_id", "step_idx").agg(
+    F.max(F.struct("ord", "value")).alias("_w")).select("job_id", "step_idx", "_w.*"))
+
+
+def gated(batch: DataFrame, closed: DataFrame, initial: DataFrame, files: DataFrame | None,
+          block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(`batch` with `allowed`, its lines that close the gate): as `writes.with_gate`, over the lines of all batches so far.
+
+    `closed` is the state. `initial` and `files` are tables; steps of a batch must find the files of earlier steps in them.
+    """
+    new = wr.closing_writes(wr.command_writes(batch))
+    here = batch.select("job_id").distinct()
+    known = closed.join(here, "job_id", "left_semi").withColumns({"kind": F.lit("env"), "key": F.lit(wr.GATE_KEY)}).unionByName(new)
+    gate = wr.gate_after(batch, known, initial, files, block_rows)
+    return wr.with_gate(batch, gate), new.select("job_id", "step_idx", "ord", "value")
 
 
 MASKS = Kept("job_id bigint, mask string, mask_seq bigint",
@@ -82,26 +113,28 @@ ECHO = Kept("job_id bigint, step_idx bigint, flag int",
 
 
 def stream_masking(lines: DataFrame, root: str, *, debug: bool = False, block_rows: int = BLOCK_ROWS,
-                   trigger: dict | None = None) -> None:
-    """Console rows, masked, to output `console`; state: masks seen per job and echo flag per step.
+                   trigger: dict | None = None, initial: DataFrame | None = None, files: DataFrame | None = None) -> None:
+    """Console rows, masked, to output `console`; state: masks seen per job, echo flag per step, lines that closed the gate.
 
-    Later batches hold later lines of a job.
+    Later batches hold later lines of a job. With `initial` (and `files`) a refused set-env is not echoed (see `gated`); without
+    it every set-env counts. A batch is parsed once.
     """
 
     def step(batch, state):
-        parsed = ll.parse_commands(batch)
-        new = ll.masks_of(parsed)
-        masks = state["masks"].join(batch.select("job_id").distinct(), "job_id", "left_semi").unionByName(new).groupBy("job_id", "mask").agg(
-            F.min("mask_seq").alias("mask_seq"))
+        lines, closing = (batch, None) if initial is None else gated(batch, state["gate"], initial, files, block_rows)
+        flagged = written(ll.echo_flags(lines, block_rows), "flagged")
+        new = ll.masks_of(flagged)
+        masks = state["masks"].join(flagged.select("job_id").distinct(), "job_id", "left_semi").unionByName(new).groupBy(
+            "job_id", "mask").agg(F.min("mask_seq").alias("mask_seq"))
         old = state["echo"].select("job_id", "step_idx", F.col("flag").alias("_old"))
-        seen = ll.echo_flags(batch, block_rows).join(old, ["job_id", "step_idx"], "left").withColumn(
+        seen = flagged.join(old, ["job_id", "step_idx"], "left").withColumn(
             "echo", F.coalesce("flag", "_old", F.lit(0)) == 1).drop("flag", "_old")
         view = ll.mask_lines(ll.console_rows(seen, debug), masks, "text", keys=["job_id", "seq", "sub"])
-        latest = bind(parsed, _flag=ll.echo_flag()).filter(F.col("_flag").isNotNull()).groupBy("job_id", "step_idx").agg(
+        latest = bind(flagged.drop("flag"), _flag=ll.echo_flag()).filter(F.col("_flag").isNotNull()).groupBy("job_id", "step_idx").agg(
             F.max_by("_flag", "seq").alias("flag"))
-        return {"console": view}, {"masks": new, "echo": latest}
+        return {"console": view}, {"masks": new, "echo": latest} | ({} if closing is None else {"gate": closing})
 
-    run_batches(lines, root, step, {"masks": MASKS, "echo": ECHO}, trigger)
+    run_batches(lines, root, step, {"masks": MASKS, "echo": ECHO} | ({} if initial is None else {"gate": GATE}), trigger)
 
 
 def split_at_error(judged: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,9 +152,10 @@ def first_errors(judged: DataFrame) -> DataFrame:
 
 
 def judge(lines: DataFrame) -> DataFrame:
-    """Lines with `effect` and `error`."""
+    """Lines with `effect` and `error`; an `allowed` column of the lines tells whether set-env may run, and goes."""
     classified = ll.with_name(ll.classify_lines(ll.parse_commands(lines)))
-    return bind(classified, error=ll.error_of()).select(*lines.columns, "effect", "error")
+    allowed = F.col("allowed") if "allowed" in lines.columns else None
+    return bind(classified, error=ll.error_of(allowed)).select(*[c for c in lines.columns if c != "allowed"], "effect", "error")
 
 
 FAILED = Kept("job_id bigint, step_idx bigint, error_seq bigint, first_error string",
@@ -129,16 +163,18 @@ FAILED = Kept("job_id bigint, step_idx bigint, error_seq bigint, first_error str
                   F.min_by("first_error", "error_seq").alias("first_error"), F.min("error_seq").alias("error_seq")))
 
 
-def stream_fail_stop(lines: DataFrame, root: str, trigger: dict | None = None) -> None:
+def stream_fail_stop(lines: DataFrame, root: str, trigger: dict | None = None, *, initial: DataFrame | None = None,
+                     files: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> None:
     """After its first error a step accepts nothing more: outputs `accepted` and `refused`; the first
-    error of each step is kept as state."""
+    error of each step is kept as state. With `initial` (and `files`) a refused set-env is an error (see `gated`)."""
 
     def step(batch, state):
-        judged = judge(batch)
+        here, closing = (batch, None) if initial is None else gated(batch, state["gate"], initial, files, block_rows)
+        judged = written(judge(here), "judged")
         new = first_errors(judged)
         failed = state["failed"].unionByName(new).groupBy("job_id", "step_idx").agg(
             F.min_by("first_error", "error_seq").alias("first_error"), F.min("error_seq").alias("error_seq"))
         accepted, refused = split_at_error(judged, failed)
-        return {"accepted": accepted, "refused": refused}, {"failed": new}
+        return {"accepted": accepted, "refused": refused}, {"failed": new} | ({} if closing is None else {"gate": closing})
 
-    run_batches(lines, root, step, {"failed": FAILED}, trigger)
+    run_batches(lines, root, step, {"failed": FAILED} | ({} if initial is None else {"gate": GATE}), trigger)

@@ -6,10 +6,11 @@ import tempfile
 from pyspark.sql import functions as F
 
 from cilake.operators import loglines as ll
+from cilake.operators import writes as wr
 from cilake.operators.envstate import final_env
 from cilake.sources.framing import frame_lines
 from cilake.streaming import jobs as st
-from cilake.streaming.batches import COMPACT, result, state_before
+from cilake.streaming.batches import COMPACT, newest_whole, result, state_before
 
 
 def as_stream(spark, df, order, parts=4):
@@ -107,3 +108,49 @@ def test_fail_stop_over_batches(spark):
     assert pick(result(spark, r, "accepted")) == pick(accepted)
     assert pick(result(spark, r, "refused")) == pick(refused)
     assert state_before(spark, r, "failed", st.FAILED, 4).select(F.count(F.lit(1))).first()[0] == st.first_errors(judged).count()
+
+
+def gated_log(spark):
+    rnd = random.Random(6)
+    pool = ["::echo::on", "::set-env name=A::x{}", "::set-env name=ACTIONS_ALLOW_UNSECURE_COMMANDS::false", "::add-mask::x{}", "text x{}",
+            "::set-output name=a::1", "::set-env name=ACTIONS_ALLOW_UNSECURE_COMMANDS::true"]
+    rows = [(i % 4, i // 40, i, rnd.choice(pool).format(rnd.randrange(4))) for i in range(200)]
+    initial = [(0, wr.GATE_KEY, "true"), (1, wr.GATE_KEY, "no"), (1, "K", "v")]
+    files = [(2, 1, 10**9, "env", wr.GATE_KEY, "1"), (3, 0, 10**9, "env", wr.GATE_KEY, "true"), (3, 2, 10**9, "env", wr.GATE_KEY, "TRUE"), (3, 3, 10**9, "env", wr.GATE_KEY, "0")]
+    return (spark.createDataFrame(rows, "job_id bigint, step_idx bigint, seq bigint, line string"),
+            spark.createDataFrame(initial, "job_id bigint, key string, value string"),
+            spark.createDataFrame(files, "job_id bigint, step_idx bigint, ord bigint, kind string, key string, value string"))
+
+
+def test_gate_in_streams_as_in_batch(spark):
+    df, initial, files = gated_log(spark)
+    with_gate = wr.with_gate(df, wr.gate_of_steps(df, initial, files))
+    states = {(r.job_id, r.step_idx, r.allowed) for r in with_gate.collect()}
+    assert {(0, 4, True), (1, 4, False), (2, 1, False), (2, 2, True), (3, 0, False), (3, 4, False)} <= states
+    r = root()
+    st.stream_masking(as_stream(spark, df, "seq", 5), r, block_rows=16, initial=initial, files=files)
+    pick = lambda d: sorted((x.seq, x.sub, x.text) for x in d.collect())
+    assert pick(result(spark, r, "console")) == pick(ll.console_view(with_gate))
+    r = root()
+    st.stream_fail_stop(as_stream(spark, df, "seq", 5), r, initial=initial, files=files)
+    judged = st.judge(with_gate)
+    accepted, refused = st.split_at_error(judged, st.first_errors(judged))
+    assert judged.filter("error = 'set-env is disabled'").count() > 10
+    for name, want in (("accepted", accepted), ("refused", refused)):
+        assert sorted(x.seq for x in result(spark, r, name).collect()) == sorted(x.seq for x in want.collect())
+
+
+def test_env_is_read_from_the_newest_whole(spark):
+    rnd = random.Random(5)
+    rows = [(i % 2, i, i, "env", f"K{rnd.randrange(6)}", f"v{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "job_id bigint, step_idx bigint, ord bigint, kind string, key string, value string")
+    r = root()
+    st.stream_env(as_stream(spark, df, "ord", 7), r, compact=3)
+    read = st.read_env(spark, r)
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, final_env(df).collect()))
+    batches = sorted({int(f.split("batch=")[1].split("/")[0]) for f in spark.read.parquet(f"{r}/out/env").inputFiles()})
+    wholes = {int(f.split("batch=")[1].split("/")[0]) for f in spark.read.parquet(f"{r}/whole/env").inputFiles()}
+    assert wholes == {b for b in batches if b % 3 == 0} and newest_whole(spark, f"{r}/whole/env") == max(wholes)
+    # changes that the newest whole holds are not read again
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "batch#" in plan and f"> {max(wholes)})" in plan
