@@ -21,33 +21,36 @@ def explode_paths(docs: DataFrame, doc: str = "doc", *, lower: bool = True, cont
     """
     keep = [c for c in docs.columns if c != doc]
     none = F.lit(None)
-    root = dy.let(dy.from_json_(F.col(doc)), lambda v: dy.let(dy.kind_of(v), lambda k: F.struct(
-        F.lit(0).alias("depth"), F.lit("").alias("path"), none.cast("string").alias("parent_path"),
-        none.cast("string").alias("key"), none.cast("int").alias("pos"), v.alias("v"), k.alias("kind"),
-    )))
+
     def leaf(n: Column) -> Column:
         scalar = F.when(n["kind"] == "null", "null").when(
             ~n["kind"].isin("array", "object"), F.try_variant_get(n["v"], "$", "string"))
         text = F.coalesce(scalar, F.to_json(n["v"])) if container_json else scalar
         return F.struct(*[n[c].alias(c) for c in ("depth", "path", "parent_path", "key", "pos", "kind")], text.alias("value"))
 
-    rows = docs.select(*keep, F.array(root).alias("_start"), dy.nesting(F.col(doc)).alias("_levels"))
-    rows = rows.filter(F.col("_start")[0]["v"].isNotNull())
-    nodes = unfold_levels(F.col("_start"), F.col("_levels"), lambda n: (F.array(n), _children(n, lower)), leaf)
+    rows = parsed(docs, doc)
+    root = F.struct(F.lit(0).alias("depth"), F.lit("").alias("path"), none.cast("string").alias("parent_path"),
+                    none.cast("string").alias("key"), none.cast("int").alias("pos"), F.col("_v").alias("v"),
+                    dy.kind_of(F.col("_v")).alias("kind"))
+    nodes = unfold_levels(F.array(root), F.col("_levels"), lambda n: _children(n, lower), leaf)
     return rows.select(*keep, F.inline(nodes))
 
 
-def unfold_levels(start: Column, levels: Column, grow, finish) -> Column:
+def parsed(docs: DataFrame, doc: str) -> DataFrame:
+    """`docs` with the text as `_v` and its number of levels as `_levels`, read once; without the rows that hold no JSON value."""
+    return bind(docs, _v=dy.from_json_(F.col(doc)), _levels=dy.nesting(F.col(doc))).filter(F.col("_v").isNotNull())
+
+
+def unfold_levels(start: Column, levels: Column, below, finish) -> Column:
     """Unfold a tree inside one row, level by level; `finish(node)` gives the rows to emit.
 
-    `grow(node)` returns (nodes to keep, nodes of the next level). Only the nodes of the current level are looked at
-    in a step; the kept ones are carried along. `levels` is how many levels lie below the start, row by row.
+    `below(node)` returns the nodes of the next level. Only the nodes of the current level are looked at in a step; the
+    others are carried along as they are. `levels` is how many levels lie below the start, row by row. A lambda's
+    result is copied whole with all that it holds, so nodes should be small and no lambda returns the carried ones.
     """
     def step(acc: Column, _level: Column) -> Column:
-        grown = F.transform(acc["front"], lambda n: F.struct(*[x.alias(c) for x, c in zip(grow(n), ("kept", "next"))]))
-        moved = dy.let(grown, lambda g: F.struct(
-            F.flatten(g["next"]).alias("front"), F.concat(acc["done"], F.flatten(g["kept"])).alias("done")))
-        return F.when(F.size(acc["front"]) == 0, acc).otherwise(moved)
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.struct(
+            F.flatten(F.transform(acc["front"], below)).alias("front"), F.concat(acc["done"], acc["front"]).alias("done")))
 
     zero = F.struct(start.alias("front"), F.filter(start, lambda x: F.lit(False)).alias("done"))
     return F.aggregate(F.sequence(F.lit(0), levels), zero, step, lambda acc: F.transform(acc["done"], finish))
@@ -55,9 +58,9 @@ def unfold_levels(start: Column, levels: Column, grow, finish) -> Column:
 
 def _children(n: Column, lower: bool) -> Column:
     def child(key, pos, v, path):
-        return dy.let(dy.kind_of(v), lambda k: F.struct(
+        return F.struct(
             (n["depth"] + 1).alias("depth"), path.alias("path"), n["path"].alias("parent_path"), key.alias("key"),
-            pos.alias("pos"), v.alias("v"), k.alias("kind")))
+            pos.alias("pos"), v.alias("v"), dy.kind_of(v).alias("kind"))
 
     none = F.lit(None).cast("string")
     name = (lambda k: F.lower(k)) if lower else (lambda k: k)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cilake.functions import dynamic as dy
 from cilake.operators import expressions as ex
 from cilake.operators.binding import bind
-from cilake.operators.predicates import unfold_levels
+from cilake.operators.predicates import parsed, unfold_levels
 
 BUILT_IN = ["sequence", "mapping", "number", "boolean", "string", "null"]
 SKIP = "-"
@@ -91,18 +91,6 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in _flat.from_iterable(table.items())]), key)
 
 
-def _contexts(rules: RuleSet, name: Column) -> Column:
-    if not rules.contexts:
-        return F.array().cast("array<string>")
-    table = F.create_map(*_flat.from_iterable(
-        (F.lit(d), F.array(*[F.lit(x) for x in c])) for d, c in rules.contexts.items()))
-    return F.coalesce(F.try_element_at(table, name), F.array().cast("array<string>"))
-
-
-def _has_expr(n: Column) -> Column:
-    return F.coalesce((n["kind"] == "string") & F.contains(n["text"], F.lit(ex.OPEN)), F.lit(False))
-
-
 def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_json: bool = False) -> DataFrame:
     """Every node with the definition it is checked against: one row per node and one-of choice.
 
@@ -112,22 +100,32 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_jso
     """
     keep = [c for c in docs.columns if c != doc]
     none = F.lit(None).cast("string")
-    names = "depth int, path string, key string, parent string, v variant, def string, ctx array<string>, " \
-            "choices array<string>, alternative boolean, kind string, text string"
-    fields = [f.split()[0] for f in names.split(", ")]
-
-    def node(depth, path, key, parent, v, name, ctx, choices, alternative, kind=None, text=None):
-        """A node with its kind and scalar text, read once here."""
-        def build(k):
-            scalar = F.when(k == "null", "null").when(~k.isin("array", "object"), F.try_variant_get(v, "$", "string"))
-            cells = (depth, path, key, parent, v, name, ctx, choices, alternative, k, scalar if text is None else text)
-            return F.struct(*[c.alias(n) for n, c in zip(fields, cells)])
-
-        return dy.let(dy.kind_of(v), build) if kind is None else build(kind)
+    # nodes are copied at every level, so what they inherit is kept as the numbers of definitions and listed at the end
+    own = {d: (f"{i},", c) for i, (d, c) in enumerate(sorted(rules.contexts.items()))}
+
+    def opened(n):
+        """Numbers of the definitions that open contexts at a node: those above, then its own."""
+        return F.concat(n["ctx"], F.coalesce(_lookup({d: i for d, (i, _) in own.items()}, n["def"]), F.lit("")))
+
+    def listed(numbers):
+        empty = F.array().cast("array<string>")
+        if not own:
+            return empty
+        table = F.create_map(*_flat.from_iterable((F.lit(i[:-1]), F.array(*[F.lit(x) for x in c])) for i, c in own.values()))
+        return F.when(numbers == "", empty).otherwise(F.flatten(F.transform(
+            F.split(F.rtrim(numbers, F.lit(",")), ","), lambda i: F.try_element_at(table, i))))
+
+    def node(depth, path, key, parent, v, name, ctx, choices, alternative, kind):
+        cells = {"depth": depth, "path": path, "key": key, "parent": parent, "v": v, "def": name, "ctx": ctx, "choices": choices,
+                 "alternative": F.lit(alternative), "kind": kind}
+        return F.struct(*[x.alias(c) for c, x in cells.items()])
+
+    def text_of(n):
+        return F.when(n["kind"] == "null", "null").when(
+            ~n["kind"].isin("array", "object"), F.try_variant_get(n["v"], "$", "string"))
 
     def child(n, path, key, v, name):
-        return node(n["depth"] + 1, path, key, n["def"], v, name, F.concat(n["ctx"], _contexts(rules, name)),
-                    n["choices"], F.lit(False))
+        return node(n["depth"] + 1, path, key, n["def"], v, name, opened(n), n["choices"], False, dy.kind_of(v))
 
     def children(n):
         d = n["def"]
@@ -137,9 +135,9 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_jso
             F.when(is_any | (d == "sequence"), "any").otherwise(_lookup(rules.items, d))))
 
         def key_type(k):
-            own = _lookup({f"{a}/{b}": t for (a, b), t in rules.props.items()}, F.concat(d, F.lit("/"), k))
+            known = _lookup({f"{a}/{b}": t for (a, b), t in rules.props.items()}, F.concat(d, F.lit("/"), k))
             return (F.when(F.contains(k, F.lit(ex.OPEN)), SKIP).when(is_any | (d == "mapping"), "any")
-                    .otherwise(F.coalesce(own, _lookup(rules.loose, d))))
+                    .otherwise(F.coalesce(known, _lookup(rules.loose, d))))
 
         keys = F.transform(F.map_entries(F.when(n["kind"] == "object", n["v"].try_cast("map<string,variant>"))), lambda e: child(
             n, F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])),
@@ -149,29 +147,35 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_jso
                           F.when(is_any | d.isin(rules.mappings), keys), nothing)
 
     def alternatives(n):
-        names = F.coalesce(F.try_element_at(F.create_map(*_flat.from_iterable(
-            (F.lit(d), F.array(*[F.lit(x) for x in alts])) for d, alts in rules.one_of.items())), n["def"]),
-            F.array().cast("array<string>")) if rules.one_of else F.array().cast("array<string>")
+        names = F.try_element_at(F.create_map(*_flat.from_iterable(
+            (F.lit(d), F.array(*[F.lit(x) for x in alts])) for d, alts in rules.one_of.items())), n["def"])
         return F.transform(names, lambda a: node(
-            n["depth"], n["path"], n["key"], n["parent"], n["v"], a, F.concat(n["ctx"], _contexts(rules, a)),
-            F.concat(n["choices"], F.array(F.concat(n["path"], F.lit("\u0001"), a))), F.lit(True), n["kind"], n["text"]))
+            n["depth"], n["path"], n["key"], n["parent"], n["v"], a, opened(n),
+            F.concat(n["choices"], F.array(F.concat(n["path"], F.lit("\u0001"), a))), True, n["kind"]))
 
-    def unfold(n):
-        is_choice = n["def"].isin(list(rules.one_of) or [""]) & ~_has_expr(n)
-        options = F.when(is_choice, alternatives(n)).otherwise(F.array(n))
-        return options, F.flatten(F.transform(options, children))
+    def options(n):
+        """The node, or at a one-of a node for each alternative."""
+        if not rules.one_of:
+            return F.array(n)
+        held = (n["kind"] == "string") & F.coalesce(F.contains(text_of(n), F.lit(ex.OPEN)), F.lit(False))
+        return F.when(n["def"].isin(list(rules.one_of)) & ~held, alternatives(n)).otherwise(F.array(n))
+
+    def expanded(nodes):
+        return F.flatten(F.transform(nodes, options)) if rules.one_of else nodes
 
-    root = node(F.lit(0), F.lit(""), none, none, dy.from_json_(F.col(doc)), F.lit(rules.root),
-                _contexts(rules, F.lit(rules.root)), F.array().cast("array<string>"), F.lit(False))
     def leaf(n):
-        value = F.coalesce(n["text"], F.to_json(n["v"])) if container_json else n["text"]
+        value = F.coalesce(text_of(n), F.to_json(n["v"])) if container_json else text_of(n)
         return F.struct(*[n[c].alias(c) for c in ("depth", "path", "key", "kind")], value.alias("value"),
-                        *[n[c].alias(c) for c in ("parent", "def", "ctx", "choices", "alternative")])
+                        *[n[c].alias(c) for c in ("parent", "def")], listed(opened(n)).alias("ctx"),
+                        *[n[c].alias(c) for c in ("choices", "alternative")])
 
-    typed = root.cast(f"struct<{names.replace(' ', ':').replace(',:', ',')}>")
-    rows = docs.select(*keep, F.array(typed).alias("_start"), dy.nesting(F.col(doc)).alias("_levels"))
-    rows = rows.filter(F.col("_start")[0]["v"].isNotNull())
-    return rows.select(*keep, F.inline(unfold_levels(F.col("_start"), F.col("_levels"), unfold, leaf)))
+    rows = parsed(docs, doc)
+    root = node(F.lit(0), F.lit(""), none, none, F.col("_v"), F.lit(rules.root), F.lit(""),
+                F.array().cast("array<string>"), False, dy.kind_of(F.col("_v"))).cast(
+        "struct<depth:int,path:string,key:string,parent:string,v:variant,def:string,ctx:string,choices:array<string>,"
+        "alternative:boolean,kind:string>")  # any field may be NULL below
+    return rows.select(*keep, F.inline(unfold_levels(
+        expanded(F.array(root)), F.col("_levels"), lambda n: expanded(children(n)), leaf)))
 
 
 def expression_errors(text: Column, ctx: Column) -> Column:
@@ -187,11 +191,13 @@ def expression_errors(text: Column, ctx: Column) -> Column:
         return F.coalesce(base, F.concat(F.regexp_extract(own, ARITY_RE, 2), F.lit(","), most))
 
     def call_error(c):
-        span = arity(F.lower(c["name"]))
-        lo, hi = F.substring_index(span, ",", 1).cast("int"), F.substring_index(span, ",", -1).cast("int")
-        return (F.when(span.isNull(), err("unknown_function", F.concat(F.lit("no such function: "), c["name"])))
-                .when(c["n_args"] < lo, err("call_arity", F.concat(F.lit("too few arguments: "), c["name"])))
-                .when(c["n_args"] > hi, err("call_arity", F.concat(F.lit("too many arguments: "), c["name"]))))
+        def judged(span):
+            lo, hi = F.substring_index(span, ",", 1).cast("int"), F.substring_index(span, ",", -1).cast("int")
+            return (F.when(span.isNull(), err("unknown_function", F.concat(F.lit("no such function: "), c["name"])))
+                    .when(c["n_args"] < lo, err("call_arity", F.concat(F.lit("too few arguments: "), c["name"])))
+                    .when(c["n_args"] > hi, err("call_arity", F.concat(F.lit("too many arguments: "), c["name"]))))
+
+        return dy.let(arity(F.lower(c["name"])), judged)
 
     def body_errors(b):
         names = F.transform(ctx, lambda c: F.lower(c))

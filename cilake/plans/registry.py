@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cilake.plans import adapters
-from cilake.session import spread
+from cilake.session import dealt, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +16,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # shapes whose rows are documents or lines to be parsed
 PARSED = {"LOG", "PAYLOAD", "DOC", "ACTION", "EXPR", "CHUNK"}
+# those that cost milliseconds a row
+DEALT = {"PAYLOAD", "ACTION"}
 
 
 class Source:
@@ -27,16 +29,16 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def sql(self, text: str, parsing: bool = False) -> DataFrame:
+    def sql(self, text: str, deal: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
         words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
         for name in TABLES:
             if name in words:
-                df = self.table(name)
-                (spread(df) if parsing else df).createOrReplaceTempView(name)
+                deal(self.table(name)).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def ad(self, name: str) -> DataFrame:
-        return self.sql(adapters.SPARK.get(name) or adapters.SHAPES[name], parsing=name in PARSED)
+        deal = dealt if name in DEALT else spread if name in PARSED else lambda df: df
+        return self.sql(adapters.SPARK.get(name) or adapters.SHAPES[name], deal)
 
     def stream(self, name: str, files_per_trigger: int = 64) -> DataFrame:
         """A driver table as a file stream."""

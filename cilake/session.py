@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+TASKS_PER_CORE, TASKS_PER_SPLIT = 4, 8
+
+
 def local_session(cores: str = "8", memory: str = "12g", name: str = "cilake") -> SparkSession:
     """A single-JVM session for tests and the bench; a cluster brings its own session."""
     spark = (
@@ -51,12 +54,23 @@ def in_one_process(spark: SparkSession) -> bool:
 def spread(df: DataFrame) -> DataFrame:
     """In a one-process session, deal a test table of one row group over all cores before row-wise parsing.
 
-    On a cluster scans are left to `spark.sql.files.*`.
+    On a cluster scans are left to `spark.sql.files.*`; see `dealt`.
     """
     spark = df.sparkSession
     return df.repartition(spark.sparkContext.defaultParallelism) if in_one_process(spark) else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal rows whose parsing costs far more than their bytes: some tasks for each core, and more as the scan has more.
+
+    A scan is cut by bytes and row groups, so a compact table of documents can be a single task for minutes.
+    """
+    spark = df.sparkSession
+    if in_one_process(spark):
+        return spread(df)
+    return df.repartition(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, TASKS_PER_SPLIT * df.rdd.getNumPartitions()))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 

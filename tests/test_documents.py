@@ -147,3 +147,22 @@ def test_string_slice(spark):
     df = spark.createDataFrame([("[1,\"a\"]",), ("\"x\"",), ("{}",), ("null",)], "t string")
     got = [r.x for r in df.select(dy.string_slice(F.try_parse_json("t")).alias("x")).collect()]
     assert got == [["1", "a"], ["x"], [], []]
+
+
+def test_costly_documents_are_dealt_over_the_tasks_of_a_cluster(spark, tmp_path, monkeypatch):
+    from cilake import session
+    from cilake.plans.registry import Source
+
+    rows = [(k, 10 + k, "O", "1-URGENT") for k in range(40)]
+    names = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(session, "in_one_process", lambda s: False)
+    source = Source(spark, str(tmp_path))
+    assert source.table("orders").rdd.getNumPartitions() == 1
+    for shape in ("ACTION", "PAYLOAD"):
+        got = source.ad(shape)
+        assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+        assert got.count() == 40
+    nodes = ql.check_nodes(source.ad("ACTION"), ql.ACTION_RULES).filter("doc_id = 3 AND path = 'runs.steps[0].if'")
+    assert [(r.ctx, len(r.choices)) for r in nodes.select("ctx", "choices").sort("choices").collect()][0] == (
+        ql.ACTION_RULES.contexts["step-if"], 2)
