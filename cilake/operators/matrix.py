@@ -20,6 +20,15 @@ from cilake.session import written
 SPAN = 65_536
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join by sorting both sides, which can spill; never by a broadcast.
+
+    These tables grow with the jobs but compress well and unfold from few bytes, so by Spark's size checks a table of millions
+    of rows looks small enough to be built as a hash table in the driver and in every task.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _radix(dims: DataFrame) -> DataFrame:
     """One row per job: dimensions by name with size and stride, and the number of combinations."""
     sizes = dims.groupBy("job_id", "dim").agg(F.count(F.lit(1)).alias("n"))
@@ -43,7 +52,7 @@ def matrix_product(dims: DataFrame, empty_dims: DataFrame | None = None) -> Data
     """
     radix = _radix(dims)
     if empty_dims is not None:
-        radix = radix.join(empty_dims.select("job_id").distinct(), "job_id", "left_anti")
+        radix = _meet(radix, empty_dims.select("job_id").distinct(), "job_id", "left_anti")
     spans = _unfold(radix, F.expr(f"(total - 1) div {SPAN} + 1"), "span").repartition("job_id", "span")
     inside = F.least(F.lit(SPAN).cast("bigint"), F.col("total") - F.col("span") * SPAN)
     combos = _unfold(spans, inside, "_at").select("job_id", (F.col("span") * SPAN + F.col("_at")).alias("combo"))
@@ -61,10 +70,10 @@ def _unfold(rows: DataFrame, n: Column, name: str) -> DataFrame:
 
 def values_of(numbers: DataFrame, dims: DataFrame) -> DataFrame:
     """Numbered combinations `(job_id, combo)` in long form."""
-    digits = numbers.join(_radix(dims).select("job_id", "d"), "job_id").select("job_id", "combo", F.inline("d")).select(
+    digits = _meet(numbers, _radix(dims).select("job_id", "d"), "job_id").select("job_id", "combo", F.inline("d")).select(
         "job_id", "combo", "dim", F.expr("(combo div stride) % n").alias("pos"))
-    return digits.join(dims.select("job_id", "dim", F.col("pos").cast("bigint").alias("pos"), "value"),
-                       ["job_id", "dim", "pos"]).select("job_id", "combo", "dim", "value")
+    return _meet(digits, dims.select("job_id", "dim", F.col("pos").cast("bigint").alias("pos"), "value"),
+                 ["job_id", "dim", "pos"]).select("job_id", "combo", "dim", "value")
 
 
 def _signed(rules: DataFrame, dims: DataFrame) -> DataFrame:
@@ -73,12 +82,12 @@ def _signed(rules: DataFrame, dims: DataFrame) -> DataFrame:
     A value that a dimension holds several times gives a row for each place, a value that it lacks a NULL signature. `known`:
     the rule names nothing but dimensions.
     """
-    named = rules.groupBy("job_id", "rule_pos", "dim").agg(
-        F.min("value").alias("value"), F.count_distinct("value").alias("_values")).join(
+    named = _meet(rules.groupBy("job_id", "rule_pos", "dim").agg(
+        F.min("value").alias("value"), F.count_distinct("value").alias("_values")),
         _radix(dims).select("job_id", F.inline("d")), ["job_id", "dim"], "left")
     places = dims.groupBy(F.col("job_id").alias("_job"), F.col("dim").alias("_dim"), F.col("value").alias("_value")).agg(
         F.collect_list(F.col("pos").cast("bigint")).alias("_at"))
-    placed = named.join(places, (F.col("job_id") == F.col("_job")) & (F.col("dim") == F.col("_dim"))
+    placed = _meet(named, places, (F.col("job_id") == F.col("_job")) & (F.col("dim") == F.col("_dim"))
                         & F.col("value").eqNullSafe(F.col("_value")) & (F.col("_values") <= 1), "left")
     at = F.coalesce("_at", F.array().cast("array<bigint>"))
     parts = F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("stride", "n", at.alias("at")))))
@@ -95,14 +104,14 @@ def _signature(keyset: str) -> Column:
 
 def check_exclude_keys(dims: DataFrame, excludes: DataFrame) -> DataFrame:
     """Exclude keys that are no dimension of the job."""
-    return excludes.join(dims.select("job_id", "dim").distinct(), ["job_id", "dim"], "left_anti").select(
+    return _meet(excludes, dims.select("job_id", "dim").distinct(), ["job_id", "dim"], "left_anti").select(
         "job_id", "rule_pos", F.col("dim").alias("exclude_key"))
 
 
 def matrix_exclude(combos: DataFrame, excludes: DataFrame, dims: DataFrame) -> DataFrame:
     """Drop every combination on which some exclude agrees; rules with an unknown key are ignored here."""
     dropped = rule_hits(combos, _signed(excludes, dims).filter("known")).select("job_id", "combo").distinct()
-    return combos.join(dropped, ["job_id", "combo"], "left_anti")
+    return _meet(combos, dropped, ["job_id", "combo"], "left_anti")
 
 
 def kept_numbers(dims: DataFrame, excludes: DataFrame, empty_dims: DataFrame | None = None) -> DataFrame:
@@ -114,9 +123,9 @@ def kept_numbers(dims: DataFrame, excludes: DataFrame, empty_dims: DataFrame | N
     """
     radix = _radix(dims)
     if empty_dims is not None:
-        radix = radix.join(empty_dims.select("job_id").distinct(), "job_id", "left_anti")
+        radix = _meet(radix, empty_dims.select("job_id").distinct(), "job_id", "left_anti")
     uses = excludes.groupBy("job_id", "dim").agg((-F.count(F.lit(1))).alias("_uses"))
-    ranked = radix.select("job_id", F.inline("d")).join(uses, ["job_id", "dim"], "left")
+    ranked = _meet(radix.select("job_id", F.inline("d")), uses, ["job_id", "dim"], "left")
     by_use = ranked.groupBy("job_id").agg(F.array_sort(F.collect_list(
         F.struct(F.coalesce("_uses", F.lit(0)).alias("uses"), "dim", "stride", "n"))).alias("_o"))
     order = by_use.select("job_id", F.filter("_o", lambda x: x["uses"] < 0).alias("named"),
@@ -124,14 +133,14 @@ def kept_numbers(dims: DataFrame, excludes: DataFrame, empty_dims: DataFrame | N
     # level by stride and size: dimensions that agree in both have one value, whose digit is 0 at any level
     steps = F.transform("named", lambda x: F.struct(x["stride"], x["n"]))
     last = F.array_max(F.transform("keyset", lambda k: F.array_position(F.col("_steps"), k))).cast("int") - 1
-    signed = _signed(excludes, dims).filter("known AND sig IS NOT NULL").join(order.select("job_id", steps.alias("_steps")), "job_id")
+    signed = _meet(_signed(excludes, dims).filter("known AND sig IS NOT NULL"), order.select("job_id", steps.alias("_steps")), "job_id")
     # a rule goes by the place of its key set among those of its level; places are few, as dimensions are
     place = F.dense_rank().over(Window.partitionBy("job_id", "last").orderBy("keyset"))
     placed = written(signed.select("job_id", last.alias("last"), "keyset", "sig").distinct().withColumn("place", place), "matrix-rules")
     places = dict(placed.groupBy("last").agg(F.max("place")).collect())
     sets = placed.groupBy("job_id").agg(F.map_from_entries(F.collect_set(
         F.struct(F.concat_ws(":", "last", "place").alias("at"), "keyset"))).alias("sets"))
-    found = order.join(sets, "job_id", "left").withColumn("combo", F.lit(0).cast("bigint"))
+    found = _meet(order, sets, "job_id", "left").withColumn("combo", F.lit(0).cast("bigint"))
     for level in range(1 + max(places, default=-1)):
         # a job without that dimension goes on as it is
         found = _unfold(found, F.expr(f"coalesce(try_element_at(named, {level + 1}).n, 1)"), "_digit").withColumn(
@@ -139,7 +148,7 @@ def kept_numbers(dims: DataFrame, excludes: DataFrame, empty_dims: DataFrame | N
         for place in range(1, 1 + places.get(level, 0)):
             here = placed.filter((F.col("last") == level) & (F.col("place") == place)).select("job_id", F.col("sig").alias("_sig"))
             met = found.withColumn("_sig", _signature(f"try_element_at(sets, '{level}:{place}')"))
-            found = met.join(here, ["job_id", "_sig"], "left_anti").drop("_sig")
+            found = _meet(met, here, ["job_id", "_sig"], "left_anti").drop("_sig")
     # named dimensions whose rules can never agree have not unfolded; they go with the rest
     done = 1 + max(places, default=-1)
     rest = F.concat(F.expr(f"slice(named, {done + 1}, size(named))"), F.col("rest"))
@@ -156,8 +165,8 @@ def rule_hits(combos: DataFrame, rules: DataFrame) -> DataFrame:
     """(job_id, combo, keyset, sig) of combinations (numbered or in long form) on which a rule (see `_signed`) agrees."""
     numbers = combos.select("job_id", "combo")
     numbers = numbers.distinct() if "dim" in combos.columns else numbers
-    met = numbers.join(rules.select("job_id", "keyset").distinct(), "job_id").withColumn("sig", _signature("keyset"))
-    return met.join(rules.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi")
+    met = _meet(numbers, rules.select("job_id", "keyset").distinct(), "job_id").withColumn("sig", _signature("keyset"))
+    return _meet(met, rules.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi")
 
 
 def matrix_include(combos: DataFrame, includes: DataFrame, dims: DataFrame, rules: DataFrame | None = None,
@@ -169,38 +178,31 @@ def matrix_include(combos: DataFrame, includes: DataFrame, dims: DataFrame, rule
     """
     rules = _signed(includes, dims) if rules is None else rules
     hits = rule_hits(combos, rules) if hits is None else hits
-    added = (
-        includes.join(dims.select("job_id", "dim").distinct(), ["job_id", "dim"], "left_anti")
-        .join(rules, ["job_id", "rule_pos"])
-        .groupBy("job_id", "keyset", "sig", "dim")
-        .agg(F.max_by("value", "rule_pos").alias("value"), F.max("rule_pos").alias("rule_pos"))
-    )
-    merged = hits.join(added, ["job_id", "keyset", "sig"]).groupBy("job_id", "combo", "dim").agg(
+    others = _meet(includes, dims.select("job_id", "dim").distinct(), ["job_id", "dim"], "left_anti")
+    added = _meet(others, rules, ["job_id", "rule_pos"]).groupBy("job_id", "keyset", "sig", "dim").agg(
+        F.max_by("value", "rule_pos").alias("value"), F.max("rule_pos").alias("rule_pos"))
+    merged = _meet(hits, added, ["job_id", "keyset", "sig"]).groupBy("job_id", "combo", "dim").agg(
         F.max_by("value", "rule_pos").alias("value"))
     return combos.select("job_id", "combo", "dim", "value").unionByName(merged)
 
 
 def unmatched_includes(rules: DataFrame, hits: DataFrame) -> DataFrame:
     """Include rules that agree with no combination of their job."""
-    matched = rules.join(hits.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi")
-    return rules.select("job_id", "rule_pos").distinct().join(matched.select("job_id", "rule_pos"), ["job_id", "rule_pos"], "left_anti")
+    matched = _meet(rules, hits.select("job_id", "keyset", "sig").distinct(), ["job_id", "keyset", "sig"], "left_semi")
+    return _meet(rules.select("job_id", "rule_pos").distinct(), matched.select("job_id", "rule_pos"), ["job_id", "rule_pos"], "left_anti")
 
 
 def matrix_extra(jobs: DataFrame, combos: DataFrame, includes: DataFrame, dims: DataFrame, rules: DataFrame | None = None,
                  hits: DataFrame | None = None) -> DataFrame:
     """Rows to append: unmatched includes as combinations of their own (numbered after the product),
     and one empty combination (dim NULL) for a job left with nothing."""
-    totals = jobs.select("job_id").distinct().join(
-        _radix(dims).select("job_id", "total"), "job_id", "left"
-    ).select("job_id", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"))
+    totals = _meet(jobs.select("job_id").distinct(), _radix(dims).select("job_id", "total"), "job_id", "left").select("job_id", F.coalesce("total", F.lit(0).cast("bigint")).alias("total"))
     rules = _signed(includes, dims) if rules is None else rules
     hits = rule_hits(combos, rules) if hits is None else hits
-    extra = includes.join(unmatched_includes(rules, hits), ["job_id", "rule_pos"], "left_semi").join(
-        totals, "job_id"
-    ).select("job_id", (F.col("total") + F.col("rule_pos")).alias("combo"), "dim", "value")
+    extra = _meet(_meet(includes, unmatched_includes(rules, hits), ["job_id", "rule_pos"], "left_semi"), totals, "job_id").select("job_id", (F.col("total") + F.col("rule_pos")).alias("combo"), "dim", "value")
     filled = combos.select("job_id").unionByName(extra.select("job_id")).distinct()
     none = F.lit(None).cast("string")
-    empty = totals.join(filled, "job_id", "left_anti").select(
+    empty = _meet(totals, filled, "job_id", "left_anti").select(
         "job_id", F.col("total").alias("combo"), none.alias("dim"), none.alias("value"))
     return extra.unionByName(empty)
 
@@ -215,7 +217,7 @@ def expand_matrix(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, include
     dims, excludes, includes = written(dims, "matrix-dims"), written(excludes, "matrix-excludes"), written(includes, "matrix-includes")
     errors = check_exclude_keys(dims, excludes)
     bad = errors.select("job_id").distinct()
-    fine = lambda df: df.join(bad, "job_id", "left_anti")
+    fine = lambda df: _meet(df, bad, "job_id", "left_anti")
     jobs, dims, includes = fine(jobs), fine(dims), fine(includes)
     kept = written(kept_numbers(dims, fine(excludes), empty_dims), "matrix-kept")
     rules = written(_signed(includes, dims), "matrix-rules")
@@ -233,4 +235,4 @@ def matrix_index(combos: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def strategy_totals(combos: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Index and total of each combination's job."""
     totals = combos.select("job_id", "combo").distinct().groupBy("job_id").agg(F.count(F.lit(1)).alias("job_total"))
-    return matrix_index(combos, block_rows).join(totals, "job_id")
+    return _meet(matrix_index(combos, block_rows), totals, "job_id")

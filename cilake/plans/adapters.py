@@ -171,10 +171,10 @@ SELECT o_orderkey AS id, concat('run ', '$', '{{ ', CASE o_custkey % 6 WHEN 0 TH
 }
 
 SPARK: dict[str, str] = {
-    # text cut into 64-character chunks
+    # text cut into 64-character chunks, in one pass over the text
     "CHUNK": """
-SELECT doc_id AS stream, i AS seq, substring(text, CAST(i * 64 + 1 AS INT), 64) AS chunk
-FROM documents LATERAL VIEW explode(sequence(0L, CAST((length(text) - 1) DIV 64 AS BIGINT))) t AS i WHERE length(text) > 0""",
+SELECT doc_id AS stream, CAST(i AS BIGINT) AS seq, chunk
+FROM documents LATERAL VIEW posexplode(regexp_extract_all(text, '(?s).{1,64}', 0)) t AS i, chunk WHERE length(text) > 0""",
     # key/value files of each step
     "KVF": f"""
 SELECT job_id, step_idx, kind, listagg(concat(key, '=', value), '\\n') WITHIN GROUP (ORDER BY ord) AS content

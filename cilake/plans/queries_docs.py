@@ -16,7 +16,7 @@ from cilake.operators import strategy as sg
 from cilake.operators import expressions as ex
 from cilake.operators.binding import bind
 from cilake.plans.registry import Source, query
-from cilake.session import written
+from cilake.session import dealt, written
 from cilake.sources import documents as sd
 
 
@@ -39,7 +39,7 @@ _STRATEGY_DOC = """concat('{"jobs":{"b":{"strategy":{', CASE WHEN o_custkey % 3
 
 
 def _strategy(s: Source):
-    docs = bind(s.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_STRATEGY_DOC).alias("text")),
+    docs = bind(dealt(s.table("orders")).select(F.col("o_orderkey").alias("doc_id"), F.expr(_STRATEGY_DOC).alias("text")),
                 doc=dy.from_json_(F.col("text"))).drop("text")
     return sg.strategy_of(dc.jobs(docs), F.concat_ws("/", "doc_id", "job_id"))
 

@@ -35,6 +35,8 @@ def stream_framing(chunks: DataFrame, root: str, block_rows: int = BLOCK_ROWS, t
     """
 
     def step(batch, state):
+        # read by several jobs below; a batch of a stream is computed anew for each
+        batch = written(batch, "chunks")
         here = batch.select("stream").distinct()
         carry = state["rest"].join(here, "stream", "left_semi")
         ended = batch.filter("eof").select("stream").distinct()
