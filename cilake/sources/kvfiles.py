@@ -119,7 +119,13 @@ def encode_kv_rows(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("text", encode_kv(F.col("key"), F.col("value")))
 
 
+FILE_PAIRS = 10_000
+
+
 def append_kv_rows(pairs: DataFrame, path: str) -> None:
-    """Append heredoc text; each entry ends with exactly one line break."""
+    """Append heredoc text; each entry ends with exactly one line break.
+
+    A file is read back as one value, so its size must not grow with the table.
+    """
     text = encode_kv_rows(pairs).select(F.regexp_replace("text", r"\n$", "").alias("value"))
-    text.write.mode("append").text(path)
+    text.write.mode("append").option("maxRecordsPerFile", FILE_PAIRS).text(path)
