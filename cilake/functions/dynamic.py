@@ -36,13 +36,13 @@ _KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean"}
 def kind_of(v: Column) -> Column:
     """Kind of a VARIANT: undefined (SQL NULL), null, boolean, number, string, array, object.
 
-    Containers are told by shallow casts; only scalars are asked for their type name, so the cost does not grow with the
-    levels below.
+    Containers are told by casts that build nothing of what lies in them (a cast to a container of VARIANTs writes all levels
+    below anew); only scalars are asked for their type name, so the cost does not grow with the levels below.
     """
     table = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
     scalar = F.coalesce(F.try_element_at(table, F.schema_of_variant(v)), F.lit("number"))
-    return (F.when(v.isNull(), "undefined").when(v.try_cast("array<variant>").isNotNull(), "array")
-            .when(v.try_cast("map<string,variant>").isNotNull(), "object").otherwise(scalar))
+    return (F.when(v.isNull(), "undefined").when(v.try_cast("struct<>").isNotNull(), "object")
+            .when(v.try_cast("array<struct<>>").isNotNull(), "array").otherwise(scalar))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

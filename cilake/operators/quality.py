@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from cilake.functions import dynamic as dy
 from cilake.operators import expressions as ex
-from cilake.operators.binding import bind
 from cilake.operators.predicates import parsed, unfold_levels
 
 BUILT_IN = ["sequence", "mapping", "number", "boolean", "string", "null"]
@@ -253,7 +252,8 @@ def check_documents(docs: DataFrame, rules: RuleSet, doc: str = "doc", *, missin
     """Violations `(…, path, rule, message)`. A one-of node is fine when one alternative is; else the
     errors of all its alternatives are listed."""
     keep = [c for c in docs.columns if c != doc]
-    nodes = bind(check_nodes(docs, rules, doc, missing_required), _errors=node_errors(rules))
+    # a plain column, not bound: a generator would interpret what a projection compiles
+    nodes = check_nodes(docs, rules, doc, missing_required).withColumn("_errors", node_errors(rules))
     if missing_required and rules.required:
         need = _lookup(_required(rules), F.col("def"))
         have = F.coalesce(F.map_keys(F.try_parse_json("value").try_cast("map<string,variant>")),
@@ -263,9 +263,10 @@ def check_documents(docs: DataFrame, rules: RuleSet, doc: str = "doc", *, missin
             F.lit("key required: "), k).alias("message")))
         nodes = nodes.withColumn("_errors", F.concat("_errors", F.coalesce(F.when(
             (F.col("kind") == "object") & need.isNotNull(), extra), F.filter("_errors", lambda x: F.lit(False)))))
-    # alternatives stay as rows without an error, so that a clean one is seen
-    rows = nodes.filter((F.size("_errors") > 0) | F.col("alternative")).select(
-        *keep, "path", "choices", F.explode_outer("_errors").alias("_e"))
+    # alternatives stay as rows without an error, so that a clean one is seen; the others go after the outer generator, as a filter
+    # on the errors themselves would be pushed below the projection and compute them twice
+    rows = nodes.select(*keep, "path", "choices", "alternative", F.explode_outer("_errors").alias("_e")).filter(
+        F.col("_e").isNotNull() | F.col("alternative")).drop("alternative")
     rows = rows.repartition(*keep).withColumn("_bad", F.when(F.col("_e").isNotNull(), 1).otherwise(0))
     for depth in range(_choice_depth(rules), 0, -1):
         here = F.size("choices") >= depth

@@ -166,3 +166,20 @@ def test_costly_documents_are_dealt_over_the_tasks_of_a_cluster(spark, tmp_path,
     nodes = ql.check_nodes(source.ad("ACTION"), ql.ACTION_RULES).filter("doc_id = 3 AND path = 'runs.steps[0].if'")
     assert [(r.ctx, len(r.choices)) for r in nodes.select("ctx", "choices").sort("choices").collect()][0] == (
         ql.ACTION_RULES.contexts["step-if"], 2)
+
+
+def test_kinds_build_nothing_of_what_lies_below(spark):
+    texts = {"{}": "object", '{"a":[1]}': "object", "[]": "array", '["x",{},[],null,1.5,true]': "array", "[null]": "array", "null": "null",
+             "1": "number", "1e400": "number", "true": "boolean", '"x"': "string", '"{}"': "string", '"[]"': "string", "bad": "undefined"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.try_parse_json("t").alias("v"))
+    assert {r.t: r.k for r in df.select("t", dy.kind_of(F.col("v")).alias("k")).collect()} == texts
+    # casts to containers of VARIANTs write every level below anew
+    assert "variant" not in str(dy.kind_of(F.col("v"))._jc.toString()).lower().replace("schema_of_variant", "")
+
+
+def test_errors_of_nodes_are_compiled_and_computed_once(spark, capsys):
+    docs = spark.createDataFrame([(1, '{"extra":"%s"}' % (D + "{{ github.sha }}"))], "id int, doc string")
+    ql.check_documents(docs, ql.ACTION_RULES).explain(True)
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    lines = [x for x in plan.splitlines() if "key not declared: " in x]
+    assert len(lines) == 1 and "Project" in lines[0]
