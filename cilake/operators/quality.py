@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from cilake.functions import dynamic as dy
 from cilake.operators import expressions as ex
-from cilake.operators.predicates import parsed, unfold_levels
+from cilake.operators.binding import bind
+from cilake.operators.predicates import unfold_levels
 
 BUILT_IN = ["sequence", "mapping", "number", "boolean", "string", "null"]
 SKIP = "-"
+FLAT_LEVELS = 6
 ARITY_RE = r"^([a-zA-Z0-9_]+)\(([0-9]+),([0-9]+|MAX)\)$"
 
 
@@ -90,12 +92,13 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in _flat.from_iterable(table.items())]), key)
 
 
-def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_json: bool = False) -> DataFrame:
+def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_json: bool = False,
+                flat_levels: int = FLAT_LEVELS) -> DataFrame:
     """Every node with the definition it is checked against: one row per node and one-of choice.
 
     `(…, depth, path, key, kind, value, parent, def, ctx, choices)`; `ctx` are the contexts allowed
     there, `choices` the (node, alternative) pairs on the way; `value` of a list or map is NULL
-    unless `container_json`.
+    unless `container_json`. The first `flat_levels` levels unfold as rows, deeper ones by a fold inside the row.
     """
     keep = [c for c in docs.columns if c != doc]
     none = F.lit(None).cast("string")
@@ -120,8 +123,7 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_jso
         return F.struct(*[x.alias(c) for c, x in cells.items()])
 
     def text_of(n):
-        return F.when(n["kind"] == "null", "null").when(
-            ~n["kind"].isin("array", "object"), F.try_variant_get(n["v"], "$", "string"))
+        return _scalar_text(n["kind"], n["v"])
 
     def child(n, path, key, v, name):
         return node(n["depth"] + 1, path, key, n["def"], v, name, opened(n), n["choices"], False, dy.kind_of(v))
@@ -168,13 +170,83 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_jso
                         *[n[c].alias(c) for c in ("parent", "def")], listed(opened(n)).alias("ctx"),
                         *[n[c].alias(c) for c in ("choices", "alternative")])
 
-    rows = parsed(docs, doc)
-    root = node(F.lit(0), F.lit(""), none, none, F.col("_v"), F.lit(rules.root), F.lit(""),
-                F.array().cast("array<string>"), False, dy.kind_of(F.col("_v"))).cast(
-        "struct<depth:int,path:string,key:string,parent:string,v:variant,def:string,ctx:string,choices:array<string>,"
-        "alternative:boolean,kind:string>")  # any field may be NULL below
-    return rows.select(*keep, F.inline(unfold_levels(
-        expanded(F.array(root)), F.col("_levels"), lambda n: expanded(children(n)), leaf)))
+    cells = {"depth": "int", "path": "string", "key": "string", "parent": "string", "v": "variant", "def": "string",
+             "ctx": "string", "choices": "array<string>", "alternative": "boolean", "kind": "string"}
+    start = {"depth": F.lit(0), "path": F.lit(""), "key": none, "parent": none, "v": F.col("_v"), "def": F.lit(rules.root),
+             "ctx": F.lit(""), "choices": F.array(), "alternative": F.lit(False), "kind": dy.kind_of(F.col("_v"))}
+    rows = bind(docs, _v=dy.from_json_(F.col(doc))).drop(doc).filter(F.col("_v").isNotNull())
+    rows = rows.withColumns({f"_{c}": start[c].cast(t) for c, t in cells.items()} | {"_open": F.lit(True)})
+    rows = _with_value(rows, container_json)
+    for _ in range(flat_levels):
+        rows = _with_value(_closed(rows, rules, own), container_json)
+    # only what lies deeper still is open, and counted and folded here
+    here = F.struct(*[F.col(f"_{c}").alias(c) for c in cells]).cast(
+        "struct<" + ",".join(f"{c}:{t}" for c, t in cells.items()) + ">")  # any field may be NULL below
+    below = unfold_levels(expanded(F.array(here)), dy.nesting(F.to_json("_v")), lambda n: expanded(children(n)), leaf)
+    rows = rows.select(*[c for c in rows.columns if c != "_v"], F.explode_outer(F.when(F.col("_open"), below)).alias("_below"))
+    out = {c: F.col(f"_{c}") for c in ("depth", "path", "key", "kind", "value", "parent", "def", "ctx", "choices", "alternative")}
+    out["ctx"] = listed(F.col("_ctx"))
+    return rows.select(*keep, *[F.when(F.col("_open"), F.col(f"_below.{c}")).otherwise(x).alias(c) for c, x in out.items()])
+
+
+def _scalar_text(kind: Column, v: Column) -> Column:
+    return F.when(kind == "null", "null").when(~kind.isin("array", "object"), F.try_variant_get(v, "$", "string"))
+
+
+def _with_value(rows: DataFrame, container_json: bool) -> DataFrame:
+    """`rows` of a walk with `_value` of the open ones; closed ones keep theirs."""
+    text = _scalar_text(F.col("_kind"), F.col("_v"))
+    text = F.coalesce(text, F.to_json("_v")) if container_json else text
+    kept = F.col("_value") if "_value" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("_value", F.when(F.col("_open"), text).otherwise(kept))
+
+
+def _closed(rows: DataFrame, rules: RuleSet, own: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Close the open rows of a walk, each as its node or its alternatives, and add their children as open rows.
+
+    What becomes of a node follows from its definition and from whether it is a list, a map or a scalar, so it is looked up. No
+    lambda is involved, so Spark compiles the step. `_ctx` of an open row are the definitions above, of a closed one its own too.
+    """
+    lists, maps = {"any", *rules.sequences}, {"any", *rules.mappings}
+    forms = {}
+    for d in sorted({*lists, *maps, *rules.one_of}):
+        for kind, unfolding in (("array", lists), ("object", maps), ("scalar", set())):
+            names = rules.one_of.get(d, [d])
+            forms[f"{d}/{kind}"] = F.array(*[
+                F.struct(F.lit(x).alias("def"), F.lit(d in rules.one_of).alias("chosen"), F.lit(below).alias("below"))
+                for x in names for below in ([False, True] if x in unfolding else [False])])
+    table = F.create_map(*_flat.from_iterable((F.lit(k), v) for k, v in forms.items()))
+    numbers = {d: i for d, (i, _) in own.items()}
+    opening = lambda d: F.coalesce(_lookup(numbers, d), F.lit(""))
+    is_open, d, kind, path, v = (F.col(f"_{c}") for c in ("open", "def", "kind", "path", "v"))
+    held = d.isin(list(rules.one_of)) & (kind == "string") & F.contains("_value", F.lit(ex.OPEN))
+    form = F.try_element_at(table, F.concat(d, F.lit("/"), F.when(kind.isin("array", "object"), kind).otherwise("scalar")))
+    rows = rows.select("*", F.explode_outer(F.when(is_open & ~F.coalesce(held, F.lit(False)), form)).alias("_form"))
+
+    name, chosen = F.coalesce("_form.def", d), F.coalesce("_form.chosen", F.lit(False))
+    rows = rows.withColumns({
+        "_def": name, "_alternative": chosen | F.col("_alternative"), "_unfolds": F.coalesce("_form.below", F.lit(False)),
+        "_ctx": F.when(is_open, F.concat("_ctx", F.when(chosen, opening(d)).otherwise(""), opening(name))).otherwise(F.col("_ctx")),
+        "_choices": F.when(chosen, F.concat("_choices", F.array(F.concat(path, F.lit("\u0001"), name)))).otherwise(
+            F.col("_choices"))}).drop("_form")
+
+    unfolds, (pos, key, item) = F.col("_unfolds"), (F.col(f"_found.{c}") for c in ("pos", "key", "value"))
+    found = rows.sparkSession.tvf.variant_explode_outer(F.when(unfolds, v).outer())
+    columns = [c for c in rows.columns if c != "_unfolds"]
+    rows = rows.alias("_rows").lateralJoin(found.alias("_found")).filter(~unfolds | pos.isNotNull())
+    known = _lookup({f"{a}/{b}": t for (a, b), t in rules.props.items()}, F.concat(d, F.lit("/"), key))
+    below = {
+        "_depth": F.col("_depth") + 1, "_key": key, "_parent": d, "_v": item, "_kind": dy.kind_of(item),
+        "_path": F.when(key.isNull(), F.concat(path, F.lit("["), pos.cast("string"), F.lit("]"))).when(path == "", key).otherwise(
+            F.concat(path, F.lit("."), key)),
+        "_def": F.when(key.isNull(), F.when(d.isin("any", "sequence"), "any").otherwise(_lookup(rules.items, d)))
+                .when(F.contains(key, F.lit(ex.OPEN)), SKIP).when(d.isin("any", "mapping"), "any")
+                .otherwise(F.coalesce(known, _lookup(rules.loose, d))),
+        "_alternative": F.lit(False), "_open": F.lit(True)}
+    closed = {"_v": F.lit(None).cast("variant"), "_open": F.lit(False)}
+    return rows.select(*[
+        F.when(unfolds, below[c]).otherwise(closed.get(c, F.col(f"_rows.{c}"))).alias(c) if c in below else F.col(f"_rows.{c}")
+        for c in columns])
 
 
 def expression_errors(text: Column, ctx: Column) -> Column:

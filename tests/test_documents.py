@@ -183,3 +183,18 @@ def test_errors_of_nodes_are_compiled_and_computed_once(spark, capsys):
     plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
     lines = [x for x in plan.splitlines() if "key not declared: " in x]
     assert len(lines) == 1 and "Project" in lines[0]
+
+
+def test_levels_unfold_alike_as_rows_and_by_the_fold(spark):
+    hold, deep = D + "{{ github.sha }}", '{"a":' * 9 + '[{},[],[[1,null]]]' + "}" * 9
+    texts = ['{"runs":"%s","x":%s}' % (hold, deep), '{"runs":{"using":"c","steps":[{"run":"x","if":"%s"},{"uses":"o/r","with":{"k":"v"}},"%s"]}}' % (hold, hold),
+             '{"inputs":{"tag":{"default":"%s","required":true}},"%s":{"x":[1]},"runs":[]}' % (hold, D + "{{ insert }}"), "5", "null", "[]", "{}", "bad", None]
+    docs = spark.createDataFrame([(k % 7 or None, "p", t) for k, t in enumerate(texts)], "id int, pos string, doc string")
+
+    def nodes(levels, held):
+        return sorted(map(repr, ql.check_nodes(docs, ql.ACTION_RULES, "doc", held, levels).collect()))
+
+    folded = nodes(0, False)
+    assert len(folded) > 50 and any("depth=13" in r for r in folded)
+    assert nodes(1, False) == folded and nodes(4, False) == folded
+    assert nodes(4, True) == nodes(0, True) != folded
