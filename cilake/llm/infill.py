@@ -108,9 +108,14 @@ def rebuilt(output: pa.Array, form: pa.Array) -> pa.Array:
     return pc.replace_with_mask(plain, whole, text)
 
 
-def in_slabs(texts: pa.Array):
-    """Ranges of a batch that hold a few MB of text each."""
-    return slabs(pc.fill_null(pc.binary_length(texts), 0).to_pylist())
+def in_slabs(texts: pa.Array, *others: pa.Array):
+    """Parts of a batch that hold a few MB of text each, with the same rows of the other columns.
+
+    Rows are copied, not sliced: pyarrow's if_else reads past the texts of an array that starts inside another.
+    """
+    for a, b in slabs(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        rows = pa.array(np.arange(a, b))
+        yield [x.take(rows) for x in (texts, *others)]
 
 
 def transform(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = SEED,
@@ -121,8 +126,8 @@ def transform(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed:
 
     @F.arrow_udf("struct<" + ",".join(f"{f}:{t}" for f, t, _ in _FIELDS) + ">")
     def over(texts: pa.Array, h1: pa.Array, h2: pa.Array, h3: pa.Array, h4: pa.Array) -> pa.Array:
-        texts, h = pc.fill_null(texts, ""), [x.to_numpy() for x in (h1, h2, h3, h4)]
-        parts = [infilled(texts.slice(a, b - a), [x[a:b] for x in h], fim_percent, spm_percent) for a, b in in_slabs(texts)]
+        parts = [infilled(some, [x.to_numpy() for x in h], fim_percent, spm_percent)
+                 for some, *h in in_slabs(pc.fill_null(texts, ""), h1, h2, h3, h4)]
         columns = [pa.concat_arrays(c) for c in zip(*parts, strict=True)] or [pa.array([], f.type) for f in kind]
         return pa.StructArray.from_arrays(columns, fields=list(kind))
 
@@ -137,7 +142,7 @@ def restore(rows: DataFrame, output: str = "output", form: str = "form") -> Data
 
     @F.arrow_udf("string")
     def over(outputs: pa.Array, forms: pa.Array) -> pa.Array:
-        parts = [rebuilt(outputs.slice(a, b - a), forms.slice(a, b - a)) for a, b in in_slabs(outputs)]
+        parts = [rebuilt(some, form_of) for some, form_of in in_slabs(outputs, forms)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return rows.withColumn("restored", over(F.col(output), F.col(form)))

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Regex, pre_tokenizers
 
+from pyspark.sql import functions as F
+
 from cilake.llm import exact, importance, infill
 
 DOCS = "doc_id bigint, text string"
@@ -186,3 +188,11 @@ def test_infill(spark):
 def test_restore_of_foreign_output():
     got = infill.rebuilt(pa.array(["x", "<P>a<S>b<M>c", "<S>a<P>b<M>c", None, "q", "t"]), pa.array(["psm", "psm", "spm", "spm", None, "plain"]))
     assert got.to_pylist() == [None, "acb", "bca", None, None, "t"]
+
+
+def test_infill_keeps_large_texts_that_follow_others_in_a_batch(spark):
+    texts = ["<P>" + piece * 1_500_000 for piece in ("w ", "  ", "é", "a\n")] + ["a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    made = infill.restore(infill.transform(docs)).filter("doc_id < 4").select("doc_id", F.sha2("text", 256).alias("want"),
+                                                       F.sha2("output", 256).alias("output"), F.sha2("restored", 256).alias("restored"))
+    assert all(r.want == r.output == r.restored for r in made.collect())
