@@ -47,10 +47,10 @@ def variables(body: Column) -> Column:
 def calls(body: Column) -> Column:
     """Array of (name, n_args): innermost calls are read and folded away until no bracket is left.
 
-    The number of rounds is the number of opening brackets, so any nesting is covered.
+    The number of rounds is the number of opening brackets, so any nesting is covered; a text without one is not read.
     """
     start = F.struct(_bare(body).alias("t"), F.expr("cast(array() as array<struct<name:string,n_args:int>>)").alias("c"))
-    rounds = F.sequence(F.lit(0), F.length(body) - F.length(F.replace(body, F.lit("("), F.lit(""))))
+    rounds = F.sequence(F.lit(1), F.length(body) - F.length(F.replace(body, F.lit("("), F.lit(""))))
 
     def site(call: Column) -> Column:
         args = F.regexp_extract(call, _INNER_CALL, 2)
@@ -63,7 +63,9 @@ def calls(body: Column) -> Column:
         return F.struct(F.regexp_replace(s["t"], _INNER_CALL, "''").alias("t"), F.concat(s["c"], found).alias("c"))
 
     # a bracket without a name is plain grouping
-    return F.filter(F.aggregate(rounds, start, peel)["c"], lambda c: c["name"] != "")
+    found = F.filter(F.aggregate(rounds, start, peel)["c"], lambda c: c["name"] != "")
+    none = F.expr("cast(array() as array<struct<name:string,n_args:int>>)")
+    return F.when(~F.contains(body, F.lit("(")), none).otherwise(found)
 
 
 def extract_refs(rows: DataFrame, text: str) -> DataFrame:

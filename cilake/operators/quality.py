@@ -10,6 +10,7 @@ one-of nodes needs rows of the same document together: one shuffle by document.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import chain as _flat
 
@@ -24,6 +25,7 @@ from cilake.operators.predicates import unfold_levels
 BUILT_IN = ["sequence", "mapping", "number", "boolean", "string", "null"]
 SKIP = "-"
 FLAT_LEVELS = 6
+_JUDGED = ("def", "kind", "value", "alternative")
 ARITY_RE = r"^([a-zA-Z0-9_]+)\(([0-9]+),([0-9]+|MAX)\)$"
 
 
@@ -86,36 +88,66 @@ class RuleSet:
         return sorted(set(self.items) | {"sequence"})
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    if not table:
-        return F.lit(None).cast("string")
-    return F.try_element_at(F.create_map(*[F.lit(x) for x in _flat.from_iterable(table.items())]), key)
+def _table(table: dict[str, str]) -> Column | None:
+    """A table as one literal map; built once where several steps read it, as each literal is a call to the JVM."""
+    return F.create_map(*[F.lit(x) for x in _flat.from_iterable(table.items())]) if table else None
+
+
+def _lookup(table: dict[str, str] | Column | None, key: Column) -> Column:
+    table = _table(table) if isinstance(table, dict) else table
+    return F.lit(None).cast("string") if table is None else F.try_element_at(table, key)
+
+
+class _Tables:
+    """The rules of a walk as literal maps: known keys, loose types, item types, and the numbers of definitions that open contexts."""
+
+    def __init__(self, rules: RuleSet):
+        self.props = _table({f"{a}/{b}": t for (a, b), t in rules.props.items()})
+        self.loose, self.items = _table(rules.loose), _table(rules.items)
+        own = sorted(rules.contexts.items())
+        self.numbers = _table({d: f"{i}," for i, (d, _) in enumerate(own)})
+        self.listed = F.create_map(*_flat.from_iterable(
+            (F.lit(str(i)), F.array(*[F.lit(x) for x in c])) for i, (_, c) in enumerate(own))) if own else None
+        self.forms = _forms(rules)
+
+    def child(self, d: Column, key: Column) -> Column:
+        """Definition of what lies below a key of a map, or of a list where the key is NULL."""
+        known = _lookup(self.props, F.concat(d, F.lit("/"), key))
+        return (F.when(key.isNull(), F.when(d.isin("any", "sequence"), "any").otherwise(_lookup(self.items, d)))
+                .when(F.contains(key, F.lit(ex.OPEN)), SKIP).when(d.isin("any", "mapping"), "any")
+                .otherwise(F.coalesce(known, _lookup(self.loose, d))))
+
+    def opening(self, d: Column) -> Column:
+        return F.coalesce(_lookup(self.numbers, d), F.lit(""))
+
+    def contexts(self, numbers: Column) -> Column:
+        """Contexts that definitions open, by their numbers; those of a single one are looked up, several are joined."""
+        empty = F.array().cast("array<string>")
+        if self.listed is None:
+            return empty
+        bare = F.rtrim(numbers, F.lit(","))
+        several = F.flatten(F.transform(F.split(bare, ","), lambda i: F.try_element_at(self.listed, i)))
+        return F.when(numbers == "", empty).otherwise(F.coalesce(F.try_element_at(self.listed, bare), several))
 
 
 def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_json: bool = False,
-                flat_levels: int = FLAT_LEVELS) -> DataFrame:
+                flat_levels: int = FLAT_LEVELS, wanted: Callable[..., Column] | None = None) -> DataFrame:
     """Every node with the definition it is checked against: one row per node and one-of choice.
 
     `(…, depth, path, key, kind, value, parent, def, ctx, choices)`; `ctx` are the contexts allowed
     there, `choices` the (node, alternative) pairs on the way; `value` of a list or map is NULL
     unless `container_json`. The first `flat_levels` levels unfold as rows, deeper ones by a fold inside the row.
+    `wanted(def_, kind, value, alternative)` tells the nodes to return; the others are left out as soon as they have
+    unfolded, and not carried through the levels below.
     """
     keep = [c for c in docs.columns if c != doc]
     none = F.lit(None).cast("string")
     # nodes are copied at every level, so what they inherit is kept as the numbers of definitions and listed at the end
-    own = {d: (f"{i},", c) for i, (d, c) in enumerate(sorted(rules.contexts.items()))}
+    tables = _Tables(rules)
 
     def opened(n):
         """Numbers of the definitions that open contexts at a node: those above, then its own."""
-        return F.concat(n["ctx"], F.coalesce(_lookup({d: i for d, (i, _) in own.items()}, n["def"]), F.lit("")))
-
-    def listed(numbers):
-        empty = F.array().cast("array<string>")
-        if not own:
-            return empty
-        table = F.create_map(*_flat.from_iterable((F.lit(i[:-1]), F.array(*[F.lit(x) for x in c])) for i, c in own.values()))
-        return F.when(numbers == "", empty).otherwise(F.flatten(F.transform(
-            F.split(F.rtrim(numbers, F.lit(",")), ","), lambda i: F.try_element_at(table, i))))
+        return F.concat(n["ctx"], tables.opening(n["def"]))
 
     def node(depth, path, key, parent, v, name, ctx, choices, alternative, kind):
         cells = {"depth": depth, "path": path, "key": key, "parent": parent, "v": v, "def": name, "ctx": ctx, "choices": choices,
@@ -132,17 +164,10 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_jso
         d = n["def"]
         is_any = d == "any"
         items = F.transform(F.when(n["kind"] == "array", n["v"].try_cast("array<variant>")), lambda v, i: child(
-            n, F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), none, v,
-            F.when(is_any | (d == "sequence"), "any").otherwise(_lookup(rules.items, d))))
-
-        def key_type(k):
-            known = _lookup({f"{a}/{b}": t for (a, b), t in rules.props.items()}, F.concat(d, F.lit("/"), k))
-            return (F.when(F.contains(k, F.lit(ex.OPEN)), SKIP).when(is_any | (d == "mapping"), "any")
-                    .otherwise(F.coalesce(known, _lookup(rules.loose, d))))
-
+            n, F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), none, v, tables.child(d, none)))
         keys = F.transform(F.map_entries(F.when(n["kind"] == "object", n["v"].try_cast("map<string,variant>"))), lambda e: child(
             n, F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])),
-            e["key"], e["value"], key_type(e["key"])))
+            e["key"], e["value"], tables.child(d, e["key"])))
         nothing = F.filter(F.array(n), lambda x: F.lit(False))
         return F.coalesce(F.when(is_any | d.isin(rules.sequences), items),
                           F.when(is_any | d.isin(rules.mappings), keys), nothing)
@@ -167,7 +192,7 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_jso
     def leaf(n):
         value = F.coalesce(text_of(n), F.to_json(n["v"])) if container_json else text_of(n)
         return F.struct(*[n[c].alias(c) for c in ("depth", "path", "key", "kind")], value.alias("value"),
-                        *[n[c].alias(c) for c in ("parent", "def")], listed(opened(n)).alias("ctx"),
+                        *[n[c].alias(c) for c in ("parent", "def")], tables.contexts(opened(n)).alias("ctx"),
                         *[n[c].alias(c) for c in ("choices", "alternative")])
 
     cells = {"depth": "int", "path": "string", "key": "string", "parent": "string", "v": "variant", "def": "string",
@@ -178,15 +203,16 @@ def check_nodes(docs: DataFrame, rules: RuleSet, doc: str = "doc", container_jso
     rows = rows.withColumns({f"_{c}": start[c].cast(t) for c, t in cells.items()} | {"_open": F.lit(True)})
     rows = _with_value(rows, container_json)
     for _ in range(flat_levels):
-        rows = _with_value(_closed(rows, rules, own), container_json)
+        rows = _with_value(_closed(rows, rules, tables, wanted), container_json)
     # only what lies deeper still is open, and counted and folded here
     here = F.struct(*[F.col(f"_{c}").alias(c) for c in cells]).cast(
         "struct<" + ",".join(f"{c}:{t}" for c, t in cells.items()) + ">")  # any field may be NULL below
     below = unfold_levels(expanded(F.array(here)), dy.nesting(F.to_json("_v")), lambda n: expanded(children(n)), leaf)
     rows = rows.select(*[c for c in rows.columns if c != "_v"], F.explode_outer(F.when(F.col("_open"), below)).alias("_below"))
     out = {c: F.col(f"_{c}") for c in ("depth", "path", "key", "kind", "value", "parent", "def", "ctx", "choices", "alternative")}
-    out["ctx"] = listed(F.col("_ctx"))
-    return rows.select(*keep, *[F.when(F.col("_open"), F.col(f"_below.{c}")).otherwise(x).alias(c) for c, x in out.items()])
+    out["ctx"] = tables.contexts(F.col("_ctx"))
+    rows = rows.select(*keep, *[F.when(F.col("_open"), F.col(f"_below.{c}")).otherwise(x).alias(c) for c, x in out.items()])
+    return rows.filter(wanted(*(F.col(c) for c in _JUDGED))) if wanted else rows
 
 
 def _scalar_text(kind: Column, v: Column) -> Column:
@@ -201,11 +227,10 @@ def _with_value(rows: DataFrame, container_json: bool) -> DataFrame:
     return rows.withColumn("_value", F.when(F.col("_open"), text).otherwise(kept))
 
 
-def _closed(rows: DataFrame, rules: RuleSet, own: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """Close the open rows of a walk, each as its node or its alternatives, and add their children as open rows.
+def _forms(rules: RuleSet) -> Column:
+    """What becomes of a node, by its definition and whether it is a list, a map or a scalar: (def, chosen, below) rows.
 
-    What becomes of a node follows from its definition and from whether it is a list, a map or a scalar, so it is looked up. No
-    lambda is involved, so Spark compiles the step. `_ctx` of an open row are the definitions above, of a closed one its own too.
+    One row for each alternative of a one-of, each of them once more with `below` if it unfolds; nothing for what stays as it is.
     """
     lists, maps = {"any", *rules.sequences}, {"any", *rules.mappings}
     forms = {}
@@ -215,33 +240,38 @@ def _closed(rows: DataFrame, rules: RuleSet, own: dict[str, tuple[str, list[str]
             forms[f"{d}/{kind}"] = F.array(*[
                 F.struct(F.lit(x).alias("def"), F.lit(d in rules.one_of).alias("chosen"), F.lit(below).alias("below"))
                 for x in names for below in ([False, True] if x in unfolding else [False])])
-    table = F.create_map(*_flat.from_iterable((F.lit(k), v) for k, v in forms.items()))
-    numbers = {d: i for d, (i, _) in own.items()}
-    opening = lambda d: F.coalesce(_lookup(numbers, d), F.lit(""))
+    return F.create_map(*_flat.from_iterable((F.lit(k), v) for k, v in forms.items()))
+
+
+def _closed(rows: DataFrame, rules: RuleSet, tables: _Tables, wanted: Callable[..., Column] | None) -> DataFrame:
+    """Close the open rows of a walk, each as its node or its alternatives, and add their children as open rows.
+
+    What becomes of a node is looked up. No lambda is involved, so Spark compiles the step. `_ctx` of an open row are the
+    definitions above, of a closed one its own too.
+    """
     is_open, d, kind, path, v = (F.col(f"_{c}") for c in ("open", "def", "kind", "path", "v"))
     held = d.isin(list(rules.one_of)) & (kind == "string") & F.contains("_value", F.lit(ex.OPEN))
-    form = F.try_element_at(table, F.concat(d, F.lit("/"), F.when(kind.isin("array", "object"), kind).otherwise("scalar")))
+    form = F.try_element_at(tables.forms, F.concat(d, F.lit("/"), F.when(kind.isin("array", "object"), kind).otherwise("scalar")))
     rows = rows.select("*", F.explode_outer(F.when(is_open & ~F.coalesce(held, F.lit(False)), form)).alias("_form"))
 
     name, chosen = F.coalesce("_form.def", d), F.coalesce("_form.chosen", F.lit(False))
     rows = rows.withColumns({
         "_def": name, "_alternative": chosen | F.col("_alternative"), "_unfolds": F.coalesce("_form.below", F.lit(False)),
-        "_ctx": F.when(is_open, F.concat("_ctx", F.when(chosen, opening(d)).otherwise(""), opening(name))).otherwise(F.col("_ctx")),
+        "_ctx": F.when(is_open, F.concat("_ctx", F.when(chosen, tables.opening(d)).otherwise(""), tables.opening(name))).otherwise(F.col("_ctx")),
         "_choices": F.when(chosen, F.concat("_choices", F.array(F.concat(path, F.lit("\u0001"), name)))).otherwise(
             F.col("_choices"))}).drop("_form")
 
+    if wanted:
+        rows = rows.filter(F.col("_unfolds") | wanted(*(F.col(f"_{c}") for c in _JUDGED)))
     unfolds, (pos, key, item) = F.col("_unfolds"), (F.col(f"_found.{c}") for c in ("pos", "key", "value"))
     found = rows.sparkSession.tvf.variant_explode_outer(F.when(unfolds, v).outer())
     columns = [c for c in rows.columns if c != "_unfolds"]
     rows = rows.alias("_rows").lateralJoin(found.alias("_found")).filter(~unfolds | pos.isNotNull())
-    known = _lookup({f"{a}/{b}": t for (a, b), t in rules.props.items()}, F.concat(d, F.lit("/"), key))
     below = {
         "_depth": F.col("_depth") + 1, "_key": key, "_parent": d, "_v": item, "_kind": dy.kind_of(item),
         "_path": F.when(key.isNull(), F.concat(path, F.lit("["), pos.cast("string"), F.lit("]"))).when(path == "", key).otherwise(
             F.concat(path, F.lit("."), key)),
-        "_def": F.when(key.isNull(), F.when(d.isin("any", "sequence"), "any").otherwise(_lookup(rules.items, d)))
-                .when(F.contains(key, F.lit(ex.OPEN)), SKIP).when(d.isin("any", "mapping"), "any")
-                .otherwise(F.coalesce(known, _lookup(rules.loose, d))),
+        "_def": tables.child(d, key),
         "_alternative": F.lit(False), "_open": F.lit(True)}
     closed = {"_v": F.lit(None).cast("variant"), "_open": F.lit(False)}
     return rows.select(*[
@@ -252,12 +282,12 @@ def _closed(rows: DataFrame, rules: RuleSet, own: dict[str, tuple[str, list[str]
 def expression_errors(text: Column, ctx: Column) -> Column:
     """Array of (rule, message) for the expressions of one text under the contexts allowed there."""
     err = lambda rule, msg: F.struct(F.lit(rule).alias("rule"), msg.alias("message"))
-    declared = F.filter(ctx, lambda c: c.rlike(ARITY_RE))
+    known = _table({n.lower(): f"{lo},{hi}" for n, lo, hi in ex.ARITY})
 
     def arity(name):
         """'min,max' of a function by its lower-case name, NULL when unknown."""
-        own = F.get(F.filter(declared, lambda c: F.lower(F.substring_index(c, "(", 1)) == name), 0)
-        base = _lookup({n.lower(): f"{lo},{hi}" for n, lo, hi in ex.ARITY}, name)
+        own = F.get(F.filter(ctx, lambda c: (F.lower(F.substring_index(c, "(", 1)) == name) & c.rlike(ARITY_RE)), 0)
+        base = _lookup(known, name)
         most = F.regexp_replace(F.regexp_extract(own, ARITY_RE, 3), "^MAX$", "2147483647")
         return F.coalesce(base, F.concat(F.regexp_extract(own, ARITY_RE, 2), F.lit(","), most))
 
@@ -274,15 +304,16 @@ def expression_errors(text: Column, ctx: Column) -> Column:
         names = F.transform(ctx, lambda c: F.lower(c))
         wrong_calls = F.filter(F.transform(ex.calls(b), call_error), lambda e: e.isNotNull())
         wrong_vars = F.transform(
-            F.filter(ex.variables(b), lambda v: ~F.array_contains(names, F.lower(v))),
+            # most are spelled as the context is; only the others need all names in lower case
+            F.filter(ex.variables(b), lambda v: ~(F.array_contains(ctx, v) | F.array_contains(names, F.lower(v)))),
             lambda v: err("unknown_variable", F.concat(F.lit("variable not open here: "), v)))
         none = F.filter(F.array(err("", F.lit(""))), lambda x: F.lit(False))
         return F.when(F.size(ctx) > 0, F.concat(wrong_calls, wrong_vars)).when(ex.is_literal(b), none).otherwise(
             F.array(err("expr_not_allowed", F.lit("no expression may stand here"))))
 
-    never = F.when(ex.unclosed(text), F.array(err("unclosed_expr", F.lit("expression never closes"))))
+    never = F.array(err("unclosed_expr", F.lit("expression never closes")))
     found = F.flatten(F.transform(ex.bodies(text), body_errors))
-    return F.coalesce(F.concat(found, never), found)
+    return F.concat(found, F.when(ex.unclosed(text), never).otherwise(F.filter(never, lambda e: F.lit(False))))
 
 
 def node_errors(rules: RuleSet) -> Column:
@@ -320,12 +351,28 @@ def node_errors(rules: RuleSet) -> Column:
     )
 
 
+def _doubtful(rules: RuleSet, missing_required: bool) -> Callable[..., Column]:
+    """Nodes that may have an error, and all alternatives; compiled and cheap, so that the rest is not carried to `node_errors`."""
+    judged = {*rules.constant, *rules.allowed, "number", "boolean", "null",
+              *(k for k, wanted in rules.scalars.items() if wanted != "string")}
+    needing = {k for k, _ in rules.required} if missing_required else set()
+
+    def test(d, kind, value, alternative):
+        fits = (F.when(d.isin(rules.mappings), kind == "object").when(d.isin(rules.sequences), kind == "array")
+                .when(d.isin(["any", *rules.one_of]), True).otherwise(~kind.isin("array", "object") & ~d.isin(sorted(judged))))
+        held = (kind == "string") & F.contains(value, F.lit(ex.OPEN))
+        return alternative | ~F.coalesce(fits & ~held & ~d.isin(SKIP, *sorted(needing)), F.lit(False))
+
+    return test
+
+
 def check_documents(docs: DataFrame, rules: RuleSet, doc: str = "doc", *, missing_required: bool = False) -> DataFrame:
     """Violations `(…, path, rule, message)`. A one-of node is fine when one alternative is; else the
     errors of all its alternatives are listed."""
     keep = [c for c in docs.columns if c != doc]
     # a plain column, not bound: a generator would interpret what a projection compiles
-    nodes = check_nodes(docs, rules, doc, missing_required).withColumn("_errors", node_errors(rules))
+    nodes = check_nodes(docs, rules, doc, missing_required, wanted=_doubtful(rules, missing_required))
+    nodes = nodes.withColumn("_errors", node_errors(rules))
     if missing_required and rules.required:
         need = _lookup(_required(rules), F.col("def"))
         have = F.coalesce(F.map_keys(F.try_parse_json("value").try_cast("map<string,variant>")),
@@ -340,15 +387,16 @@ def check_documents(docs: DataFrame, rules: RuleSet, doc: str = "doc", *, missin
     rows = nodes.select(*keep, "path", "choices", "alternative", F.explode_outer("_errors").alias("_e")).filter(
         F.col("_e").isNotNull() | F.col("alternative")).drop("alternative")
     rows = rows.repartition(*keep).withColumn("_bad", F.when(F.col("_e").isNotNull(), 1).otherwise(0))
-    for depth in range(_choice_depth(rules), 0, -1):
-        here = F.size("choices") >= depth
-        prefix = F.array_join(F.slice("choices", 1, depth), "\u0002")
-        outer = F.array_join(F.slice("choices", 1, depth - 1), "\u0002")
-        at = F.when(here, F.substring_index(F.element_at("choices", depth), "\u0001", 1))
-        rows = rows.withColumns({"_prefix": F.when(here, prefix), "_outer": F.when(here, outer), "_at": at})
-        rows = rows.withColumn("_n", F.sum("_bad").over(Window.partitionBy(*keep, "_prefix")))
-        rows = rows.withColumn("_least", F.min("_n").over(Window.partitionBy(*keep, "_outer", "_at")))
-        fine = here & (F.col("_least") == 0)
+    deepest = _choice_depth(rules)
+    choice = {f"_c{d}": F.get("choices", d - 1) for d in range(1, deepest + 1)}
+    node = {f"_at{d}": F.substring_index(choice[f"_c{d}"], "\u0001", 1) for d in range(1, deepest + 1)}
+    rows = rows.withColumns(choice | node).drop("choices")
+    # each window's partition begins with that of the next one, so a single sort serves all
+    within = lambda depth: [*keep, *(c for d in range(1, depth + 1) for c in (f"_at{d}", f"_c{d}"))]
+    for depth in range(deepest, 0, -1):
+        rows = rows.withColumn("_n", F.sum("_bad").over(Window.partitionBy(*within(depth))))
+        rows = rows.withColumn("_least", F.min("_n").over(Window.partitionBy(*within(depth - 1), f"_at{depth}")))
+        fine = F.col(f"_c{depth}").isNotNull() & (F.col("_least") == 0)
         # below a satisfied node nothing counts; the rows of outer alternatives stay visible
         rows = rows.withColumn("_bad", F.when(fine, 0).otherwise(F.col("_bad")))
     return rows.filter("_bad = 1").select(*keep, "path", "_e.rule", "_e.message")

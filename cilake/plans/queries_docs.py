@@ -438,8 +438,10 @@ SELECT o_orderkey AS doc_id, 'outputs.url.value' AS path FROM orders WHERE {_C9}
 UNION ALL SELECT o_orderkey, 'extra' FROM orders WHERE {_C9} = 6 UNION ALL SELECT o_orderkey, 'runs.steps[0].if' FROM orders WHERE {_R5} = 3 UNION ALL SELECT o_orderkey, 'runs.steps[1].with.k' FROM orders WHERE {_R5} = 3""")
 def _(s: Source):
     # values left to the expression checks alone
-    held = (F.col("kind") == "string") & F.contains("value", F.lit(ex.OPEN)) & F.col("def").isNotNull()
-    return _nodes(s).filter(held).select("doc_id", "path").distinct()
+    def held(d, kind, value, alternative):
+        return (kind == "string") & F.contains(value, F.lit(ex.OPEN)) & d.isNotNull()
+
+    return ql.check_nodes(s.ad("ACTION"), ql.ACTION_RULES, wanted=held).select("doc_id", "path").distinct()
 
 
 @query("v16_quality_report", f"""

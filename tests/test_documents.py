@@ -198,3 +198,24 @@ def test_levels_unfold_alike_as_rows_and_by_the_fold(spark):
     assert len(folded) > 50 and any("depth=13" in r for r in folded)
     assert nodes(1, False) == folded and nodes(4, False) == folded
     assert nodes(4, True) == nodes(0, True) != folded
+
+
+def test_sound_nodes_are_left_out_early_and_one_sort_judges_alternatives(spark, capsys):
+    hold = D + "{{ github.sha }}"
+    texts = ['{"runs":"%s","x":{"a":{"b":[1,"%s"]}}}' % (hold, hold), '{"runs":{"using":"c","steps":[{"run":"x","if":"%s"},{"uses":"o/r","with":{"k":"v"}},7]}}' % hold,
+             '{"inputs":{"tag":{"default":"%s (","deep":%s}},"runs":{"steps":[{"run":"x"}],"image":[]}}' % (D + "{{ nope(a, (b)) }}", '{"a":' * 9 + '"%s"' % hold + "}" * 9),
+             '{"outputs":{"url":{"value":"%s"}},"%s":1}' % (D + "{{ STEPS.a || ma", D + "{{ insert }}"), "5", "null", "bad", None]
+    docs = spark.createDataFrame([(k % 4 or None, t) for k, t in enumerate(texts)], "id int, doc string")
+    for held in (False, True):
+        for levels in (0, 2, 6):
+            def cut(*node):
+                return F.coalesce(ql._doubtful(ql.ACTION_RULES, held)(*node), F.lit(False))
+
+            every = ql.check_nodes(docs, ql.ACTION_RULES, "doc", held, levels)
+            some = ql.check_nodes(docs, ql.ACTION_RULES, "doc", held, levels, cut)
+            full = every.withColumn("e", F.explode(ql.node_errors(ql.ACTION_RULES))).count()
+            kept = some.withColumn("e", F.explode(ql.node_errors(ql.ACTION_RULES))).count()
+            assert kept == full > 15 and some.count() == every.filter(cut(*(F.col(c) for c in ql._JUDGED))).count() < every.count()
+    ql.check_documents(docs, ql.ACTION_RULES).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1 and plan.count("Window [") == 4
