@@ -101,7 +101,8 @@ def gated(batch: DataFrame, closed: DataFrame, initial: DataFrame, files: DataFr
 
     `closed` is the state. `initial` and `files` are tables; steps of a batch must find the files of earlier steps in them.
     """
-    new = wr.closing_writes(wr.command_writes(batch))
+    # read by the gate and by the change of state; these few rows are parsed out of the batch once
+    new = written(wr.closing_writes(wr.command_writes(batch)), "closing")
     here = batch.select("job_id").distinct()
     known = closed.join(here, "job_id", "left_semi").withColumns({"kind": F.lit("env"), "key": F.lit(wr.GATE_KEY)}).unionByName(new)
     gate = wr.gate_after(batch, known, initial, files, block_rows)

@@ -140,6 +140,16 @@ def test_gate_in_streams_as_in_batch(spark):
         assert sorted(x.seq for x in result(spark, r, name).collect()) == sorted(x.seq for x in want.collect())
 
 
+def test_closing_lines_are_parsed_out_of_a_batch_once(spark):
+    df, initial, files = gated_log(spark)
+    lines, closing = st.gated(df, spark.createDataFrame([], st.GATE.schema), initial, files, 16)
+    found = closing.inputFiles()
+    assert found and all("closing-" in f for f in found)
+    assert set(found) <= set(lines.inputFiles())
+    want = wr.closing_writes(wr.command_writes(df)).select(*closing.columns)
+    assert sorted(closing.collect()) == sorted(want.collect()) and closing.count() > 10
+
+
 def test_env_is_read_from_the_newest_whole(spark):
     rnd = random.Random(5)
     rows = [(i % 2, i, i, "env", f"K{rnd.randrange(6)}", f"v{i}") for i in range(60)]
