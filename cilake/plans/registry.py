@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cilake.plans import adapters
-from cilake.session import dealt, spread
+from cilake.session import dealt, is_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,10 +41,13 @@ class Source:
         return self.sql(adapters.SPARK.get(name) or adapters.SHAPES[name], deal)
 
     def stream(self, name: str, files_per_trigger: int = 64) -> DataFrame:
-        """A driver table as a file stream."""
-        schema = self.table(name).schema
-        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                .option("maxFilesPerTrigger", files_per_trigger).parquet(self.dir))
+        """A driver table as a file stream; a table is one file or a folder of files."""
+        path = f"{self.dir}/{name}.parquet"
+        reader = self.spark.readStream.schema(self.table(name).schema).option("maxFilesPerTrigger", files_per_trigger)
+        if is_folder(self.spark, path):
+            return reader.parquet(path)
+        # a stream's path has to be a folder
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.dir)
 
 
 def query(name: str, oracle: str | None = None):

@@ -51,6 +51,11 @@ def in_one_process(spark: SparkSession) -> bool:
     return re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master) is not None
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """In a one-process session, deal a test table of one row group over all cores before row-wise parsing.
 

@@ -3,11 +3,14 @@
 import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cilake.operators import loglines as ll
 from cilake.operators import writes as wr
 from cilake.operators.envstate import final_env
+from cilake.plans.catalog import QUERIES
+from cilake.plans.registry import Source
 from cilake.sources.framing import frame_lines
 from cilake.streaming import jobs as st
 from cilake.streaming.batches import COMPACT, newest_whole, result, state_before
@@ -164,3 +167,27 @@ def test_env_is_read_from_the_newest_whole(spark):
     # changes that the newest whole holds are not read again
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "batch#" in plan and f"> {max(wholes)})" in plan
+
+
+TEXTS = {0: "a\nb", 1: "", 2: "c\n", 3: "\n\n" + "d" * 130, 4: None, 5: "e\n" * 40 + "f", 6: "g" * 64 + "\n" + "h" * 64}
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_tables_of_one_file_and_of_a_folder_are_streamed_whole(spark, tmp_path, files):
+    table = spark.createDataFrame([(k, t) for k, t in TEXTS.items()], "doc_id bigint, text string")
+    path = tmp_path / "in" / "documents.parquet"
+    table.repartition(files or 1).write.parquet(str(path))
+    (tmp_path / "in" / "labels.parquet").mkdir()
+    if not files:  # the table is the file itself
+        one = next(path.glob("part-*"))
+        path = tmp_path / "one"
+        path.mkdir()
+        (path / "documents.parquet").write_bytes(one.read_bytes())
+    source = Source(spark, str(path if not files else path.parent))
+    source.stream("documents", 1).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, table.collect()))
+    split = {k: t.split("\n") for k, t in TEXTS.items() if t}
+    lines = lambda n: sorted(map(tuple, QUERIES[n](spark, source.dir).collect()))
+    assert lines("t2_stream_framing") == [(k, i, x) for k, t in split.items() for i, x in enumerate(t[:-1])]
+    assert lines("t6_stream_close") == [(k, i, x) for k, t in split.items() for i, x in enumerate(t) if x or i < len(t) - 1]
