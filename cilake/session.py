@@ -76,12 +76,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, TASKS_PER_SPLIT * df.rdd.getNumPartitions()))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 
     Used where a result feeds several later joins, so it is computed once, survives the loss of
-    executors, and carries a real size for the choice of join strategies.
+    executors, and carries a real size for the choice of join strategies. `codec`: of the files, by default the session's.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cilake.operators.running import BLOCK_ROWS, Run, running
+from cilake.session import written
 
 
 def number_fragments(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -46,6 +47,24 @@ def frame_lines(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
 
 
+def frame_batch(chunks: DataFrame, carry: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows `(stream, line_no, line, closed)` of a batch; the line that is still open in a stream is not `closed`.
+
+    `carry`: the rest that earlier batches left of a stream, and the number of the line that it begins. Chunks are shuffled and
+    sorted once, and the rows written, as closed and open lines go different ways.
+    """
+    # carried text goes before all chunks of the batch
+    before = carry.select("stream", F.lit(-1).cast("bigint").alias("seq"), F.col("rest").alias("chunk"))
+    pieces = fragments(number_fragments(before.unionByName(chunks.select("stream", "seq", "chunk")), block_rows))
+    base = carry.select("stream", F.col("next_line").alias("_base"))
+    shifted = pieces.join(base, "stream", "left").withColumn(
+        "line_no", F.col("line_no") + F.coalesce("_base", F.lit(0).cast("bigint"))).drop("_base")
+    inner = shifted.filter("inner").select("stream", "line_no", F.col("frag").alias("line"), "closed")
+    edges = shifted.filter("NOT inner").groupBy("stream", "line_no").agg(
+        F.expr("listagg(frag, '') within group (order by seq)").alias("line"), F.max("closed").alias("closed"))
+    return written(inner.unionByName(edges), "framed", "zstd")
+
+
 def read_log_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Text logs, one row per line, with the file they come from."""
     reader = spark.readStream if streaming else spark.read

@@ -62,6 +62,8 @@ def run_batches(stream: DataFrame, root: str, step: Step, states: dict[str, Kept
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # the stream's own session; what a write has shuffled goes with its end, not when the driver's heap is next collected
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         state = {n: state_before(spark, root, n, k, batch_id, compact) for n, k in states.items()}
         outputs, changes = step(batch, state)
         for name, df in outputs.items():

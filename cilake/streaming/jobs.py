@@ -10,7 +10,7 @@ from cilake.operators.binding import bind
 from cilake.operators.running import BLOCK_ROWS
 from cilake.operators import writes as wr
 from cilake.session import written
-from cilake.sources.framing import fragments, number_fragments
+from cilake.sources.framing import frame_batch
 from cilake.streaming.batches import COMPACT, Kept, current_rows, newest_whole, run_batches
 
 
@@ -40,21 +40,12 @@ def stream_framing(chunks: DataFrame, root: str, block_rows: int = BLOCK_ROWS, t
         here = batch.select("stream").distinct()
         carry = state["rest"].join(here, "stream", "left_semi")
         ended = batch.filter("eof").select("stream").distinct()
-        # carried text goes before all chunks of the batch
-        before = carry.select("stream", F.lit(-1).cast("bigint").alias("seq"), F.col("rest").alias("chunk"))
-        pieces = fragments(number_fragments(before.unionByName(batch.select("stream", "seq", "chunk")), block_rows))
-        base = carry.select("stream", F.col("next_line").alias("_base"))
-        shifted = pieces.join(base, "stream", "left").withColumn(
-            "line_no", F.col("line_no") + F.coalesce("_base", F.lit(0).cast("bigint"))).drop("_base")
-        inner = shifted.filter("inner").select("stream", "line_no", F.col("frag").alias("line"))
-        edges = shifted.filter("NOT inner").groupBy("stream", "line_no").agg(
-            F.expr("listagg(frag, '') within group (order by seq)").alias("line"), F.max("closed").alias("_closed"))
-        open_ = edges.filter("NOT _closed").join(ended.withColumn("ended", F.lit(True)), "stream", "left")
+        framed = frame_batch(batch, carry, block_rows)
+        open_ = framed.filter("NOT closed").join(ended.withColumn("ended", F.lit(True)), "stream", "left")
         flushed = open_.filter(F.col("ended") & (F.length("line") > 0))
         rest = open_.select("stream", F.col("line").alias("rest"), F.col("line_no").alias("next_line"),
                             F.coalesce("ended", F.lit(False)).alias("ended"))
-        lines = inner.unionByName(edges.filter("_closed").select("stream", "line_no", "line").unionByName(
-            flushed.select("stream", "line_no", "line")))
+        lines = framed.filter("closed").select("stream", "line_no", "line").unionByName(flushed.select("stream", "line_no", "line"))
         return {"lines": lines}, {"rest": rest}
 
     run_batches(chunks, root, step, {"rest": REST}, trigger)

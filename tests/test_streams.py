@@ -11,6 +11,7 @@ from cilake.operators import writes as wr
 from cilake.operators.envstate import final_env
 from cilake.plans.catalog import QUERIES
 from cilake.plans.registry import Source
+from cilake.sources import framing
 from cilake.sources.framing import frame_lines
 from cilake.streaming import jobs as st
 from cilake.streaming.batches import COMPACT, newest_whole, result, state_before
@@ -191,3 +192,23 @@ def test_tables_of_one_file_and_of_a_folder_are_streamed_whole(spark, tmp_path,
     lines = lambda n: sorted(map(tuple, QUERIES[n](spark, source.dir).collect()))
     assert lines("t2_stream_framing") == [(k, i, x) for k, t in split.items() for i, x in enumerate(t[:-1])]
     assert lines("t6_stream_close") == [(k, i, x) for k, t in split.items() for i, x in enumerate(t) if x or i < len(t) - 1]
+
+def test_a_batch_is_framed_once_and_leaves_no_shuffle(spark, monkeypatch):
+    labels, plain = [], framing.written
+    monkeypatch.setattr(framing, "written", lambda df, label, *codec: labels.append(label) or plain(df, label, *codec))
+    rows = [(s, i, x, eof) for s in (0, 1, None) for i, (x, eof) in enumerate([("a\nb", False), ("c\nd\ne", False), ("", s == 1)])]
+    df = spark.createDataFrame(rows, "stream bigint, seq bigint, chunk string, eof boolean")
+    kept = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {f.toString() for f in _each(kept.getAllBlocks()) if f.toString().startswith("shuffle_")}
+    stream, r = as_stream(spark, df, "seq", 1), root()
+    before = shuffles()
+    st.stream_framing(stream, r)
+    assert labels == ["framed"]
+    assert not shuffles() - before
+    key = lambda x: (x[0] is None, x)
+    got = sorted(map(tuple, result(spark, r, "lines").select("stream", "line_no", "line").collect()), key=key)
+    assert got == sorted([(s, i, x) for s in (0, 1, None) for i, x in enumerate(["a", "bc", "d"])] + [(1, 3, "e")], key=key)
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
