@@ -14,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cilake.operators.binding import bind
 from cilake.operators.running import BLOCK_ROWS, numbered
 from cilake.session import written
 
 SPAN = 65_536
+JOB_ROWS = 1024  # of a job that is expanded inside its row
+IN_ROW = 262_144  # steps that its expansion may take
+TASK_ROWS = 262_144  # rows whose jobs one task expands; by their bytes tasks would be far too few
 
 
 def _meet(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
@@ -207,23 +211,123 @@ def matrix_extra(jobs: DataFrame, combos: DataFrame, includes: DataFrame, dims:
     return extra.unionByName(empty)
 
 
+def _rows(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, includes: DataFrame, empty_dims: DataFrame | None) -> DataFrame:
+    """The tables of matrices as one `(job_id, kind, pos, dim, value)`."""
+    none = F.lit(None)
+
+    def of(df: DataFrame, kind: str, pos: str | None = None) -> DataFrame:
+        at, dim, value = (F.col(pos), F.col("dim"), F.col("value")) if pos else (none, none.cast("string"), none.cast("string"))
+        return df.select("job_id", F.lit(kind).alias("kind"), at.cast("bigint").alias("pos"), dim.alias("dim"), value.alias("value"))
+
+    rows = of(jobs, "job").unionByName(of(dims, "dim", "pos")).unionByName(of(excludes, "exclude", "rule_pos")).unionByName(
+        of(includes, "include", "rule_pos"))
+    return rows if empty_dims is None else rows.unionByName(of(empty_dims, "empty"))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """One row per job: dimensions and rules as arrays, and whether the job is `plain` and so can be expanded inside its row.
+
+    Plain: positions 0 to n - 1 in each dimension, each key of a rule once, no NULL in either, and so few combinations and
+    rules that the row stays small.
+    """
+    def pick(kind: str, *cols: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*cols))))
+
+    packed = bind(rows.groupBy("job_id").agg(
+        F.max(F.col("kind") == "job").alias("asked"), F.max(F.col("kind") == "empty").alias("empty"), pick("dim", "dim", "pos", "value").alias("cells"),
+        pick("exclude", "pos", "dim", "value").alias("excludes"), pick("include", "pos", "dim", "value").alias("includes")),
+        names=F.expr("array_distinct(transform(cells, x -> x.dim))"))
+    packed = bind(packed, _d=F.expr("transform(names, name -> struct(name AS dim, filter(cells, x -> x.dim = name) AS cells))"))
+    stride = "aggregate(slice(_d, i + 2, size(_d)), 1L, (acc, y) -> acc * size(y.cells))"
+    packed = bind(
+        packed, total=F.expr("IF(size(_d) > 0, aggregate(_d, 1L, (acc, y) -> acc * size(y.cells)), 0L)"),
+        d=F.expr(f"transform(_d, (x, i) -> struct(size(x.cells) AS n, {stride} AS stride, transform(x.cells, y -> y.value) AS vals))"),
+        _whole=F.expr("forall(_d, x -> forall(x.cells, y -> y.pos IS NOT NULL) AND "
+                      "transform(x.cells, y -> y.pos) <=> sequence(0L, size(x.cells) - 1L))"),
+        _clear=F.expr(" AND ".join(
+            f"NOT exists({rules}, x -> x.pos IS NULL OR x.dim IS NULL) AND "
+            f"size(array_distinct(transform({rules}, x -> struct(x.pos, x.dim)))) = size({rules})" for rules in ("excludes", "includes"))))
+    work = f"total <= {SPAN} AND total * (1 + size(cells) + size(excludes) + size(includes) * size(includes)) <= {IN_ROW}"
+    return packed.select("job_id", "asked", "empty", "names", "d", "total", "excludes", "includes", F.expr(
+        f"job_id IS NOT NULL AND NOT exists(names, x -> x IS NULL) AND _whole AND _clear AND {work}").alias("plain"))
+
+
+def _expanded(plain: DataFrame) -> DataFrame:
+    """The combinations of plain jobs (see `_packed`), each job inside its row; a job with an unknown exclude key has none."""
+    fine = plain.filter("forall(excludes, x -> array_contains(names, x.dim))")
+
+    def by_rule(rules: str, use: str) -> Column:
+        return F.expr(f"transform(array_distinct(transform({rules}, x -> x.pos)), p -> {use})".replace(
+            "KEYS", f"transform(filter({rules}, x -> x.pos = p AND array_contains(names, x.dim)), "
+                    "x -> struct(CAST(array_position(names, x.dim) - 1 AS INT) AS i, x.value AS value))"))
+
+    agrees = "forall({0}, k -> k.value <=> get(c.vals, k.i))"
+    rows = bind(
+        fine, _all=F.expr("IF(total > 0 AND NOT empty, transform(sequence(0L, total - 1), c -> struct(c AS combo, "
+                          "transform(d, x -> get(x.vals, CAST(c div x.stride % x.n AS INT))) AS vals)), array())"),
+        _exclude=by_rule("excludes", "KEYS"), _include=by_rule(
+            "includes", "struct(p AS pos, KEYS AS keys, filter(includes, x -> x.pos = p AND NOT array_contains(names, x.dim)) AS added)"))
+    rows = bind(rows, _kept=F.expr(f"filter(_all, c -> NOT exists(_exclude, r -> {agrees.format('r')}))"))
+    rows = bind(
+        rows, _met=F.expr(f"transform(_kept, c -> struct(c.combo AS combo, c.vals AS vals, flatten(transform("
+                          f"filter(_include, r -> {agrees.format('r.keys')}), r -> r.added)) AS added))"),
+        _own=F.expr(f"transform(filter(_include, r -> NOT exists(_kept, c -> {agrees.format('r.keys')})), r -> r.pos)"))
+    original = "transform(names, (name, i) -> struct(c.combo AS combo, name AS dim, get(c.vals, i) AS value))"
+    # later includes win per added key
+    added = ("transform(filter(c.added, x -> NOT exists(c.added, y -> y.dim = x.dim AND y.pos > x.pos)), "
+             "x -> struct(c.combo AS combo, x.dim AS dim, x.value AS value))")
+    extra = ("IF(size(_kept) + size(_own) = 0, array(struct(total AS combo, CAST(NULL AS STRING) AS dim, CAST(NULL AS STRING) AS value)), "
+             "transform(filter(includes, x -> array_contains(_own, x.pos)), x -> struct(total + x.pos AS combo, x.dim AS dim, x.value AS value)))")
+    return rows.select("job_id", F.inline(F.expr(
+        f"concat(flatten(transform(_met, c -> concat({original}, {added}))), IF(asked, {extra}, array()))")))
+
+
 def expand_matrix(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, includes: DataFrame,
                   empty_dims: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(combinations in long form, jobs in error). A job with an unknown exclude key has no combinations.
 
-    Dimensions and rules are written once, as they feed many joins, and so are the numbers of the kept combinations; values are
-    looked up for these alone.
+    Tables are written once and their rows shuffled once by job. Jobs whose rows and combinations are few expand inside their row;
+    the others, and those with repeated or NULL keys, by the joins of `_spread_out`.
     """
-    dims, excludes, includes = written(dims, "matrix-dims"), written(excludes, "matrix-excludes"), written(includes, "matrix-includes")
+    rows = written(_rows(jobs, dims, excludes, includes, empty_dims), "matrix-rows")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+    def tables(rows: DataFrame) -> list[DataFrame]:
+        def of(kind: str, *cols: Column | str) -> DataFrame:
+            return rows.filter(F.col("kind") == kind).select("job_id", *cols)
+
+        rule = [F.col("pos").alias("rule_pos"), "dim", "value"]
+        return [of("job"), of("dim", "dim", "pos", "value"), of("exclude", *rule), of("include", *rule), of("empty")]
+
+    _, dims, excludes, _, _ = tables(rows)
     errors = check_exclude_keys(dims, excludes)
-    bad = errors.select("job_id").distinct()
+    # no row may hold a job of any size
+    large = written(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > JOB_ROWS).select("job_id"), "matrix-large")
+    same = lambda others: F.col("job_id").eqNullSafe(others["_job"])
+    named = large.withColumnRenamed("job_id", "_job")
+    small = rows if large.isEmpty() else _meet(rows, named, same(named), "left_anti")
+    packed = written(_packed(small.repartition(tasks, "job_id")), "matrix-jobs")
+    whole = _expanded(packed.filter("plain").repartition(tasks, "job_id"))
+    others = large.unionByName(packed.filter("NOT plain").select("job_id"))
+    if others.isEmpty():
+        return whole, errors
+    named = others.withColumnRenamed("job_id", "_job")
+    return whole.unionByName(_spread_out(*tables(written(_meet(rows, named, same(named), "left_semi"), "matrix-others")))), errors
+
+
+def _spread_out(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, includes: DataFrame, empty_dims: DataFrame) -> DataFrame:
+    """Combinations in long form, by joins, so that one huge matrix spreads over many tasks.
+
+    The numbers of the kept combinations are written once, as they feed many joins; values are looked up for these alone.
+    """
+    bad = check_exclude_keys(dims, excludes).select("job_id").distinct()
     fine = lambda df: _meet(df, bad, "job_id", "left_anti")
     jobs, dims, includes = fine(jobs), fine(dims), fine(includes)
     kept = written(kept_numbers(dims, fine(excludes), empty_dims), "matrix-kept")
     rules = written(_signed(includes, dims), "matrix-rules")
     hits = written(rule_hits(kept, rules), "matrix-hits")
     return matrix_include(values_of(kept, dims), includes, dims, rules, hits).unionByName(
-        matrix_extra(jobs, kept, includes, dims, rules, hits)), errors
+        matrix_extra(jobs, kept, includes, dims, rules, hits))
 
 
 def matrix_index(combos: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

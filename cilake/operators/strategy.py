@@ -29,23 +29,39 @@ class Strategy:
     includes: DataFrame
 
 
+def strategy_rows(job_rows: DataFrame, job_id: Column) -> DataFrame:
+    """One row per row with a `job` body: its strategy, lists and rules as arrays; `job_id` names the job across documents."""
+    text = lambda n: F.coalesce(text_at(F.col("_s"), n), F.lit(""))
+    rows = job_rows.select(job_id.alias("job_id"), get(F.col("job"), "strategy").alias("_s")).withColumn("_m", get(F.col("_s"), "matrix"))
+    entries = F.filter(fields(F.col("_m")), lambda e: ~e["key"].isin(RULES))
+    lists = F.transform(entries, lambda e: F.struct(
+        e["key"].alias("dim"), F.transform(e["value"].try_cast(_LIST), lambda x: F.to_json(x)).alias("values")))
+
+    def rules(name: str) -> Column:
+        return F.transform(get(F.col("_m"), name).try_cast(_LIST), lambda r: F.transform(
+            fields(r), lambda e: F.struct(e["key"].alias("dim"), F.to_json(e["value"]).alias("value"))))
+
+    return rows.select("job_id", dy.fail_fast(text("fail-fast")).alias("fail_fast"), dy.max_parallel(text("max-parallel")).alias("max_parallel"),
+                       F.filter(lists, lambda x: x["values"].isNotNull()).alias("lists"), *[rules(n).alias(n) for n in RULES])
+
+
+def strategy_tables(rows: DataFrame) -> Strategy:
+    """The tables of `strategy_rows`, which are best written first: each table reads them."""
+    lists = rows.select("job_id", F.explode("lists").alias("_l")).select("job_id", "_l.dim", "_l.values")
+    dims = lists.select("job_id", "dim", F.posexplode("values").alias("pos", "value")).select(
+        "job_id", "dim", F.col("pos").cast("bigint").alias("pos"), "value")
+
+    def rules(name: str) -> DataFrame:
+        each = rows.select("job_id", F.posexplode(name).alias("rule_pos", "_r"))
+        return each.select("job_id", F.col("rule_pos").cast("bigint").alias("rule_pos"), F.inline("_r"))
+
+    return Strategy(rows.select("job_id", "fail_fast", "max_parallel"), dims, lists.filter(F.size("values") == 0).select("job_id").distinct(),
+                    rules("exclude"), rules("include"))
+
+
 def strategy_of(job_rows: DataFrame, job_id: Column) -> Strategy:
     """Strategies of rows with a `job` body; `job_id` names the job across documents.
 
     Only lists are dimensions; a job without a matrix has no rows in the other tables.
     """
-    rows = job_rows.select(job_id.alias("job_id"), get(F.col("job"), "strategy").alias("_s"))
-    text = lambda n: F.coalesce(text_at(F.col("_s"), n), F.lit(""))
-    jobs = rows.select("job_id", dy.fail_fast(text("fail-fast")).alias("fail_fast"), dy.max_parallel(text("max-parallel")).alias("max_parallel"))
-    matrix = rows.select("job_id", get(F.col("_s"), "matrix").alias("_m"))
-    entries = matrix.select("job_id", F.explode(fields(F.col("_m"))).alias("_e")).filter(~F.col("_e.key").isin(RULES))
-    lists = entries.select("job_id", F.col("_e.key").alias("dim"), F.col("_e.value").try_cast(_LIST).alias("_v")).filter(F.col("_v").isNotNull())
-    dims = lists.select("job_id", "dim", F.posexplode("_v").alias("pos", "_x")).select(
-        "job_id", "dim", F.col("pos").cast("bigint").alias("pos"), F.to_json("_x").alias("value"))
-
-    def rules(name: str) -> DataFrame:
-        each = matrix.select("job_id", F.posexplode(get(F.col("_m"), name).try_cast(_LIST)).alias("rule_pos", "_r"))
-        pairs = each.select("job_id", F.col("rule_pos").cast("bigint").alias("rule_pos"), F.explode(fields(F.col("_r"))).alias("_e"))
-        return pairs.select("job_id", "rule_pos", F.col("_e.key").alias("dim"), F.to_json(F.col("_e.value")).alias("value"))
-
-    return Strategy(jobs, dims, lists.filter(F.size("_v") == 0).select("job_id").distinct(), rules("exclude"), rules("include"))
+    return strategy_tables(strategy_rows(job_rows, job_id))

@@ -41,7 +41,7 @@ _STRATEGY_DOC = """concat('{"jobs":{"b":{"strategy":{', CASE WHEN o_custkey % 3
 def _strategy(s: Source):
     docs = bind(dealt(s.table("orders")).select(F.col("o_orderkey").alias("doc_id"), F.expr(_STRATEGY_DOC).alias("text")),
                 doc=dy.from_json_(F.col("text"))).drop("text")
-    return sg.strategy_of(dc.jobs(docs), F.concat_ws("/", "doc_id", "job_id"))
+    return sg.strategy_rows(dc.jobs(docs), F.concat_ws("/", "doc_id", "job_id"))
 
 
 @query("e_documents_to_matrix", """
@@ -51,15 +51,14 @@ k AS (SELECT job_id, CAST(os * 3 + v AS BIGINT) AS combo, CASE os WHEN 0 THEN '"
 SELECT job_id, combo, 'os' AS dim, o AS value FROM k UNION ALL SELECT job_id, combo, 'v', vv FROM k
 UNION ALL SELECT concat(o_orderkey, '/b'), 4, 'x', 'true' FROM orders UNION ALL SELECT concat(o_orderkey, '/b'), 7, 'v', '9' FROM orders""")
 def _(s: Source):
-    g = _strategy(s)
-    dims, excludes, includes = (written(df, "strategy") for df in (g.dims, g.excludes, g.includes))
-    return mx.expand_matrix(g.jobs.select("job_id"), dims, excludes, includes, g.empty_dims)[0]
+    g = sg.strategy_tables(written(_strategy(s), "strategy"))
+    return mx.expand_matrix(g.jobs.select("job_id"), g.dims, g.excludes, g.includes, g.empty_dims)[0]
 
 
 @query("e_documents_to_strategy", """
 SELECT concat(o_orderkey, '/b') AS job_id, o_custkey % 3 <> 0 AS fail_fast, CAST(o_custkey % 5 AS INTEGER) AS max_parallel FROM orders""")
 def _(s: Source):
-    return _strategy(s).jobs
+    return sg.strategy_tables(_strategy(s)).jobs
 
 
 # ---- loading --------------------------------------------------------------------------------

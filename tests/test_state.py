@@ -186,6 +186,41 @@ def test_matrix_against_brute_force(spark):
             assert canon(got[job].values()) == canon(w), job
 
 
+def test_jobs_expand_in_their_rows_as_by_joins(spark, monkeypatch, capsys):
+    rnd = random.Random(13)
+    jobs, dims, excl, incl, none = [(None,), (3,), (3,)], [], [], [], []
+    for job in [*range(60), None]:
+        jobs += [(job,)] * (rnd.random() < .9)
+        named = {n: [rnd.choice("uvw") + n if rnd.random() < .9 else None for _ in range(rnd.randrange(1, 4))] for n in rnd.sample("abc", rnd.randrange(0, 4))}
+        dims += [(job, n, i, v) for n, vs in named.items() for i, v in enumerate(vs)]
+        none += [(job,)] * (rnd.random() < .1)
+        known = [*named, "bad"] if rnd.random() < .1 else [*named]
+        pick = lambda keys: [(k, rnd.choice(named.get(k, []) + ["z"])) for k in keys]
+        excl += [(job, r, k, v) for r in range(rnd.randrange(3)) for k, v in pick(rnd.sample(known, rnd.randrange(len(known) + 1)))]
+        for r in rnd.sample(range(6), rnd.randrange(4)):
+            own = [(k, rnd.choice([f"{k}{r}", None])) for k in rnd.sample("xyz", rnd.randrange(3))]
+            incl += [(job, r, k, v) for k, v in pick(rnd.sample([*named], rnd.randrange(len(named) + 1))) + own]
+    # odd jobs: a position twice or left out, a value of a key twice, a NULL key, a rule without a number
+    dims += [(100, "a", 0, "u"), (100, "a", 0, "u"), (101, "a", 1, "u"), (102, None, 0, "u"), (102, "a", 0, "u"), (103, "a", None, "u"), (104, "a", 0, "u")]
+    dims += [(105, d, i, f"{d}{i}") for d in "ab" for i in range(30)] + [(106, "a", i, f"a{i}") for i in range(1100)]
+    excl += [(100, 0, "a", "w"), (104, 0, "a", "w"), (104, 0, "a", "u"), (105, 0, "a", "a3"), (106, 0, "a", "a7"), (107, 0, "a", "u"), (102, 0, None, "u")]
+    incl += [(101, 0, "x", "1"), (104, 0, "x", "1"), (104, 0, "x", "1"), (105, 4, "b", "b9"), (105, 4, "x", "1"), (106, 0, "a", "a7"), (106, None, "x", "1"), (102, 0, None, "q")]
+    jobs += [(j,) for j in range(100, 109)]
+    df = lambda rows, schema: spark.createDataFrame(rows, f"job_id bigint, {schema}" if schema else "job_id bigint").repartition(3)
+    rule = "rule_pos bigint, dim string, value string"
+    tables = [df(jobs, ""), df(dims, "dim string, pos bigint, value string"), df(excl, rule), df(incl, rule), df(none, "")]
+    canon = lambda out: sorted(map(repr, out.select("job_id", "combo", "dim", "value").collect()))
+    out, errors = mx.expand_matrix(*tables)
+    monkeypatch.setattr(mx, "IN_ROW", -1)
+    assert canon(out) == canon(mx.expand_matrix(*tables)[0]) and len(canon(out)) > 1000
+    assert {107, 102} <= {r.job_id for r in errors.collect()}
+    # plain jobs need no join
+    monkeypatch.undo()
+    plain = [t.filter("job_id < 60") for t in tables]
+    mx.expand_matrix(plain[0].distinct(), *plain[1:])[0].explain()
+    assert "Join" not in capsys.readouterr().out
+
+
 def test_kept_numbers_against_all_combinations(spark):
     rnd = random.Random(12)
     dims, excl, want = [], [], set()
