@@ -252,34 +252,39 @@ def _packed(rows: DataFrame) -> DataFrame:
         f"job_id IS NOT NULL AND NOT exists(names, x -> x IS NULL) AND _whole AND _clear AND {work}").alias("plain"))
 
 
+def _let(name: str, value: str, use: str) -> str:
+    """SQL for `use` with `name` computed once; as a column it would be copied with its row at each step."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
 def _expanded(plain: DataFrame) -> DataFrame:
     """The combinations of plain jobs (see `_packed`), each job inside its row; a job with an unknown exclude key has none."""
     fine = plain.filter("forall(excludes, x -> array_contains(names, x.dim))")
 
-    def by_rule(rules: str, use: str) -> Column:
-        return F.expr(f"transform(array_distinct(transform({rules}, x -> x.pos)), p -> {use})".replace(
-            "KEYS", f"transform(filter({rules}, x -> x.pos = p AND array_contains(names, x.dim)), "
-                    "x -> struct(CAST(array_position(names, x.dim) - 1 AS INT) AS i, x.value AS value))"))
-
-    agrees = "forall({0}, k -> k.value <=> get(c.vals, k.i))"
-    rows = bind(
-        fine, _all=F.expr("IF(total > 0 AND NOT empty, transform(sequence(0L, total - 1), c -> struct(c AS combo, "
-                          "transform(d, x -> get(x.vals, CAST(c div x.stride % x.n AS INT))) AS vals)), array())"),
-        _exclude=by_rule("excludes", "KEYS"), _include=by_rule(
-            "includes", "struct(p AS pos, KEYS AS keys, filter(includes, x -> x.pos = p AND NOT array_contains(names, x.dim)) AS added)"))
-    rows = bind(rows, _kept=F.expr(f"filter(_all, c -> NOT exists(_exclude, r -> {agrees.format('r')}))"))
-    rows = bind(
-        rows, _met=F.expr(f"transform(_kept, c -> struct(c.combo AS combo, c.vals AS vals, flatten(transform("
-                          f"filter(_include, r -> {agrees.format('r.keys')}), r -> r.added)) AS added))"),
-        _own=F.expr(f"transform(filter(_include, r -> NOT exists(_kept, c -> {agrees.format('r.keys')})), r -> r.pos)"))
+    def by_rule(rules: str, use: str) -> str:
+        keys = (f"transform(filter({rules}, x -> x.pos = p AND array_contains(names, x.dim)), "
+                "x -> struct(CAST(array_position(names, x.dim) - 1 AS INT) AS i, x.value AS value))")
+        return f"transform(array_distinct(transform({rules}, x -> x.pos)), p -> {use.format(keys)})"
+
+    def agrees(keys: str) -> str:
+        return f"forall({keys}, k -> k.value <=> get(c.vals, k.i))"
+
+    combos = ("IF(total > 0 AND NOT empty, transform(sequence(0L, total - 1), c -> struct(c AS combo, "
+              "transform(d, x -> get(x.vals, CAST(c div x.stride % x.n AS INT))) AS vals)), array())")
+    kept = f"filter({combos}, c -> NOT exists(_excludes, r -> {agrees('r')}))"
     original = "transform(names, (name, i) -> struct(c.combo AS combo, name AS dim, get(c.vals, i) AS value))"
     # later includes win per added key
-    added = ("transform(filter(c.added, x -> NOT exists(c.added, y -> y.dim = x.dim AND y.pos > x.pos)), "
-             "x -> struct(c.combo AS combo, x.dim AS dim, x.value AS value))")
-    extra = ("IF(size(_kept) + size(_own) = 0, array(struct(total AS combo, CAST(NULL AS STRING) AS dim, CAST(NULL AS STRING) AS value)), "
-             "transform(filter(includes, x -> array_contains(_own, x.pos)), x -> struct(total + x.pos AS combo, x.dim AS dim, x.value AS value)))")
-    return rows.select("job_id", F.inline(F.expr(
-        f"concat(flatten(transform(_met, c -> concat({original}, {added}))), IF(asked, {extra}, array()))")))
+    added = _let("_added", f"flatten(transform(filter(_includes, r -> {agrees('r.keys')}), r -> r.added))",
+                 "transform(filter(_added, x -> NOT exists(_added, y -> y.dim = x.dim AND y.pos > x.pos)), "
+                 "x -> struct(c.combo AS combo, x.dim AS dim, x.value AS value))")
+    own = f"transform(filter(_includes, r -> NOT exists(_kept, c -> {agrees('r.keys')})), r -> r.pos)"
+    extra = _let("_own", own, (
+        "IF(size(_kept) + size(_own) = 0, array(struct(total AS combo, CAST(NULL AS STRING) AS dim, CAST(NULL AS STRING) AS value)), "
+        "transform(filter(includes, x -> array_contains(_own, x.pos)), x -> struct(total + x.pos AS combo, x.dim AS dim, x.value AS value)))"))
+    found = f"concat(flatten(transform(_kept, c -> concat({original}, {added}))), IF(asked, {extra}, array()))"
+    included = by_rule("includes", "struct(p AS pos, {} AS keys, filter(includes, x -> x.pos = p AND NOT array_contains(names, x.dim)) AS added)")
+    every = _let("_excludes", by_rule("excludes", "{}"), _let("_kept", kept, _let("_includes", included, found)))
+    return fine.select("job_id", F.inline(F.expr(every)))
 
 
 def expand_matrix(jobs: DataFrame, dims: DataFrame, excludes: DataFrame, includes: DataFrame,
